@@ -32,7 +32,7 @@ cuts as (select a.source, a.source_size, a.weight, a.r,
    (select coalesce(sum(3 * b.source_size), 0)::bigint from ratio b where b.r < a.r) as held,
    (select coalesce(sum(b.weight), 0)::bigint from ratio b where b.r < a.r) as held_w from ratio a),
 tot as (select sum(source_size)::bigint as t, sum(weight)::bigint as w from src join ranked using (source, source_size)),
-lvl as (select min((t - held)::double / (w - held_w)::double) as level from cuts, tot where (t - held)::double / (w - held_w)::double <= r),
+lvl as (select (t - held)::double / (w - held_w)::double as level from cuts, tot where (t - held)::double / (w - held_w)::double <= r order by r limit 1),
 tgt as (select source, source_size, least(weight * level, (3 * source_size)::double) as target from ranked, lvl),
 queue as (select s.*, g.source_size, g.target, row_number() over (order by s.source nulls last, u, doc_id, size) as row,
    sum(size) over (partition by s.source order by u, doc_id, size rows unbounded preceding)::bigint as seen
