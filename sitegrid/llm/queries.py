@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, mixing
+from pyspark.sql import functions as F
+
+from . import bpe, jaccard, langid, mixing, streamdedup
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,9 +20,36 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op5_mixing": op5_mixing}
+def op6_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    return langid.identify(docs, langid.trained(docs), ["doc_id", "held_out"])
+
+
+def op8_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op9_dedup(spark, sf_dir):
+    out = streamdedup.deduplicate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", F.col("group_size").cast("long"), "kept", F.col("digest").alias("text_sha256"))
+
+
+QUERIES = {
+    "op4_bpe": op4_bpe,
+    "op5_mixing": op5_mixing,
+    "op6_langid": op6_langid,
+    "op8_jaccard": op8_jaccard,
+    "op9_dedup": op9_dedup,
+}
 
 SQL = {
+    "op9_dedup": r"""
+with t as (select doc_id, coalesce(length(text), 0) as points,
+    sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) as text_sha256 from documents),
+w as (select *, first_value(doc_id) over g as keep_id, count(*) over (partition by text_sha256) as group_size,
+    row_number() over g = 1 as kept
+  from t window g as (partition by text_sha256 order by points desc, doc_id))
+select doc_id, keep_id, group_size, kept, text_sha256 from w""",
     "op5_mixing": r"""
 with sizes as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
