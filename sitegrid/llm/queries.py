@@ -6,12 +6,20 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, mixing, streamdedup
+from . import bpe, chat, jaccard, langid, mixing, secrets, streamdedup, urlrank
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_chat(spark, sf_dir):
+    return chat.for_comparison(chat.perspectives(table(spark, sf_dir, "conversations")))
+
+
+def op3_urls(spark, sf_dir):
+    return urlrank.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER, keep=["doc_id"]))
 
@@ -34,15 +42,23 @@ def op9_dedup(spark, sf_dir):
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long"), "kept", F.col("digest").alias("text_sha256"))
 
 
+def op10_secrets(spark, sf_dir):
+    return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op1_chat": op1_chat,
+    "op3_urls": op3_urls,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
     "op8_jaccard": op8_jaccard,
     "op9_dedup": op9_dedup,
+    "op10_secrets": op10_secrets,
 }
 
 SQL = {
+    "op1_chat": chat.SQL,
     "op9_dedup": r"""
 with t as (select doc_id, coalesce(length(text), 0) as points,
     sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) as text_sha256 from documents),
