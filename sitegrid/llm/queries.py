@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, langid, mixing, secrets, streamdedup, urlrank
+from . import bpe, chat, coversearch, jaccard, langid, mixing, quality, secrets, streamdedup, urlrank
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,10 @@ def op1_chat(spark, sf_dir):
     return chat.for_comparison(chat.perspectives(table(spark, sf_dir, "conversations")))
 
 
+def op2_quality(spark, sf_dir):
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_urls(spark, sf_dir):
     return urlrank.judge(table(spark, sf_dir, "pages"))
 
@@ -33,6 +37,10 @@ def op6_langid(spark, sf_dir):
     return langid.identify(docs, langid.trained(docs), ["doc_id", "held_out"])
 
 
+def op7_cover(spark, sf_dir):
+    return coversearch.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op8_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -48,16 +56,26 @@ def op10_secrets(spark, sf_dir):
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_quality": op2_quality,
     "op3_urls": op3_urls,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
+    "op7_cover": op7_cover,
     "op8_jaccard": op8_jaccard,
     "op9_dedup": op9_dedup,
     "op10_secrets": op10_secrets,
 }
 
 SQL = {
+    "op7_cover": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, d.vec_id, list_inner_product(q.v, d.v)::bigint as score
+  from v q join v d on q.vec_id % 100 = 0 and q.vec_id <> d.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10""",
     "op1_chat": chat.SQL,
     "op9_dedup": r"""
 with t as (select doc_id, coalesce(length(text), 0) as points,
