@@ -49,6 +49,8 @@ def run_stream(spark: SparkSession, source: str, schema, checkpoint: str, sink:
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    # many small stores: no preallocated logs
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     session.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
     rows = session.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(source)
 
