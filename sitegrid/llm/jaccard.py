@@ -8,7 +8,7 @@
    their prefixes. Sets seen before in the same task are left out; equal sets are linked
    through their digests, which Spark groups with map-side sums.
 3. Prefixes are dealt out by shingle and sorted. Members of a short run are paired; in a
-   longer one the members with the earliest positions are pivots, paired with all others.
+   longer one the members with the commonest prefixes are pivots, paired with all others.
    The length and positional filters hold for each pair before it leaves the task.
 4. Distinct pairs meet their full sets, pass the suffix filter and are verified exactly, once.
 5. In long runs, members that are not pivots and whose components still differ are paired
@@ -33,7 +33,7 @@ from .common import connected_components, written
 from .shingles import mixed, shingle_sets
 
 WORDS, PERCENT = 4, 85
-SKETCH_BITS, BLOOM_BITS, CHUNK = 20, 23, 1 << 14
+SKETCH_BITS, BLOOM_BITS, CHUNK = 22, 23, 1 << 16
 SHORT_RUN, PIVOTS, BLOCK = 6, 2, 4096
 _U = np.uint64
 
@@ -48,16 +48,17 @@ def need(total, percent: int):
 
 def _merge(parts: DataFrame, kind: str) -> np.ndarray:
     """Add (or, for bits, unite) the chunks that tasks emitted; the result has a fixed size."""
+    sent, kept = (np.uint8, np.int64) if kind == "sum" else (np.uint32, np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, None
         rows = ((i, b) for batch in batches for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         for i, b in rows:
-            x = np.frombuffer(b, np.uint32)
+            x = np.frombuffer(b, sent)
             if i != at:
                 if at is not None:
                     yield pa.RecordBatch.from_pydict({"chunk": [at], "body": [held.tobytes()]})
-                at, held = i, x.astype(np.int64) if kind == "sum" else x.copy()
+                at, held = i, x.astype(kept)
             elif kind == "sum":
                 held += x
             else:
@@ -66,7 +67,7 @@ def _merge(parts: DataFrame, kind: str) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"chunk": [at], "body": [held.tobytes()]})
 
     rows = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk bigint, body binary").collect()
-    return {r.chunk: np.frombuffer(bytes(r.body), np.int64 if kind == "sum" else np.uint32) for r in rows}
+    return {r.chunk: np.frombuffer(bytes(r.body), kept) for r in rows}
 
 
 def _levels(parts: DataFrame, bits: int) -> np.ndarray:
@@ -111,7 +112,8 @@ def profiles(docs: DataFrame, words: int, bits: int) -> DataFrame:
                     waiting, held = [], 0
         if waiting:
             sketch += np.bincount(np.concatenate(waiting), minlength=1 << bits).astype(np.uint32)
-        for k, body in _chunks(sketch):
+        # a byte for each counter: a task's larger counts are frequent enough to tell
+        for k, body in _chunks(np.minimum(sketch, 255).astype(np.uint8)):
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, k, body), PROFILE.types, strict=True)], schema=PROFILE)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, chunk bigint, body binary")
@@ -125,7 +127,11 @@ def _tokens(hashes: np.ndarray, bounds: np.ndarray, levels: np.ndarray, bits: in
 
 
 def prefixes(docs: DataFrame, levels, words: int, percent: int, bits: int) -> DataFrame:
-    """(token, doc, at) of every prefix member; at = position << 32 | set size."""
+    """(token, doc, at) of every prefix member; at = rarity << 56 | position << 32 | set size.
+
+    The rarity of a set's prefix is the same at all its members, so the runs of a group of
+    copies agree on their pivots: the sets with the fewest shingles of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -140,7 +146,8 @@ def prefixes(docs: DataFrame, levels, words: int, percent: int, bits: int) -> Da
                         p = len(t) - (percent * len(t) + 99) // 100 + 1
                         tokens.append(t[:p])
                         owners.append(np.full(p, ids[i + k], np.int64))
-                        ats.append((np.arange(p, dtype=np.int64) << 32) | len(t))
+                        rarity = 127 - int((t[:p] >> _U(56)).mean()) // 2
+                        ats.append((np.arange(p, dtype=np.int64) << 32) | len(t) | (rarity << 56))
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(ats))], ["token", "doc", "at"])
 
@@ -202,7 +209,7 @@ def _bloom_has(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _fits(at1: np.ndarray, at2: np.ndarray, percent: int) -> np.ndarray:
     """Length and positional filters for two members of one run."""
-    n1, n2, p1, p2 = at1 & 0xFFFFFFFF, at2 & 0xFFFFFFFF, at1 >> 32, at2 >> 32
+    n1, n2, p1, p2 = at1 & 0xFFFFFFFF, at2 & 0xFFFFFFFF, at1 >> 32 & 0xFFFFFF, at2 >> 32 & 0xFFFFFF
     close = np.minimum(n1, n2) * 100 >= percent * np.maximum(n1, n2)
     return close & (1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) >= need(n1 + n2, percent))
 
