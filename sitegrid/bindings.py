@@ -86,3 +86,77 @@ class City:
 
     def depot_selection(self) -> DataFrame:
         return self.depots().where("site_id % 3 = 0")
+
+
+class Plans(City):
+    """Plans of the city: orders are assignments, dealt to one plan for every 50 customers."""
+
+    def count(self) -> int:
+        return max(1, self.table("customer").count() // 50)
+
+    def measured_walks(self) -> DataFrame:
+        """Advertised walks; every 37th cell's are a millimetre off, every 41st's route is broken."""
+        c = F.col("cell_id")
+        return self.walks().withColumns({"measured_mm": F.col("distance_mm") + F.when(c % 37 == 0, 1).otherwise(0), "route_ok": c % 41 != 0})
+
+    def plan_cells(self) -> DataFrame:
+        order = Window.partitionBy("cell_id").orderBy("locker_id")
+        ranked = self.walks().select("cell_id", F.col("locker_id").alias("_l"), F.row_number().over(order).alias("_r"))
+        n = self.walks().groupBy("cell_id").agg(F.count(F.lit(1)).alias("_n"))
+        o = self.table("orders").select((F.col("o_orderkey") % self.count()).alias("plan_id"), F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("cell_id"))
+        o = o.join(n, "cell_id", "left").withColumn("_r", F.when(F.col("_n").isNotNull(), 1 + F.col("pos") % F.col("_n")))
+        o = o.join(ranked, ["cell_id", "_r"], "left")
+        return o.select(F.lit(0).alias(KEY), "plan_id", "pos", "cell_id", F.coalesce("_l", F.col("pos") % self.table("supplier").count()).alias("locker_id"))
+
+    def plan_sites(self) -> DataFrame:
+        used = self.plan_cells().select("plan_id", F.col("locker_id").alias("site_id")).distinct().where("(site_id + plan_id) % 11 <> 0")
+        lockers = used.select("plan_id", F.lit("locker").alias("kind"), F.col("site_id").alias("pos"), "site_id")
+        again = lockers.where("(site_id + plan_id) % 29 = 3").withColumn("pos", F.col("pos") + 1_000_000)
+        plans = F.sequence(F.lit(0).cast("long"), F.lit(self.count() - 1).cast("long"))
+        depots = self.table("nation").select(F.explode(plans).alias("plan_id"), F.lit("depot").alias("kind"), F.col("n_nationkey").cast("long").alias("pos"), F.col("n_nationkey").cast("long").alias("site_id"))
+        depots = depots.where("(site_id + plan_id) % 5 = 0")
+        odd = depots.where("plan_id % 12 = 7 and site_id < 5").withColumn("site_id", F.col("site_id") + 1000)
+        return lockers.unionByName(again).unionByName(depots).unionByName(odd).withColumn(KEY, F.lit(0))
+
+    def plan_outages(self) -> DataFrame:
+        d = self.plan_sites().where("kind = 'depot' and ((plan_id % 2 = 1 and (plan_id + site_id) % 13 <> 0) or (plan_id % 9 = 4 and plan_id % 2 = 0 and site_id < 5))")
+        extra = d.where("plan_id % 14 = 9").withColumn("site_id", F.when(F.col("site_id") % 2 == 0, F.col("site_id")).otherwise(F.col("site_id") + 1))
+        return d.unionByName(extra).select(KEY, "plan_id", "pos", F.col("site_id").alias("depot_id"))
+
+    def plan_supply(self) -> DataFrame:
+        d = self.plan_sites().where("kind = 'depot' and site_id < 1000").groupBy("plan_id").agg(F.sort_array(F.collect_set("site_id")).alias("ds"))
+        rows = self.plan_sites().where("kind = 'locker'").select("plan_id", F.col("pos").alias("_pos"), F.col("site_id").alias("locker_id")).join(d, "plan_id")
+        scopes = F.when(F.col("plan_id") % 2 == 1, F.sequence(F.lit(0), F.size("ds"))).otherwise(F.array(F.lit(0)))
+        rows = rows.withColumn("k", F.explode(scopes)).where("(locker_id + plan_id * 3 + k) % 97 <> 0")
+        j = (F.col("locker_id") + F.col("plan_id")) % F.size("ds")
+        j = F.when((j == F.col("k") - 1) & (F.col("plan_id") % 3 == 0), (j + 1) % F.size("ds")).otherwise(j)
+        out = F.when(F.col("k") > 0, F.get("ds", F.col("k") - 1))
+        return rows.select(F.lit(0).alias(KEY), "plan_id", (F.col("_pos") * 100 + F.col("k")).alias("pos"), out.alias("outage_depot"), "locker_id", F.get("ds", j.cast("int")).alias("depot_id"))
+
+    def requests(self) -> DataFrame:
+        p = F.col("plan_id")
+        chosen = self.plan_sites().where("kind = 'locker'").groupBy("plan_id").agg(F.sort_array(F.collect_set("site_id")).alias("ls"))
+        out = self.spark.range(self.count()).withColumnRenamed("id", "plan_id").join(chosen, "plan_id", "left")
+        few = F.slice("ls", F.lit(2), F.greatest(F.size("ls") - 1, F.lit(1)))
+        return out.select(
+            F.lit(0).alias(KEY),
+            "plan_id",
+            (F.lit(20) + p % 3 * 20).alias("max_lockers"),
+            (F.lit(4) + p % 3).alias("max_depots"),
+            (F.lit(40) + p % 4 * 40).alias("locker_capacity"),
+            F.when(p % 16 == 11, F.lit(20_000)).otherwise(F.lit(400) + p % 5 * 400).alias("depot_capacity"),
+            (F.lit(2_000_000) + p % 3 * 500_000).alias("flight_limit_mm"),
+            F.when(p % 6 == 0, F.lit(None)).otherwise(p % 2).cast("int").alias("outage_tolerance"),
+            F.when(p % 10 == 1, F.col("ls")).when(p % 10 == 2, few).alias("fixed_lockers"),
+            F.when(p % 8 == 5, F.array().cast("array<bigint>")).when(p % 8 == 6, F.array(F.lit(3), F.lit(4000), F.lit(3)).cast("array<bigint>")).alias("fixed_depots"),
+            F.when(p % 15 == 14, F.lit(0)).otherwise(F.lit(1000) + p).alias("timeout_ms"),
+        )
+
+    def audit(self):
+        from .plans.verify import Audit
+
+        keep = lambda name, make: once(self.spark, self.dir, name, make)
+        return Audit(
+            self.cells(), self.lockers(), self.depots(), self.measured_walks(), keep("requests", self.requests), keep("plan_sites", self.plan_sites),
+            keep("plan_cells", self.plan_cells), keep("plan_supply", self.plan_supply), keep("plan_outages", self.plan_outages), WALK_MM,
+        )

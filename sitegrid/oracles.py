@@ -45,6 +45,140 @@ PIECES: dict[str, tuple[str, tuple[str, ...]]] = {
         ("lockers", "depots"),
     ),
     "counts": ("counts as (select c.region_id, c.cell_id, count(w.locker_id) as choices from cells c left join walks w using (cell_id) group by 1, 2)", ("cells", "walks")),
+    # -- plans of the city
+    "pn": ("pn as (select greatest(1, count(*) // 50)::bigint as p from customer)", ()),
+    "mwalks": ("mwalks as (select *, distance_mm + (cell_id % 37 = 0)::int as measured_mm, cell_id % 41 <> 0 as route_ok from walks)", ("walks",)),
+    "plan_cells": (
+        """plan_cells as (
+        select 0 as region_id, o_orderkey % p as plan_id, o_orderkey as pos, o_custkey as cell_id, coalesce(r.locker_id, o_orderkey % (select count(*) from supplier)) as locker_id
+        from orders cross join pn
+        left join (select cell_id, count(*) as k from walks group by 1) c on c.cell_id = o_custkey
+        left join (select *, row_number() over (partition by cell_id order by locker_id) as r from walks) r on r.cell_id = o_custkey and r.r = 1 + o_orderkey % k)""",
+        ("pn", "walks"),
+    ),
+    "plan_sites": (
+        """plan_sites as (
+        with l as (select distinct plan_id, 'locker' as kind, locker_id as pos, locker_id as site_id from plan_cells where (locker_id + plan_id) % 11 <> 0),
+        d as (select unnest(range(p)) as plan_id, 'depot' as kind, n_nationkey::bigint as pos, n_nationkey::bigint as site_id from nation, pn),
+        e as (select * from d where (site_id + plan_id) % 5 = 0)
+        select 0 as region_id, * from (select * from l union all select plan_id, kind, pos + 1000000, site_id from l where (site_id + plan_id) % 29 = 3
+        union all select * from e union all select plan_id, kind, pos, site_id + 1000 from e where plan_id % 12 = 7 and site_id < 5))""",
+        ("plan_cells", "pn"),
+    ),
+    "plan_outages": (
+        """plan_outages as (
+        with d as (select * from plan_sites where kind = 'depot' and ((plan_id % 2 = 1 and (plan_id + site_id) % 13 <> 0) or (plan_id % 9 = 4 and plan_id % 2 = 0 and site_id < 5)))
+        select plan_id, pos, site_id as depot_id from d union all select plan_id, pos, site_id + site_id % 2 from d where plan_id % 14 = 9)""",
+        ("plan_sites",),
+    ),
+    "plan_supply": (
+        """plan_supply as (
+        with ds as (select plan_id, list_sort(list(distinct site_id)) as ds from plan_sites where kind = 'depot' and site_id < 1000 group by 1),
+        r as (select s.plan_id, s.pos, s.site_id as locker_id, ds, unnest(case when s.plan_id % 2 = 1 then range(len(ds) + 1) else [0] end) as k from plan_sites s join ds using (plan_id) where kind = 'locker'),
+        j as (select *, (locker_id + plan_id) % len(ds) as j0 from r where (locker_id + plan_id * 3 + k) % 97 <> 0),
+        m as (select *, case when j0 = k - 1 and plan_id % 3 = 0 then (j0 + 1) % len(ds) else j0 end as j from j)
+        select plan_id, pos * 100 + k as pos, case when k > 0 then ds[k] end as outage_depot, locker_id, ds[j + 1] as depot_id from m)""",
+        ("plan_sites",),
+    ),
+    "requests": (
+        """requests as (
+        with ls as (select plan_id, list_sort(list(distinct site_id)) as ls from plan_sites where kind = 'locker' group by 1),
+        q as (select unnest(range(p)) as plan_id from pn)
+        select plan_id, 20 + plan_id % 3 * 20 as max_lockers, 4 + plan_id % 3 as max_depots, 40 + plan_id % 4 * 40 as locker_capacity,
+        case when plan_id % 16 = 11 then 20000 else 400 + plan_id % 5 * 400 end as depot_capacity, 2000000 + plan_id % 3 * 500000 as flight_limit_mm,
+        case when plan_id % 6 <> 0 then plan_id % 2 end as outage_tolerance,
+        case when plan_id % 10 = 1 then ls when plan_id % 10 = 2 then ls[2:] end as fixed_lockers,
+        case when plan_id % 8 = 5 then []::bigint[] when plan_id % 8 = 6 then [3, 4000, 3]::bigint[] end as fixed_depots,
+        case when plan_id % 15 = 14 then 0 else 1000 + plan_id end as timeout_ms from q left join ls using (plan_id))""",
+        ("plan_sites", "pn"),
+    ),
+    "pl": ("pl as (select distinct plan_id, site_id as locker_id from plan_sites where kind = 'locker')", ("plan_sites",)),
+    "pd": ("pd as (select distinct plan_id, site_id as depot_id from plan_sites where kind = 'depot')", ("plan_sites",)),
+    "judged": (
+        """judged as (
+        with v as (select a.*, c.parcels, w.distance_mm, w.measured_mm, w.route_ok, c.parcels is not null and pl.locker_id is not null and w.distance_mm is not null as valid
+          from plan_cells a left join cells c using (cell_id) left join pl on pl.plan_id = a.plan_id and pl.locker_id = a.locker_id
+          left join mwalks w on w.cell_id = a.cell_id and w.locker_id = a.locker_id)
+        select *, valid and row_number() over (partition by plan_id, cell_id, valid order by pos) = 1 as good from v)""",
+        ("plan_cells", "cells", "pl", "mwalks"),
+    ),
+    "loads": ("loads as (select pl.plan_id, pl.locker_id, coalesce(sum(parcels) filter (good), 0)::bigint as load from pl left join judged j on j.plan_id = pl.plan_id and j.locker_id = pl.locker_id group by 1, 2)", ("pl", "judged")),
+    "scopes": (
+        """scopes as (select distinct o.plan_id, o.depot_id as outage_depot from plan_outages o join pd using (plan_id, depot_id) join requests r using (plan_id) where r.outage_tolerance = 1)""",
+        ("plan_outages", "pd", "requests"),
+    ),
+    "supplies": (
+        """supplies as (
+        with s as (select * from plan_supply where outage_depot is null union all select p.* from plan_supply p join scopes using (plan_id, outage_depot)),
+        v as (select s.*, floor(2 * sqrt((l.x_mm - d.x_mm)::double * (l.x_mm - d.x_mm)::double + (l.y_mm - d.y_mm)::double * (l.y_mm - d.y_mm)::double) + 0.5)::bigint as return_mm,
+          l.site_id is not null and d.site_id is not null and pl.locker_id is not null and pd.depot_id is not null and s.depot_id is distinct from s.outage_depot as valid
+          from s left join lockers l on l.site_id = s.locker_id left join depots d on d.site_id = s.depot_id
+          left join pl on pl.plan_id = s.plan_id and pl.locker_id = s.locker_id left join pd on pd.plan_id = s.plan_id and pd.depot_id = s.depot_id)
+        select *, valid and row_number() over (partition by plan_id, outage_depot, locker_id, valid order by pos) = 1 as good from v)""",
+        ("plan_supply", "scopes", "lockers", "depots", "pl", "pd"),
+    ),
+    "sloads": (
+        """sloads as (
+        with e as (select plan_id, null::bigint as outage_depot, depot_id from pd union all select plan_id, outage_depot, depot_id from pd join scopes using (plan_id))
+        select e.plan_id, e.outage_depot, e.depot_id, coalesce(sum(l.load), 0)::bigint as load, count(l.load) as lockers from e
+        left join supplies s on s.plan_id = e.plan_id and s.outage_depot is not distinct from e.outage_depot and s.depot_id = e.depot_id and s.good
+        left join loads l on l.plan_id = s.plan_id and l.locker_id = s.locker_id group by 1, 2, 3)""",
+        ("pd", "scopes", "supplies", "loads"),
+    ),
+    "invalid": (
+        """invalid as (
+        with r as (select *, (select count(*) from supplier) as nl, (select count(*) from nation) as nd from requests),
+        u as (select plan_id, unnest(fixed_lockers) as id, 'locker' as kind from requests union all select plan_id, unnest(fixed_depots), 'depot' from requests)
+        select distinct plan_id, 'unknown_' || kind as problem from u where (kind = 'locker' and id not in (select site_id from lockers)) or (kind = 'depot' and id not in (select site_id from depots))
+        union all select plan_id, 'max_lockers' from r where max_lockers not between 0 and nl union all select plan_id, 'max_depots' from r where max_depots not between 0 and nd
+        union all select plan_id, 'locker_capacity' from r where locker_capacity not between 0 and 10000 union all select plan_id, 'depot_capacity' from r where depot_capacity not between 0 and 10000
+        union all select plan_id, 'flight_limit' from r where flight_limit_mm not between 0 and 10000000 union all select plan_id, 'timeout' from r where timeout_ms not between 1 and 30000
+        union all select plan_id, 'tolerance' from r where outage_tolerance is not null and outage_tolerance not in (0, 1)
+        union all select plan_id, 'repeated_locker' from r where len(list_distinct(fixed_lockers)) < len(fixed_lockers)
+        union all select plan_id, 'repeated_depot' from r where len(list_distinct(fixed_depots)) < len(fixed_depots))""",
+        ("requests", "lockers", "depots"),
+    ),
+    "errors": (
+        """errors as (
+        with req as (select *, coalesce(outage_tolerance, 0) as tol from requests),
+        lists as (select r.plan_id, k.kind, coalesce(list(s.site_id) filter (s.site_id is not null), []) as chosen,
+            case when k.kind = 'locker' then any_value(r.max_lockers) else any_value(r.max_depots) end as most,
+            case when k.kind = 'locker' then any_value(r.fixed_lockers) else any_value(r.fixed_depots) end as fixed
+          from req r cross join (values ('locker'), ('depot')) k(kind) left join plan_sites s on s.plan_id = r.plan_id and s.kind = k.kind group by 1, 2),
+        strange as (select distinct plan_id, kind from plan_sites where (kind = 'locker' and site_id not in (select site_id from lockers)) or (kind = 'depot' and site_id not in (select site_id from depots))
+          union select plan_id, kind from lists where len(chosen) > len(list_distinct(chosen))),
+        got as (select plan_id, sum(parcels)::bigint as got, count(*) as n from judged where good group by 1),
+        every as (select plan_id, null::bigint as outage_depot from req union all select plan_id, outage_depot from scopes),
+        per as (select e.plan_id, e.outage_depot, count(s.locker_id) as supplied, count(distinct s.depot_id) as used,
+            (select coalesce(sum(load), 0) from sloads x where x.plan_id = e.plan_id and x.outage_depot is not distinct from e.outage_depot) as carried,
+            (select count(*) from plan_sites x where x.plan_id = e.plan_id and kind = 'locker') as nl, (select count(*) from plan_sites x where x.plan_id = e.plan_id and kind = 'depot') as nd,
+            coalesce((select got from got g where g.plan_id = e.plan_id), 0) as got
+          from every e left join supplies s on s.plan_id = e.plan_id and s.outage_depot is not distinct from e.outage_depot and s.good group by 1, 2),
+        tout as (select o.* from plan_outages o join req using (plan_id) where tol = 1),
+        missing as (select plan_id from req r where tol = 1 and (select count(*) from tout t where t.plan_id = r.plan_id) <> (select count(*) from plan_sites s where s.plan_id = r.plan_id and kind = 'depot')
+          union select plan_id from pd join req using (plan_id) where tol = 1 and not exists (select 1 from tout t where t.plan_id = pd.plan_id and t.depot_id = pd.depot_id)),
+        z(plan_id, code, scope, n) as (
+          select plan_id, 'invalid_request', '', count(*) from invalid group by 1
+          union all select plan_id, 'site_unknown_or_dup', kind, 1 from strange
+          union all select plan_id, 'too_many', kind, 1 from lists where len(chosen) > most
+          union all select plan_id, 'exact_changed', kind, 1 from lists where fixed is not null and (len(chosen) <> len(fixed) or len(list_filter(fixed, lambda x: not list_contains(chosen, x))) > 0)
+          union all select plan_id, 'bad_assignment', '', count(*) from judged where not good group by 1
+          union all select plan_id, 'walk_limit', '', count(*) from judged where good and (measured_mm > WALK_LIMIT or measured_mm <> distance_mm) group by 1
+          union all select plan_id, 'broken_route', '', count(*) from judged where good and not route_ok group by 1
+          union all select r.plan_id, 'demand_not_covered', '', 1 from req r left join got g using (plan_id) where coalesce(n, 0) <> (select count(*) from cells) or coalesce(got, 0) <> (select sum(parcels) from cells)
+          union all select plan_id, 'locker_capacity_or_use', '', count(*) from loads join req using (plan_id) where load <= 0 or load > locker_capacity group by 1
+          union all select plan_id, 'bad_supply', coalesce('outage:' || outage_depot, 'normal'), count(*) from supplies where not good group by 1, 3
+          union all select plan_id, 'flight_limit', coalesce('outage:' || outage_depot, 'normal'), count(*) from supplies join req using (plan_id) where good and return_mm > flight_limit_mm group by 1, 3
+          union all select plan_id, 'supply_incomplete', coalesce('outage:' || outage_depot, 'normal'), 1 from per where supplied <> nl
+          union all select plan_id, 'unused_depot', '', 1 from per where outage_depot is null and used <> nd
+          union all select plan_id, 'depot_capacity_or_use', coalesce('outage:' || outage_depot, 'normal'), count(*) from sloads join req using (plan_id) where load > depot_capacity or (outage_depot is null and load <= 0) group by 1, 3
+          union all select plan_id, 'supply_not_conserved', coalesce('outage:' || outage_depot, 'normal'), 1 from per where carried <> got
+          union all select plan_id, 'unexpected_outage', '', count(*) from plan_outages join req using (plan_id) where tol = 0 group by 1
+          union all select plan_id, 'outage_unknown_or_dup', '', 1 from (select distinct plan_id from (select plan_id, depot_id, count(*) as c from tout group by 1, 2) t where c > 1 or not exists (select 1 from pd where pd.plan_id = t.plan_id and pd.depot_id = t.depot_id))
+          union all select plan_id, 'outage_missing', '', 1 from missing)
+        select * from z)""".replace("WALK_LIMIT", str(WALK_MM)),
+        ("requests", "plan_sites", "lockers", "depots", "judged", "scopes", "supplies", "sloads", "loads", "plan_outages", "pd", "invalid", "cells"),
+    ),
 }
 
 
