@@ -160,3 +160,73 @@ class Plans(City):
             self.cells(), self.lockers(), self.depots(), self.measured_walks(), keep("requests", self.requests), keep("plan_sites", self.plan_sites),
             keep("plan_cells", self.plan_cells), keep("plan_supply", self.plan_supply), keep("plan_outages", self.plan_outages), WALK_MM,
         )
+
+
+class Blocks(City):
+    """Small regions: four lockers and three depots from ``supplier``, six cells of ten customers."""
+
+    WALK_MM, FLIGHT_MM = 2_200_000, 6_000_000
+
+    def _sites(self, step: int, most: int) -> DataFrame:  # noqa: D401
+        k = F.col("s_suppkey").cast("long")
+        rows = self.table("supplier").where(F.col("s_suppkey") % 4 < most)
+        rows = rows.select(F.floor(k / 4).alias(KEY), k.alias("site_id"), (k % 4).cast("int").alias("ord"), (k * step % self.n()).alias("node_id"))
+        return rows.join(self.nodes().select("node_id", "x_mm", "y_mm"), "node_id")
+
+    def lockers(self) -> DataFrame:
+        return self._sites(17, 4)
+
+    def depots(self) -> DataFrame:
+        return self._sites(101, 3)
+
+    def cells(self) -> DataFrame:
+        cell = F.floor(F.col("c_custkey") / 10)
+        people = self.table("customer").select(cell.alias("cell_id"), (1 + F.col("c_custkey") * 37 % 400).alias("p"))
+        rows = people.groupBy("cell_id").agg(F.sum("p").alias("population"))
+        rows = rows.withColumns({KEY: F.floor(F.col("cell_id") / 6), "parcels": demand(F.col("population")), "node_id": F.col("cell_id") * 313 % self.n()})
+        rows = rows.join(self.lockers().select(KEY).distinct(), KEY, "left_semi")
+        return rows.join(self.nodes().select("node_id", "x_mm", "y_mm"), "node_id")
+
+    def walks(self) -> DataFrame:
+        from .functions.scalars import straight_mm
+
+        c = self.cells().select(KEY, "cell_id", F.col("x_mm").alias("_x"), F.col("y_mm").alias("_y"))
+        both = c.join(self.lockers().select(KEY, F.col("site_id").alias("locker_id"), "x_mm", "y_mm"), KEY)
+        return both.select(KEY, "cell_id", "locker_id", straight_mm(F.col("_x"), F.col("_y"), F.col("x_mm"), F.col("y_mm")).alias("distance_mm")).where(F.col("distance_mm") <= self.WALK_MM)
+
+    def flights(self) -> DataFrame:
+        from .operators.spatial import pair_matrix
+
+        return pair_matrix(self.lockers(), self.depots())
+
+    def limits(self) -> DataFrame:
+        """One request for each region."""
+        none = F.lit(None).cast("array<bigint>")
+        return self.lockers().select(KEY).distinct().select(
+            KEY, F.lit(0).cast("long").alias("request_id"), F.lit(3).alias("max_lockers"), F.lit(2).alias("max_depots"), F.lit(600).alias("locker_capacity"), F.lit(1000).alias("depot_capacity"),
+            F.lit(self.FLIGHT_MM).alias("flight_limit_mm"), F.lit(1).alias("outage_tolerance"), none.alias("fixed_lockers"), none.alias("fixed_depots"), F.lit(1000).alias("timeout_ms"),
+        )
+
+    AXES = {"max_lockers": [2, 4], "max_depots": [2, 3], "locker_capacity": [450, 800], "outage_tolerance": [0, 1]}
+
+    def grid(self) -> DataFrame:
+        from .plans.whatif import request_grid
+
+        return request_grid(self.limits(), self.AXES)
+
+    def world(self) -> tuple[DataFrame, ...]:
+        """cells, lockers, depots, walks, flights."""
+        keep = lambda name: once(self.spark, self.dir, f"block-{name}", getattr(self, name))
+        return tuple(keep(x) for x in ("cells", "lockers", "depots", "walks", "flights"))
+
+    def requests(self) -> DataFrame:
+        return once(self.spark, self.dir, "block-grid", self.grid)
+
+    def sweep(self):
+        """Results and plans of the whole grid, computed once."""
+        from .plans.whatif import feasibility_sweep
+
+        key = (self.spark.sparkContext.applicationId, self.dir, "sweep")
+        if key not in _kept:
+            _kept[key] = feasibility_sweep(*self.world(), self.requests())
+        return _kept[key]

@@ -179,6 +179,60 @@ PIECES: dict[str, tuple[str, tuple[str, ...]]] = {
         select * from z)""".replace("WALK_LIMIT", str(WALK_MM)),
         ("requests", "plan_sites", "lockers", "depots", "judged", "scopes", "supplies", "sloads", "loads", "plan_outages", "pd", "invalid", "cells"),
     ),
+    # -- blocks
+    "bl": ("bl as (select s_suppkey // 4 as region_id, s_suppkey as site_id, (s_suppkey % 4)::int as ord, node_id, x_mm, y_mm from supplier, np join nodes on node_id = s_suppkey * 17 % n)", ("np", "nodes")),
+    "bd": ("bd as (select s_suppkey // 4 as region_id, s_suppkey as site_id, (s_suppkey % 4)::int as ord, node_id, x_mm, y_mm from supplier, np join nodes on node_id = s_suppkey * 101 % n where s_suppkey % 4 < 3)", ("np", "nodes")),
+    "bc": (
+        """bc as (with g as (select c_custkey // 10 as cell_id, sum(1 + c_custkey * 37 % 400)::bigint as population from customer group by 1)
+        select cell_id // 6 as region_id, cell_id, population, ceil(population / 10.0)::bigint as parcels, node_id, x_mm, y_mm from g, np join nodes on node_id = cell_id * 313 % n where cell_id // 6 in (select region_id from bl))""",
+        ("bl", "np", "nodes"),
+    ),
+    "bw": (
+        """bw as (select * from (select c.region_id, c.cell_id, l.site_id as locker_id, l.ord, floor(sqrt((c.x_mm - l.x_mm)::double * (c.x_mm - l.x_mm)::double + (c.y_mm - l.y_mm)::double * (c.y_mm - l.y_mm)::double) + 0.5)::bigint as distance_mm
+        from bc c join bl l using (region_id)) where distance_mm <= 2200000)""",
+        ("bc", "bl"),
+    ),
+    "bf": (
+        """bf as (select l.region_id, l.site_id as locker_id, d.site_id as depot_id, l.ord as l_ord, d.ord as d_ord, floor(2 * sqrt((l.x_mm - d.x_mm)::double * (l.x_mm - d.x_mm)::double + (l.y_mm - d.y_mm)::double * (l.y_mm - d.y_mm)::double) + 0.5)::bigint as return_mm
+        from bl l join bd d using (region_id))""",
+        ("bl", "bd"),
+    ),
+    "breq": (
+        """breq as (select region_id, row_number() over (partition by region_id order by max_lockers, max_depots, locker_capacity, outage_tolerance) - 1 as request_id, max_lockers, max_depots, locker_capacity,
+        1000 as depot_capacity, 6000000 as flight_limit_mm, outage_tolerance from (select distinct region_id from bl), (values (2), (4)) a(max_lockers), (values (2), (3)) b(max_depots), (values (450), (800)) c(locker_capacity), (values (0), (1)) d(outage_tolerance))""",
+        ("bl",),
+    ),
+    # subsets of up to four places: mask, size and rank among those of the same size
+    "subs": ("subs as (select m, bit_count(m)::int as k, list_filter([0, 1, 2, 3], lambda i: (m >> i) & 1 = 1) as places from (select unnest(range(16))::int as m))", ()),
+    "lsets": (
+        """lsets as (select n.region_id, m, k, places, list_transform(places, lambda p: list_extract(ids, p + 1)) as members from subs,
+        (select region_id, list(site_id order by ord) as ids, count(*) as n from bl group by 1) n where m < (1 << n::int))""",
+        ("subs", "bl"),
+    ),
+    "dsets": (
+        """dsets as (select n.region_id, m, k, places, list_transform(places, lambda p: list_extract(ids, p + 1)) as members from subs,
+        (select region_id, list(site_id order by ord) as ids, count(*) as n from bd group by 1) n where m < (1 << n::int))""",
+        ("subs", "bd"),
+    ),
+    "lsel": ("lsel as (select r.region_id, r.request_id, row_number() over (partition by r.region_id, r.request_id order by k desc, places) - 1 as ordinal, members, m, k from breq r join lsets s on s.region_id = r.region_id and k <= max_lockers)", ("breq", "lsets")),
+    "dsel_": ("dsel_ as (select r.region_id, r.request_id, row_number() over (partition by r.region_id, r.request_id order by k desc, places) - 1 as ordinal, members, m, k from breq r join dsets s on s.region_id = r.region_id and k <= max_depots)", ("breq", "dsets")),
+    "cm": ("cm as (select c.region_id, c.cell_id, coalesce(bit_or(1 << w.ord), 0)::int as m from bc c left join bw w using (region_id, cell_id) group by 1, 2)", ("bc", "bw")),
+    "lstage": (
+        """lstage as (select s.*, total, case when k = 0 or total > k * locker_capacity then 'locker_capacity'
+        when exists (select 1 from cm where cm.region_id = s.region_id and cm.m & s.m = 0) then 'coverage' when s.m & ~useful <> 0 then 'idle_locker' else 'passes' end as stage
+        from lsel s join breq using (region_id, request_id) join (select region_id, bit_or(m) as useful from cm group by 1) using (region_id) join (select region_id, sum(parcels) as total from bc group by 1) using (region_id))""",
+        ("lsel", "breq", "cm", "bc"),
+    ),
+    "dm": ("dm as (select l.region_id, l.ord as l_ord, coalesce(bit_or(1 << f.d_ord) filter (f.return_mm <= 6000000), 0)::int as dm from bl l left join bf f on f.region_id = l.region_id and f.locker_id = l.site_id group by 1, 2)", ("bl", "bf")),
+    "screened": (
+        """screened as (with x as (select a.region_id, a.request_id, a.ordinal as l_ordinal, a.members as lockers, a.m as lm, b.ordinal as d_ordinal, b.members as depots, b.m as dmask, b.k as dk, a.total, depot_capacity, outage_tolerance,
+          (select list(dm.dm & b.m) from dm where dm.region_id = a.region_id and (a.m >> dm.l_ord) & 1 = 1) as own
+          from lstage a join dsel_ b using (region_id, request_id) join breq using (region_id, request_id) where a.stage = 'passes')
+        select *, case when dk = 0 or total > dk * depot_capacity then 'depot_capacity' when outage_tolerance = 1 and (dk < 2 or total > (dk - 1) * depot_capacity) then 'outage_capacity'
+          when list_contains(own, 0) then 'out_of_range' when outage_tolerance = 1 and len(list_filter(own, lambda o: bit_count(o) < 2)) > 0 then 'second_supplier'
+          when list_bit_or(own) <> dmask then 'idle_depot' else 'passes' end as stage from x)""",
+        ("lstage", "dsel_", "breq", "dm"),
+    ),
 }
 
 
