@@ -399,5 +399,5 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that are linked, directly or not, to one with a smaller id."""
-    gone = jaccard_components(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = jaccard_components(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -135,18 +135,20 @@ class Model:
         return self.languages[best], 1.0 - float(apart[best]) / (self.size * len(own))
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns, lang_pred and score. Only ``text`` is read by the prediction."""
+def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns and, under ``names``, the language and the score; they replace columns of
+    the same names. Only ``text`` is read by the prediction."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # PROFILE codes a language
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double"])
+    keep = [c for c in keep if c.lower() not in {n.lower() for n in names}]
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{names[0]} string", f"{names[1]} double"])
     at = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [shared.value.predict(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(at)], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(at)], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], [*keep, *names])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
 def held_out() -> Column:
@@ -160,4 +162,5 @@ def trained(docs: DataFrame, size: int = PROFILE) -> Model:
 
 def recognised(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without those whose text is in no learned language (``und``)."""
-    return identify(docs, model, docs.columns).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    seen = identify(docs, model, docs.columns, ("__lang_pred", "__score"))
+    return seen.where(F.col("__lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -79,11 +79,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a document appears once for each full
     repeat taken, the last one cut to the words that the budget left. Identifiers are taken
     to be unique; rows that share one take the words of the first."""
-    taken = mix(docs, **options).where("taken > 0").groupBy("doc_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size")).withColumnRenamed("doc_id", "_doc_id")
-    full = (F.col("_taken") / F.col("_size")).cast("long")
-    rest = F.col("_taken") % F.col("_size")
-    lengths = F.concat(F.array_repeat(F.col("_size"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    out = docs.join(taken, docs.doc_id.eqNullSafe(F.col("_doc_id"))).withColumn("_words", F.explode(lengths))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_words").cast("int")), " ")
-    text = F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*docs.columns)
+    taken = mix(docs, **options).where("taken > 0").groupBy("doc_id").agg(F.max("taken").alias("__taken"), F.max("size").alias("__size")).withColumnRenamed("doc_id", "__doc_id")
+    full = F.floor(F.col("__taken") / F.col("__size"))
+    rest = F.col("__taken") % F.col("__size")
+    lengths = F.concat(F.array_repeat(F.col("__size"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__doc_id"))).withColumn("__words", F.explode(lengths))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("__words").cast("int")), " ")
+    text = F.when(F.col("__words") < F.col("__size"), cut).otherwise(F.col("text"))
+    return out.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -110,7 +110,9 @@ def split_by_bytes(docs: DataFrame, hit_rows: DataFrame, digest) -> DataFrame |
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts."""
-    kept = deduplicate(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    # repeated rows share their id, so one of them is taken
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """``docs`` with one row of each group of equal texts. Rows are found again by identifier and
+    digest; of rows that share both, which are copies of each other, one is taken."""
+    kept = deduplicate(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__kept")).distinct()
+    own = docs.withColumn("__digest", sha256(normalised()))
+    same = (F.col("__digest") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
