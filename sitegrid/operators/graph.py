@@ -43,24 +43,21 @@ def bounded_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
     distance, the smallest edge id is kept.
     """
     links = edges.select(KEY, "edge_id", "src", "dst", "length_mm")
-    frontier = staged(
-        origins.where(F.col("budget_mm") >= 0).groupBy(KEY, "origin", "node_id").agg(F.max("budget_mm").alias("budget_mm")).withColumn("dist_mm", F.lit(0).cast("long")),
-        "path-front",
-    )
-    best = frontier
-    while True:
+    key = [KEY, "origin", "node_id"]
+    best = origins.where(F.col("budget_mm") >= 0).groupBy(*key).agg(F.max("budget_mm").alias("budget_mm"))
+    best = staged(best.withColumns({"dist_mm": F.lit(0).cast("long"), "fresh": F.lit(True)}), "path-best")
+    while not best.where("fresh").isEmpty():
+        frontier = best.where("fresh")
         step = (
             frontier.join(links, (frontier[KEY] == links[KEY]) & (frontier["node_id"] == links["src"]))
-            .select(frontier[KEY], "origin", F.col("dst").alias("node_id"), "budget_mm", (F.col("dist_mm") + F.col("length_mm")).alias("dist_mm"))
+            .select(frontier[KEY], "origin", F.col("dst").alias("node_id"), "budget_mm", (F.col("dist_mm") + F.col("length_mm")).alias("dist_mm"), F.lit(True).alias("new"))
             .where(F.col("dist_mm") <= F.col("budget_mm"))
-            .groupBy(KEY, "origin", "node_id")
-            .agg(F.max("budget_mm").alias("budget_mm"), F.min("dist_mm").alias("dist_mm"))
         )
-        known = best.select(KEY, "origin", "node_id", F.col("dist_mm").alias("_known"))
-        frontier = staged(step.join(known, [KEY, "origin", "node_id"], "left").where(F.col("_known").isNull() | (F.col("dist_mm") < F.col("_known"))).drop("_known"), "path-front")
-        if frontier.isEmpty():
-            break
-        best = staged(best.unionByName(frontier).groupBy(KEY, "origin", "node_id").agg(F.max("budget_mm").alias("budget_mm"), F.min("dist_mm").alias("dist_mm")), "path-best")
+        # old and new distances meet in one aggregation; what got strictly shorter goes on
+        both = best.select(*key, "budget_mm", "dist_mm", F.lit(False).alias("new")).unionByName(step)
+        old = F.min(F.when(~F.col("new"), F.col("dist_mm")))
+        least = both.groupBy(*key).agg(F.max("budget_mm").alias("budget_mm"), F.min("dist_mm").alias("dist_mm"), old.alias("old"))
+        best = staged(least.select(*key, "budget_mm", "dist_mm", (F.col("old").isNull() | (F.col("dist_mm") < F.col("old"))).alias("fresh")), "path-best")
     near = best.select(KEY, "origin", F.col("node_id").alias("src"), F.col("dist_mm").alias("_d"))
     into = near.join(links, [KEY, "src"]).select(KEY, "origin", F.col("dst").alias("node_id"), (F.col("_d") + F.col("length_mm")).alias("dist_mm"), "edge_id")
     pred = into.groupBy(KEY, "origin", "node_id", "dist_mm").agg(F.min("edge_id").alias("pred_edge"))

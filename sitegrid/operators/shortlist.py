@@ -75,7 +75,7 @@ def greedy_shortlist(reach: DataFrame, nodes: DataFrame, cells: DataFrame, need:
         close = here.join(spots, [KEY, "_bx", "_by"]).where(F.col("s") < F.col("key")).select(KEY, "node_id")
         won = staged(scores.join(beaten.union(close).distinct(), [KEY, "node_id"], "left_anti"), "greedy-won")
         picks = won.select(KEY, "loss", "worst", "node_id")
-        steps = staged(picks if steps is None else steps.unionByName(picks), "greedy-steps")
+        steps = picks if steps is None else steps.unionByName(picks)
         more = alive.join(picks.select(KEY, "node_id"), [KEY, "node_id"], "left_semi").groupBy(KEY, "cell_id").agg(F.count(F.lit(1)).alias("_more"))
         counts = staged(counts.join(more, [KEY, "cell_id"], "left").select(KEY, "cell_id", (F.col("have") + F.coalesce("_more", F.lit(0))).alias("have")), "greedy-have")
         gone = _too_close(alive.select(KEY, "node_id", "x_mm", "y_mm").distinct(), won, spacing_mm).union(picks.select(KEY, "node_id"))
