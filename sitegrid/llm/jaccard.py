@@ -34,7 +34,7 @@ from .shingles import mixed, shingle_sets
 
 WORDS, PERCENT = 4, 85
 SKETCH_BITS, BLOOM_BITS, CHUNK = 22, 23, 1 << 16
-SHORT_RUN, PIVOTS, BLOCK = 6, 2, 4096
+SHORT_RUN, PIVOTS, BLOCK = 4, 1, 4096
 _U = np.uint64
 
 
@@ -47,8 +47,14 @@ def need(total, percent: int):
 
 
 def _merge(parts: DataFrame, kind: str) -> np.ndarray:
-    """Add (or, for bits, unite) the chunks that tasks emitted; the result has a fixed size."""
-    sent, kept = (np.uint8, np.int64) if kind == "sum" else (np.uint32, np.uint32)
+    """Unite the chunks of bits that tasks emitted, or add their counters and take the logarithm
+    of the sums, a byte each; the result has a fixed size."""
+    sent = np.uint8 if kind == "sum" else np.uint32
+
+    def out(at: int, held: np.ndarray) -> pa.RecordBatch:
+        if kind == "sum":
+            held = np.minimum(255, np.round(8 * np.log2(1.0 + held))).astype(np.uint8)
+        return pa.RecordBatch.from_pydict({"chunk": [at], "body": [held.tobytes()]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, None
@@ -57,24 +63,24 @@ def _merge(parts: DataFrame, kind: str) -> np.ndarray:
             x = np.frombuffer(b, sent)
             if i != at:
                 if at is not None:
-                    yield pa.RecordBatch.from_pydict({"chunk": [at], "body": [held.tobytes()]})
-                at, held = i, x.astype(kept)
+                    yield out(at, held)
+                at, held = i, x.astype(np.int64 if kind == "sum" else np.uint32)
             elif kind == "sum":
                 held += x
             else:
                 held |= x
         if at is not None:
-            yield pa.RecordBatch.from_pydict({"chunk": [at], "body": [held.tobytes()]})
+            yield out(at, held)
 
     rows = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk bigint, body binary").collect()
-    return {r.chunk: np.frombuffer(bytes(r.body), kept) for r in rows}
+    return {r.chunk: np.frombuffer(bytes(r.body), sent) for r in rows}
 
 
 def _levels(parts: DataFrame, bits: int) -> np.ndarray:
     """The frequency level of every counter: one byte each, 2**bits in all."""
     out = np.zeros(1 << bits, np.uint8)
     for i, x in _merge(parts, "sum").items():
-        out[i * CHUNK : (i + 1) * CHUNK] = np.minimum(255, np.round(8 * np.log2(1.0 + x))).astype(np.uint8)
+        out[i * CHUNK : (i + 1) * CHUNK] = x
     return out
 
 
@@ -154,7 +160,18 @@ def prefixes(docs: DataFrame, levels, words: int, percent: int, bits: int) -> Da
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "token bigint, doc bigint, at bigint")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, levels, words: int, bits: int) -> DataFrame:
+def _packed(hashes: np.ndarray) -> bytes:
+    """A sorted set as 56-bit hashes: those that tell tokens apart, seven bytes each."""
+    return (hashes >> _U(8)).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _unpacked(body: pa.Buffer) -> np.ndarray:
+    out = np.zeros((len(body) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(body, np.uint8).reshape(-1, 7)
+    return out.view(np.uint64).ravel()
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(doc, tokens) of the ``wanted(doc)`` documents.
 
     A Bloom filter of fixed size travels to the texts instead of the texts to a join; what it
@@ -181,7 +198,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, levels, words: int, bits: int) -
                 continue
             column = pa.concat_arrays([batch.column(1)])
             for i, hashes, bounds in shingle_sets(column, words):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(bounds) - 1), pa.array([t.tobytes() for t in _tokens(hashes, bounds, levels.value, bits)], pa.binary())], ["doc", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(bounds) - 1), pa.array([_packed(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["doc", "tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(run, "doc bigint, tokens binary")
 
@@ -348,7 +365,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             left, right = batch.column(2), batch.column(3)
             keep = []
             for k in range(batch.num_rows):
-                a, b = np.frombuffer(left[k].as_buffer(), np.uint64), np.frombuffer(right[k].as_buffer(), np.uint64)
+                a, b = _unpacked(left[k].as_buffer()), _unpacked(right[k].as_buffer())
                 if len(a) < len(b):
                     a, b = b, a
                 least = need(len(a) + len(b), percent)
@@ -377,7 +394,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     found = written(candidates(prefixes(docs, levels, words, percent, bits), percent), "jac-found")
     pairs = written(found.where("token is null").select("x", "y").distinct(), "jac-pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
-    sets = written(sets_of(docs, wanted, levels, words, bits), "jac-sets")
+    sets = written(sets_of(docs, wanted, words), "jac-sets")
     links = written(verified(pairs, sets, percent).union(equal), "jac-links")
     components = written(connected_components(links, "jac-cc"), "jac-cc")
 
@@ -389,7 +406,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         more = written(unresolved(named.join(mixed_runs, "token", "left_semi"), low, percent).distinct(), "jac-more")
         if not more.isEmpty():
             wanted = more.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
-            extra = written(sets_of(docs, wanted, levels, words, bits), "jac-sets")
+            extra = written(sets_of(docs, wanted, words), "jac-sets")
             links = written(links.union(verified(more, extra, percent)), "jac-links")
             components = written(connected_components(links, "jac-cc"), "jac-cc")
         low += BLOCK
