@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,10 +78,6 @@ def exact_assignment_space(counts: DataFrame) -> dict:
     return out
 
 
-def log10_of(n: int) -> float:
-    return math.log10(n) if n else float("-inf")
-
-
 def coverage_masks(walks: DataFrame, cells: DataFrame) -> DataFrame:
     """(region_id, locker_id, word, mask): bit i of word w stands for the region's cell 63 w + i."""
     order = Window.partitionBy(KEY).orderBy("cell_id")

@@ -69,9 +69,9 @@ def a5(spark, d):
     sql(
         "loads supplies sloads requests",
         """select plan_id, 'locker' as kind, null::bigint as outage_depot, l.locker_id as site_id, s.depot_id as supplier, l.load, case when locker_capacity > 0 then l.load / locker_capacity end as share
-        from loads l left join supplies s using (plan_id, locker_id) join requests using (plan_id) where s.plan_id is null or (s.good and s.outage_depot is null) or not exists (select 1 from supplies t where t.plan_id = l.plan_id and t.locker_id = l.locker_id and t.good and t.outage_depot is null)
+        from loads l left join (select * from supplies where good and outage_depot is null) s using (plan_id, locker_id) join requests using (plan_id)
         union all select plan_id, 'depot', outage_depot, depot_id, null, load, case when depot_capacity > 0 then load / depot_capacity end from sloads join requests using (plan_id)""",
-    ).replace("from loads l left join supplies s using (plan_id, locker_id) join requests using (plan_id) where s.plan_id is null or (s.good and s.outage_depot is null) or not exists (select 1 from supplies t where t.plan_id = l.plan_id and t.locker_id = l.locker_id and t.good and t.outage_depot is null)", "from loads l left join (select * from supplies where good and outage_depot is null) s using (plan_id, locker_id) join requests using (plan_id)"),
+    ),
 )
 def a13(spark, d):
     a = Plans(spark, d).audit()
