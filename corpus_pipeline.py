@@ -12,6 +12,9 @@ from sitegrid.llm import bpe, jaccard, langid, mixing, streamdedup
 from sitegrid.llm.common import table, written
 from sitegrid.llm.queries import TOKENIZER
 
+#: Near copies of the pipeline; op8's contract has its own, stricter values.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no learned language (no letter at all) go."""
@@ -24,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by word shingles, the one with the smallest doc_id stays."""
-    return jaccard.one_of_each(docs)
+    """Of documents linked by five-word shingles, the one with the smallest doc_id stays."""
+    return jaccard.one_of_each(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

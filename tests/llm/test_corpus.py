@@ -337,3 +337,21 @@ def test_pipeline(spark, docs, none, tmp_path):
     comp = brute_components(left)
     ids = {i for i, _ in left if i is None or comp[i][1] == i}
     assert {r.doc_id for r in out} <= ids and {r.doc_id for r in kept.collect()} == {r.doc_id for r in out}
+
+
+def test_pipeline_near_copies_between_the_thresholds(spark, none):
+    """Scattered changes: five-word sets over 0.8, four-word sets under op8's 0.85."""
+    import corpus_pipeline as p
+
+    base = [f"p{i}" for i in range(460)]
+    changed = lambda n: " ".join(f"q{i}" if i % 40 == 20 and i < 40 * n else w for i, w in enumerate(base))
+    other = " ".join(f"r{i}" for i in range(460))
+    texts = [" ".join(base), changed(10), changed(11), other]
+    j = lambda a, b, k: len(shingles(a, k) & shingles(b, k)) / len(shingles(a, k) | shingles(b, k))
+    assert j(texts[0], texts[1], 5) >= 0.8 and j(texts[0], texts[1], 4) < 0.85
+    assert j(texts[0], texts[2], 5) < 0.8
+    make = lambda *at: spark.createDataFrame([(i, texts[i], "en", "a", None, "clash", 1) for i in at], DOCS)
+    kept = lambda *at: {r.doc_id for r in p.near_dedup(spark, make(*at), "").collect()}
+    assert kept(0, 1, 3) == {0, 3}
+    assert kept(0, 2, 3) == {0, 2, 3}
+    assert {r.component_id for r in jaccard.jaccard_components(make(0, 1, 3)).collect()} == {0, 1, 3}
