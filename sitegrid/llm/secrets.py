@@ -6,10 +6,10 @@ that complete them lie in the same scope: an identifier and a key within SCOPE c
 or an endpoint with either of both.
 
 Regular-expression positions come from the lengths of the texts between matches. Weak parts are
-few; they are exploded with the strong ones of their document and interval-joined on scope
-cells, so two parts meet only if their cells touch. A cell holds at most SCOPE divided by a
-part's least length parts of a kind, so no cell, however long its document, makes more than a
-bounded number of pairs.
+few; they are exploded with the strong ones of their document and interval-joined on the scope
+cells of their starts and ends, so the gap between two parts counts and not their lengths. At
+most SCOPE divided by a part's least length parts of a kind start or end in a cell, so no cell,
+however long its document, makes more than a bounded number of pairs.
 
 Defined results: a null text is empty; documents without spans have zero counts, empty
 ``spans`` and the digest of the empty string; rows that repeat give the same result each; an
@@ -75,12 +75,20 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(row, confirmed): the weak spans that a complementary part completes."""
     some = found.where(F.size("weak") > 0)
     part = F.create_map(*[F.lit(x) for kv in PART.items() for x in kv])
-    parts = some.select("row", F.explode(F.concat("base", "weak")).alias("s")).select("row", "s", part[F.col("s.kind")].alias("part"), F.floor(F.col("s.start") / scope).alias("cell"))
-    near = parts.select(F.col("row").alias("_row"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("_cell"), F.col("part").alias("_part"), F.col("s.start").alias("_start"), F.col("s.end").alias("_end"))
-    weak = parts.where(F.col("s.no") >= len(BASE))
+    parts = some.select("row", F.explode(F.concat("base", "weak")).alias("s")).select("row", "s", part[F.col("s.kind")].alias("part"))
+    cell = lambda at: F.floor(at / scope).cast("int")
+    at = lambda edge, at: F.struct(F.lit(edge).alias("edge"), at.alias("cell"))
+    # parts that do not overlap lie within scope if one's start is near the other's end, however
+    # long they are: parts stand in the cells of their edges, a weak part looks beyond its own
+    near = parts.select(
+        F.col("row").alias("_row"), F.explode(F.array(at("start", cell(F.col("s.start"))), at("end", cell(F.col("s.end"))))).alias("_at"), F.col("part").alias("_part"), F.col("s.start").alias("_start"), F.col("s.end").alias("_end")
+    )
+    first, last = cell(F.col("s.start")), cell(F.col("s.end"))
+    looks = F.array(at("start", last), at("start", last + 1), at("end", first - 1), at("end", first))
+    weak = parts.where(F.col("s.no") >= len(BASE)).withColumn("at", F.explode(looks))
     met = weak.join(
         near,
-        (F.col("row") == F.col("_row")) & (F.col("cell") == F.col("_cell")) & (F.col("part") != F.col("_part"))
+        (F.col("row") == F.col("_row")) & (F.col("at.edge") == F.col("_at.edge")) & (F.col("at.cell") == F.col("_at.cell")) & (F.col("part") != F.col("_part"))
         & (F.col("_start") < F.col("s.end") + scope) & (F.col("_end") > F.col("s.start") - scope)
         & ((F.col("_start") >= F.col("s.end")) | (F.col("_end") <= F.col("s.start"))),
     )

@@ -301,6 +301,29 @@ def test_secrets(spark):
     assert secrets.report(secrets.find_secrets(df.limit(0))).count() == 0
 
 
+def test_linked_is_the_interval_join(spark):
+    rng = np.random.default_rng(8)
+    weak_key, short_id = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY1", "AKIA12345678ABC"
+    texts = ["." * 504 + "token=" + "a1" * 50 + "." * 500 + short_id, short_id + " " * 511 + weak_key, short_id + " " * 512 + weak_key]
+    for n in (100, 600, 1500):
+        texts += [" " * shift + "secret=" + "aB3" * (n // 3) + " " * gap + short_id + " " * 600 + weak_key for shift in (0, 300, 511) for gap in (1, 500, 511, 512, 513)]
+        texts += [" " * shift + short_id + " " * gap + "https://" + "h" * 100 + " " * gap + "secret=" + "aB3" * (n // 3) for shift in (5, 509) for gap in (3, 490, 520)]
+    for _ in range(30):
+        bits = rng.choice([weak_key, short_id, "secret=" + "x" * 700, "f0" * 300, "redis://cache"], 6)
+        texts.append("".join(" " * int(rng.integers(1, 700)) + b for b in bits))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.scan(df)
+    spans = lambda rows: {tuple(s) for s in rows or []}
+    want = {}
+    for r in found.collect():
+        both = spans(r.base) | spans(r.weak)
+        fits = lambda a, b: secrets.PART[a[2]] != secrets.PART[b[2]] and (0 <= b[0] - a[3] < 512 or 0 <= a[0] - b[3] < 512)
+        want[r.doc_id] = {a for a in spans(r.weak) if any(fits(a, b) for b in both)}
+    got = {r.doc_id: spans(r.confirmed) for r in secrets.find_secrets(df).collect()}
+    assert got == want
+    assert [len(want[i]) for i in range(3)] == [1, 2, 0]
+
+
 def test_quality(spark, docs, none):
     good, bad = "Some plain prose, as people write it. ", "A%%% b### c$$$ D&&& e*** "
     table = [(i, (good if i % 2 else bad) * (i + 1), "en", f"s{i % 4}", None, "", 1) for i in range(60)] + [(100, None, None, None, None, "", 1)]
