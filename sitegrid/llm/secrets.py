@@ -1,7 +1,8 @@
 """Secret scanning with multipart credential linking. DataFrame functions only.
 
-Base kinds (assign, access, hex) are strong on their own. Weak kinds are not: a short access
-identifier, a bare key of 20 to 40 characters, an endpoint. They are reported only when parts
+Base kinds (assign, access, hex) are strong on their own. Weak kinds are not: a short or
+temporary access identifier, a bare key of 20 characters or more, an endpoint of any length.
+They are reported only when parts
 that complete them lie in the same scope: an identifier and a key within SCOPE code points,
 or an endpoint with either of both.
 
@@ -32,9 +33,11 @@ BASE = (
 )
 #: Weak kinds, the part of a credential that each is, and its pattern.
 WEAK = (
-    ("weak_access", r"\b(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{8,13}\b"),
-    ("weak_secret", r"\b(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{20,40}\b"),
-    ("endpoint", r"\b(?:https?|s3|jdbc|amqp|mongodb|postgres|redis)://[^\x20\x09-\x0D\"'<>]{4,200}"),
+    # AKIA of the base length is the base kind's
+    ("weak_access", r"\b(?:AKIA[A-Z0-9]{8,13}|(?:ASIA|AIDA|AROA)[A-Z0-9]{8,})\b"),
+    # a digit and a capital; a run that is an identifier as a whole is no key
+    ("weak_secret", r"\b(?!(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{8,}(?![A-Za-z0-9+/]))(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{20,}\b"),
+    ("endpoint", r"\b(?:https?|s3|jdbc|amqp|mongodb|postgres|redis)://[^\x20\x09-\x0D\"'<>]{4,}"),
 )
 PART = {"assign": "secret", "hex": "secret", "weak_secret": "secret", "access": "access", "weak_access": "access", "endpoint": "endpoint"}
 KINDS = [k for k, *_ in BASE] + [k for k, _ in WEAK]
