@@ -157,7 +157,7 @@ def e13(spark, d):
 def e14(spark, d):
     b = Blocks(spark, d)
     results, _ = b.sweep()
-    stuck = b.requests().join(results.where("status = 'unsat'"), whatif.REQ, "left_semi").where("max_lockers = 2 and locker_capacity = 450")
+    stuck = b.requests().join(results.where("status = 'unsat'"), whatif.REQ, "left_semi")
     return whatif.blocking_rules(*b.world(), stuck)
 
 

@@ -255,3 +255,30 @@ def test_range_join_equals_matrix_with_filter(spark, sf_dir):
         a = spatial.pairs_within(c.lockers(), c.depots(), limit)
         b = spatial.pair_matrix(c.lockers(), c.depots()).where(F.col("return_mm") <= limit)
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_blocking_rules_of_every_unsat_request(spark):
+    """Some rules relax a request to another point of the grid, whose status says what they must."""
+    from sitegrid.bindings import Blocks
+    from sitegrid.queries_whatif import e14
+
+    d = "/root/testdata/sf0.01"
+    b = Blocks(spark, d)
+    results, _ = b.sweep()
+    status = {(r.region_id, r.request_id): r.status for r in results.collect()}
+    axes = list(b.AXES)
+    grid = {(r.region_id, *(r[a] for a in axes)): r.request_id for r in b.requests().collect()}
+    n = {r.region_id: r["count"] for r in b.lockers().groupBy("region_id").count().collect()}
+    got = {tuple(r) for r in e14(spark, d).collect()}
+    wide = 0
+    for (region, *point), request in grid.items():
+        if status[region, request] != "unsat":
+            assert not any(g[:2] == (region, request) for g in got)
+            continue
+        for rule, axis, value in (("locker_budget", 0, 4), ("depot_budget", 1, 3), ("depot_outage", 3, 0)):
+            there = [value if i == axis else x for i, x in enumerate(point)]
+            if n[region] == 4:
+                want = status[region, grid[region, *there]] == "feasible"
+                assert ((region, request, rule) in got) == want, (region, point, rule)
+                wide += want and not (point[0] == 2 and point[2] == 450)
+    assert wide > 0
