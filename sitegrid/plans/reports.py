@@ -70,12 +70,12 @@ def witnesses(cells, lockers, depots, walks, flights, k: int, limit_mm: int, bud
     robust = sets.select("region_id", "ordinal", F.explode("depots").alias("depot_id")).join(near, ["region_id", "depot_id"]).groupBy("region_id", "ordinal", "locker_id").count().where("count >= 2").drop("count")
     order = Window.partitionBy("region_id").orderBy("cell_id")
     numbered = cells.select("region_id", "cell_id").withColumn("ord", F.row_number().over(order) - 1)
-    masks = coverage_masks(walks, cells).where("word = 0").select("region_id", "locker_id", "mask")
+    masks = coverage_masks(walks, cells)
     # every depot set is a region of its own to the cover search
     as_region = F.concat_ws("|", F.col("region_id").cast("string"), F.col("ordinal").cast("string"))
     own = sets.select("region_id", "ordinal").withColumn("_k", as_region)
     cover = cover_within(
-        robust.join(masks, ["region_id", "locker_id"]).select(as_region.alias("region_id"), F.col("locker_id").alias("site_id"), "mask"),
+        robust.join(masks, ["region_id", "locker_id"]).select(as_region.alias("region_id"), F.col("locker_id").alias("site_id"), "word", "mask"),
         own.join(numbered, "region_id").select(F.col("_k").alias("region_id"), "ord"),
         budget,
     )

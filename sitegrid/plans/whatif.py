@@ -16,6 +16,8 @@ from ..functions.staging import staged
 
 REQ = ["region_id", "request_id"]
 CHUNK = 10_000
+#: Cells in a word of a coverage mask.
+WORD = 63
 LONG = "bigint"
 
 
@@ -199,18 +201,24 @@ def best_coverage(audit: DataFrame) -> DataFrame:
 def cover_within(masks: DataFrame, cells: DataFrame, budget: int) -> DataFrame:
     """(region_id, witness): a set of at most ``budget`` sites that covers every cell, or null.
 
-    ``masks(region_id, site_id, mask)`` over cells numbered by ``cells(region_id, ord)``. A
-    state is the set of cells covered; of the ways to reach it the least is kept. Each round
+    ``masks(region_id, site_id, word, mask)`` over cells numbered by ``cells(region_id, ord)``:
+    bit i of word w is cell 63 w + i, for any number of words. A state is the set of cells
+    covered, an array of words; of the ways to reach it the least is kept. Each round
     branches on the uncovered cell with the fewest useful sites, so there are at most
     ``budget`` rounds.
     """
-    bits = cells.select("region_id", _bit(F.col("ord")).alias("b"))
-    useful = masks.join(bits, "region_id").where(_and(F.col("mask"), F.col("b")) != 0).select("region_id", "b", "site_id", "mask")
-    degree = bits.join(useful.groupBy("region_id", "b").count(), ["region_id", "b"], "left").na.fill(0, ["count"])
-    order = degree.groupBy("region_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("count", "b"))), lambda s: s["b"]).alias("cells"), F.bit_or("b").alias("all"))
-    useful = staged(useful, "cover-useful")
-    order = staged(order, "cover-order")
-    state = order.select("region_id", F.lit(0).cast("long").alias("covered"), F.array().cast("array<bigint>").alias("path"))
+    bits = cells.select("region_id", F.floor(F.col("ord") / WORD).cast("int").alias("word"), _bit(F.col("ord") % WORD).alias("b"))
+    masks = masks.withColumn("word", F.col("word").cast("int"))
+    useful = masks.join(bits, ["region_id", "word"]).where(_and(F.col("mask"), F.col("b")) != 0).select("region_id", "word", "b", "site_id").distinct()
+    degree = bits.join(useful.groupBy("region_id", "word", "b").count(), ["region_id", "word", "b"], "left").na.fill(0, ["count"])
+    none = F.lit(0).cast("long")
+    # the words of a list of (word, bits), in order and without gaps
+    words = lambda of: F.transform(F.sequence(F.lit(0), F.col("words") - 1), lambda w: F.aggregate(F.filter(of, lambda s: s["word"] == w), none, lambda acc, s: acc.bitwiseOR(s["b"])))
+    order = degree.groupBy("region_id").agg(F.sort_array(F.collect_list(F.struct("count", "word", "b"))).alias("cells"), (F.max("word") + 1).alias("words"))
+    order = staged(order.withColumn("all", words(F.col("cells"))), "cover-order")
+    sites = masks.groupBy("region_id", "site_id").agg(F.collect_list(F.struct("word", F.col("mask").alias("b"))).alias("m")).join(order.select("region_id", "words"), "region_id")
+    useful = staged(useful.join(sites.select("region_id", "site_id", words(F.col("m")).alias("mask")), ["region_id", "site_id"]), "cover-useful")
+    state = order.select("region_id", F.array_repeat(none, F.col("words")).alias("covered"), F.array().cast("array<bigint>").alias("path"))
     found = None
     for level in range(budget + 1):
         now = staged(state.join(order, "region_id"), "cover-state")
@@ -218,8 +226,10 @@ def cover_within(masks: DataFrame, cells: DataFrame, budget: int) -> DataFrame:
         found = staged(done if found is None else found.unionByName(done.join(found, "region_id", "left_anti")), "cover-found")
         if level == budget:
             break
-        going = now.join(found, "region_id", "left_anti").withColumn("b", F.get(F.filter("cells", lambda b: _and(b, F.col("covered")) == 0), F.lit(0)))
-        state = going.join(useful, ["region_id", "b"]).select("region_id", F.col("covered").bitwiseOR(F.col("mask")).alias("covered"), F.concat("path", F.array("site_id")).alias("path"))
+        going = now.join(found, "region_id", "left_anti").withColumn("c", F.get(F.filter("cells", lambda c: _and(F.get("covered", c["word"]), c["b"]) == 0), F.lit(0)))
+        going = going.select("region_id", "covered", "path", "c.word", "c.b")
+        both = F.zip_with("covered", "mask", lambda x, y: x.bitwiseOR(y))
+        state = going.join(useful, ["region_id", "word", "b"]).select("region_id", both.alias("covered"), F.concat("path", F.array("site_id")).alias("path"))
         state = state.groupBy("region_id", "covered").agg(F.min("path").alias("path"))
     return order.select("region_id").join(found, "region_id", "left")
 

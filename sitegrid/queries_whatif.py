@@ -68,7 +68,7 @@ def e6(spark, d):
     b = Blocks(spark, d)
     cells, lockers, _, walks, _ = b.world()
     numbered = cells.select(KEY, (F.row_number().over(Window.partitionBy(KEY).orderBy("cell_id")) - 1).alias("ord"))
-    masks = coverage_masks(walks, cells).select(KEY, F.col("locker_id").alias("site_id"), "mask")
+    masks = coverage_masks(walks, cells).select(KEY, F.col("locker_id").alias("site_id"), "word", "mask")
     # the search goes level by level, so a witness is as small as any cover
     return whatif.cover_within(masks, numbered, 3).select(KEY, F.col("witness").isNotNull().alias("covered"), F.when(F.col("witness").isNotNull(), F.size("witness")).alias("sites"))
 

@@ -282,3 +282,35 @@ def test_blocking_rules_of_every_unsat_request(spark):
                 assert ((region, request, rule) in got) == want, (region, point, rule)
                 wide += want and not (point[0] == 2 and point[2] == 450)
     assert wide > 0
+
+
+def test_covers_of_more_cells_than_a_word(spark):
+    rng = random.Random(7)
+    cells, walks, reach = [], [], {}
+    for region, n in enumerate((5, 63, 64, 70, 130, 200)):
+        cells += [(region, c) for c in range(n)]
+        for site in range(7):
+            reach[region, site] = {c for c in range(n) if rng.random() < 0.55 or c % 7 == site}
+        if region == 3:  # the last cell is out of everyone's reach
+            for site in range(7):
+                reach[region, site].discard(n - 1)
+        if region in (2, 4):  # two sites share the cells
+            reach[region, 2], reach[region, 5] = set(range(0, n, 2)), set(range(1, n, 2))
+        walks += [(region, site, c) for (r, site), cs in reach.items() if r == region for c in cs]
+    sites = [(region, site, site) for region in range(6) for site in range(4)]
+    make = spark.createDataFrame
+    cells, walks = make(cells, "region_id long, cell_id long"), make(walks, "region_id long, locker_id long, cell_id long")
+    flights = make([(region, l, d, 10) for region in range(6) for l in range(7) for d in range(4) if (l + d) % 4 or l == 5], "region_id long, locker_id long, depot_id long, return_mm long")
+    n = {r.region_id: r["count"] for r in cells.groupBy("region_id").count().collect()}
+    depots = make(sites, "region_id long, site_id long, ord int")
+    seen = set()
+    for budget in (2, 3, 5):
+        got = reports.witnesses(cells, depots, depots, walks, flights, 4, 100, budget).collect()
+        assert len(got) == 6
+        for r in got:
+            covers = [s for k in range(budget + 1) for s in itertools.combinations(range(7), k) if set().union(*(reach[r.region_id, x] for x in s)) == set(range(n[r.region_id]))]
+            assert (r.witness is not None) == bool(covers), (r.region_id, budget)
+            if covers:
+                assert tuple(sorted(r.witness)) in covers and len(r.witness) == len(covers[0])
+            seen.add((n[r.region_id] > 63, bool(covers)))
+    assert seen >= {(True, True), (True, False)}
