@@ -130,6 +130,29 @@ def y1(spark, d):
 SQL["y1_verify_stream"] = SQL["v3_verify_plans"]
 
 
+#: Slices of time in which events arrive.
+SLICES = 4
+
+
+def _arrivals(events, tail, source):
+    """Write the events' slices of time into ``source``, then ``tail``; after each, the caller takes
+    what is new as a batch that goes on from the state of those before.
+
+    Every slice is written by parallel tasks, range-partitioned by time. Batches follow the
+    slices and not the files' times, so no row comes after a watermark that has passed it.
+    """
+    spark = events.sparkSession
+    at, files = F.unix_micros("ts"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted({int(x) for x in events.select(at.cast("double").alias("at")).approxQuantile("at", [i / SLICES for i in range(1, SLICES)], 0.01)})
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        rows = events if high is None else events.where((at < high) | (at.isNull() if low is None else F.lit(False)))
+        rows = rows if low is None else rows.where(at >= low)
+        rows.repartitionByRange(files, "ts").write.mode("append").parquet(source)
+        yield
+    tail.write.mode("append").parquet(source)
+    yield
+
+
 @query(
     "y2_request_outcomes",
     """with q as (select * from events where event_type = 'view'), r as (select * from events where event_type = 'purchase'),
@@ -138,17 +161,18 @@ SQL["y1_verify_stream"] = SQL["v3_verify_plans"]
 )
 def y2(spark, d):
     e = City(spark, d).table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    source, sink = _fresh(spark, "y2-in"), _fresh(spark, "y2-out")
-    e.coalesce(1).write.parquet(source)
+    # the events have no limit of their own: each request's is the hour of the SQL
+    limit = 3_600_000 - streams.GRACE_MS
+    source, sink, check = _fresh(spark, "y2-in"), _fresh(spark, "y2-out"), _fresh(spark, "y2-check")
     # a trailing pair of another key, in a later batch, lets the watermark pass the last request
     last = e.agg(F.max("ts").alias("ts"))
     tail = last.select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("interval 30 days")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.explode(F.array(F.lit("view"), F.lit("purchase"))).alias("event_type"))
-    tail.coalesce(1).write.mode("append").parquet(source)
-    arriving = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    asked = arriving.where("event_type = 'view'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("request_id"))
-    given = arriving.where("event_type = 'purchase'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("result_id"), F.lit("feasible").alias("status"))
-    joined = streams.request_outcomes(asked, given)
-    joined.writeStream.format("parquet").option("path", sink).option("checkpointLocation", _fresh(spark, "y2-check")).trigger(availableNow=True).start().awaitTermination()
+    for _ in _arrivals(staged(e, "y2-all"), tail, source):
+        arriving = spark.readStream.schema(e.schema).parquet(source)
+        asked = arriving.where("event_type = 'view'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("request_id"), F.lit(limit).alias("timeout_ms"))
+        given = arriving.where("event_type = 'purchase'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("result_id"), F.lit("feasible").alias("status"))
+        joined = streams.request_outcomes(asked, given, limit)
+        joined.writeStream.format("parquet").option("path", sink).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return streams.first_outcomes(spark.read.parquet(sink).where("key >= 0")).drop("key")
 
 
@@ -172,16 +196,14 @@ def y3_batch(spark, d):
 @query("y3_request_lifecycle")
 def y3(spark, d):
     e = staged(messages(spark, d), "y3-in")
-    source, sink = _fresh(spark, "y3-src"), _fresh(spark, "y3-out")
-    e.coalesce(1).write.parquet(source)
+    source, sink, check = _fresh(spark, "y3-src"), _fresh(spark, "y3-out"), _fresh(spark, "y3-check")
     tail = e.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select(F.lit(-1).cast("long").alias("client_id"), "ts", F.lit(-1).cast("long").alias("event_id"), F.lit(0).cast("long").alias("generation"), F.lit(0).cast("long").alias("request_id"), F.lit("progress").alias("type"), F.lit(0).cast("long").alias("timeout_ms"))
-    tail.coalesce(1).write.mode("append").parquet(source)
     session = spark.newSession()
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     session.conf.set("spark.sql.session.timeZone", "UTC")
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
-    arriving = session.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    out = streams.request_lifecycle(arriving)
-    out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", _fresh(spark, "y3-check")).trigger(availableNow=True).start().awaitTermination()
+    for _ in _arrivals(e, tail, source):
+        out = streams.request_lifecycle(session.readStream.schema(e.schema).parquet(source))
+        out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(sink).where("client_id >= 0")

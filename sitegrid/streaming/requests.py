@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..plans.verify import MOST_TIMEOUT
+
 #: Watchdogs.
 GRACE_MS, START_MS = 5_000, 60_000
 TRANSITIONS = "client_id bigint, ts timestamp, generation bigint, request_id bigint, transition string"
@@ -28,16 +30,21 @@ def verify_stream(requests: DataFrame, verify: Callable[[DataFrame], DataFrame],
     return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def request_outcomes(requests: DataFrame, results: DataFrame, within: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    """Streams (key, ts, request_id) and (key, ts, result_id, status) -> every request with each
-    result that came within the time, or one row without a result once the watermark passes.
+def request_outcomes(requests: DataFrame, results: DataFrame, most_ms: int = MOST_TIMEOUT, lateness: str = "10 minutes") -> DataFrame:
+    """Streams (key, ts, request_id, timeout_ms) and (key, ts, result_id, status) -> every request
+    with each result that came within its own timeout_ms + GRACE_MS, or one row without a result
+    once the watermark passes.
 
-    Late results fall outside the interval; the watermarks bound the state.
+    Late results fall outside the interval; the watermarks and ``most_ms``, which no timeout_ms
+    may exceed (it raises), bound the state.
     """
-    left = requests.withWatermark("ts", lateness)
+    known = F.when(F.col("timeout_ms") > most_ms, F.raise_error(F.lit(f"a request's timeout_ms exceeds {most_ms}"))).otherwise(F.col("timeout_ms"))
+    left = requests.withColumn("_limit", known.cast("long") + GRACE_MS).withWatermark("ts", lateness)
     right = results.select(F.col("key").alias("_key"), F.col("ts").alias("_ts"), "result_id", "status").withWatermark("_ts", lateness)
-    when = (F.col("key") == F.col("_key")) & (F.col("_ts") >= F.col("ts")) & (F.col("_ts") <= F.col("ts") + F.expr(f"interval {within}"))
-    return left.join(right, when, "leftOuter").select("key", "request_id", "ts", "result_id", F.col("_ts").alias("result_ts"), "status")
+    # the first bound is a constant, from which the state's watermark follows
+    when = (F.col("key") == F.col("_key")) & (F.col("_ts") >= F.col("ts")) & (F.col("_ts") <= F.col("ts") + F.expr(f"interval {most_ms + GRACE_MS} milliseconds"))
+    own = F.unix_micros("_ts") - F.unix_micros("ts") <= F.col("_limit") * 1000
+    return left.join(right, when & own, "leftOuter").select("key", "request_id", "ts", "result_id", F.col("_ts").alias("result_ts"), "status")
 
 
 def first_outcomes(joined: DataFrame) -> DataFrame:

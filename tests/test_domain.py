@@ -314,3 +314,52 @@ def test_covers_of_more_cells_than_a_word(spark):
                 assert tuple(sorted(r.witness)) in covers and len(r.witness) == len(covers[0])
             seen.add((n[r.region_id] > 63, bool(covers)))
     assert seen >= {(True, True), (True, False)}
+
+
+def test_outcomes_within_each_requests_own_limit(spark, tmp_path):
+    from sitegrid.streaming import requests as streams
+
+    sec = lambda s: F.timestamp_seconds(F.lit(1_700_000_000) + s)
+    # limits of 1 and 30 s, results just within and just beyond the limit and five seconds
+    rows = [(1, 0.0, "q", 1000), (1, 6.0, "r", 0), (2, 0.0, "q", 1000), (2, 6.001, "r", 0), (3, 0.0, "q", 30_000), (3, 34.0, "r", 0), (4, 0.0, "q", 30_000), (4, 35.001, "r", 0), (5, 0.0, "q", 20_000), (6, 3.0, "q", 9000), (6, 2.0, "r", 0)]
+    late = [(7, 4000.0, "q", 30_000), (7, 4001.0, "r", 0)]
+    tail = [(-1, 1e6, "q", 1), (-1, 1e6, "r", 0)]
+    schema = "key long, s double, kind string, timeout_ms int"
+    source, sink, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    make = lambda rows: spark.createDataFrame(rows, schema).select("key", sec(F.col("s")).alias("ts"), "kind", "timeout_ms")
+    make(rows).write.parquet(source)
+    arriving = spark.readStream.schema(make(rows).schema).parquet(source)
+    asked = arriving.where("kind = 'q'").select("key", "ts", F.col("key").alias("request_id"), "timeout_ms")
+    given = arriving.where("kind = 'r'").select("key", "ts", F.col("key").alias("result_id"), F.lit("feasible").alias("status"))
+    left = []
+    for more in (late, tail, []):
+        run = streams.request_outcomes(asked, given).writeStream.format("parquet").option("path", sink).option("checkpointLocation", check).trigger(availableNow=True).start()
+        run.awaitTermination()
+        left.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+        if more:
+            make(more).write.mode("append").parquet(source)
+    got = {r.request_id: r.outcome for r in streams.first_outcomes(spark.read.parquet(sink).where("key > 0")).collect()}
+    assert got == {1: "feasible", 2: "timeout", 3: "feasible", 4: "timeout", 5: "timeout", 6: "timeout", 7: "feasible"}
+    assert left[2] <= 2  # what the watermark passed is gone
+    make([(8, 2e6, "q", 30_001)]).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="exceeds"):
+        streams.request_outcomes(asked, given).writeStream.format("parquet").option("path", sink).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_events_arrive_in_slices_of_time(spark, sf_dir, tmp_path):
+    from sitegrid.queries_io import SLICES, _arrivals, messages
+
+    e, source, seen = messages(spark, sf_dir), str(tmp_path / "in"), []
+    tail = e.limit(1)
+    last, files = None, set()
+    for _ in _arrivals(e, tail, source):
+        now = spark.read.parquet(source)
+        new = set(now.inputFiles()) - files
+        seen.append(len(new))
+        files |= new
+        if len(seen) <= SLICES:
+            low, high = spark.read.parquet(*new).agg(F.min("ts"), F.max("ts")).first()
+            assert last is None or low > last
+            last = high
+    assert len(seen) == SLICES + 1 and min(seen[:-1]) > 1
+    assert spark.read.parquet(source).count() == e.count() + 1
