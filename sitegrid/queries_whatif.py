@@ -193,6 +193,13 @@ def a10b(spark, d):
     return n.select("n", F.lit(7).alias("k"), choose(F.col("n").cast("long"), F.lit(7).cast("long")).alias("size"))
 
 
+@query("a10_choose_every")
+def a10_every(spark, d):
+    """Every size; the SQL of ``a10_choose`` ends at 33, where its factorials leave hugeint."""
+    n = City(spark, d).table("part").select(F.col("p_size").alias("n")).distinct()
+    return n.select("n", F.lit(7).alias("k"), choose(F.col("n").cast("long"), F.lit(7).cast("long")).alias("size"))
+
+
 _STATUS = "case {0} % 5 when 0 then 'feasible' when 1 then 'unsat' when 2 then 'timeout' when 3 then 'cancelled' else 'error' end"
 
 

@@ -363,3 +363,13 @@ def test_events_arrive_in_slices_of_time(spark, sf_dir, tmp_path):
             last = high
     assert len(seen) == SLICES + 1 and min(seen[:-1]) > 1
     assert spark.read.parquet(source).count() == e.count() + 1
+
+
+def test_choose_of_every_size(spark, sf_dir):
+    import math
+
+    from sitegrid.queries_whatif import a10_every
+
+    sizes = {r.p_size for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size").distinct().collect()}
+    assert max(sizes) > 33
+    assert {r.n: r["size"] for r in a10_every(spark, sf_dir).collect()} == {n: math.comb(n, 7) for n in sizes}
