@@ -46,7 +46,7 @@ def op8_jaccard(spark, sf_dir):
 
 
 def op9_dedup(spark, sf_dir):
-    out = streamdedup.deduplicate(table(spark, sf_dir, "documents"))
+    out = streamdedup.deduplicate(table(spark, sf_dir, "documents"), as_files=True)
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long"), "kept", F.col("digest").alias("text_sha256"))
 
 

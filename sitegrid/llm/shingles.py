@@ -8,6 +8,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from .common import mixed
+
 SLICE_BYTES = 1_000_000
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
@@ -37,13 +39,6 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser, so that every output bit depends on all input bits."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of concatenated documents, and the document of each word.
 
