@@ -1,20 +1,25 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Rows are assigned to the nearest of a bounded number of pivots and packed into blocks of a
-bounded size; a cell with many rows (say, copies of one vector) is spread over several blocks
-by identifier. Each block is indexed by a cover tree: a node's children are centres farther
-apart than half its radius, and every point below a node lies within its covering radius.
-Queries are packed and indexed in the same way.
-
-A query block first searches the data block that promises most; the k-th scores found there
-let whole pairs of blocks be dropped by their radii. Surviving pairs are searched tree against
-tree: a pair of nodes is pruned when the product of the centres, widened by both radii,
-stays below the worst k-th score of the query node's queries.
+Rows are assigned to the nearest of a bounded number of pivots, whose cells have covering radii,
+and packed into blocks of a bounded size; a cell with many rows (say, copies of one vector) is
+spread over several blocks by identifier. Each block is indexed by a cover tree: every point
+below a node lies within its covering radius, the children's radii are at most half the node's,
+and their centres are farther apart than that. Where FAN centres cannot cover a node at half its
+radius, its points are its children, balls of radius 0. Queries are packed and indexed in the
+same way.
+
+A query block first searches one data block of its own cell; the k-th scores found there let
+whole cells be dropped by their radii. The blocks of the other cells are met by query blocks that
+are sent to them, each data block once; a pair of blocks is searched tree against tree: a pair
+of nodes is pruned when the product of the centres, widened by both radii, stays below the
+worst k-th score of the query node's queries.
 
 Defined results: vectors that are null, hold null or non-finite components, or have a null
-vec_id take no part; missing components of shorter vectors count as 0; rows with the query's
-vec_id are its own and no candidates; ties go to the smaller vec_id; a query with fewer than k
-candidates gets all; an empty table gives an empty one; other columns are not read.
+vec_id take no part; missing components of shorter vectors count as 0; every row is a vector of
+its own, so rows that share a query's vec_id are queries and candidates too, and only the row
+itself is left out; ties go to the smaller vec_id; a query with fewer than k candidates gets
+all; an empty table gives an empty one; other columns are not read; a vector's length is
+bounded by what a row may hold.
 """
 
 from __future__ import annotations
@@ -29,8 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, written
 
-TOP, MOST_PIVOTS, MOST_ROWS, LEAST_ROWS, LEAF, FAN = 10, 256, 4096, 64, 32, 32
-BLOCK = "block bigint, centre binary, radius double, ids binary, points binary, nodes binary"
+TOP, MOST_PIVOTS, MOST_ROWS, LEAST_ROWS, LEAF, FAN, TILE = 10, 256, 4096, 64, 64, 32, 512
+#: Blocks of a cell have its number, times this, and their own.
+PARTS = 1_000_000
+BLOCK = "block bigint, cell bigint, centre binary, radius double, rows binary, ids binary, points binary, nodes binary"
 
 
 # -- cover tree ---------------------------------------------------------------------------
@@ -38,7 +45,8 @@ BLOCK = "block bigint, centre binary, radius double, ids binary, points binary,
 
 def build(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order of the points, nodes): a node is (centre, radius, first, last, child, children);
-    its points are order[first:last], its children follow each other in the list."""
+    its points are order[first:last], its children follow each other in the list. A child's
+    radius is at most half its parent's; a node without children holds its points themselves."""
     norms = (points * points).sum(1)
 
     def from_point(i: int, among: np.ndarray) -> np.ndarray:
@@ -60,7 +68,7 @@ def build(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 owner[new < apart] = len(centres)
                 apart = np.minimum(apart, new)
                 centres.append(int(among[far]))
-            if len(centres) > 1:
+            if 1 < len(centres) and apart.max() <= radius / 2:
                 nodes[at][4:] = [len(nodes), len(centres)]
                 by = np.argsort(owner, kind="stable")
                 order[first:last] = among[by]
@@ -75,8 +83,8 @@ def build(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Side:
     """One block, unpacked: points in tree order."""
 
-    def __init__(self, ids: bytes, points: bytes, nodes: bytes):
-        self.ids = np.frombuffer(ids, np.int64)
+    def __init__(self, rows: bytes, ids: bytes, points: bytes, nodes: bytes):
+        self.rows, self.ids = np.frombuffer(rows, np.int64), np.frombuffer(ids, np.int64)
         self.points = np.frombuffer(points, np.float64).reshape(len(self.ids), -1)
         self.nodes = np.frombuffer(nodes, np.float64).reshape(-1, 6)
         self.span = self.nodes[:, 2:].astype(np.int64)
@@ -84,6 +92,7 @@ class Side:
         # nodes hold the centre's place in the block's first order; packing turned it into a vector
         self.centres = self.points[self.nodes[:, 0].astype(np.int64)]
         self.lengths = np.sqrt((self.centres**2).sum(1))
+        self.most = float(abs(self.points).max(initial=0))
 
 
 def bound(product, length1, radius1, length2, radius2):
@@ -104,41 +113,56 @@ class Search:
 
     def run(self, data: Side) -> None:
         self.d = data
-        self.exact = max(abs(self.q.points).max(initial=0), 1) * max(abs(data.points).max(initial=0), 1) * self.q.points.shape[1] < 2**53
+        self.exact = max(self.q.most, 1) * max(data.most, 1) * self.q.points.shape[1] < 2**53
         pairs = [(0, 0)]
         while pairs:
             a, b = pairs.pop()
-            if self.most(a, b) < self.floor[self.q.span[a, 0] : self.q.span[a, 1]].min(initial=np.inf):
+            if self.most(a, np.array([b]))[0] < self.floor[self.q.span[a, 0] : self.q.span[a, 1]].min(initial=np.inf):
                 continue
             split_a, split_b = self.q.span[a, 3] > 0, self.d.span[b, 3] > 0
             if not split_a and not split_b:
                 self.compare(a, b)
             elif split_b and (not split_a or self.d.radius[b] >= self.q.radius[a]):
                 first, n = self.d.span[b, 2:]
-                below = sorted(range(first, first + n), key=lambda c: self.most(a, c))
-                pairs += [(a, c) for c in below]  # the most promising is taken first
+                below = np.arange(first, first + n)
+                pairs += [(a, int(c)) for c in below[np.argsort(self.most(a, below), kind="stable")]]  # the most promising is taken first
             else:
                 first, n = self.q.span[a, 2:]
                 pairs += [(c, b) for c in range(first, first + n)]
 
-    def most(self, a: int, b: int) -> float:
+    def most(self, a: int, b: np.ndarray) -> np.ndarray:
         q, d = self.q, self.d
-        return bound(float(q.centres[a] @ d.centres[b]), q.lengths[a], q.radius[a], d.lengths[b], d.radius[b])
+        return bound(d.centres[b] @ q.centres[a], q.lengths[a], q.radius[a], d.lengths[b], d.radius[b])
 
     def compare(self, a: int, b: int) -> None:
-        rows, cols = slice(*self.q.span[a, :2]), slice(*self.d.span[b, :2])
+        """All queries of one node with all points of another, a tile of them at a time: what
+        stays below a query's k-th score is left out before anything is sorted."""
+        first, last = self.q.span[a, :2]
+        begin, end = self.d.span[b, :2]
+        for i in range(first, last, TILE):
+            for j in range(begin, end, 4 * TILE):
+                self.tile(slice(i, min(i + TILE, last)), slice(j, min(j + 4 * TILE, end)))
+
+    def tile(self, rows: slice, cols: slice) -> None:
         x, y = self.q.points[rows], self.d.points[cols]
         scores = x @ y.T if self.exact else (x.astype(np.int64) @ y.astype(np.int64).T).astype(np.float64)
-        ids = np.broadcast_to(self.d.ids[cols], scores.shape)
-        scores = np.where(ids == self.q.ids[rows][:, None], -np.inf, scores)
-        scores, ids = np.concatenate([self.scores[rows], scores], 1), np.concatenate([self.found[rows], ids], 1)
-        best = np.lexsort((ids, -scores))[:, : self.top]
-        self.scores[rows], self.found[rows] = np.take_along_axis(scores, best, 1), np.take_along_axis(ids, best, 1)
+        good = scores >= self.floor[rows][:, None]
+        if scores.shape[1] > 4 * self.top:
+            # no more than the k best of this tile and what ties with the last of them
+            kth = np.partition(scores, scores.shape[1] - self.top - 1, axis=1)[:, -self.top - 1]
+            good &= scores >= kth[:, None]
+        good &= self.d.rows[cols][None, :] != self.q.rows[rows][:, None]
+        for i in np.flatnonzero(good.any(1)):
+            k, at = rows.start + i, np.flatnonzero(good[i])
+            all_scores = np.concatenate([self.scores[k], scores[i, at]])
+            ids = np.concatenate([self.found[k], self.d.ids[cols][at]])
+            best = np.lexsort((ids, -all_scores))[: self.top]
+            self.scores[k], self.found[k] = all_scores[best], ids[best]
         self.floor[rows] = np.maximum(self.floor[rows], self.scores[rows, -1])
 
-    def rows(self) -> pa.RecordBatch:
+    def found_rows(self) -> pa.RecordBatch:
         i, k = np.nonzero(np.isfinite(self.scores))
-        return pa.RecordBatch.from_arrays([pa.array(self.q.ids[i]), pa.array(self.found[i, k]), pa.array(self.scores[i, k].astype(np.int64))], ["query_id", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(self.q.rows[i]), pa.array(self.q.ids[i]), pa.array(self.found[i, k]), pa.array(self.scores[i, k].astype(np.int64))], ["row", "query_id", "vec_id", "score"])
 
 
 # -- blocks -------------------------------------------------------------------------------
@@ -149,7 +173,7 @@ def whole_vectors(vectors: DataFrame) -> DataFrame:
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     wide = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long"), wide.alias("v")).where(F.forall("v", good))
-    return rows.select("vec_id", F.transform("v", lambda x: F.floor(x * 1024).cast("double")).alias("v"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform("v", lambda x: F.floor(x * 1024).cast("double")).alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -162,75 +186,86 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def blocks(rows: DataFrame, pivots: np.ndarray, dim: int, size: int) -> DataFrame:
-    """``rows(vec_id, v)`` in blocks of about ``size`` rows at most, each with its tree."""
+def placed(rows: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
+    """``rows(row, vec_id, v)`` with the nearest pivot's ``cell`` and the distance to it."""
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1), dim)
-            cell = ((pivots**2).sum(1) - 2 * x @ pivots.T).argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int64))], ["vec_id", "v", "cell"])
+            x = _matrix(batch.column(2), dim)
+            apart = (pivots**2).sum(1) - 2 * x @ pivots.T
+            cell = apart.argmin(1)
+            far = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int64)), pa.array(far)], [*batch.schema.names, "cell", "far"])
+
+    return written(rows.mapInArrow(nearest, "row bigint, vec_id bigint, v array<double>, cell bigint, far double"), "cover-cells")
+
+
+def blocks(rows: DataFrame, dim: int, size: int) -> DataFrame:
+    """``rows(row, vec_id, v, cell)`` in blocks of about ``size`` rows at most, each with its tree."""
 
     def pack(key, table):
         table = table.combine_chunks()
-        x, ids = _matrix(table.column("v").chunk(0) if table.num_rows else pa.array([], pa.list_(pa.float64())), dim), np.asarray(table.column("vec_id"))
+        column = table.column("v").chunk(0) if table.num_rows else pa.array([], pa.list_(pa.float64()))
+        x, ids, own = _matrix(column, dim), np.asarray(table.column("vec_id")), np.asarray(table.column("row"))
         order, nodes = build(x)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         nodes[:, 0] = place[nodes[:, 0].astype(np.int64)]
         centre = x[order[int(nodes[0, 0])]]
-        values = [[key[0].as_py() * 1_000_000 + key[1].as_py()], [centre.tobytes()], [float(nodes[0, 1])], [ids[order].tobytes()], [x[order].tobytes()], [nodes.tobytes()]]
-        return pa.table([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.binary(), pa.float64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "centre", "radius", "ids", "points", "nodes"])
+        cell, part = (k.as_py() for k in key)
+        values = [[cell * PARTS + part], [cell], [centre.tobytes()], [float(nodes[0, 1])], *([v.tobytes()] for v in (own[order], ids[order], x[order], nodes))]
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.float64(), *[pa.binary()] * 4)
+        return pa.table([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=["block", "cell", "centre", "radius", "rows", "ids", "points", "nodes"])
 
-    placed = written(rows.mapInArrow(nearest, "vec_id bigint, v array<double>, cell bigint"), "cover-cells")
     # one count for each pivot
-    parts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
-    spread = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    return written(spread.select("cell", "part", "vec_id", "v").groupBy("cell", "part").applyInArrow(pack, BLOCK), "cover-blocks")
+    parts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
+    spread = rows.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
+    return written(spread.select("cell", "part", "row", "vec_id", "v").groupBy("cell", "part").applyInArrow(pack, BLOCK), "cover-blocks")
 
 
-def promising(queries: DataFrame, data: DataFrame, dim: int) -> DataFrame:
-    """(q, d, product, most) for the pairs of blocks; ``queries`` has the worst k-th score of a
-    block as ``floor`` and pairs that cannot reach it are left out. Blocks, not rows, are
-    paired: a stated query set against all data blocks."""
-    ends = data.select(F.col("block").alias("d"), F.col("centre").alias("dc"), F.col("radius").alias("dr"))
-    pairs = queries.select(F.col("block").alias("q"), F.col("centre").alias("qc"), F.col("radius").alias("qr"), "floor").join(ends, F.lit(True))
+def reachable(queries: DataFrame, floors: DataFrame, pivots: np.ndarray, reach: np.ndarray) -> DataFrame:
+    """(q, cell): the cells that may hold a candidate at or over a query block's worst k-th score."""
+    lengths = np.sqrt((pivots**2).sum(1))
+    filled = np.flatnonzero(reach >= 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            qc, dc = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.float64).reshape(-1, dim) for i in (1, 5))
-            qr, floor, dr = (np.asarray(b.column(i)) for i in (2, 3, 6))
-            product = (qc * dc).sum(1)
-            most = bound(product, np.sqrt((qc**2).sum(1)), qr, np.sqrt((dc**2).sum(1)), dr)
-            keep = np.flatnonzero(most >= floor)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(4).take(pa.array(keep)), pa.array(product[keep])], ["q", "d", "product"])
+            for q, centre, radius, floor in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                c = np.frombuffer(centre, np.float64)
+                most = bound(pivots[filled] @ c, np.sqrt(c @ c), radius, lengths[filled], reach[filled])
+                cells = filled[most >= (-np.inf if floor is None else floor)]
+                yield pa.RecordBatch.from_pydict({"q": np.full(len(cells), q), "cell": cells})
 
-    return pairs.select("q", "qc", "qr", "floor", "d", "dc", "dr").mapInArrow(run, "q bigint, d bigint, product double")
+    rows = queries.select(F.col("block").alias("q"), "centre", "radius").join(floors.select("q", "floor"), "q", "left")
+    return rows.mapInArrow(run, "q bigint, cell bigint")
 
 
 def search(pairs: DataFrame, queries: DataFrame, data: DataFrame, floors: DataFrame | None, top: int) -> DataFrame:
-    """(query_id, vec_id, score): the best candidates of every pair (q, d) of blocks."""
-    left = queries.select(F.col("block").alias("q"), F.col("ids").alias("qi"), F.col("points").alias("qp"), F.col("nodes").alias("qn"))
-    if floors is not None:
-        left = left.join(floors, "q", "left")
-    else:
-        left = left.withColumn("floors", F.lit(None).cast("map<bigint,bigint>"))
-    right = data.select(F.col("block").alias("d"), F.col("ids").alias("di"), F.col("points").alias("dp"), F.col("nodes").alias("dn"))
+    """(row, query_id, vec_id, score): the best candidates of every pair (q, d) of blocks. A data
+    block goes to one task, where the query blocks that it is paired with stream past it."""
+    left = queries.select(F.col("block").alias("q"), "rows", "ids", "points", "nodes")
+    left = left.join(floors.select("q", "floors"), "q", "left") if floors is not None else left.withColumn("floors", F.lit(None).cast("map<bigint,bigint>"))
+    sent = pairs.select("q", "d").join(left, "q").select("d", F.lit(1).alias("side"), "q", "rows", "ids", "points", "nodes", "floors")
+    held = data.select(F.col("block").alias("d"), F.lit(0).alias("side"), F.lit(-1).cast("long").alias("q"), "rows", "ids", "points", "nodes", F.lit(None).cast("map<bigint,bigint>").alias("floors"))
+    held = held.join(pairs.select("d").distinct(), "d", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
         for b in batches:
             for row in range(b.num_rows):
-                qi, qp, qn, floors, di, dp, dn = (b.column(i)[row].as_py() for i in range(7))
-                q = Side(qi, qp, qn)
+                side, _, own, ids, points, nodes, floors = (b.column(i)[row].as_py() for i in range(1, 8))
+                now = Side(own, ids, points, nodes)
+                if side == 0:
+                    block = now
+                    continue
                 known = dict(floors or ())
-                one = Search(q, top, np.array([known.get(i, -np.inf) for i in q.ids.tolist()], np.float64))
-                one.run(Side(di, dp, dn))
-                yield one.rows()
+                one = Search(now, top, np.array([known.get(i, -np.inf) for i in now.rows.tolist()], np.float64))
+                one.run(block)
+                yield one.found_rows()
 
-    joined = pairs.select("q", "d").join(left, "q").join(right, "d")
-    return joined.select("qi", "qp", "qn", "floors", "di", "dp", "dn").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    # the data block comes before its query blocks
+    both = held.unionByName(sent).repartition("d").sortWithinPartitions("d", "side", "q")
+    return both.select("d", "side", "q", "rows", "ids", "points", "nodes", "floors").mapInArrow(run, "row bigint, query_id bigint, vec_id bigint, score bigint")
 
 
 def top_products(vectors: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
@@ -238,44 +273,45 @@ def top_products(vectors: DataFrame, every: int = 100, top: int = TOP) -> DataFr
     spark = vectors.sparkSession
     rows = written(whole_vectors(vectors), "cover-rows")
     total, dim = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    if not total or not dim:
-        dim = max(dim, 1)
+    dim = max(dim, 1)
     size = max(LEAST_ROWS, min(MOST_ROWS, total // (4 * shuffle_partitions(spark)) + 1))
     # a bounded sample, only to place the rows
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(MOST_PIVOTS, total // size + 1)).collect()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(min(MOST_PIVOTS, total // size + 1)).collect()
     pivots = np.zeros((max(1, len(sample)), dim))
     for i, r in enumerate(sample):
         pivots[i, : len(r.v)] = r.v
-    data = blocks(rows, pivots, dim, size)
-    queries = blocks(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), pivots, dim, size)
-
-    best = Window.partitionBy("q").orderBy(F.desc("product"), "d")
-    pairs = written(promising(queries.withColumn("floor", F.lit(float("-inf"))), data, dim), "cover-pairs")
-    start = pairs.withColumn("n", F.row_number().over(best)).where("n = 1").select("q", "d")
+    cells = placed(rows, pivots, dim)
+    # one radius for each pivot, a hair wider for rounding
+    reach = np.full(len(pivots), -1.0)
+    for r in cells.groupBy("cell").agg(F.max("far").alias("far")).collect():
+        reach[r.cell] = r.far * (1 + 1e-9) + 1e-6
+    data, queries = blocks(cells, dim, size), blocks(cells.where(F.col("vec_id") % every == 0), dim, size)
+
+    own = data.groupBy("cell").agg(F.min("block").alias("d"))
+    start = written(queries.select(F.col("block").alias("q"), "cell").join(own, "cell").select("q", "d"), "cover-start")
     first = written(search(start, queries, data, None, top), "cover-first")
     # the k-th score of every query, where its first block has k candidates
-    kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score")).where(F.col("n") == top)
-    members = queries.select(F.col("block").alias("q"), _ids(queries).alias("query_id"))
-    floors = members.select("q", F.explode("query_id").alias("query_id")).join(kth, "query_id", "left")
+    kth = first.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score")).where(F.col("n") == top)
+    members = queries.select(F.col("block").alias("q"), F.explode(_longs()(F.col("rows"))).alias("row"))
     floors = written(
-        floors.groupBy("q").agg(
-            F.map_from_entries(F.collect_list(F.when(F.col("score").isNotNull(), F.struct("query_id", "score")))).alias("floors"),
+        members.join(kth, "row", "left").groupBy("q").agg(
+            F.map_from_entries(F.collect_list(F.when(F.col("score").isNotNull(), F.struct("row", "score")))).alias("floors"),
             F.min(F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))).alias("floor"),
         ),
         "cover-floors",
     )
-    bounded = queries.join(floors.select(F.col("q").alias("block"), "floor"), "block")
-    rest = promising(bounded, data, dim).join(start, ["q", "d"], "left_anti")
-    more = search(rest, queries, data, floors.select("q", "floors"), top)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    listed = data.select("cell", F.col("block").alias("d"))
+    rest = written(reachable(queries, floors, pivots, reach).join(listed, "cell").select("q", "d").join(start, ["q", "d"], "left_anti"), "cover-pairs")
+    more = search(rest, queries, data, floors, top)
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return first.union(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
-def _ids(queries: DataFrame):
-    """The identifiers packed in a block, as an array."""
+def _longs():
+    """Packed identifiers as an array."""
 
     @F.pandas_udf("array<bigint>")
-    def ids(packed: pd.Series) -> pd.Series:
+    def unpack(packed: pd.Series) -> pd.Series:
         return packed.map(lambda b: np.frombuffer(b, np.int64))
 
-    return ids("ids")
+    return unpack
