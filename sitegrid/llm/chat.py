@@ -7,37 +7,65 @@ perspective.
 
 A rendering is cut into pieces of at most PIECE turns, each with the offset of its first turn,
 so that no row grows with the conversation, and one conversation with a third of all rows
-is spread over the cluster. Turns are numbered by a distributed sort, not by one task per
-conversation.
+is spread over the cluster. A whole rendering is its pieces joined in the order of ``piece``, with
+each mask moved by the length of the pieces before.
+
+Turns move once: those of a conversation meet in one task, which numbers them, cuts them into
+pieces and only then rotates the pieces. Conversations over LARGE_TURNS turns or LARGE_CHARS
+characters are numbered by a distributed sort instead, and their pieces are dealt out one by one.
 
 Defined results: null texts are empty; a null or empty role is the participant ``unknown``;
 rows with a null conv_id form one conversation; null turns come first; equal turn numbers are
-ordered by role and text; repeated rows are repeated turns; a conversation of system turns
-only has no perspective; an empty table gives an empty one; other columns are not read.
+ordered by role and text; repeated rows are repeated turns; a very long text stays whole in its
+turn; a text or role that holds a turn mark gets a blank after the mark's first two characters,
+and line breaks in a role become blanks, so that none can forge a turn; a conversation of system
+turns only has no perspective; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_totals
+from .common import running_totals, written
 
 PIECE, SYSTEM, OPEN, CLOSE = 64, "system", "<|im_start|>", "<|im_end|>\n"
+LARGE_TURNS, LARGE_CHARS = 4096, 4_000_000
 
 
-def numbered_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, pos, role, text): turns of a conversation numbered from 0."""
-    clean = turns.select(
-        "conv_id",
-        "turn",
-        F.coalesce(F.when(F.trim("role") != "", F.col("role")), F.lit("unknown")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
-    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    rows = running_totals(clean, order, {"row": F.lit(1)}, "chat-turns")
-    first = rows.groupBy("conv_id").agg(F.min("row").alias("first")).withColumnRenamed("conv_id", "_conv")
-    return rows.join(first, F.col("conv_id").eqNullSafe(F.col("_conv"))).select("conv_id", (F.col("row") - F.col("first")).alias("pos"), "role", "text")
+def plain(value: Column) -> Column:
+    """Without marks that would open or close a turn."""
+    for mark in (OPEN, CLOSE.strip()):
+        value = F.replace(value, F.lit(mark), F.lit(f"{mark[:2]} {mark[2:]}"))
+    return value
+
+
+def in_order() -> list[Column]:
+    return [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+
+
+def pieces_of(rows: DataFrame, piece: int) -> DataFrame:
+    """(conv_id, piece, turns) of rows that have their ``pos`` in the conversation."""
+    turn = F.struct("pos", "role", "text")
+    return rows.groupBy("conv_id", F.floor(F.col("pos") / piece).alias("piece")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+
+
+def small_conversations(rows: DataFrame, piece: int) -> DataFrame:
+    """(conv_id, piece, turns, people): one shuffle by conversation."""
+    numbered = rows.withColumn("pos", (F.row_number().over(Window.partitionBy("conv_id").orderBy(*in_order())) - 1).cast("long"))
+    roles = F.array_distinct(F.transform("turns", lambda t: t["role"]))
+    return pieces_of(numbered, piece).withColumn("people", F.array_distinct(F.flatten(F.collect_set(roles).over(Window.partitionBy("conv_id")))))
+
+
+def large_conversations(rows: DataFrame, piece: int) -> DataFrame:
+    """The same for conversations of any length: turns are numbered by a distributed sort."""
+    rows = written(rows, "chat-large-turns")
+    order = [F.col("conv_id").asc_nulls_first(), *in_order()]
+    numbered = running_totals(rows, order, {"row": F.lit(1)}, "chat-turns", spread_ties=True)
+    first = written(numbered.groupBy("conv_id").agg(F.min("row").alias("first"), F.collect_set("role").alias("people")).withColumnRenamed("conv_id", "_conv"), "chat-first")
+    same = F.col("conv_id").eqNullSafe(F.col("_conv"))
+    placed = numbered.join(first.select("_conv", "first"), same).select("conv_id", (F.col("row") - F.col("first")).alias("pos"), "role", "text")
+    return pieces_of(placed, piece).join(first.select("_conv", "people"), same).drop("_conv")
 
 
 def perspectives(turns: DataFrame, piece: int = PIECE) -> DataFrame:
@@ -45,18 +73,20 @@ def perspectives(turns: DataFrame, piece: int = PIECE) -> DataFrame:
 
     ``mask`` lists [start, end) code-point spans of the assistant's words in ``rendered``.
     """
-    rows = numbered_turns(turns)
-    people = rows.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("role").alias("perspective")).distinct()
-    seen = rows.join(people, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
-    own = F.col("role") == F.col("perspective")
-    name = F.when(own, F.lit("assistant")).when(F.col("role") == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), F.col("role")))
-    head = F.concat(F.lit(OPEN), name, F.lit("\n"))
-    turn = F.struct("pos", head.alias("head"), "text", own.alias("own"))
-    pieces = (
-        seen.select("conv_id", "perspective", F.floor(F.col("pos") / piece).alias("piece"), turn.alias("turn"))
-        .groupBy("conv_id", "perspective", "piece")
-        .agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    )
+    role = F.coalesce(F.when(F.trim("role") != "", F.col("role")), F.lit("unknown"))
+    clean = turns.select("conv_id", "turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    sizes = clean.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    # written: its size tells Spark whether it may be broadcast
+    large = written(sizes.where((F.col("n") > LARGE_TURNS) | (F.col("chars") > LARGE_CHARS)).select(F.col("conv_id").alias("_conv"), F.lit(True).alias("_large")), "chat-large")
+    marked = clean.join(large, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    both = small_conversations(marked.where("_large is null").drop("_large"), piece)
+    if not large.isEmpty():
+        both = both.unionByName(large_conversations(marked.where("_large").drop("_large"), piece))
+    seen = both.withColumn("perspective", F.explode(F.filter("people", lambda p: p != SYSTEM)))
+    own = lambda t: t["role"] == F.col("perspective")
+    name = lambda t: F.when(own(t), F.lit("assistant")).when(t["role"] == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), plain(F.translate(t["role"], "\n\r", "  "))))
+    made = lambda t: F.struct(t["pos"].alias("pos"), F.concat(F.lit(OPEN), name(t), F.lit("\n")).alias("head"), plain(t["text"]).alias("text"), own(t).alias("own"))
+    pieces = seen.select("conv_id", "perspective", "piece", F.transform("turns", made).alias("turns"))
     length = lambda t: F.length(t["head"]) + F.length(t["text"]) + len(CLOSE)
     step = lambda acc, t: F.struct(
         (acc["at"] + length(t)).alias("at"),
