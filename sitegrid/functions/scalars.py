@@ -70,7 +70,17 @@ def choose(n: Column, k: Column) -> Column:
     return F.when((k < 0) | (k > n), F.lit(0).cast("long")).otherwise(exact)
 
 
+#: Letters of the longest label of a bigint.
+MOST_LETTERS = 14
+
+
 def letters(n: Column) -> Column:
-    """1 -> A, 26 -> Z, 27 -> AA, in the order of selection."""
-    one = lambda i: F.char(F.lit(65) + i)
-    return F.when(n <= 26, one(n - 1)).otherwise(F.concat(one(F.floor((n - 27) / 26)), one((n - 27) % 26)))
+    """1 -> A, 26 -> Z, 27 -> AA, 702 -> ZZ, 703 -> AAA, in the order of selection."""
+    start = F.struct(n.cast("long").alias("n"), F.lit("").alias("label"))
+
+    def step(acc, _):
+        left = acc["n"] - 1
+        longer = F.concat(F.char(F.lit(65) + left % 26), acc["label"])
+        return F.struct(F.when(acc["n"] > 0, F.call_function("div", left, F.lit(26).cast("long"))).otherwise(F.lit(0).cast("long")).alias("n"), F.when(acc["n"] > 0, longer).otherwise(acc["label"]).alias("label"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_LETTERS)), start, step)["label"]

@@ -38,30 +38,29 @@ def bounded_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
     """(region_id, origin, node_id, dist_mm, pred_edge): all nodes within each origin's budget.
 
     ``origins(region_id, origin, node_id, budget_mm)``; the budget is inclusive, unreachable
-    nodes are absent. The frontier moves one edge a round; only strict improvements go on, so
-    rounds are bounded by the hops that a budget allows. Of predecessors that give the same
+    nodes are absent. The frontier moves one edge a round; only strict improvements are written and
+    go on, so rounds are bounded by the hops that a budget allows and a round writes no more than
+    its frontier. Of predecessors that give the same
     distance, the smallest edge id is kept.
     """
-    links = edges.select(KEY, "edge_id", "src", "dst", "length_mm")
+    links = staged(edges.select(KEY, "edge_id", "src", "dst", "length_mm"), "path-links")
     key = [KEY, "origin", "node_id"]
-    best = origins.where(F.col("budget_mm") >= 0).groupBy(*key).agg(F.max("budget_mm").alias("budget_mm"))
-    best = staged(best.withColumns({"dist_mm": F.lit(0).cast("long"), "fresh": F.lit(True)}), "path-best")
-    while not best.where("fresh").isEmpty():
-        frontier = best.where("fresh")
-        step = (
-            frontier.join(links, (frontier[KEY] == links[KEY]) & (frontier["node_id"] == links["src"]))
-            .select(frontier[KEY], "origin", F.col("dst").alias("node_id"), "budget_mm", (F.col("dist_mm") + F.col("length_mm")).alias("dist_mm"), F.lit(True).alias("new"))
-            .where(F.col("dist_mm") <= F.col("budget_mm"))
-        )
-        # old and new distances meet in one aggregation; what got strictly shorter goes on
-        both = best.select(*key, "budget_mm", "dist_mm", F.lit(False).alias("new")).unionByName(step)
-        old = F.min(F.when(~F.col("new"), F.col("dist_mm")))
-        least = both.groupBy(*key).agg(F.max("budget_mm").alias("budget_mm"), F.min("dist_mm").alias("dist_mm"), old.alias("old"))
-        best = staged(least.select(*key, "budget_mm", "dist_mm", (F.col("old").isNull() | (F.col("dist_mm") < F.col("old"))).alias("fresh")), "path-best")
+    fresh = origins.where(F.col("budget_mm") >= 0).groupBy(*key).agg(F.max("budget_mm").alias("budget_mm"))
+    fresh = staged(fresh.withColumn("dist_mm", F.lit(0).cast("long")), "path-fresh")
+    found = fresh.select(*key, "dist_mm")
+    while not fresh.isEmpty():
+        step = fresh.join(links, (fresh[KEY] == links[KEY]) & (fresh["node_id"] == links["src"])).select(fresh[KEY], "origin", F.col("dst").alias("node_id"), "budget_mm", (F.col("dist_mm") + F.col("length_mm")).alias("dist_mm"))
+        step = step.where(F.col("dist_mm") <= F.col("budget_mm")).groupBy(*key).agg(F.max("budget_mm").alias("budget_mm"), F.min("dist_mm").alias("dist_mm"))
+        # only what is shorter than all distances found so far is written, and goes on
+        old = found.select(*[F.col(c).alias(f"_{c}") for c in (*key, "dist_mm")])
+        known = (F.col(KEY) == F.col(f"_{KEY}")) & (F.col("origin") == F.col("_origin")) & (F.col("node_id") == F.col("_node_id")) & (F.col("_dist_mm") <= F.col("dist_mm"))
+        fresh = staged(step.join(old, known, "left_anti"), "path-fresh")
+        found = found.unionByName(fresh.select(*key, "dist_mm"))
+    best = found.groupBy(*key).agg(F.min("dist_mm").alias("dist_mm"))
     near = best.select(KEY, "origin", F.col("node_id").alias("src"), F.col("dist_mm").alias("_d"))
     into = near.join(links, [KEY, "src"]).select(KEY, "origin", F.col("dst").alias("node_id"), (F.col("_d") + F.col("length_mm")).alias("dist_mm"), "edge_id")
     pred = into.groupBy(KEY, "origin", "node_id", "dist_mm").agg(F.min("edge_id").alias("pred_edge"))
-    return best.select(KEY, "origin", "node_id", "dist_mm").join(pred, [KEY, "origin", "node_id", "dist_mm"], "left").withColumn("pred_edge", F.when(F.col("dist_mm") > 0, F.col("pred_edge")))
+    return best.join(pred, [KEY, "origin", "node_id", "dist_mm"], "left").withColumn("pred_edge", F.when(F.col("dist_mm") > 0, F.col("pred_edge")))
 
 
 def route_edges(paths: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:

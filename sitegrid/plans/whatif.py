@@ -1,7 +1,8 @@
 """What-if sweeps: enumerating selections, screening them, assigning whole units, feasibility.
 
-Sites of a region are numbered by ``ord`` (0 .. 62); a selection is a bit mask over them and a
-list of identifiers. Requests are keyed by (region_id, request_id).
+Sites of a region are numbered by ``ord`` from 0; a selection is a list of identifiers and a mask
+over the sites: an array of words of WORD bits each, as many as the region's sites need. Requests
+are keyed by (region_id, request_id).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from ..functions.staging import staged
 
 REQ = ["region_id", "request_id"]
 CHUNK = 10_000
-#: Cells in a word of a coverage mask.
+#: Bits that are used of a word of a mask.
 WORD = 63
 LONG = "bigint"
 
@@ -29,6 +30,44 @@ def _and(a: Column, b: Column) -> Column:
     return a.bitwiseAND(b)
 
 
+def _words(sites: Column) -> Column:
+    """Words of a mask over so many sites."""
+    return F.greatest(F.ceil(sites / F.lit(WORD)).cast("int"), F.lit(1))
+
+
+def _mask(places: Column, words: Column) -> Column:
+    """The mask of a list of places."""
+    none = F.array_repeat(F.lit(0).cast("long"), words)
+    put = lambda acc, p: F.transform(acc, lambda x, w: F.when(w == F.floor(p / F.lit(WORD)), x.bitwiseOR(_bit(p % WORD))).otherwise(x))
+    return F.aggregate(places, none, put)
+
+
+def _both(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))
+
+
+def _either(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.bitwiseOR(y))
+
+
+def _some(a: Column) -> Column:
+    """Whether a mask has any site."""
+    return F.exists(a, lambda x: x != 0)
+
+
+def _beyond(a: Column, b: Column) -> Column:
+    """Whether a mask has a site that the other has not."""
+    return F.exists(F.zip_with(a, b, lambda x, y: x.bitwiseAND(F.bitwise_not(y))), lambda x: x != 0)
+
+
+def _sites_in(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda acc, x: acc + F.bit_count(x))
+
+
+def _holds(mask: Column, place: Column) -> Column:
+    return _and(F.get(mask, F.floor(place / F.lit(WORD)).cast("int")), _bit(place % WORD)) != 0
+
+
 # -- enumeration --------------------------------------------------------------------------
 
 
@@ -63,7 +102,7 @@ def _expand(df: DataFrame, size: Column) -> DataFrame:
 
 def _named(df: DataFrame) -> DataFrame:
     """members and mask from ids and places."""
-    return df.withColumns({"members": F.transform("places", lambda p: F.get("ids", p)), "mask": F.aggregate("places", F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(_bit(p)))})
+    return df.withColumns({"members": F.transform("places", lambda p: F.get("ids", p)), "mask": _mask(F.col("places"), _words(F.size("ids")))})
 
 
 def combinations(sites: DataFrame, k: int, max_rows: int | None = None) -> DataFrame:
@@ -115,18 +154,24 @@ def selection_space(regions: DataFrame) -> DataFrame:
 def cell_masks(cells: DataFrame, walks: DataFrame, lockers: DataFrame) -> DataFrame:
     """(region_id, cell_masks, useful, total): for each cell a mask of the lockers in reach (equal
     ones once), the lockers that anyone reaches, and the demand."""
-    bit = walks.join(lockers.select("region_id", F.col("site_id").alias("locker_id"), "ord"), ["region_id", "locker_id"]).groupBy("region_id", "cell_id").agg(F.bit_or(_bit(F.col("ord"))).alias("m"))
-    all_ = cells.select("region_id", "cell_id", "parcels").join(bit, ["region_id", "cell_id"], "left").withColumn("m", F.coalesce("m", F.lit(0).cast("long")))
-    return all_.groupBy("region_id").agg(F.collect_set("m").alias("cell_masks"), F.bit_or("m").alias("useful"), F.sum("parcels").alias("total"))
+    n = lockers.groupBy("region_id").agg(_words(F.count(F.lit(1))).alias("words"))
+    ords = lockers.select("region_id", F.col("site_id").alias("locker_id"), "ord")
+    near = walks.join(ords, ["region_id", "locker_id"]).groupBy("region_id", "cell_id").agg(F.collect_set("ord").alias("o"))
+    all_ = cells.select("region_id", "cell_id", "parcels").join(near, ["region_id", "cell_id"], "left").join(n, "region_id", "left")
+    all_ = all_.withColumn("m", _mask(F.coalesce("o", F.array().cast("array<int>")), F.coalesce("words", F.lit(1))))
+    both = all_.groupBy("region_id").agg(F.collect_set("m").alias("cell_masks"), F.sum("parcels").alias("total"))
+    return both.withColumn("useful", F.aggregate("cell_masks", F.transform(F.get("cell_masks", F.lit(0)), lambda x: F.lit(0).cast("long")), _either)).select("region_id", "cell_masks", "useful", "total")
 
 
 def depot_masks(requests: DataFrame, lockers: DataFrame, depots: DataFrame, flights: DataFrame) -> DataFrame:
     """(request, depot_masks): per locker place, the depots within the request's range."""
     near = requests.select(*REQ, "flight_limit_mm").join(flights, "region_id").where(F.col("return_mm") <= F.col("flight_limit_mm"))
     near = near.join(depots.select("region_id", F.col("site_id").alias("depot_id"), F.col("ord").alias("_d")), ["region_id", "depot_id"])
-    bits = near.groupBy(*REQ, "locker_id").agg(F.bit_or(_bit(F.col("_d"))).alias("m"))
-    every = requests.select(*REQ).join(lockers.select("region_id", F.col("site_id").alias("locker_id"), "ord"), "region_id").join(bits, [*REQ, "locker_id"], "left")
-    return every.groupBy(*REQ).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.coalesce("m", F.lit(0).cast("long")).alias("m")))), lambda s: s["m"]).alias("depot_masks"))
+    n = depots.groupBy("region_id").agg(_words(F.count(F.lit(1))).alias("words"))
+    found = near.groupBy(*REQ, "locker_id").agg(F.collect_set("_d").alias("o"))
+    every = requests.select(*REQ).join(lockers.select("region_id", F.col("site_id").alias("locker_id"), "ord"), "region_id").join(found, [*REQ, "locker_id"], "left").join(n, "region_id", "left")
+    every = every.withColumn("m", _mask(F.coalesce("o", F.array().cast("array<int>")), F.coalesce("words", F.lit(1))))
+    return every.groupBy(*REQ).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "m"))), lambda s: s["m"]).alias("depot_masks"))
 
 
 def screen_lockers(requests: DataFrame, cells: DataFrame, lockers: DataFrame, walks: DataFrame) -> DataFrame:
@@ -135,8 +180,8 @@ def screen_lockers(requests: DataFrame, cells: DataFrame, lockers: DataFrame, wa
     k, mask = F.size("members"), F.col("mask")
     stage = (
         F.when((k == 0) | (F.col("total") > k * F.col("locker_capacity")), "locker_capacity")
-        .when(~F.forall("cell_masks", lambda m: _and(m, mask) != 0), "coverage")
-        .when(_and(mask, F.bitwise_not("useful")) != 0, "idle_locker")
+        .when(~F.forall("cell_masks", lambda m: _some(_both(m, mask))), "coverage")
+        .when(_beyond(mask, F.col("useful")), "idle_locker")
         .otherwise("passes")
     )
     return rows.withColumn("stage", stage).select(*REQ, "ordinal", "members", "mask", "stage", "total")
@@ -150,13 +195,13 @@ def screen(requests: DataFrame, cells: DataFrame, lockers: DataFrame, depots: Da
     limits = requests.select(*REQ, "depot_capacity", F.coalesce("outage_tolerance", F.lit(0)).alias("tolerance"))
     rows = left.join(right, REQ).join(limits, REQ).join(depot_masks(requests, lockers, depots, flights), REQ)
     k, d_mask, l_mask = F.size("depots"), F.col("d_mask"), F.col("l_mask")
-    own = F.transform(F.filter(F.transform("depot_masks", lambda m, i: F.struct(m.alias("m"), i.alias("i"))), lambda s: _and(l_mask, _bit(s["i"])) != 0), lambda s: _and(s["m"], d_mask))
-    reached = F.aggregate("own", F.lit(0).cast("long"), lambda acc, m: acc.bitwiseOR(m))
+    own = F.transform(F.filter(F.transform("depot_masks", lambda m, i: F.struct(m.alias("m"), i.alias("i"))), lambda s: _holds(l_mask, s["i"])), lambda s: _both(s["m"], d_mask))
+    reached = F.aggregate("own", F.transform(d_mask, lambda x: F.lit(0).cast("long")), _either)
     stage = (
         F.when((k == 0) | (F.col("total") > k * F.col("depot_capacity")), "depot_capacity")
         .when((F.col("tolerance") == 1) & ((k < 2) | (F.col("total") > (k - 1) * F.col("depot_capacity"))), "outage_capacity")
-        .when(F.exists("own", lambda m: m == 0), "out_of_range")
-        .when((F.col("tolerance") == 1) & F.exists("own", lambda m: F.bit_count(m) < 2), "second_supplier")
+        .when(F.exists("own", lambda m: ~_some(m)), "out_of_range")
+        .when((F.col("tolerance") == 1) & F.exists("own", lambda m: _sites_in(m) < 2), "second_supplier")
         .when(reached != d_mask, "idle_depot")
         .otherwise("passes")
     )
@@ -171,11 +216,11 @@ def plausible_selections(cells: DataFrame, lockers: DataFrame, depots: DataFrame
     """(region_id, lockers, depots): exact-budget selections that cover every cell and keep every
     locker in range of a depot; nothing else is tested."""
     req = cells.select("region_id").distinct().select("region_id", F.lit(0).cast("long").alias("request_id"), F.lit(limit_mm).alias("flight_limit_mm"))
-    left = combinations(lockers, k).join(cell_masks(cells, walks, lockers), "region_id").where(F.forall("cell_masks", lambda c: _and(c, F.col("mask")) != 0))
+    left = combinations(lockers, k).join(cell_masks(cells, walks, lockers), "region_id").where(F.forall("cell_masks", lambda c: _some(_both(c, F.col("mask")))))
     left = left.select("region_id", F.col("members").alias("lockers"), F.col("mask").alias("l_mask"))
     right = combinations(depots, m).select("region_id", F.col("members").alias("depots"), F.col("mask").alias("d_mask"))
     rows = left.join(right, "region_id").join(depot_masks(req, lockers, depots, flights).drop("request_id"), "region_id")
-    ok = F.forall(F.transform("depot_masks", lambda x, i: (_and(F.col("l_mask"), _bit(i)) == 0) | (_and(x, F.col("d_mask")) != 0)), lambda b: b)
+    ok = F.forall(F.transform("depot_masks", lambda x, i: ~_holds(F.col("l_mask"), i) | _some(_both(x, F.col("d_mask")))), lambda b: b)
     return rows.where(ok).select("region_id", "lockers", "depots")
 
 
@@ -332,11 +377,12 @@ def supplier_assignments(states: DataFrame, flights: DataFrame, depots: DataFram
 # -- feasibility --------------------------------------------------------------------------
 
 
-def feasibility_sweep(cells: DataFrame, lockers: DataFrame, depots: DataFrame, walks: DataFrame, flights: DataFrame, requests: DataFrame, max_states: int | None = 100_000):
+def feasibility_sweep(cells: DataFrame, lockers: DataFrame, depots: DataFrame, walks: DataFrame, flights: DataFrame, requests: DataFrame, max_states: int | None = None):
     """(results, plans): status of every request and the first feasible plan.
 
-    Status is ``feasible``, ``unsat``, ``timeout`` (a selection was abandoned and none is
-    feasible; never unsat) or ``error`` (invalid request). ``results`` also has the ordinals of
+    Status is ``feasible``, ``unsat``, ``timeout`` (with ``max_states``: a selection was abandoned
+    and none is feasible; never unsat) or ``error`` (invalid request). Without ``max_states``, the
+    default, every request is decided. ``results`` also has the ordinals of
     the winning selections. ``plans`` is a dict of the plan tables of ``plans.verify``.
     """
     from .verify import validate_requests
@@ -347,7 +393,7 @@ def feasibility_sweep(cells: DataFrame, lockers: DataFrame, depots: DataFrame, w
     kept = staged(screen(good, cells, lockers, depots, walks, flights).where("stage = 'passes'"), "sweep-kept")
     caps = good.select(*REQ, "locker_capacity", "depot_capacity", "flight_limit_mm", F.coalesce("outage_tolerance", F.lit(0)).alias("tolerance"))
     # the cells' assignments depend on the lockers and their capacity only: once for all requests
-    with_cap = kept.join(caps, REQ).withColumn("lsel", _key(F.col("region_id"), F.col("l_mask"), F.col("locker_capacity"), F.array_join(F.col("lockers").cast("array<string>"), ",")))
+    with_cap = kept.join(caps, REQ).withColumn("lsel", _key(F.col("region_id"), F.col("locker_capacity"), F.array_join(F.col("lockers").cast("array<string>"), ",")))
     chosen = staged(with_cap.select("lsel", "region_id", "lockers", "locker_capacity").distinct(), "sweep-lockers")
     selected = chosen.select(F.col("lsel").alias("sel"), "region_id", F.col("lockers").alias("members"), F.col("locker_capacity").alias("capacity"))
     loads, capped_cells, cell_order = cell_assignments(selected, cells, lockers, walks, max_states)
@@ -396,7 +442,7 @@ def first_feasible(survivors: DataFrame) -> DataFrame:
     return survivors.groupBy(*REQ).agg(F.min_by("members", "ordinal").alias("members"), F.min("ordinal").alias("ordinal"))
 
 
-def selection_outcomes(cells, lockers, depots, walks, flights, limits: DataFrame, plausible: DataFrame, max_states: int | None = 100_000) -> DataFrame:
+def selection_outcomes(cells, lockers, depots, walks, flights, limits: DataFrame, plausible: DataFrame, max_states: int | None = None) -> DataFrame:
     """(region_id, lockers, depots, status): the outcome of each exact selection.
 
     ``limits(region_id, ...)`` has one row of limits for each region."""
@@ -427,7 +473,7 @@ RELAXED = {
 }
 
 
-def blocking_rules(cells, lockers, depots, walks, flights, requests: DataFrame, max_states: int | None = 100_000) -> DataFrame:
+def blocking_rules(cells, lockers, depots, walks, flights, requests: DataFrame, max_states: int | None = None) -> DataFrame:
     """(request, rule_id): rules whose relaxation alone makes an unsatisfiable request feasible."""
     count = lambda t, name: t.groupBy("region_id").agg(F.count(F.lit(1)).cast("int").alias(name))
     base = requests.join(count(lockers, "_l"), "region_id").join(count(depots, "_d"), "region_id")

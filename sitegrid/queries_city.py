@@ -380,3 +380,14 @@ def t6(spark, d):
 def w6(spark, d):
     sites = City(spark, d).table("supplier").where("s_suppkey < 702").select(F.col("s_suppkey").alias("site_id"), F.col("s_suppkey").alias("ord"))
     return shortlist.label_sites(sites).drop("ord")
+
+
+_LETTER = "chr((65 + ({0}))::int)"
+_EVERY = f"case when k < 26 then {_LETTER.format('k')} when k < 702 then {_LETTER.format('(k - 26) // 26')} || {_LETTER.format('(k - 26) % 26')} else {_LETTER.format('(k - 702) // 676 % 26')} || {_LETTER.format('(k - 702) // 26 % 26')} || {_LETTER.format('(k - 702) % 26')} end"
+
+
+@query("w6_label_every", f"select k as row_id, {_EVERY} as label from (select (o_orderkey % 18278)::bigint as k from orders)")
+def w6_every(spark, d):
+    """Labels of one, two and three letters."""
+    rows = City(spark, d).table("orders").select((F.col("o_orderkey") % 18_278).alias("row_id"), (F.col("o_orderkey") % 18_278).alias("ord"))
+    return shortlist.label_sites(rows).drop("ord")

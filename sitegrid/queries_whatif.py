@@ -16,13 +16,13 @@ LIST = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)  # n
 
 @query("e1_combinations", sql("lsets", "select region_id, row_number() over (partition by region_id order by places) - 1 as ordinal, array_to_string(members, ',') as members, m::bigint as mask from lsets where k = 2"))
 def e1(spark, d):
-    return whatif.combinations(Blocks(spark, d).lockers(), 2).select(KEY, "ordinal", LIST("members"), "mask")
+    return whatif.combinations(Blocks(spark, d).lockers(), 2).select(KEY, "ordinal", LIST("members"), F.get("mask", F.lit(0)).alias("mask"))
 
 
 @query("e2_selections", sql("lsel", "select region_id, request_id, ordinal, array_to_string(members, ',') as members, m::bigint as mask from lsel"))
 def e2(spark, d):
     b = Blocks(spark, d)
-    return whatif.selections(b.requests(), b.world()[1], "locker").select(KEY, "request_id", "ordinal", LIST("members"), "mask")
+    return whatif.selections(b.requests(), b.world()[1], "locker").select(KEY, "request_id", "ordinal", LIST("members"), F.get("mask", F.lit(0)).alias("mask"))
 
 
 @query("e3_screen", sql("screened", "select region_id, request_id, l_ordinal, d_ordinal, array_to_string(lockers, ',') as lockers, array_to_string(depots, ',') as depots, stage from screened"))
