@@ -1,22 +1,31 @@
 """Quality classifier by hierarchical empirical Bayes.
 
 A logistic classifier reads the outward form of a text (how runs of lower case, upper case,
-digits and other characters follow each other). It is fitted on at most SAMPLE labelled
+digits and other characters follow each other) and its repetition (words that repeat the one
+before, distinct words). It is fitted on at most SAMPLE labelled
 documents. All labels are then added up by site and by path within the site: a site's
 posterior is its labelled share shrunk toward the global share, a path's is its share shrunk
-toward its site's, each by a prior strength that the spread between groups gives. The
-document's evidence and its path's posterior are added as log odds.
+toward its site's, each by a prior strength that the spread between groups of a parent, around
+that parent's own share, gives. The
+document's evidence and its path's posterior are added as log odds. A labelled document's own
+label is left out of the posteriors of its site and path.
 
-Defined results: a null or empty text has the evidence of an empty document; a null site or
+Defined results: a null or empty text has the evidence of an empty document; a very long text is
+read whole; a null site or
 path is a group of its own; documents without labels in their group get the prior of the
 level above; a document with several labels counts with their mean; null labels are left
-out; without labels of both kinds the classifier is silent (p = 1/2) and the prior is 1/2;
-repeated rows are returned as often as they come; an empty table gives an empty one.
+out; of rows that share a labelled identifier one, the same in every run, is fitted, and all
+count for their groups; without labels of both kinds the classifier is silent (p = 1/2) and the
+prior is 1/2; a quality of exactly 1/2 is kept;
+repeated rows are returned as often as they come; an empty table gives an empty one; other
+columns are not read, so their names may clash with those of the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +36,8 @@ from .common import written
 
 SAMPLE, WIDTH, ROUNDS, RIDGE = 8_000, 256, 300, 1e-3
 WEAKEST, STRONGEST = 2.0, 1_000.0
+#: Places of a feature vector: form pairs, repetition, a constant.
+PLACES = WIDTH + 4
 
 _FORM = np.arange(256, dtype=np.int64)
 _FORM[97:123], _FORM[65:91], _FORM[48:58], _FORM[128:] = 1, 2, 3, 1
@@ -34,9 +45,9 @@ _FORM[[32, 9, 10, 11, 12, 13]] = 0
 
 
 def features(text: str | None) -> np.ndarray:
-    """Square roots of the shares of form pairs, hashed to WIDTH places, and a constant."""
-    out = np.zeros(WIDTH + 1, np.float32)
-    out[WIDTH] = 1
+    """Square roots of the shares of form pairs, hashed to WIDTH places; repetition; a constant."""
+    out = np.zeros(PLACES, np.float32)
+    out[-1] = 1
     x = _FORM[np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)]
     if len(x) > 1:
         length = np.diff(np.concatenate([np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])), [len(x)]]))
@@ -44,6 +55,10 @@ def features(text: str | None) -> np.ndarray:
         code = runs * 3 + np.minimum(length, 3) - 1
         pairs = (code[:-1] * 1_000_003 + code[1:] * 7_919) % WIDTH if len(code) > 1 else code % WIDTH
         out[:WIDTH] = np.sqrt(np.bincount(pairs, minlength=WIDTH) / len(pairs))
+    words = (text or "").lower().split()
+    if words:
+        again = sum(map(eq, words, islice(words, 1, None))) / len(words)
+        out[WIDTH : WIDTH + 3] = again, again**0.5, len(set(words)) / len(words)
     return out
 
 
@@ -55,20 +70,23 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), b.column(1)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), b.column(1), b.column(2)], ["x", "y", "doc_id"])
 
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y").mapInArrow(run, "x binary, y double")
+    kind = labels.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "y", "doc_id").mapInArrow(run, f"x binary, y double, doc_id {kind}")
+    # identifiers that repeat give one row, whatever the order
+    return rows.groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")).orderBy("doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Weights of the classifier, by accelerated gradient steps on the bounded sample."""
-    rows = _labelled(docs, labels).limit(2 * SAMPLE).collect()
+    rows = _labelled(docs, labels).collect()
     if not rows:
-        return np.zeros(WIDTH + 1)
+        return np.zeros(PLACES)
     x, y = np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float64), np.array([r.y for r in rows])
     if y.min() == y.max():
-        return np.zeros(WIDTH + 1)
-    w = ahead = np.zeros(WIDTH + 1)
+        return np.zeros(PLACES)
+    w = ahead = np.zeros(PLACES)
     rate = 4.0 / np.linalg.norm(x, 2) ** 2 * len(x)
     for k in range(ROUNDS):
         slope = x.T @ (1 / (1 + np.exp(-x @ ahead)) - y) / len(x) + RIDGE * ahead
@@ -91,15 +109,16 @@ def evidence(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
-def _strength(groups: DataFrame, mean: float) -> float:
-    """Prior strength from the spread of the groups' shares beyond what chance gives."""
-    share = F.col("good") / F.col("n")
-    row = groups.agg(F.sum(F.col("n") * (share - mean) ** 2).alias("spread"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).first()
+def _strength(groups: DataFrame, around) -> float:
+    """Prior strength of groups (good, n) from the spread of their shares around the parent's,
+    beyond what chance gives."""
+    chance = around * (1 - around)
+    away = F.col("n") * (F.col("good") / F.col("n") - around) ** 2
+    row = groups.agg(F.sum(away).alias("spread"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.sum(chance).alias("chances"), F.sum(F.col("n") * chance).alias("chance")).first()
     if not row.n or row.groups < 2:
         return STRONGEST
-    chance = mean * (1 - mean)
-    between = (row.spread - row.groups * chance) / row.n
-    return float(np.clip(chance / between - 1, WEAKEST, STRONGEST)) if between > 0 else STRONGEST
+    between = (row.spread - row.chances) / row.n
+    return float(np.clip(row.chance / row.n / between - 1, WEAKEST, STRONGEST)) if between > 0 else STRONGEST
 
 
 def logit(p):
@@ -110,19 +129,24 @@ def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     """(doc_id, host, path, evidence, host_posterior, path_posterior, quality, keep)."""
     named = docs.select("doc_id", "text", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
     rows = written(evidence(named, fit(docs, labels), ["doc_id", "host", "path"]), "quality-rows")
-    marks = labels.where("quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("y"))
-    paths = written(rows.join(marks, "doc_id").groupBy("host", "path").agg(F.sum("y").alias("good"), F.count(F.lit(1)).alias("n")), "quality-paths")
+    marks = labels.where("quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("y")).withColumnRenamed("doc_id", "_marked")
+    rows = written(rows.join(marks, F.col("doc_id") == F.col("_marked"), "left").drop("_marked"), "quality-marked")
+    paths = written(rows.where("y is not null").groupBy("host", "path").agg(F.sum("y").alias("good"), F.count(F.lit(1)).alias("n")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     good, n = hosts.agg(F.sum("good"), F.sum("n")).first()
     prior = (good + 1) / (n + 2) if n else 0.5
-    s_host = _strength(hosts, prior)
-    hosts = hosts.select(F.col("host").alias("_h"), ((F.col("good") + s_host * prior) / (F.col("n") + s_host)).alias("host_posterior"))
-    s_path = _strength(paths, prior)
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("_h"))).select(
-        F.col("host").alias("_ph"), F.col("path").alias("_pp"), ((F.col("good") + s_path * F.col("host_posterior")) / (F.col("n") + s_path)).alias("path_posterior")
-    )
+    s_host = _strength(hosts, F.lit(prior))
+    hosts = hosts.select(F.col("host").alias("_h"), F.col("good").alias("_hg"), F.col("n").alias("_hn"))
+    within = paths.join(hosts, F.col("host").eqNullSafe(F.col("_h"))).withColumn("around", (F.col("_hg") + s_host * prior) / (F.col("_hn") + s_host))
+    s_path = _strength(within, F.col("around"))
+    paths = paths.select(F.col("host").alias("_ph"), F.col("path").alias("_pp"), F.col("good").alias("_pg"), F.col("n").alias("_pn"))
     out = rows.join(hosts, F.col("host").eqNullSafe(F.col("_h")), "left").join(paths, F.col("host").eqNullSafe(F.col("_ph")) & F.col("path").eqNullSafe(F.col("_pp")), "left")
-    out = out.withColumn("host_posterior", F.coalesce("host_posterior", F.lit(prior))).withColumn("path_posterior", F.coalesce("path_posterior", "host_posterior"))
+    # counts of the group without the document's own label
+    own, one = F.coalesce("y", F.lit(0.0)), F.when(F.col("y").isNotNull(), 1).otherwise(0)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    shrunk = lambda good, n, strength, around: (zero(good) - own + strength * around) / (zero(n) - one + strength)
+    out = out.withColumn("host_posterior", shrunk("_hg", "_hn", s_host, F.lit(prior)))
+    out = out.withColumn("path_posterior", shrunk("_pg", "_pn", s_path, F.col("host_posterior")))
     p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("p")))
     odds = logit(p) + logit(F.col("path_posterior")) - float(np.log(prior / (1 - prior)))
     quality = 1 / (1 + F.exp(-odds))
