@@ -6,16 +6,18 @@ of its source's documents. The queue is sorted globally by finish time and trunc
 the total budget is spent.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in the
-order; documents of size 0 are returned with taken = 0; repeated rows are separate documents;
-an empty table gives an empty table; further columns of the input are not read.
+order; documents of size 0 are returned with taken = 0; repeated rows, and rows that share an
+identifier, are separate documents, ordered by size where all else ties; a very long text is
+counted whole, and may be the one that the budget cuts; an empty table gives an empty table;
+further columns of the input are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, running_totals, written
+from .common import WORD, bloom_of, hashed, may_be, running_totals, written
 
 WEIGHTS, EPOCHS, SEED = (5, 2, 1), 3, 17
 
@@ -44,8 +46,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> t
     return ranked.select("source", "source_size", target.alias("target")), int(total)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): words of each document in the mix.
+def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: int = SEED, keep: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken): words of each document in the mix, and
+    the columns that ``keep`` names.
 
     ``taken`` counts repeats and is at most ``epochs`` times the size; the document at which
     the budget ends is taken in part. All sums are exact integers, so reruns agree whatever
@@ -57,12 +60,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: int = SEED
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 16).alias("u"),
+            *[c.alias(n) for n, c in (keep or {}).items()],
         ),
         "mix-sizes",
     )
     targets, budget = source_targets(sizes, weights, epochs)
     order = [F.col("source").asc_nulls_last(), F.col("u"), F.col("doc_id"), F.col("size")]
-    queue = running_totals(sizes, order, {"seen": F.col("size"), "row": F.lit(1)}, "mix-queue")
+    queue = running_totals(sizes, order, {"seen": F.col("size"), "row": F.lit(1)}, "mix-queue", spread_ties=True)
     starts = running_totals(targets, [F.col("source").asc_nulls_last()], {"end": F.col("source_size")}, "mix-starts")
     starts = starts.select(F.col("source").alias("_source"), "source_size", "target", (F.col("end") - F.col("source_size")).alias("start"))
     queue = queue.join(starts, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -72,18 +76,36 @@ def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: int = SEED
     )
     spent = running_totals(items, [F.col("finish"), F.col("u"), F.col("row"), F.col("epoch")], {"spent": F.col("size")}, "mix-finish")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.lit(budget) - F.col("spent") + F.col("size")))
-    return spent.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(F.sum(part).cast("long").alias("taken")).drop("row")
+    return spent.groupBy("row", "doc_id", "source", "size", "source_size", "target", *(keep or ())).agg(F.sum(part).cast("long").alias("taken")).drop("row")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a document appears once for each full
-    repeat taken, the last one cut to the words that the budget left. Identifiers are taken
-    to be unique; rows that share one take the words of the first."""
-    taken = mix(docs, **options).where("taken > 0").groupBy("doc_id").agg(F.max("taken").alias("__taken"), F.max("size").alias("__size")).withColumnRenamed("doc_id", "__doc_id")
-    full = F.floor(F.col("__taken") / F.col("__size"))
-    rest = F.col("__taken") % F.col("__size")
-    lengths = F.concat(F.array_repeat(F.col("__size"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__doc_id"))).withColumn("__words", F.explode(lengths))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("__words").cast("int")), " ")
-    text = F.when(F.col("__words") < F.col("__size"), cut).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeat taken, the last one cut to the words that the budget left.
+
+    Documents that the mix takes once, whole, stay where they are; only the others move to meet
+    what is taken of them. Documents are told apart by identifier, source and text; equal ones
+    share their repeats out.
+    """
+    text = F.xxhash64("text")
+    taken = mix(docs, keep={"_text": text}, **options)
+    full = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
+    rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
+    # of all documents one at most is cut
+    sums = taken.groupBy("doc_id", "source", "_text").agg(F.sum(full).alias("_full"), F.sum(rest).alias("_rest"), F.max("size").alias("_size"), F.count(F.lit(1)).alias("_n"))
+    changed = sums.where("_full <> _n or _rest > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_text", "_full", "_rest", "_size", "_n", hashed("doc_id", "source", "_text").alias("_h"))
+    changed = written(changed, "mix-changed")
+    rows = docs.withColumn("__h", hashed("doc_id", "source", text)).withColumn("__maybe", may_be(bloom_of(changed.select("_h")), F.col("__h"), docs.sparkSession))
+    same = (F.col("__h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    met = rows.where("__maybe").join(changed, same, "left")
+    # equal documents: the first ones repeat once more, the first is the one that is cut
+    own = [F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])]
+    nth = F.row_number().over(Window.partitionBy("__h", "doc_id", "source").orderBy(*own))
+    met = met.withColumn("__nth", nth)
+    times = F.floor(F.col("_full") / F.col("_n")) + F.when(F.col("__nth") <= F.col("_full") % F.col("_n"), 1).otherwise(0)
+    cut = F.when((F.col("__nth") == 1) & (F.col("_rest") > 0), F.array(F.col("_rest"))).otherwise(F.array().cast("array<bigint>"))
+    lengths = F.when(F.col("_n").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.concat(F.array_repeat(F.lit(None).cast("long"), times.cast("int")), cut))
+    met = met.withColumn("__words", F.explode(lengths))
+    short = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("__words").cast("int")), " ")
+    met = met.withColumn("text", F.when(F.col("__words").isNotNull(), short).otherwise(F.col("text")))
+    return rows.where("not __maybe").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(met.select(*[F.col(f"`{c}`") for c in docs.columns]))
