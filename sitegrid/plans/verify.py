@@ -8,10 +8,13 @@ the recomputed measured_mm and route_ok.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import return_mm
+from ..functions.staging import staged
 
 PLAN = ["region_id", "plan_id"]
 WALK_LIMIT_MM = 500_000
@@ -203,75 +206,113 @@ def rule_groups(requests: DataFrame) -> DataFrame:
 # -- the whole audit ----------------------------------------------------------------------
 
 
+def _listed(errors: list[tuple]) -> Column:
+    """One struct (code, scope, n) for every (code, scope, n) whose n is above 0."""
+    one = lambda code, scope, n: F.when(n > 0, F.struct(F.lit(code).alias("code"), scope.alias("scope"), n.cast("long").alias("n")))
+    return F.explode(F.array_compact(F.array(*[one(*e) for e in errors])))
+
+
 class Audit:
-    """All pieces of a batch of plans, and the violations they give."""
+    """All pieces of a batch of plans, and the violations they give.
+
+    What several answers need is staged when it is first asked for.
+    """
 
     def __init__(self, cells, lockers, depots, walks, requests, plan_sites, plan_cells, plan_supply, plan_outages, walk_limit_mm: int = WALK_LIMIT_MM):
         self.cells, self.lockers, self.depots, self.requests, self.sites, self.outages = cells, lockers, depots, requests, plan_sites, plan_outages
-        self.limit = walk_limit_mm
-        self.judged = judged_assignments(plan_sites, plan_cells, cells, walks)
-        self.loads = locker_loads(plan_sites, self.judged)
-        self.scopes = outage_scopes(plan_sites, plan_outages, requests)
-        self.supplies = judged_supplies(plan_sites, plan_supply, self.scopes, lockers, depots)
-        self.scope_loads = _scope_loads(plan_sites, self.supplies, self.loads, self.scopes)
+        self.limit, self._walks, self._plan_cells, self._plan_supply = walk_limit_mm, walks, plan_cells, plan_supply
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        return staged(judged_assignments(self.sites, self._plan_cells, self.cells, self._walks), "audit-judged")
+
+    @cached_property
+    def loads(self) -> DataFrame:
+        return staged(locker_loads(self.sites, self.judged), "audit-loads")
+
+    @cached_property
+    def scopes(self) -> DataFrame:
+        return staged(outage_scopes(self.sites, self.outages, self.requests), "audit-scopes")
+
+    @cached_property
+    def supplies(self) -> DataFrame:
+        return staged(judged_supplies(self.sites, self._plan_supply, self.scopes, self.lockers, self.depots), "audit-supplies")
+
+    @cached_property
+    def scope_loads(self) -> DataFrame:
+        return staged(_scope_loads(self.sites, self.supplies, self.loads, self.scopes), "audit-scope-loads")
 
     def errors(self) -> DataFrame:
         """(plan, code, scope, n): each broken rule of a plan, and how many rows break it. Scope is
-        ``locker``, ``depot``, ``normal`` or ``outage:<depot>``; empty where there is only one."""
-        req, one = self.requests, F.count(F.lit(1)).alias("n")
-        row = lambda df, code, scope=F.lit(""): df.select(*PLAN, F.lit(code).alias("code"), scope.alias("scope"), F.lit(1).cast("long").alias("n"))
-        many = lambda df, code, scope=F.lit(""): df.groupBy(*PLAN, scope.alias("scope")).agg(one).select(*PLAN, F.lit(code).alias("code"), "scope", "n")
-        scope = F.when(F.col("outage_depot").isNull(), F.lit("normal")).otherwise(F.concat(F.lit("outage:"), F.col("outage_depot").cast("string")))
-        out = [many(validate_requests(req, self.lockers, self.depots), "invalid_request")]
+        ``locker``, ``depot``, ``normal`` or ``outage:<depot>``; empty where there is only one.
+
+        Each child table is summed once, by plan or by plan and scope; the sums meet in one row,
+        whose broken rules are listed.
+        """
+        limits = self.requests.select(*PLAN, "locker_capacity", "depot_capacity", "flight_limit_mm", F.coalesce("outage_tolerance", F.lit(0)).alias("tolerance"))
+        judged, total = self._assignments(), self._demand()
+        plans = self._by_plan(limits, judged, total)
+        scopes = self._by_scope(limits, judged.select(*PLAN, F.col("got_n").alias("_n"), F.col("got")))
+        invalid = validate_requests(self.requests, self.lockers, self.depots).groupBy(*PLAN).agg(F.count(F.lit(1)).alias("n"))
+        out = invalid.select(*PLAN, F.lit("invalid_request").alias("code"), F.lit("").alias("scope"), "n")
+        return out.unionByName(plans).unionByName(scopes)
+
+    def _demand(self) -> DataFrame:
+        return self.cells.groupBy("region_id").agg(F.sum("parcels").alias("parcels"), F.count(F.lit(1)).alias("cells"))
+
+    def _assignments(self) -> DataFrame:
+        good = F.col("good")
+        return self.judged.groupBy(*PLAN).agg(
+            F.count_if(~good).alias("bad"), F.count_if(good & ((F.col("measured_mm") > self.limit) | (F.col("measured_mm") != F.col("distance_mm")))).alias("far"), F.count_if(good & ~F.col("route_ok")).alias("broken"),
+            F.sum(F.when(good, F.col("parcels"))).alias("got"), F.count_if(good).alias("got_n"),
+        )
+
+    def _by_plan(self, limits: DataFrame, judged: DataFrame, total: DataFrame) -> DataFrame:
+        yes = lambda c: F.when(c, 1).otherwise(0)
+        heavy = self.loads.join(limits.select(*PLAN, "locker_capacity"), PLAN).groupBy(*PLAN).agg(F.count_if((F.col("load") <= 0) | (F.col("load") > F.col("locker_capacity"))).alias("heavy"))
+        rows = self.requests.select(*PLAN, "max_lockers", "max_depots", "fixed_lockers", "fixed_depots", F.coalesce("outage_tolerance", F.lit(0)).alias("tolerance"))
+        errors = []
         for kind, sites in (("locker", self.lockers), ("depot", self.depots)):
-            lists = selection_lists(self.sites, req, kind)
-            strange = unknown_sites(self.sites.where(F.col("kind") == kind), sites).select(*PLAN)
-            twice = lists.where(F.size("chosen") > F.size(F.array_distinct("chosen"))).select(*PLAN)
-            out += [
-                row(strange.union(twice).distinct(), "site_unknown_or_dup", F.lit(kind)),
-                row(lists.where(F.size("chosen") > F.col(f"max_{kind}s")), "too_many", F.lit(kind)),
-                row(selection_matches(self.sites, req, kind).where("not matches"), "exact_changed", F.lit(kind)),
-            ]
-        total = self.cells.groupBy("region_id").agg(F.sum("parcels").alias("parcels"), F.count(F.lit(1)).alias("cells"))
-        good = self.judged.where("good").groupBy(*PLAN).agg(F.sum("parcels").alias("got"), one)
-        covered = req.select(*PLAN).join(total, "region_id").join(good, PLAN, "left")
-        limits = req.select(*PLAN, "locker_capacity", "depot_capacity", "flight_limit_mm", F.coalesce("outage_tolerance", F.lit(0)).alias("tolerance"))
-        n_sites = lambda kind: self.sites.where(F.col("kind") == kind).groupBy(*PLAN).agg(F.count(F.lit(1)).alias(f"n_{kind}s"))
-        every = req.select(*PLAN).withColumn("outage_depot", F.lit(None).cast("long")).unionByName(self.scopes.select(*PLAN, "outage_depot"))
-        done = self.supplies.where("good").groupBy(*PLAN, "outage_depot").agg(F.count(F.lit(1)).alias("supplied"), F.countDistinct("depot_id").alias("used"))
-        sums = self.scope_loads.groupBy(*PLAN, "outage_depot").agg(F.sum("load").alias("carried"))
+            known = sites.select("region_id", "site_id").distinct().withColumn("_known", F.lit(True))
+            mine = self.sites.where(F.col("kind") == kind).join(known, ["region_id", "site_id"], "left")
+            mine = mine.groupBy(*PLAN).agg(F.collect_list("site_id").alias(f"_{kind}s"), F.bool_or(F.col("_known").isNull()).alias(f"_odd_{kind}"))
+            rows = rows.join(mine, PLAN, "full").withColumn(f"_{kind}s", F.coalesce(f"_{kind}s", F.array().cast("array<long>")))
+            chosen, fixed = F.col(f"_{kind}s"), F.col(f"fixed_{kind}s")
+            same = (F.size(chosen) == F.size(fixed)) & (F.size(F.array_except(fixed, chosen)) == 0)
+            twice = F.size(chosen) > F.size(F.array_distinct(chosen))
+            errors += [("site_unknown_or_dup", F.lit(kind), yes(F.coalesce(f"_odd_{kind}", F.lit(False)) | twice)), ("too_many", F.lit(kind), yes(F.size(chosen) > F.col(f"max_{kind}s"))), ("exact_changed", F.lit(kind), yes(fixed.isNotNull() & ~same))]
+        named = self.outages.groupBy(*PLAN).agg(F.collect_list("depot_id").alias("_named"))
+        rows = rows.join(named, PLAN, "left").withColumn("_named", F.coalesce("_named", F.array().cast("array<long>"))).join(judged, PLAN, "full").join(heavy, PLAN, "left").join(total, "region_id", "left")
+        asked, own, tolerant = F.col("_named"), F.array_distinct("_depots"), F.col("tolerance") == 1
+        odd = (F.size(asked) > F.size(F.array_distinct(asked))) | (F.size(F.array_except(asked, own)) > 0)
+        lacking = (F.size(asked) != F.size("_depots")) | (F.size(F.array_except(own, asked)) > 0)
+        one = F.lit("")
+        short = F.col("tolerance").isNotNull() & F.col("cells").isNotNull() & ((F.coalesce("got_n", F.lit(0)) != F.col("cells")) | (F.coalesce("got", F.lit(0)) != F.col("parcels")))
+        errors += [
+            ("bad_assignment", one, F.col("bad")), ("walk_limit", one, F.col("far")), ("broken_route", one, F.col("broken")), ("demand_not_covered", one, yes(short)), ("locker_capacity_or_use", one, F.col("heavy")),
+            ("unexpected_outage", one, F.when(F.col("tolerance") == 0, F.size(asked))), ("outage_unknown_or_dup", one, yes(tolerant & odd)), ("outage_missing", one, yes(tolerant & lacking)),
+        ]
+        return rows.select(*PLAN, _listed(errors).alias("e")).select(*PLAN, "e.*")
+
+    def _by_scope(self, limits: DataFrame, got: DataFrame) -> DataFrame:
         keyed = lambda t: t.withColumn("_o", F.coalesce("outage_depot", F.lit(-1).cast("long"))).drop("outage_depot")
-        per = every.withColumn("_o", F.coalesce("outage_depot", F.lit(-1).cast("long"))).join(keyed(done), [*PLAN, "_o"], "left").join(keyed(sums), [*PLAN, "_o"], "left")
-        per = per.join(n_sites("locker"), PLAN, "left").join(n_sites("depot"), PLAN, "left").join(good.select(*PLAN, "got"), PLAN, "left").na.fill(0, ["supplied", "used", "carried", "n_lockers", "n_depots", "got"])
-        loads = self.scope_loads.join(limits, PLAN)
+        key, zero = [*PLAN, "_o"], lambda c: F.coalesce(c, F.lit(0))
+        good, yes = F.col("good"), lambda c: F.when(c, 1).otherwise(0)
+        flown = self.supplies.join(limits.select(*PLAN, "flight_limit_mm"), PLAN, "left")
+        done = keyed(flown).groupBy(*key).agg(
+            F.count_if(~good).alias("bad"), F.count_if(good & (F.col("return_mm") > F.col("flight_limit_mm"))).alias("far"), F.count_if(good).alias("supplied"), F.countDistinct(F.when(good, F.col("depot_id"))).alias("used")
+        )
         over = (F.col("load") > F.col("depot_capacity")) | (F.col("outage_depot").isNull() & (F.col("load") <= 0))
-        named = self.outages.join(limits.select(*PLAN, "tolerance"), PLAN)
-        own = open_sites(self.sites, "depot").withColumnRenamed("site_id", "depot_id")
-        tolerant = named.where("tolerance = 1").select(*PLAN, "depot_id")
-        doubled = tolerant.groupBy(*PLAN, "depot_id").count().where("count > 1").select(*PLAN)
-        foreign = tolerant.join(own, [*PLAN, "depot_id"], "left_anti").select(*PLAN)
-        lacking = own.join(limits.where("tolerance = 1").select(*PLAN), PLAN, "left_semi").join(tolerant, [*PLAN, "depot_id"], "left_anti").select(*PLAN)
-        counted = limits.where("tolerance = 1").select(*PLAN).join(tolerant.groupBy(*PLAN).agg(F.count(F.lit(1)).alias("a")), PLAN, "left").join(n_sites("depot"), PLAN, "left").na.fill(0)
-        out += [
-            many(self.judged.where("not good"), "bad_assignment"),
-            many(self.judged.where("good").where((F.col("measured_mm") > self.limit) | (F.col("measured_mm") != F.col("distance_mm"))), "walk_limit"),
-            many(self.judged.where("good and not route_ok"), "broken_route"),
-            row(covered.where((F.coalesce("n", F.lit(0)) != F.col("cells")) | (F.coalesce("got", F.lit(0)) != F.col("parcels"))), "demand_not_covered"),
-            many(self.loads.join(limits, PLAN).where((F.col("load") <= 0) | (F.col("load") > F.col("locker_capacity"))), "locker_capacity_or_use"),
-            many(self.supplies.where("not good"), "bad_supply", scope),
-            many(self.supplies.where("good").join(limits, PLAN).where(F.col("return_mm") > F.col("flight_limit_mm")), "flight_limit", scope),
-            row(per.where(F.col("supplied") != F.col("n_lockers")), "supply_incomplete", scope),
-            row(per.where(F.col("outage_depot").isNull() & (F.col("used") != F.col("n_depots"))), "unused_depot"),
-            many(loads.where(over), "depot_capacity_or_use", scope),
-            row(per.where(F.col("carried") != F.col("got")), "supply_not_conserved", scope),
-            many(named.where("tolerance = 0"), "unexpected_outage"),
-            row(doubled.union(foreign).distinct(), "outage_unknown_or_dup"),
-            row(counted.where(F.col("a") != F.col("n_depots")).select(*PLAN).union(lacking).distinct(), "outage_missing"),
+        sums = keyed(self.scope_loads.join(limits.select(*PLAN, "depot_capacity"), PLAN, "left").withColumn("over", over)).groupBy(*key).agg(F.sum("load").alias("carried"), F.count_if("over").alias("over"))
+        every = keyed(self.requests.select(*PLAN).withColumn("outage_depot", F.lit(None).cast("long")).unionByName(self.scopes.select(*PLAN, "outage_depot"))).withColumn("_asked", F.lit(True))
+        n_sites = self.sites.groupBy(*PLAN).agg(F.count_if(F.col("kind") == "locker").alias("n_lockers"), F.count_if(F.col("kind") == "depot").alias("n_depots"))
+        per = every.join(done, key, "full").join(sums, key, "full").join(n_sites, PLAN, "left").join(got.drop("_n"), PLAN, "left")
+        scope, normal, asked = F.when(F.col("_o") == -1, F.lit("normal")).otherwise(F.concat(F.lit("outage:"), F.col("_o").cast("string"))), F.col("_o") == -1, F.col("_asked").isNotNull()
+        errors = [
+            ("bad_supply", scope, F.col("bad")), ("flight_limit", scope, F.col("far")), ("supply_incomplete", scope, yes(asked & (zero("supplied") != zero("n_lockers")))),
+            ("unused_depot", F.lit(""), yes(asked & normal & (zero("used") != zero("n_depots")))), ("depot_capacity_or_use", scope, F.col("over")), ("supply_not_conserved", scope, yes(asked & (zero("carried") != zero("got")))),
         ]
-        errors = out[0]
-        for e in out[1:]:
-            errors = errors.unionByName(e)
-        return errors
+        return per.select(*PLAN, _listed(errors).alias("e")).select(*PLAN, "e.*")
 
     def verification(self, errors: DataFrame) -> DataFrame:
         """One row for each plan: valid, error codes, totals and extremes."""
