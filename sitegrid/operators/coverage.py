@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+
 KEY = "region_id"
 
 
@@ -80,10 +82,9 @@ def exact_assignment_space(counts: DataFrame) -> dict:
 
 def coverage_masks(walks: DataFrame, cells: DataFrame) -> DataFrame:
     """(region_id, locker_id, word, mask): bit i of word w stands for the region's cell 63 w + i."""
-    order = Window.partitionBy(KEY).orderBy("cell_id")
-    numbered = cells.select(KEY, "cell_id").withColumn("_ord", F.row_number().over(order) - 1)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_ord") % 63)
-    joined = walks.join(numbered, [KEY, "cell_id"])
+    placed = numbered(cells.select(KEY, "cell_id"), KEY, ["cell_id"], "_ord")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_ord") % 63).cast("int"))
+    joined = walks.join(placed, [KEY, "cell_id"])
     return joined.groupBy(KEY, "locker_id", F.floor(F.col("_ord") / 63).alias("word")).agg(F.bit_or(bit).alias("mask"))
 
 
@@ -111,5 +112,5 @@ def nearest_choice(walks: DataFrame, selection: DataFrame) -> DataFrame:
 def constrained_order(cells: DataFrame, walks: DataFrame, selection: DataFrame) -> DataFrame:
     """Cells by fewest selected choices, most parcels, then id in collation order."""
     n = choice_counts(cells, _chosen(walks, selection)).join(cells.select(KEY, "cell_id", "parcels"), [KEY, "cell_id"])
-    order = Window.partitionBy(KEY).orderBy("choices", F.desc("parcels"), F.collate(F.col("cell_id").cast("string"), "UNICODE"))
-    return n.withColumn("pos", F.row_number().over(order))
+    order = ["choices", F.desc("parcels"), F.collate(F.col("cell_id").cast("string"), "UNICODE")]
+    return numbered(n, KEY, order, "pos").withColumn("pos", (F.col("pos") + 1).cast("int"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from ..functions.scalars import letters
 from ..functions.staging import staged
 
@@ -84,8 +85,8 @@ def greedy_shortlist(reach: DataFrame, nodes: DataFrame, cells: DataFrame, need:
     if steps is None:
         empty = reach.select(KEY, F.lit(0).alias("ord"), "node_id", F.lit(0).cast("long").alias("gain"), F.col("distance_mm").alias("worst_mm")).limit(0)
         return empty, status
-    order = Window.partitionBy(KEY).orderBy("loss", "worst", "node_id")
-    return steps.select(KEY, (F.row_number().over(order) - 1).alias("ord"), "node_id", (-F.col("loss")).alias("gain"), F.col("worst").alias("worst_mm")), status
+    placed = numbered(steps, KEY, ["loss", "worst", "node_id"], "ord")
+    return placed.select(KEY, F.col("ord").cast("int").alias("ord"), "node_id", (-F.col("loss")).alias("gain"), F.col("worst").alias("worst_mm")), status
 
 
 def diff_shortlist(steps: DataFrame, stored: DataFrame) -> DataFrame:

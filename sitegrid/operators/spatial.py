@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up, return_mm
@@ -56,43 +56,49 @@ def nearest_nodes(targets: DataFrame, nodes: DataFrame, exclude: DataFrame, widt
     """(region_id, target_id, ord, node_id, offset_mm): each target's nearest free node.
 
     Ties go to the smaller rounded offset, then the smaller node. Targets of a region are served
-    in the order of ``ord``, each taking its node away from the later ones. A round serves the
-    next target of every region at once, and searches rings of grid buckets that widen until
-    the ring's inner radius exceeds the best offset found.
+    in the order of ``ord``, each taking its node away from the later ones; where there are fewer
+    nodes than targets, the last ones get none. All targets ask at once: a node goes to the
+    first of those who ask, the others ask again for one that no earlier target holds. So the
+    rounds follow the length of such chains, not the number of targets.
     """
-    free = staged(nodes.join(exclude.select(KEY, "node_id"), [KEY, "node_id"], "left_anti"), "near-free")
-    last = targets.agg(F.max("ord")).first()[0]
-    first = targets.agg(F.min("ord")).first()[0]
-    taken = None
-    for turn in range(first, last + 1) if last is not None else ():
-        pool = free if taken is None else free.join(taken.select(KEY, "node_id"), [KEY, "node_id"], "left_anti")
-        found = _nearest(targets.where(F.col("ord") == turn), pool, width)
-        taken = staged(found if taken is None else taken.unionByName(found), "near-taken")
-    if taken is None:
-        return targets.join(nodes.select(KEY, "node_id"), KEY).select(KEY, "target_id", "ord", "node_id", F.lit(0).cast("long").alias("offset_mm")).limit(0)
-    return taken
+    free = staged(nodes.join(exclude.select(KEY, "node_id"), [KEY, "node_id"], "left_anti").select(KEY, "node_id", "x_mm", "y_mm"), "near-free")
+    n = free.groupBy(KEY).agg(F.count(F.lit(1)).alias("_nodes"))
+    first = Window.partitionBy(KEY).orderBy("ord", "target_id")
+    asked = targets.select(KEY, "target_id", "ord", "x_mm", "y_mm", F.row_number().over(first).alias("_turn")).join(n, KEY).where(F.col("_turn") <= F.col("_nodes")).drop("_nodes")
+    asked = staged(asked, "near-targets")
+    out = [KEY, "target_id", "ord", "_turn", "node_id", "offset_mm"]
+    held, open_ = None, asked
+    while not open_.isEmpty():
+        holders = free.select(KEY, "node_id", F.lit(None).cast("int").alias("_by")).limit(0) if held is None else held.select(KEY, "node_id", F.col("_turn").alias("_by"))
+        found = _nearest(open_, free.join(holders, [KEY, "node_id"], "left"), width)
+        both = staged(found if held is None else held.unionByName(found), "near-asked")
+        best = both.groupBy(KEY, "node_id").agg(F.min(F.struct("_turn", "target_id", "ord", "offset_mm")).alias("m"))
+        held = staged(best.select(KEY, "m.target_id", "m.ord", "m._turn", "node_id", "m.offset_mm").select(*out), "near-held")
+        open_ = staged(asked.join(held.select(KEY, "_turn"), [KEY, "_turn"], "left_anti").select(*asked.columns), "near-open")
+    if held is None:
+        return asked.join(free.select(KEY, "node_id"), KEY).select(KEY, "target_id", "ord", "node_id", F.lit(0).cast("long").alias("offset_mm")).limit(0)
+    return held.drop("_turn")
 
 
 def _nearest(targets: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    gx, gy = _cells("x_mm", "y_mm", width)
-    bucketed = nodes.select(KEY, "node_id", F.col("x_mm").alias("_nx"), F.col("y_mm").alias("_ny"), gx.alias("_gx"), gy.alias("_gy"))
-    # only regions that have a node can be served
-    open_targets = targets.join(nodes.select(KEY).distinct(), KEY, "left_semi").select(KEY, "target_id", "ord", "x_mm", "y_mm")
-    done, ring = None, 1
+    """Each target's nearest node of those that no earlier one holds (``_by``). A target looks into
+    its grid bucket and the eight around it, of a width that doubles until the best offset found
+    is below it."""
+    turn, done = targets, None
     while True:
-        span = F.array(*[F.lit(k) for k in range(-ring, ring + 1)])
-        tx, ty = _cells("x_mm", "y_mm", width)
-        around = open_targets.withColumn("_gx", F.explode(F.transform(span, lambda k: tx + k))).withColumn("_gy", F.explode(F.transform(span, lambda k: ty + k)))
+        gx, gy = _cells("x_mm", "y_mm", width)
+        bucketed = nodes.select(KEY, "node_id", "_by", F.col("x_mm").alias("_nx"), F.col("y_mm").alias("_ny"), gx.alias("_gx"), gy.alias("_gy"))
         dx, dy = (F.col("x_mm") - F.col("_nx")).cast("double"), (F.col("y_mm") - F.col("_ny")).cast("double")
         offset = half_up(F.sqrt(dx * dx + dy * dy))
-        best = around.join(bucketed, [KEY, "_gx", "_gy"]).groupBy(KEY, "target_id", "ord").agg(F.min(F.struct(offset.alias("offset_mm"), "node_id")).alias("m"))
-        # nothing outside the ring is nearer than its inner radius
-        sure = staged(best.where(F.col("m.offset_mm") < ring * width).select(KEY, "target_id", "ord", "m.node_id", "m.offset_mm"), "near-sure")
+        met = _near(turn, "x_mm", "y_mm", width).join(bucketed, [KEY, "_gx", "_gy"]).where(F.col("_by").isNull() | (F.col("_by") > F.col("_turn")))
+        best = met.groupBy(KEY, "target_id", "ord", "_turn").agg(F.min(F.struct(offset.alias("offset_mm"), "node_id")).alias("m"))
+        # nothing outside the nine buckets is nearer than one width
+        sure = staged(best.where(F.col("m.offset_mm") < width).select(KEY, "target_id", "ord", "_turn", "m.node_id", "m.offset_mm"), "near-sure")
         done = sure if done is None else done.unionByName(sure)
-        open_targets = staged(open_targets.join(sure, [KEY, "target_id"], "left_anti"), "near-open")
-        if open_targets.isEmpty():
+        turn = staged(turn.join(sure.select(KEY, "_turn"), [KEY, "_turn"], "left_anti").select(*turn.columns), "near-turn")
+        if turn.isEmpty():
             return done
-        ring *= 2
+        width *= 2
 
 
 def bbox(cells: DataFrame) -> DataFrame:

@@ -105,14 +105,17 @@ def _named(df: DataFrame) -> DataFrame:
     return df.withColumns({"members": F.transform("places", lambda p: F.get("ids", p)), "mask": _mask(F.col("places"), _words(F.size("ids")))})
 
 
-def combinations(sites: DataFrame, k: int, max_rows: int | None = None) -> DataFrame:
+def combinations(sites: DataFrame, k: int | DataFrame, max_rows: int | None = None) -> DataFrame:
     """(region_id, ordinal, members, mask): all k-subsets of each region's sites, in lexicographic
-    order. Raises if a region has more than ``max_rows`` of them."""
-    lists = site_lists(sites).withColumn("_size", choose(F.size("ids").cast("long"), F.lit(k).cast("long")))
+    order. ``k`` is one number or (region_id, k). Raises if a region has more than ``max_rows``
+    of them."""
+    lists = site_lists(sites)
+    lists = lists.join(k.select("region_id", "k"), "region_id") if isinstance(k, DataFrame) else lists.withColumn("k", F.lit(k))
+    lists = lists.withColumn("_size", choose(F.size("ids").cast("long"), F.col("k").cast("long")))
     if max_rows is not None and not lists.where(F.col("_size") > max_rows).isEmpty():
         raise ValueError(f"a region has more than {max_rows} selections")
     rows = _expand(lists, F.col("_size"))
-    return _named(rows.withColumn("places", _unrank(F.size("ids"), F.lit(k), F.col("ordinal")))).select("region_id", "ordinal", "members", "mask")
+    return _named(rows.withColumn("places", _unrank(F.size("ids"), F.col("k"), F.col("ordinal")))).select("region_id", "ordinal", "members", "mask")
 
 
 def selections(requests: DataFrame, sites: DataFrame, kind: str) -> DataFrame:
@@ -224,10 +227,13 @@ def plausible_selections(cells: DataFrame, lockers: DataFrame, depots: DataFrame
     return rows.where(ok).select("region_id", "lockers", "depots")
 
 
-def resilience_audit(cells: DataFrame, lockers: DataFrame, depots: DataFrame, walks: DataFrame, flights: DataFrame, k: int, limit_mm: int) -> DataFrame:
+def resilience_audit(cells: DataFrame, lockers: DataFrame, depots: DataFrame, walks: DataFrame, flights: DataFrame, k: int | DataFrame, limit_mm: int | DataFrame) -> DataFrame:
     """(region_id, depots, robust_lockers, covered, full): for every k-subset of depots, lockers
-    with two or more of them in range, and the cells that those reach."""
-    near = flights.where(F.col("return_mm") <= limit_mm).select("region_id", "locker_id", "depot_id")
+    with two or more of them in range, and the cells that those reach. ``k`` and ``limit_mm``
+    are numbers, or tables (region_id, k) and (region_id, flight_limit_mm)."""
+    limit = F.col("flight_limit_mm") if isinstance(limit_mm, DataFrame) else F.lit(limit_mm)
+    flights = flights.join(limit_mm.select("region_id", "flight_limit_mm"), "region_id") if isinstance(limit_mm, DataFrame) else flights
+    near = flights.where(F.col("return_mm") <= limit).select("region_id", "locker_id", "depot_id")
     sets = combinations(depots, k).select("region_id", "ordinal", F.col("members").alias("depots"))
     robust = sets.select("region_id", "ordinal", F.explode("depots").alias("depot_id")).join(near, ["region_id", "depot_id"]).groupBy("region_id", "ordinal", "locker_id").count().where("count >= 2")
     seen = robust.join(walks.select("region_id", "locker_id", "cell_id"), ["region_id", "locker_id"], "left").groupBy("region_id", "ordinal").agg(F.countDistinct("locker_id").alias("robust_lockers"), F.countDistinct("cell_id").alias("covered"))

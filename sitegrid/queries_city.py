@@ -391,3 +391,34 @@ def w6_every(spark, d):
     """Labels of one, two and three letters."""
     rows = City(spark, d).table("orders").select((F.col("o_orderkey") % 18_278).alias("row_id"), (F.col("o_orderkey") % 18_278).alias("ord"))
     return shortlist.label_sites(rows).drop("ord")
+
+
+@query(
+    "t3_diff_lists",
+    "with a as (select s_suppkey as ord, s_suppkey * 17 % 1000 as node_id from supplier), b as (select ord, case when ord % 10 = 3 then -node_id else node_id end as node_id from a where ord % 25 <> 7 union all select ord + 100000, node_id from a where ord % 40 = 1)"
+    " select ord, a.node_id as replayed, b.node_id as stored from a full join b using (ord) where a.node_id is distinct from b.node_id",
+)
+def t3_lists(spark, d):
+    """A list of sites against one with changed, missing and added places."""
+    k = F.col("s_suppkey").cast("long")
+    steps = City(spark, d).table("supplier").select(F.lit(0).alias(KEY), k.alias("ord"), (k * 17 % 1000).alias("node_id"))
+    changed = steps.withColumn("node_id", F.when(F.col("ord") % 10 == 3, -F.col("node_id")).otherwise(F.col("node_id"))).where("ord % 25 <> 7")
+    return shortlist.diff_shortlist(steps, changed.unionByName(steps.where("ord % 40 = 1").withColumn("ord", F.col("ord") + 100_000))).drop(KEY)
+
+
+_LINE = "(s.x_mm + 100) || ':' || s.y_mm || ',' || s.x_mm || ':' || s.y_mm"
+
+
+@query("g7_edge_geometry", sql("nodes edges", f"select e.edge_id as route, {_LINE} || ',' || s.x_mm || ':' || s.y_mm || ',' || t.x_mm || ':' || t.y_mm as line from edges e join nodes s on s.node_id = e.src join nodes t on t.node_id = e.dst union all select 'none-' || s.node_id, {_LINE} from nodes s"))
+def g7_edges(spark, d):
+    """Lines of the routes of one edge, from a cell beside each edge's start, and of empty routes."""
+    c = City(spark, d)
+    at = c.nodes().select("node_id", F.struct("lon", "lat").alias("p"))
+    edges = c.edges().join(at.withColumnsRenamed({"node_id": "src", "p": "a"}), "src").join(at.withColumnsRenamed({"node_id": "dst", "p": "b"}), "dst").withColumn("coordinates", F.array("a", "b"))
+    cells = c.nodes().select(KEY, F.col("node_id").alias("cell_id"), "node_id", (F.col("lon") + 1e-5).alias("lon"), "lat")
+    walks = edges.select(KEY, F.col("src").alias("cell_id"), F.col("dst").alias("locker_id"), F.array("edge_id").alias("edge_ids"))
+    stay = cells.select(KEY, "cell_id", F.lit(-1).cast("long").alias("locker_id"), F.array().cast("array<string>").alias("edge_ids"))
+    mm = lambda v, base: scalars.half_up((v - base) * 1e7).cast("string")
+    line = F.array_join(F.transform("line", lambda p: F.concat(mm(p["lon"], 24), F.lit(":"), mm(p["lat"], 60))), ",")
+    route = F.when(F.col("locker_id") < 0, F.concat(F.lit("none-"), F.col("cell_id").cast("string"))).otherwise(F.concat_ws("-", "cell_id", "locker_id"))
+    return graph.route_geometry(walks.unionByName(stay), cells, c.nodes(), edges).select(route.alias("route"), line.alias("line"))

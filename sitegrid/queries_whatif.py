@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .bindings import KEY, Blocks, City
+from .bindings import KEY, Blocks, City, Plans
 from .functions.scalars import choose
 from .oracles import sql
 from .plans import reports, whatif
@@ -73,7 +73,28 @@ def e6(spark, d):
     return whatif.cover_within(masks, numbered, 3).select(KEY, F.col("witness").isNotNull().alias("covered"), F.when(F.col("witness").isNotNull(), F.size("witness")).alias("sites"))
 
 
-@query("e7_assign_units")
+def _walked(start: str, most: str, used: str) -> str:
+    """Every assignment of items ``io`` to bins along ``ch``, one item after another; ``fin`` are the
+    complete ones."""
+    return f"""st(sel, pos, loads, path) as ({start}
+      union all select s.sel, s.pos + 1, list_transform(s.loads, lambda x, i: x + case when i = c.bin + 1 then c.w else 0 end), list_append(s.path, c.rank)
+      from st s join ch c on c.sel = s.sel and c.pos = s.pos where s.loads[c.bin + 1] + c.w <= {most}),
+    fin as (select sel, loads, min(path) as path from st join (select sel, count(*) as items from io group by 1) using (sel) where pos = items and ({used}) group by 1, 2)"""
+
+
+_LISTED = lambda c: f"array_to_string({c}, ',') as {c}"
+_CELLS = """, it as (select c.region_id as sel, c.cell_id, c.parcels as w, count(w.locker_id) as nc from bc c left join bw w using (region_id, cell_id) group by 1, 2, 3),
+    io as (select *, row_number() over (partition by sel order by nc, w desc, cell_id::varchar) - 1 as pos from it),
+    ch as (select sel, pos, io.w, row_number() over (partition by sel, io.cell_id order by ord) - 1 as rank, ord as bin from io join bw on bw.region_id = sel and bw.cell_id = io.cell_id), """
+_FLOWN = """, it as (select region_id, locker_id, 200 + locker_id * 37 % 300 as w from bf group by 1, 2),
+    ou as ({0}),
+    nc as (select sel, f.locker_id, any_value(w) as w, count(*) filter (return_mm <= 6000000 and f.depot_id is distinct from gone) as nc from ou join bf f using (region_id) join it on it.locker_id = f.locker_id group by 1, 2),
+    io as (select *, row_number() over (partition by sel order by nc, w desc, locker_id::varchar) - 1 as pos from nc),
+    ch as (select sel, pos, w, row_number() over (partition by sel, f.locker_id order by d_ord) - 1 as rank, d_ord as bin from ou join bf f using (region_id) join io using (sel, locker_id) where return_mm <= 6000000 and f.depot_id is distinct from gone), """
+_BINS = "select sel, 0::bigint, list_transform(range({n}), lambda x: 0::bigint), []::bigint[] from {t}"
+
+
+@query("e7_assign_units", sql("bl bc bw", _CELLS + _walked(_BINS.format(n="count(*)", t="(select region_id as sel from bl) group by 1"), "600", "len(list_filter(loads, lambda x: x = 0)) = 0") + f" select sel as region_id, {_LISTED('loads')}, {_LISTED('path')} from fin"))
 def e7(spark, d):
     """Load vectors of every region's full locker set under a capacity of 600."""
     b = Blocks(spark, d)
@@ -91,7 +112,7 @@ def _loads(b: Blocks):
     return ids.select(KEY, "members", "depots", loads.alias("loads"), F.lit(Blocks.FLIGHT_MM).alias("flight_limit_mm"), F.lit(800).alias("capacity")), flights, depots
 
 
-@query("e8_assign_suppliers")
+@query("e8_assign_suppliers", sql("bf bd", _FLOWN.format("select distinct region_id, region_id as sel, null::bigint as gone from bf") + _walked(_BINS.format(n="count(*)", t="ou join bd using (region_id) group by 1"), "800", "len(list_filter(loads, lambda x: x = 0)) = 0") + " select sel as region_id, count(*) as load_vectors, array_to_string(min(path), ',') as path from fin group by 1"))
 def e8(spark, d):
     states, flights, depots = _loads(Blocks(spark, d))
     rows = states.withColumns({"sel": F.col(KEY).cast("string"), "outage_depot": F.lit(None).cast("long")})
@@ -99,7 +120,7 @@ def e8(spark, d):
     return final.groupBy("sel").agg(F.count(F.lit(1)).alias("load_vectors"), F.min("path").alias("path")).select(F.col("sel").cast("long").alias(KEY), "load_vectors", LIST("path"))
 
 
-@query("e9_outage_plans")
+@query("e9_outage_plans", sql("bf bd", _FLOWN.format("select distinct region_id, region_id || '|' || depot_id as sel, depot_id as gone from bf") + _walked(_BINS.format(n="count(*)", t="ou join bd using (region_id) group by 1"), "800", "true") + " select region_id, gone as outage_depot, count(fin.sel) > 0 as served, array_to_string(min(path), ',') as path from ou left join fin using (sel) group by 1, 2"))
 def e9(spark, d):
     states, flights, depots = _loads(Blocks(spark, d))
     rows = states.withColumn("outage_depot", F.explode("depots")).withColumn("sel", F.concat_ws("|", KEY, "outage_depot"))
@@ -240,15 +261,20 @@ def r2(spark, d):
 
 @query("r3_expansion_report")
 def r3(spark, d):
-    """Every block's own expansion: shortlist from its walks, extra depots, four-depot witnesses."""
+    """Every block's own expansion: shortlist from its walks, extra depots, witnesses for three and four."""
     b = Blocks(spark, d)
     cells, lockers, depots, walks, _ = b.world()
     nodes = lockers.select(KEY, "node_id", "x_mm", "y_mm").dropDuplicates([KEY, "node_id"]).unionByName(cells.select(KEY, "node_id", "x_mm", "y_mm")).dropDuplicates([KEY, "node_id"])
     reach = walks.join(lockers.select(KEY, F.col("site_id").alias("locker_id"), "node_id"), [KEY, "locker_id"]).groupBy(KEY, "node_id", "cell_id").agg(F.min("distance_mm").alias("distance_mm"))
     report = reports.expansion_report(cells, nodes, depots, reach, 1, 80_000, b.FLIGHT_MM, 3)
-    n = report["lockers"].groupBy(KEY).agg(F.count(F.lit(1)).alias("lockers"), F.array_join(F.sort_array(F.collect_list("label")), ",").alias("labels"), F.sum("depots_in_reach").alias("flights_in_reach"))
-    four = report["witness"].groupBy(KEY).agg(F.count(F.lit(1)).alias("sets"), F.count("witness").alias("with_cover"))
-    return report["status"].join(n, KEY, "left").join(four, KEY, "left").join(report["extra"].groupBy(KEY).agg(F.sum("offset_mm").alias("offset_mm")), KEY, "left")
+    n = report["lockers"].groupBy(KEY).agg(F.count(F.lit(1)).alias("lockers"), F.array_join(F.sort_array(F.collect_list("label")), ",").alias("labels"), F.sum("depots_in_reach").alias("flights_in_reach"), F.sum("cells_in_reach").alias("walks_in_reach"))
+    sets = [report["witness"][k].groupBy(KEY).agg(F.count(F.lit(1)).alias(f"{name}_sets"), F.count("witness").alias(f"{name}_with_cover")) for k, name in ((3, "three"), (4, "four"))]
+    best = whatif.best_coverage(report["audit"][3]).select(KEY, F.col("best").alias("three_best"))
+    size = report["selections"].where("k = 4").select(KEY, F.col("size").alias("selections"))
+    out = report["status"].join(n, KEY, "left").join(report["extra"].groupBy(KEY).agg(F.sum("offset_mm").alias("offset_mm")), KEY, "left")
+    for t in (*sets, best, size):
+        out = out.join(t, KEY, "left")
+    return out
 
 
 @query("r4_result_summary")
@@ -259,3 +285,20 @@ def r4(spark, d):
     requests = b.requests().withColumnRenamed("request_id", "plan_id").join(plans["plan_sites"].select(KEY, "plan_id").distinct(), [KEY, "plan_id"], "left_semi")
     audit = Audit(cells, lockers, depots, walks.withColumns({"measured_mm": F.col("distance_mm"), "route_ok": F.lit(True)}), requests, walk_limit_mm=b.WALK_MM, **plans)
     return reports.result_summary(results, audit.verification(audit.errors()), plans["plan_sites"], b.requests())
+
+
+_SUMMARY = """select plan_id as request_id, case plan_id % 5 when 0 then 'unsat' when 1 then 'timeout' when 2 then 'error' else 'feasible' end as status,
+  case when plan_id % 5 = 0 then 'no network with ' || case when fixed_lockers is not null or fixed_depots is not null then 'this selection' else 'any selection of the candidates' end when plan_id % 5 = 1 then 'no conclusion' when plan_id % 5 = 2 then 'not verified'
+  else (select count(*) from plan_sites s where s.plan_id = r.plan_id and kind = 'locker') || ' lockers · ' || (select count(*) from plan_sites s where s.plan_id = r.plan_id and kind = 'depot') || ' depots · '
+    || coalesce((select sum(parcels) from judged j where j.plan_id = r.plan_id and good), 0)::bigint || ' parcels · ' || (select count(*) from judged j where j.plan_id = r.plan_id and good) || ' walks checked' end as summary from requests r"""
+
+
+@query("r4_plan_summary", sql("requests plan_sites judged", _SUMMARY))
+def r4_plans(spark, d):
+    """Summaries of the city's plans, with a status for each."""
+    a = Plans(spark, d).audit()
+    p = F.col("plan_id") % 5
+    status = F.when(p == 0, "unsat").when(p == 1, "timeout").when(p == 2, "error").otherwise("feasible")
+    requests = a.requests.withColumnRenamed("plan_id", "request_id")
+    results = a.requests.select(KEY, F.col("plan_id").alias("request_id"), status.alias("status"))
+    return reports.result_summary(results, a.verification(a.errors()), a.sites, requests).drop(KEY)

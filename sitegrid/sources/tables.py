@@ -60,7 +60,7 @@ def fingerprint(df: DataFrame, prefix: str = "parcel-") -> DataFrame:
     """
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
     counted = df.select(row.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    # the sum of 24-bit slices of salted hashes stands for a bucket's content in a fixed size
+    # the sum of 48-bit slices of salted hashes stands for a bucket's content in a fixed size
     slices = [F.sum(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(i)), "h", "n"), 256), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(8)]
     bucket = F.pmod(F.xxhash64("h"), F.lit(FINGERPRINT_BUCKETS))
     buckets = counted.groupBy(bucket.alias("b")).agg(F.sha2(F.concat_ws(",", *slices), 256).alias("s"), F.sum("n").alias("n"))

@@ -1,4 +1,4 @@
-"""Every registered query with SQL gives the same rows as DuckDB; the others run."""
+"""Every registered query with SQL gives the same rows as DuckDB; the others are executed."""
 
 import math
 from decimal import Decimal
@@ -43,7 +43,14 @@ def test_same_rows(spark, duck, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_runs(spark, sf_dir, name):
-    assert registry.QUERIES[name](spark, sf_dir).columns
+    """The others are executed; their results are held against brute force in test_domain."""
+    df = registry.QUERIES[name](spark, sf_dir)
+    rows = df.collect()
+    assert df.columns and (rows or name in MAY_BE_EMPTY)
+
+
+#: The smallest tables have no unsatisfiable request that one rule blocks.
+MAY_BE_EMPTY = {"e14_blocking_rules"}
 
 
 def test_entry(spark):
