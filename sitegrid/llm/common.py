@@ -103,8 +103,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def merged_chunks(parts: DataFrame, unite, finish=None, dtype=np.uint32) -> dict[int, bytes]:
     """Chunks of fixed-size tables that tasks emitted as (chunk, body), united chunk by chunk.
 
-    ``unite(held, x)`` folds one more body into the chunk held so far (``None`` at first) and
-    ``finish`` turns the result into what is sent. A chunk is united by one task as its bodies
+    ``unite(held, x)`` folds one more body, as an array of ``dtype``, into the chunk held so far
+    (``None`` at first) and ``finish`` turns the result into what is sent. A chunk is united by one task as its bodies
     stream by; the whole result has the size of one table.
     """
 

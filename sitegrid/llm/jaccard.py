@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join: rare-first prefixes, length, positional and suffix filters.
 
-1. One pass hashes every document's word shingles and counts them in a sketch of fixed size
-   (2**SKETCH_BITS counters). A counter's logarithm is a shingle's frequency level; with the
+1. One pass hashes every document's word shingles and counts them in a sketch whose size follows
+   the number of documents. A counter's logarithm is a shingle's frequency level; with the
    hash it orders all shingles, rare ones first. Any such order gives right results; the
    sketch decides only how few candidates there are.
 2. A second pass emits each set's prefix: two sets over the threshold share a shingle in
@@ -9,32 +9,40 @@
    through their digests, which Spark groups with map-side sums.
 3. Prefixes are dealt out by shingle and sorted. Members of a short run are paired; in a
    longer one the members with the commonest prefixes are pivots, paired with all others.
-   The length and positional filters hold for each pair before it leaves the task.
+   Shingles that the sketch finds in more than HOT documents are dealt out by document as
+   well, and meet their pivot in a salted join. The length and positional filters hold for
+   each pair before it leaves the task.
 4. Distinct pairs meet their full sets, pass the suffix filter and are verified exactly, once.
-5. In long runs, members that are not pivots and whose components still differ are paired
-   and verified too, a block of pivots at a time, so no link between components is lost and
-   no group of copies is expanded into all its pairs.
+5. In long runs, members whose components still differ are paired: those outside the run's
+   largest component against all, in a grid of blocks of BLOCK members, at first one member for
+   each component, then all. Pairs verified before are left out. So no link between components
+   is lost, no group of copies is expanded into all its pairs, and no run is one task's.
 
 Defined results: null texts, empty texts and texts without words have no shingles and are
-linked with nothing; rows that share a doc_id are one node; a null doc_id takes no part
-and gets a null component; an empty table gives an empty one; other columns are not read.
+linked with nothing; a very long text is shingled whole; rows that share a doc_id are one node
+(of their sets, each may link it); a null doc_id takes no part
+and gets a null component; of a component the smallest doc_id names it, so ties cannot arise;
+an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
-from .shingles import mixed, shingle_sets
+from .common import bloom_of, connected_components, merged_chunks, mixed, without, written
+from .shingles import shingle_sets
 
 WORDS, PERCENT = 4, 85
-SKETCH_BITS, BLOOM_BITS, CHUNK = 22, 23, 1 << 16
-SHORT_RUN, PIVOTS, BLOCK = 4, 1, 4096
+#: Counters of the sketch: about COUNTERS_A_DOC for each document, 2**bits in all, within these bounds.
+COUNTERS_A_DOC, LEAST_BITS, MOST_BITS, CHUNK = 64, 16, 26, 1 << 16
+#: Runs up to SHORT_RUN are paired whole; shingles of more than HOT documents are spread over SALTS.
+SHORT_RUN, PIVOTS, HOT, SALTS, BLOCK = 4, 1, 244, 16, 512
 _U = np.uint64
 
 
@@ -43,49 +51,32 @@ def need(total, percent: int):
     return -(-percent * total // (100 + percent))
 
 
-# -- fixed-size tables that tasks fill and Spark merges -----------------------------------
+# -- the frequency sketch -----------------------------------------------------------------
 
 
-def _merge(parts: DataFrame, kind: str) -> np.ndarray:
-    """Unite the chunks of bits that tasks emitted, or add their counters and take the logarithm
-    of the sums, a byte each; the result has a fixed size."""
-    sent = np.uint8 if kind == "sum" else np.uint32
+def sketch_bits(docs: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (COUNTERS_A_DOC * docs).bit_length()))
 
-    def out(at: int, held: np.ndarray) -> pa.RecordBatch:
-        if kind == "sum":
-            held = np.minimum(255, np.round(8 * np.log2(1.0 + held))).astype(np.uint8)
-        return pa.RecordBatch.from_pydict({"chunk": [at], "body": [held.tobytes()]})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, None
-        rows = ((i, b) for batch in batches for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        for i, b in rows:
-            x = np.frombuffer(b, sent)
-            if i != at:
-                if at is not None:
-                    yield out(at, held)
-                at, held = i, x.astype(np.int64 if kind == "sum" else np.uint32)
-            elif kind == "sum":
-                held += x
-            else:
-                held |= x
-        if at is not None:
-            yield out(at, held)
-
-    rows = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk bigint, body binary").collect()
-    return {r.chunk: np.frombuffer(bytes(r.body), sent) for r in rows}
+def level(count):
+    """Logarithm of a count, one byte."""
+    return np.minimum(255, np.round(8 * np.log2(1.0 + count))).astype(np.uint8)
 
 
 def _levels(parts: DataFrame, bits: int) -> np.ndarray:
     """The frequency level of every counter: one byte each, 2**bits in all."""
     out = np.zeros(1 << bits, np.uint8)
-    for i, x in _merge(parts, "sum").items():
-        out[i * CHUNK : (i + 1) * CHUNK] = x
+    part = lambda b: np.frombuffer(zlib.decompress(b), np.uint8)
+    total = lambda held, x: part(x).astype(np.int64) if held is None else held + part(x)
+    for i, body in merged_chunks(parts, total, level, np.uint8).items():
+        x = np.frombuffer(body, np.uint8)
+        out[i * CHUNK : i * CHUNK + len(x)] = x
     return out
 
 
 def _chunks(table: np.ndarray) -> list[tuple[int, bytes]]:
-    return [(k, table[i : i + CHUNK].tobytes()) for k, i in enumerate(range(0, len(table), CHUNK)) if table[i : i + CHUNK].any()]
+    """Mostly small counts, so they are packed."""
+    return [(k, zlib.compress(table[i : i + CHUNK].tobytes(), 1)) for k, i in enumerate(range(0, len(table), CHUNK)) if table[i : i + CHUNK].any()]
 
 
 # -- passes over the texts ----------------------------------------------------------------
@@ -102,7 +93,13 @@ def profiles(docs: DataFrame, words: int, bits: int) -> DataFrame:
     """A row for each document (size and 128-bit digest of its set) and the sketch's chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, waiting, held = np.zeros(1 << bits, np.uint32), [], 0
+        # a byte for each counter: a task's larger counts are frequent enough to tell
+        sketch, waiting, held = np.zeros(1 << bits, np.uint8), [], 0
+
+        def settle() -> None:
+            at, n = np.unique(np.concatenate(waiting), return_counts=True)
+            sketch[at] = np.minimum(255, sketch[at] + n)
+
         for batch in batches:
             for i, hashes, bounds in shingle_sets(batch.column(1), words):
                 n = len(bounds) - 1
@@ -114,12 +111,12 @@ def profiles(docs: DataFrame, words: int, bits: int) -> DataFrame:
                 waiting.append((hashes >> _U(64 - bits)).astype(np.int64))
                 held += len(hashes)
                 if held > 2_000_000:
-                    sketch += np.bincount(np.concatenate(waiting), minlength=1 << bits).astype(np.uint32)
-                    waiting, held = [], 0
+                    settle()
+                    waiting.clear()
+                    held = 0
         if waiting:
-            sketch += np.bincount(np.concatenate(waiting), minlength=1 << bits).astype(np.uint32)
-        # a byte for each counter: a task's larger counts are frequent enough to tell
-        for k, body in _chunks(np.minimum(sketch, 255).astype(np.uint8)):
+            settle()
+        for k, body in _chunks(sketch):
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, k, body), PROFILE.types, strict=True)], schema=PROFILE)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, chunk bigint, body binary")
@@ -142,6 +139,8 @@ def prefixes(docs: DataFrame, levels, words: int, percent: int, bits: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
+            if len(seen) > 100_000:
+                seen.clear()  # it only saves work
             ids = batch.column(0).to_pylist()
             for i, hashes, bounds in shingle_sets(batch.column(1), words):
                 digest = list(zip(_sums(hashes, bounds, 1).tolist(), _sums(hashes, bounds, 2).tolist(), strict=True))
@@ -174,26 +173,15 @@ def _unpacked(body: pa.Buffer) -> np.ndarray:
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(doc, tokens) of the ``wanted(doc)`` documents.
 
-    A Bloom filter of fixed size travels to the texts instead of the texts to a join; what it
+    A filter sized for them travels to the texts instead of the texts to a join; what it
     lets through wrongly is removed by the joins that follow.
     """
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((1 << BLOOM_BITS) // 32, np.uint32)
-        for batch in batches:
-            _bloom_add(table, np.asarray(batch.column(0)))
-        for k, body in _chunks(table):
-            yield pa.RecordBatch.from_pydict({"chunk": [k], "body": [body]})
-
-    bloom = np.zeros((1 << BLOOM_BITS) // 32, np.uint32)
-    for k, x in _merge(wanted.mapInArrow(fill, "chunk bigint, body binary"), "or").items():
-        bloom[k * CHUNK : k * CHUNK + len(x)] = x
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom)
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            batch = batch.filter(pa.array(_bloom_has(bloom.value, np.asarray(batch.column(0)))))
+            batch = batch.filter(pa.array(bloom.value.has(np.asarray(batch.column(0)))))
             if not batch.num_rows:
                 continue
             column = pa.concat_arrays([batch.column(1)])
@@ -203,24 +191,6 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(run, "doc bigint, tokens binary")
 
 
-def _bloom_at(ids: np.ndarray) -> Iterator[np.ndarray]:
-    h = mixed(ids.astype(np.int64).view(np.uint64) + _U(0x5851F42D4C957F2D))
-    for shift in (0, 20, 40):
-        yield ((h >> _U(shift)) & _U((1 << BLOOM_BITS) - 1)).astype(np.int64)
-
-
-def _bloom_add(table: np.ndarray, ids: np.ndarray) -> None:
-    for at in _bloom_at(ids):
-        np.bitwise_or.at(table, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
-
-
-def _bloom_has(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    out = np.ones(len(ids), bool)
-    for at in _bloom_at(ids):
-        out &= (table[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
-    return out
-
-
 # -- candidates ---------------------------------------------------------------------------
 
 
@@ -231,6 +201,21 @@ def _fits(at1: np.ndarray, at2: np.ndarray, percent: int) -> np.ndarray:
     return close & (1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) >= need(n1 + n2, percent))
 
 
+def _fit(at1: Column, at2: Column, percent: int) -> Column:
+    """The same as a column expression."""
+    size = lambda at: at.bitwiseAND(F.lit(0xFFFFFFFF))
+    left = lambda at: size(at) - F.shiftright(at, 32).bitwiseAND(F.lit(0xFFFFFF))
+    n1, n2 = size(at1), size(at2)
+    close = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+    return close & (F.least(left(at1), left(at2)) * (100 + percent) >= (n1 + n2) * percent)
+
+
+def is_hot(token: Column) -> Column:
+    """Whether the sketch counts a shingle in more than HOT documents. A task's counts end at 255,
+    so no run of the others is longer than that."""
+    return F.shiftrightunsigned(token, 56) > int(level(HOT))
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """Columns of sorted rows again, cut so that a token's rows are never split unless there
     are more than BLOCK of them; the last column is the rank of a row within its token."""
@@ -265,13 +250,21 @@ def _ranks(token: np.ndarray, last, base: int) -> tuple[np.ndarray, int, int]:
 
 
 def candidates(posted: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) with token null, and the members of long runs (token, x = doc, y = at, rank)."""
-    schema = "token bigint, x bigint, y bigint, rank bigint"
+    """Pairs (x, y) with token null, and the members of long runs (token, x = doc, y = at): all but
+    the pivots of those that one task sees whole, all of the hot ones."""
+    schema = "token bigint, x bigint, y bigint"
+    hot_level = int(level(HOT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_token, pivots = None, []
         for token, doc, at, rank in _runs(batches):
             x, y, rows = [], [], []
+            hot = (token.view(np.uint64) >> _U(56)) > hot_level
+            if hot.any():
+                yield pa.RecordBatch.from_arrays([pa.array(token[hot]), pa.array(doc[hot]), pa.array(at[hot])], ["token", "x", "y"])
+                token, doc, at, rank = token[~hot], doc[~hot], at[~hot], rank[~hot]
+                if not len(token):
+                    continue
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             size = np.diff(np.concatenate([start, [len(token)]]))
             length = np.repeat(size, size)
@@ -312,39 +305,50 @@ def candidates(posted: DataFrame, percent: int) -> DataFrame:
             x, y = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
             both = np.unique(np.stack([x, y], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
             rest = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            none = pa.nulls(len(both), pa.int64())
             if len(both):
-                yield pa.RecordBatch.from_arrays([none, pa.array(both[:, 0]), pa.array(both[:, 1]), none], ["token", "x", "y", "rank"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["token", "x", "y"])
             if len(rest):
-                yield pa.RecordBatch.from_arrays([pa.array(token[rest]), pa.array(doc[rest]), pa.array(at[rest]), pa.array(rank[rest].astype(np.int64))], ["token", "x", "y", "rank"])
-
-    return posted.repartition("token").sortWithinPartitions("token", "at", "doc").mapInArrow(run, schema)
-
-
-def unresolved(members: DataFrame, low: int, percent: int) -> DataFrame:
-    """Pairs of long-run members in different components, the first ranked low .. low + BLOCK."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_token, pd, pat, pc = None, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for token, doc, at, comp, rank_in, _ in _runs(batches):
-            x, y = [], []
-            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            for s, e in zip(start, [*start[1:], len(token)], strict=True):
-                if token[s] != open_token:
-                    open_token, pd, pat, pc = token[s], pd[:0], pat[:0], pc[:0]
-                for i in range(s, e):
-                    if len(pd):
-                        ok = np.flatnonzero((pc != comp[i]) & _fits(pat, np.full(len(pat), at[i]), percent))
-                        if len(ok):
-                            x.append(pd[ok])
-                            y.append(np.full(len(ok), doc[i]))
-                    if low <= rank_in[i] < low + BLOCK:
-                        pd, pat, pc = np.append(pd, doc[i]), np.append(pat, at[i]), np.append(pc, comp[i])
-            if x:
-                x, y = np.concatenate(x), np.concatenate(y)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
-
-    return members.select("token", "doc", "at", "comp", "rank").repartition("token").sortWithinPartitions("token", "at", "doc").mapInArrow(run, "x bigint, y bigint")
+                yield pa.RecordBatch.from_arrays([pa.array(token[rest]), pa.array(doc[rest]), pa.array(at[rest])], ["token", "x", "y"])
+
+    spread = F.when(is_hot(F.col("token")), F.pmod(F.xxhash64("doc"), F.lit(1 << 20))).otherwise(0)
+    return posted.repartition("token", spread).sortWithinPartitions("token", "at", "doc").mapInArrow(run, schema)
+
+
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("x"), F.greatest(x, y).alias("y")]
+
+
+def hot_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(x, y): the members of hot runs with their run's pivot, one for each run, in a salted join."""
+    hot = members.where(is_hot(F.col("token")))
+    pivots = hot.groupBy("token").agg(F.min(F.struct("at", "doc")).alias("p")).select("token", F.col("p.at").alias("_at"), F.col("p.doc").alias("_doc"))
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = hot.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(pivots, ["token", "salt"])
+    return met.where((F.col("doc") != F.col("_doc")) & _fit(F.col("at"), F.col("_at"), percent)).select(*_ordered("doc", "_doc"))
+
+
+def unresolved(members: DataFrame, components: DataFrame, percent: int, one_each: bool) -> tuple[DataFrame, DataFrame]:
+    """((x, y), (token)): pairs of a long run's members in different components, and the runs of
+    more than BLOCK members among them. The members outside the run's largest component meet all
+    of the run, dealt out as a grid of blocks; with ``one_each``, in the runs over BLOCK, only one
+    member for each of their components does."""
+    named = members.join(components.withColumnRenamed("node", "doc"), "doc", "left")
+    named = written(named.select("token", "doc", "at", F.coalesce("component", "doc").alias("comp")), "jac-named")
+    counts = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "doc")).alias("head"))
+    runs = counts.groupBy("token").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("big"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    heads_only = (F.col("size") > BLOCK) & F.lit(one_each)
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    apart = F.when(heads_only, F.col("comps") - 1).otherwise(F.col("size") - F.col("big.n"))
+    runs = written(runs.select("token", "size", F.col("big.comp").alias("_big"), heads_only.alias("_heads"), blocks(F.col("size")).alias("rows_"), blocks(apart).alias("cols_")), "jac-runs")
+    own = named.join(runs, "token")
+    place = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    heads = counts.join(runs.where("_heads"), "token").select("token", F.col("head.doc").alias("doc"), F.col("head.at").alias("at"), "comp", "_big", "rows_", "cols_")
+    lead = own.where("not _heads").select("token", "doc", "at", "comp", "_big", "rows_", "cols_").unionByName(heads)
+    pivots = lead.where(F.col("comp") != F.col("_big")).select("token", F.col("doc").alias("_doc"), F.col("at").alias("_at"), F.col("comp").alias("_comp"), place("cols_").alias("col"), every("rows_").alias("row"))
+    rest = own.select("token", "doc", "at", "comp", place("rows_").alias("row"), every("cols_").alias("col"))
+    met = rest.join(pivots, ["token", "row", "col"]).where((F.col("comp") != F.col("_comp")) & _fit(F.col("at"), F.col("_at"), percent))
+    return met.select(*_ordered("doc", "_doc")).distinct(), runs.where("_heads").select("token")
 
 
 # -- verification -------------------------------------------------------------------------
@@ -382,39 +386,46 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").select("x", "y", "left", "right").mapInArrow(run, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
+    bits = bits or sketch_bits(docs.count())
     profile = written(profiles(docs, words, bits), "jac-profile")
     rows = profile.where("chunk is null").select("doc_id", "n", "k1", "k2")
     levels = spark.sparkContext.broadcast(_levels(profile.where("chunk is not null").select("chunk", "body"), bits))
-    same = rows.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("first"))
+    same = rows.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    # written, so that a join with one very large group can be split
+    same = written(same.where("copies > 1").drop("copies"), "jac-same")
     equal = rows.join(same, ["n", "k1", "k2"]).where("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
     found = written(candidates(prefixes(docs, levels, words, percent, bits), percent), "jac-found")
-    pairs = written(found.where("token is null").select("x", "y").distinct(), "jac-pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
-    sets = written(sets_of(docs, wanted, words), "jac-sets")
-    links = written(verified(pairs, sets, percent).union(equal), "jac-links")
+    members = found.where("token is not null").select("token", F.col("x").alias("doc"), F.col("y").alias("at"))
+    pairs = written(found.where("token is null").select("x", "y").unionByName(hot_pairs(members, percent)).distinct(), "jac-pairs")
+    tried = pairs
+    links = written(verified(pairs, wanted_sets(docs, pairs, words), percent).union(equal), "jac-links")
     components = written(connected_components(links, "jac-cc"), "jac-cc")
-
-    members = found.where("token is not null").select("token", F.col("x").alias("doc"), F.col("y").alias("at"), "rank")
-    top, low = members.agg(F.max("rank")).first()[0], PIVOTS
-    while top is not None and low < top:
-        named = members.join(components.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-        mixed_runs = named.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("token")
-        more = written(unresolved(named.join(mixed_runs, "token", "left_semi"), low, percent).distinct(), "jac-more")
-        if not more.isEmpty():
-            wanted = more.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
-            extra = written(sets_of(docs, wanted, words), "jac-sets")
-            links = written(links.union(verified(more, extra, percent)), "jac-links")
-            components = written(connected_components(links, "jac-cc"), "jac-cc")
-        low += BLOCK
+    for one_each in (True, False):
+        if members.isEmpty():
+            break
+        more, large = unresolved(members, components, percent, one_each)
+        more = written(more.join(tried, ["x", "y"], "left_anti"), "jac-more")
+        # in the other runs all pairs have been tried
+        members = members.join(large, "token", "left_semi")
+        if more.isEmpty():
+            continue
+        tried = tried.unionByName(more)
+        links = written(links.union(verified(more, wanted_sets(docs, more, words), percent)), "jac-links")
+        components = written(connected_components(links, "jac-cc"), "jac-cc")
     named = rows.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def wanted_sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    wanted = written(pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct(), "jac-wanted")
+    return written(sets_of(docs, wanted, words), "jac-sets")
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that are linked, directly or not, to one with a smaller id."""
-    gone = jaccard_components(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    found = jaccard_components(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return without(docs, ["__gone"], found, [F.col("doc_id").cast("long")])
