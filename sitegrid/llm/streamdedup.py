@@ -75,6 +75,15 @@ def located(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
 
 
+def reads_files(docs: DataFrame) -> bool:
+    """Whether every row of ``docs`` has a place of its own in the files that it reads."""
+    try:
+        places = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    except AnalysisException:
+        return False
+    return places.groupBy(*LOCATOR).count().where("count > 1").isEmpty()
+
+
 def _points(text: str = "text") -> Column:
     return F.coalesce(F.char_length(text), F.lit(0)).cast("long")
 
@@ -89,7 +98,7 @@ def _runs(spark: SparkSession, store: str) -> int:
         return 0
 
 
-def deduplicate(docs: DataFrame, digest=sha256, store: str | None = None, as_files: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, digest=sha256, store: str | None = None, as_files: bool | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest, file, place), one row for each row of ``docs``.
 
     ``store`` is a folder in the shared file system that keeps the state: with the one of earlier
@@ -151,10 +160,10 @@ def split_by_bytes(texts: DataFrame, hits: DataFrame, digest) -> tuple[DataFrame
     return None if clash.isEmpty() else (fetched_.join(clash, "digest", "left_semi"), clash)
 
 
-def without_copies(docs: DataFrame, as_files: bool = False) -> DataFrame:
+def without_copies(docs: DataFrame, as_files: bool | None = None) -> DataFrame:
     """``docs`` with one row of each group of equal texts. The rows that go are found again by
     their locators; the others stay where they are."""
-    if not as_files:
+    if not (reads_files(docs) if as_files is None else as_files):
         docs = written(docs, "dedup-docs")
     gone = deduplicate(docs, as_files=True).where("not kept").select(*LOCATOR)
     at = {"__file": F.col("_metadata.file_path"), "__place": F.col("_metadata.row_index")}
