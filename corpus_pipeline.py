@@ -1,7 +1,14 @@
 """The corpus pipeline: language ID, exact dedup, near dedup, mixing, tokenising.
 
 Each stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet in
-the shared folder and read again as the next stage's documents.
+the shared folder and read again as the next stage's documents. All but the last return the columns
+of documents, whatever further ones there are and whatever their names.
+
+Defined results: documents with null or empty texts, or texts without letters, go in the first
+stage; very long texts are handled whole; a null doc_id loses ties in deduplication, is never
+linked to near copies and is mixed like any other; repeated rows are copies, of which one stays;
+ties go to the smaller doc_id, between sources and documents of the mix as in its operator;
+an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no learned language (no letter at all) go."""
+    """Documents in no learned language go: those without letters, and those far from every profile."""
     return langid.recognised(docs, langid.trained(docs))
 
 
