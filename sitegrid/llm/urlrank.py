@@ -6,13 +6,18 @@ starts from hosts of blocked pages and follows them backwards. A host is blocked
 distrust exceeds its trust by the threshold.
 
 Host edges are the absolute links of the pages, and the steps between a host and its parent
-domain (both ways), which tie a site's subdomains together. Links are counted by host pair
-before any shuffle; both propagations share one table keyed by (side, host), so a round is one
-join and one sum. Ranks are written to the shared folder every round.
+domain (both ways), which tie a site's subdomains together. A step never leads to a suffix under
+which others register: a single label, or a category of SUFFIXES under a country. Links are
+counted by host pair before any shuffle; both propagations share one table keyed by (side,
+host), so a round is one join and one sum. What moves is written to the shared folder every
+round; rounds end when the ranks change by less than a tolerance.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule,
-has no edges and is allowed; a null html has no links; hosts that no seed reaches are allowed;
-repeated rows count as often as they come; an empty table gives an empty one.
+has no edges and is allowed; a null html has no links; a very long url or html is read whole;
+hosts that no seed reaches are allowed, and so are those whose trust equals their distrust; of
+rules of equal length that fit, the later one decides;
+repeated rows count as often as they come; an empty table gives an empty one; columns of the
+input named like those of the result are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +29,9 @@ from .common import LOWER, UPPER, written
 
 #: (verdict, host, path): the longest fitting one decides.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-ROUNDS, DAMPING, THRESHOLD = 12, 0.85, 0.0
+ROUNDS, DAMPING, THRESHOLD, TOLERANCE, EVERY = 60, 0.85, 0.0, 1e-3, 4
+#: Categories under which countries register domains, as in co.uk or com.br.
+SUFFIXES = ("ac", "co", "com", "edu", "go", "gob", "gov", "gv", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 
 
 def host_of(url: Column) -> Column:
@@ -46,25 +53,32 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
     return rows.withColumns({"rule": rule, "ruled": verdict})
 
 
+def is_suffix(domain: Column) -> Column:
+    """Whether domains of different owners may stand below this one."""
+    category = F.lit(rf"^(?:{'|'.join(SUFFIXES)})\.[a-z][a-z]$")
+    return ~domain.contains(".") | F.regexp_like(domain, category)
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n) between different hosts; ``pages`` has host and html."""
     link = F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r"(?i)href=[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"), F.lit(1))))
     links = pages.where("host <> '' and html is not null").select(F.col("host").alias("src"), link.alias("dst"))
     links = links.withColumn("dst", F.translate("dst", UPPER, LOWER)).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    # every domain above a host: one step each, however many pages the host has
+    # every domain above a host up to its suffix: one step each, however many pages the host has
     hosts = pages.where("host <> ''").select("host").union(links.select("dst")).distinct()
     parts = F.split("host", r"\.")
-    chain = hosts.select(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")).alias("c"))
-    steps = chain.where(F.size("c") > 2).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 2), lambda i: F.struct(F.element_at("c", i).alias("a"), F.element_at("c", i + 1).alias("b")))).alias("s"))
-    steps = steps.select("s.a", "s.b").distinct()
+    chain = hosts.where(~F.col("host").rlike(r"(?:^|\.)[0-9]+$")).select(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")).alias("c"))
+    steps = chain.where(F.size("c") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.struct(F.element_at("c", i).alias("a"), F.element_at("c", i + 1).alias("b")))).alias("s"))
+    steps = steps.select("s.a", "s.b").where(~is_suffix(F.col("b"))).distinct()
     both = steps.union(steps.select("b", "a")).toDF("src", "dst").withColumn("n", F.lit(1).cast("long"))
     return links.union(both).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = 0.0) -> DataFrame:
     """(host, trust, distrust) from ``seeds(host, good, bad)``, each side starting with mass 1.
 
-    Mass of hosts without edges on a side returns to that side's seeds.
+    Mass of hosts without edges on a side returns to that side's seeds. Every EVERY rounds the
+    change of the last one is added up, and below ``tolerance`` no more follow.
     """
     sided = edges.select(F.lit("t").alias("side"), "src", "dst", "n").union(edges.select(F.lit("d"), F.col("dst"), F.col("src"), "n"))
     out = sided.groupBy("side", "src").agg(F.sum("n").alias("out"))
@@ -73,7 +87,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     mass = start.groupBy("side").agg(F.sum("m").alias("all"))
     start = written(start.join(mass, "side").select("side", "host", (F.col("m") / F.col("all")).alias("jump")), "url-seeds")
     ranks = start.select("side", "host", F.col("jump").alias("rank"))
-    for _ in range(rounds):
+    for k in range(rounds):
+        old = ranks
         moved = (
             ranks.join(sided, (ranks["side"] == sided["side"]) & (ranks["host"] == sided["src"]))
             .select(sided["side"], F.col("dst").alias("host"), (F.col("rank") * F.col("w") * damping).alias("m"))
@@ -84,17 +99,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
         kept = {r.side: r.kept for r in moved.groupBy("side").agg(F.sum("m").alias("kept")).collect()}
         back = F.when(F.col("side") == "t", F.lit(1.0 - kept.get("t", 0.0))).otherwise(F.lit(1.0 - kept.get("d", 0.0)))
         jumps = start.select("side", "host", (F.col("jump") * back).alias("m"))
-        ranks = written(moved.union(jumps).groupBy("side", "host").agg(F.sum("m").alias("rank")), "url-ranks")
+        ranks = moved.union(jumps).groupBy("side", "host").agg(F.sum("m").alias("rank"))
+        if tolerance and k % EVERY == EVERY - 1:
+            both = old.select("side", "host", (-F.col("rank")).alias("rank")).union(ranks).groupBy("side", "host").agg(F.abs(F.sum("rank")).alias("change"))
+            if (both.agg(F.sum("change")).first()[0] or 0.0) < tolerance:
+                break
+    ranks = written(ranks, "url-ranks")
     one = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("rank"))), F.lit(0.0))
     return ranks.groupBy("host").agg(one("t").alias("trust"), one("d").alias("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust), one row for each page."""
     rows = ruled(pages, rules)
     seeds = rows.where("ruled is not null and host <> ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad"))
     edges = written(host_edges(rows.select("host", "html")), "url-graph")
-    scores = propagate(edges, written(seeds, "url-marks"), rounds, damping)
+    scores = propagate(edges, written(seeds, "url-marks"), rounds, damping, tolerance)
     scored = rows.select("page_id", "host", "path", "rule", "ruled").join(scores, "host", "left")
     own = F.when(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)) > threshold, F.lit("block")).otherwise(F.lit("allow"))
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
