@@ -8,8 +8,9 @@ lacks it. The language with the least sum wins.
 Training counts every n-gram of every training text: tasks add them up by language, Spark sums
 them, and only the top ranks of each language are gathered (PROFILE * languages rows).
 
-Defined results: a text that is null or has no letter is ``und`` with score 0; ties go to the
-language that comes first; rows with a null language or text do not train; without any
+Defined results: a text that is null or has no letter is ``und`` with score 0; a very long text
+is read whole; ties between languages go to the one that comes first, ties between n-grams of
+one count to the smaller code; rows with a null language or text do not train; without any
 profile every document is ``und``; repeated rows count and are returned as often as they
 come; an empty table gives an empty one; other columns are not read.
 """
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PROFILE, SALTS, UNKNOWN = 400, 8, "und"
+#: A score below this is no learned language's: most of the n-grams are in no profile, or far off.
+LEAST_SCORE = 0.2
 HOLD = 3_000_000
 
 
@@ -160,7 +163,8 @@ def trained(docs: DataFrame, size: int = PROFILE) -> Model:
     return Model(train(docs.where(~held_out()).select("lang", "text"), size), size)
 
 
-def recognised(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without those whose text is in no learned language (``und``)."""
+def recognised(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` without those in no learned language: texts without letters (``und``), and texts
+    that are far from every profile."""
     seen = identify(docs, model, docs.columns, ("__lang_pred", "__score"))
-    return seen.where(F.col("__lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return seen.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
