@@ -25,3 +25,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sitegrid/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Grown:
+    """A table that a loop adds parts to: each part is written once, and all are read as one."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.parts, self.schema = spark, f"{shared_dir(spark)}/sitegrid/{label}-{uuid.uuid4().hex}", 0, None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """The part, read back."""
+        path, self.schema, self.parts = f"{self.path}/part={self.parts}", df.schema, self.parts + 1
+        df.write.parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)

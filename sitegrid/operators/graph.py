@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_safe_integer
-from ..functions.staging import staged
+from ..functions.staging import Grown, staged
 
 KEY = "region_id"
 
@@ -46,17 +46,16 @@ def bounded_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
     links = staged(edges.select(KEY, "edge_id", "src", "dst", "length_mm"), "path-links")
     key = [KEY, "origin", "node_id"]
     fresh = origins.where(F.col("budget_mm") >= 0).groupBy(*key).agg(F.max("budget_mm").alias("budget_mm"))
-    fresh = staged(fresh.withColumn("dist_mm", F.lit(0).cast("long")), "path-fresh")
-    found = fresh.select(*key, "dist_mm")
+    found = Grown(edges.sparkSession, "path-found")
+    fresh = found.add(fresh.withColumn("dist_mm", F.lit(0).cast("long")))
     while not fresh.isEmpty():
         step = fresh.join(links, (fresh[KEY] == links[KEY]) & (fresh["node_id"] == links["src"])).select(fresh[KEY], "origin", F.col("dst").alias("node_id"), "budget_mm", (F.col("dist_mm") + F.col("length_mm")).alias("dist_mm"))
         step = step.where(F.col("dist_mm") <= F.col("budget_mm")).groupBy(*key).agg(F.max("budget_mm").alias("budget_mm"), F.min("dist_mm").alias("dist_mm"))
         # only what is shorter than all distances found so far is written, and goes on
-        old = found.select(*[F.col(c).alias(f"_{c}") for c in (*key, "dist_mm")])
+        old = found.all().select(*[F.col(c).alias(f"_{c}") for c in (*key, "dist_mm")])
         known = (F.col(KEY) == F.col(f"_{KEY}")) & (F.col("origin") == F.col("_origin")) & (F.col("node_id") == F.col("_node_id")) & (F.col("_dist_mm") <= F.col("dist_mm"))
-        fresh = staged(step.join(old, known, "left_anti"), "path-fresh")
-        found = found.unionByName(fresh.select(*key, "dist_mm"))
-    best = found.groupBy(*key).agg(F.min("dist_mm").alias("dist_mm"))
+        fresh = found.add(step.join(old, known, "left_anti").select(*fresh.columns))
+    best = found.all().groupBy(*key).agg(F.min("dist_mm").alias("dist_mm"))
     near = best.select(KEY, "origin", F.col("node_id").alias("src"), F.col("dist_mm").alias("_d"))
     into = near.join(links, [KEY, "src"]).select(KEY, "origin", F.col("dst").alias("node_id"), (F.col("_d") + F.col("length_mm")).alias("dist_mm"), "edge_id")
     pred = into.groupBy(KEY, "origin", "node_id", "dist_mm").agg(F.min("edge_id").alias("pred_edge"))
@@ -70,18 +69,19 @@ def route_edges(paths: DataFrame, edges: DataFrame, targets: DataFrame) -> DataF
     back = paths.select(KEY, "origin", F.col("node_id").alias("at"), "dist_mm", "pred_edge")
     link = edges.select(KEY, F.col("edge_id").alias("pred_edge"), F.col("src").alias("_src"))
     back = staged(back.join(link, [KEY, "pred_edge"], "left"), "route-back")
-    walk = targets.select(KEY, "origin", "target", F.col("target").alias("at")).join(back, [KEY, "origin", "at"], "left")
-    walk = staged(walk.withColumn("edge_ids", F.array().cast("array<string>")), "route-walk")
-    ended = None
+    steps, hop = Grown(paths.sparkSession, "route-steps"), 0
+    at = targets.select(KEY, "origin", "target", F.col("target").alias("at"))
     while True:
-        over = walk.where(F.col("pred_edge").isNull()).select(KEY, "origin", "target", F.when(F.col("dist_mm") == 0, F.col("edge_ids")).alias("edge_ids"))
-        ended = over if ended is None else ended.unionByName(over)
-        going = walk.where(F.col("pred_edge").isNotNull())
-        going = going.select(KEY, "origin", "target", F.col("_src").alias("at"), F.concat(F.array("pred_edge"), "edge_ids").alias("edge_ids"))
-        walk = staged(going.join(back, [KEY, "origin", "at"], "left"), "route-walk")
-        if walk.isEmpty():
+        # a row for each route and hop, whatever its length
+        here = at.join(back, [KEY, "origin", "at"], "left")
+        here = steps.add(here.select(KEY, "origin", "target", F.lit(hop).alias("hop"), "dist_mm", "pred_edge", "_src"))
+        going = here.where("pred_edge is not null")
+        if going.isEmpty():
             break
-    return ended.withColumn("ok", F.col("edge_ids").isNotNull())
+        at, hop = going.select(KEY, "origin", "target", F.col("_src").alias("at")), hop + 1
+    edge = F.when(F.col("pred_edge").isNotNull(), F.struct((-F.col("hop")).alias("back"), F.col("pred_edge").alias("edge_id")))
+    routes = steps.all().groupBy(KEY, "origin", "target").agg(F.sort_array(F.collect_list(edge)).alias("l"), F.bool_or(F.col("pred_edge").isNull() & F.coalesce(F.col("dist_mm") == 0, F.lit(False))).alias("ok"))
+    return routes.select(KEY, "origin", "target", F.when(F.col("ok"), F.transform("l", lambda e: e["edge_id"])).alias("edge_ids"), "ok")
 
 
 def measure_routes(walks: DataFrame, cells: DataFrame, lockers: DataFrame, edges: DataFrame) -> DataFrame:
