@@ -373,3 +373,152 @@ def test_choose_of_every_size(spark, sf_dir):
     sizes = {r.p_size for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size").distinct().collect()}
     assert max(sizes) > 33
     assert {r.n: r["size"] for r in a10_every(spark, sf_dir).collect()} == {n: math.comb(n, 7) for n in sizes}
+
+
+def loads_of(cells, near, lockers, capacity):
+    """Every load vector that whole cells can give ``lockers``, all of them used."""
+    found = {(0,) * len(lockers)}
+    for cell, parcels in cells:
+        found = {
+            tuple(x + parcels * (i == k) for i, x in enumerate(v)) for v in found for k, s in enumerate(lockers) if s in near.get(cell, ()) and v[k] + parcels <= capacity
+        }
+    return {v for v in found if all(v)}
+
+
+def supplied(loads, reach, depots, capacity, all_used):
+    found = {(0,) * len(depots)}
+    for load, near in zip(loads, reach, strict=True):
+        found = {tuple(x + load * (i == k) for i, x in enumerate(v)) for v in found for k, d in enumerate(depots) if d in near and v[k] + load <= capacity}
+    return any(all(v) or not all_used for v in found)
+
+
+def block_status(world, r, exact=None):
+    """Status of a request on one region by trying selections and whole-unit assignments."""
+    cells, lockers, depots, near, flights = world
+    subsets = lambda ids, most: [s for k in range(most, 0, -1) for s in itertools.combinations(ids, k)]
+    for ls in [exact[0]] if exact else subsets(lockers, r.max_lockers):
+        for loads in loads_of(cells, near, ls, r.locker_capacity):
+            for ds in [exact[1]] if exact else subsets(depots, r.max_depots):
+                reach = [{d for d in ds if flights[s, d] <= r.flight_limit_mm} for s in ls]
+                if supplied(loads, reach, ds, r.depot_capacity, True) and (r.outage_tolerance != 1 or all(supplied(loads, reach, [d for d in ds if d != gone], r.depot_capacity, False) for gone in ds)):
+                    return "feasible"
+    return "unsat"
+
+
+def block_worlds(b):
+    cells, lockers, depots, walks, flights = (t.collect() for t in b.world())
+    out = {}
+    for region in {r.region_id for r in lockers}:
+        mine = lambda rows: [r for r in rows if r.region_id == region]  # noqa: B023, E731
+        near: dict = {}
+        for w in mine(walks):
+            near.setdefault(w.cell_id, set()).add(w.locker_id)
+        ids = lambda rows: [r.site_id for r in sorted(mine(rows), key=lambda r: r.ord)]
+        out[region] = ([(c.cell_id, c.parcels) for c in mine(cells)], ids(lockers), ids(depots), near, {(f.locker_id, f.depot_id): f.return_mm for f in mine(flights)})
+    return out
+
+
+def test_sweep_and_outcomes_of_the_blocks_match_brute_force(spark):
+    from sitegrid.bindings import Blocks
+    from sitegrid.queries_whatif import e10, e11
+
+    d = "/root/testdata/sf0.01"
+    b = Blocks(spark, d)
+    worlds = block_worlds(b)
+    ask = {(r.region_id, r.request_id): r for r in b.requests().collect()}
+    results, _ = b.sweep()
+    got = {(r.region_id, r.request_id): r.status for r in results.collect()}
+    assert e10(spark, d).columns == results.columns
+
+    def want(r):
+        n_lockers, n_depots = len(worlds[r.region_id][1]), len(worlds[r.region_id][2])
+        return "error" if r.max_lockers > n_lockers or r.max_depots > n_depots else block_status(worlds[r.region_id], r)
+
+    assert got == {k: want(r) for k, r in ask.items()}
+    assert {"feasible", "unsat"} <= set(got.values())
+    # the registered limits, which no selection of the test table meets, and looser ones
+    loose = b.limits().withColumns({"outage_tolerance": F.lit(0), "locker_capacity": F.lit(900), "depot_capacity": F.lit(1500)})
+    plausible = whatif.plausible_selections(*b.world(), 3, 2, b.FLIGHT_MM)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    seen = set()
+    for limits, rows in ((b.limits(), e11(spark, d)), (loose, whatif.selection_outcomes(*b.world(), loose, plausible).select("region_id", text("lockers"), text("depots"), "status"))):
+        rows, limits = rows.collect(), {r.region_id: r for r in limits.collect()}
+        assert len({(r.region_id, r.lockers, r.depots) for r in rows}) == len(rows) == plausible.count() > 20
+        for r in rows:
+            exact = [tuple(int(x) for x in s.split(",")) for s in (r.lockers, r.depots)]
+            assert r.status == block_status(worlds[r.region_id], limits[r.region_id], exact), r
+            seen.add(r.status)
+    assert seen == {"feasible", "unsat"}
+
+
+def test_selections_of_seventy_sites(spark):
+    """More sites than a word has bits: masks, screen and plausible selections against sets."""
+    rng = random.Random(4)
+    n, reach = 70, {c: {s for s in range(70) if rng.random() < 0.12 or s % 35 == c} for c in range(5)}
+    reach[0] |= {65, 69}
+    make = spark.createDataFrame
+    sites = make([(0, s, s, s) for s in range(n)], "region_id long, site_id long, ord int, node_id long")
+    depots = make([(0, s, s, s) for s in range(66)], "region_id long, site_id long, ord int, node_id long")
+    cells = make([(0, c, 3) for c in reach], "region_id long, cell_id long, parcels long")
+    walks = make([(0, s, c, 1) for c, ss in reach.items() for s in ss], "region_id long, locker_id long, cell_id long, distance_mm long")
+    far = {(s, d): 10 + 100 * ((s + d) % 3 == 0) for s in range(n) for d in range(66)}
+    flights = make([(0, s, d, v) for (s, d), v in far.items()], "region_id long, locker_id long, depot_id long, return_mm long")
+    pairs = whatif.combinations(sites, 2).collect()
+    assert [tuple(r.members) for r in pairs] == list(itertools.combinations(range(n), 2)) and len({tuple(r.mask) for r in pairs}) == len(pairs)
+    assert all(sum(x << 63 * w for w, x in enumerate(r["mask"])) == sum(1 << m for m in r.members) for r in pairs)
+    covers = [p for p in itertools.combinations(range(n), 2) if all(set(p) & ss for ss in reach.values())]
+    got = {(tuple(r.lockers), tuple(r.depots)) for r in whatif.plausible_selections(cells, sites, depots, walks, flights, 2, 1, 50).collect()}
+    assert covers and got == {(p, (d,)) for p in covers for d in range(66) if all(far[s, d] <= 50 for s in p)}
+    request = make([(0, 0, 2, 1, 100, 100, 50, None, None, None, 1000)], REQUEST)
+    stages = {tuple(r.members): r.stage for r in whatif.screen_lockers(request, cells, sites, walks).collect()}
+    useful = set().union(*reach.values())
+    for p in itertools.combinations(range(n), 2):
+        want = "coverage" if p not in covers else "idle_locker" if set(p) - useful else "passes"
+        assert stages[p] == want, p
+    held = make([(0, i, 2, 1, 100, 100, 50, None, list(p), [d], 1000) for i, (p, d) in enumerate((p, d) for p in covers[:6] for d in (0, 64, 65))], REQUEST)
+    status = {r.request_id: r.status for r in whatif.feasibility_sweep(cells, sites, depots, walks, flights, held)[0].collect()}
+    for r in held.collect():
+        ok = all(far[s, r.fixed_depots[0]] <= 50 for s in r.fixed_lockers) and any(len({s for s in ss}) for ss in [set(r.fixed_lockers)])
+        used = all(any(s in ss for ss in reach.values()) for s in r.fixed_lockers)
+        assert status[r.request_id] == ("feasible" if ok and used else "unsat")
+
+
+def test_labels_of_any_length(spark):
+    from sitegrid.functions.scalars import letters
+
+    def label(n):
+        out = ""
+        while n:
+            n, k = divmod(n - 1, 26)
+            out = chr(65 + k) + out
+        return out
+
+    ns = [1, 26, 27, 702, 703, 704, 18_278, 18_279, 475_254, 475_255, 2**53, 2**63 - 1]
+    got = spark.createDataFrame([(n,) for n in ns], "n long").select("n", letters(F.col("n")).alias("l")).collect()
+    assert {r.n: r.l for r in got} == {n: label(n) for n in ns}
+
+
+def test_nearest_nodes_are_served_in_order(spark):
+    """Many targets that want the same nodes, against one at a time."""
+    rng = random.Random(9)
+    nodes = [(g, n, rng.randint(0, 900), rng.randint(0, 900)) for g in range(3) for n in range((25, 6, 0)[g])]
+    targets = [(g, f"t{k}", k, rng.randint(200, 260), rng.randint(200, 260)) for g in range(3) for k in range(12)] + [(0, "far", 20, 90_000, -70_000)]
+    want = {}
+    for g, t, _, x, y in sorted(targets, key=lambda t: (t[0], t[2])):
+        left = [(int(((x - nx) ** 2 + (y - ny) ** 2) ** 0.5 + 0.5), n) for r, n, nx, ny in nodes if r == g and n != 3 and (g, n) not in {(a, b[0]) for (a, _), b in want.items()}]
+        if left:
+            d, n = min(left)
+            want[g, t] = (n, d)
+    df = spark.createDataFrame(nodes, "region_id int, node_id int, x_mm long, y_mm long")
+    got = spatial.nearest_nodes(spark.createDataFrame(targets, "region_id int, target_id string, ord int, x_mm long, y_mm long"), df, df.where("node_id = 3"), width=40).collect()
+    assert {(r.region_id, r.target_id): (r.node_id, r.offset_mm) for r in got} == want
+
+
+def test_complexity_report_takes_each_regions_limits(spark, scene):
+    cells, lockers, depots, walks, flights = scene
+    both = lambda t: t.unionByName(t.withColumn("region_id", F.lit(1).cast("long")))
+    limits = spark.createDataFrame([(0, 2, 2, 600_000), (1, 2, 3, 800_000)], "region_id long, max_lockers int, max_depots int, flight_limit_mm int")
+    got = {r.region_id: r for r in reports.complexity_report(both(cells), both(lockers), both(depots), both(walks), both(flights), limits).collect()}
+    # one depot of two keeps no locker supplied after an outage; both do, where the range allows it
+    assert (got[0].reduced_sets, got[0].reduced_best, got[1].reduced_sets, got[1].reduced_best) == (2, 0, 1, 2)
+    assert (got[0].supply_total, got[1].supply_total) == (2, 4)
