@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -161,12 +162,28 @@ def request_lifecycle(events: DataFrame, lateness: str = "1 minute") -> DataFram
 def lifecycle_table(events: DataFrame, until_ms: int) -> DataFrame:
     """The batch twin: the same transitions from a table of all events, watchdogs run to ``until_ms``.
 
-    A client's life is sequential, so one task walks one client's messages in order.
+    A client's life is sequential: its messages pass one task in order, a batch at a time, and only
+    its state is held.
     """
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        client = Client()
-        found = _apply(client, rows)
-        return _rows(key[0], found + client.expire(until_ms))
-
-    return events.groupBy("client_id").applyInPandas(run, TRANSITIONS)
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        stamps = pa.array([at * 1000 for at in columns[1]], pa.int64()).cast(pa.timestamp("us", "UTC"))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), stamps, pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.string())], ["client_id", "ts", "generation", "request_id", "transition"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, client = None, None
+        for batch in batches:
+            out: list = []
+            for own, *message in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if client is None or own != key:
+                    out += [(key, *t) for t in client.expire(until_ms)] if client else []
+                    key, client = own, Client()
+                out += [(own, *t) for t in client.take(*message)]
+            yield packed(out)
+        if client:
+            yield packed([(key, *t) for t in client.expire(until_ms)])
+
+    order = events.repartition("client_id").sortWithinPartitions("client_id", "ts", "event_id")
+    whole = [F.col(c).cast("long").alias(c) for c in ("generation", "request_id")]
+    return order.select(F.col("client_id").cast("long"), F.unix_millis("ts").alias("at"), *whole, "type", F.col("timeout_ms").cast("long")).mapInArrow(run, TRANSITIONS)
