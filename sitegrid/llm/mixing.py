@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bloom_of, hashed, may_be, running_totals, written
+from .common import WORD, hashed, running_totals, written
 
 WEIGHTS, EPOCHS, SEED = (5, 2, 1), 3, 17
 
@@ -83,9 +83,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a document appears once for each full
     repeat taken, the last one cut to the words that the budget left.
 
-    Documents that the mix takes once, whole, stay where they are; only the others move to meet
-    what is taken of them. Documents are told apart by identifier, source and text; equal ones
-    share their repeats out.
+    Documents are told apart by identifier, source and text; equal ones share their repeats out.
+    Texts move once, to meet what is taken of them.
     """
     text = F.xxhash64("text")
     taken = mix(docs, keep={"_text": text}, **options)
@@ -95,9 +94,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     sums = taken.groupBy("doc_id", "source", "_text").agg(F.sum(full).alias("_full"), F.sum(rest).alias("_rest"), F.max("size").alias("_size"), F.count(F.lit(1)).alias("_n"))
     changed = sums.where("_full <> _n or _rest > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_text", "_full", "_rest", "_size", "_n", hashed("doc_id", "source", "_text").alias("_h"))
     changed = written(changed, "mix-changed")
-    rows = docs.withColumn("__h", hashed("doc_id", "source", text)).withColumn("__maybe", may_be(bloom_of(changed.select("_h")), F.col("__h"), docs.sparkSession))
+    rows = docs.withColumn("__h", hashed("doc_id", "source", text))
     same = (F.col("__h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    met = rows.where("__maybe").join(changed, same, "left")
+    met = rows.join(changed, same, "left")
     # equal documents: the first ones repeat once more, the first is the one that is cut
     own = [F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])]
     nth = F.row_number().over(Window.partitionBy("__h", "doc_id", "source").orderBy(*own))
@@ -108,4 +107,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     met = met.withColumn("__words", F.explode(lengths))
     short = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("__words").cast("int")), " ")
     met = met.withColumn("text", F.when(F.col("__words").isNotNull(), short).otherwise(F.col("text")))
-    return rows.where("not __maybe").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(met.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns])
