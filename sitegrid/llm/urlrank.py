@@ -30,6 +30,8 @@ from .common import LOWER, UPPER, written
 #: (verdict, host, path): the longest fitting one decides.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 ROUNDS, DAMPING, THRESHOLD, TOLERANCE, EVERY = 60, 0.85, 0.0, 1e-3, 4
+#: Edges for a task of a round at least: a small graph is not dealt out over many files.
+TASK_EDGES = 200_000
 #: Categories under which countries register domains, as in co.uk or com.br.
 SUFFIXES = ("ac", "co", "com", "edu", "go", "gob", "gov", "gv", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 
@@ -83,9 +85,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     sided = edges.select(F.lit("t").alias("side"), "src", "dst", "n").union(edges.select(F.lit("d"), F.col("dst"), F.col("src"), "n"))
     out = sided.groupBy("side", "src").agg(F.sum("n").alias("out"))
     sided = written(sided.join(out, ["side", "src"]).select("side", "src", "dst", (F.col("n") / F.col("out")).alias("w")), "url-edges")
+    tasks = max(1, -(-sided.count() // TASK_EDGES))
     start = seeds.select(F.lit("t").alias("side"), "host", F.col("good").alias("m")).union(seeds.select(F.lit("d"), "host", "bad")).where("m > 0")
     mass = start.groupBy("side").agg(F.sum("m").alias("all"))
-    start = written(start.join(mass, "side").select("side", "host", (F.col("m") / F.col("all")).alias("jump")), "url-seeds")
+    start = written(start.join(mass, "side").select("side", "host", (F.col("m") / F.col("all")).alias("jump")).coalesce(tasks), "url-seeds")
     ranks = start.select("side", "host", F.col("jump").alias("rank"))
     for k in range(rounds):
         old = ranks
@@ -95,11 +98,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
             .groupBy("side", "host")
             .agg(F.sum("m").alias("m"))
         )
-        moved = written(moved, "url-moved")
+        moved = written(moved.coalesce(tasks), "url-moved")
         kept = {r.side: r.kept for r in moved.groupBy("side").agg(F.sum("m").alias("kept")).collect()}
         back = F.when(F.col("side") == "t", F.lit(1.0 - kept.get("t", 0.0))).otherwise(F.lit(1.0 - kept.get("d", 0.0)))
         jumps = start.select("side", "host", (F.col("jump") * back).alias("m"))
-        ranks = moved.union(jumps).groupBy("side", "host").agg(F.sum("m").alias("rank"))
+        ranks = moved.union(jumps).groupBy("side", "host").agg(F.sum("m").alias("rank")).coalesce(tasks)
         if tolerance and k % EVERY == EVERY - 1:
             both = old.select("side", "host", (-F.col("rank")).alias("rank")).union(ranks).groupBy("side", "host").agg(F.abs(F.sum("rank")).alias("change"))
             if (both.agg(F.sum("change")).first()[0] or 0.0) < tolerance:
