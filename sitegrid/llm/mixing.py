@@ -84,7 +84,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     repeat taken, the last one cut to the words that the budget left.
 
     Documents are told apart by identifier, source and text; equal ones share their repeats out.
-    Texts move once, to meet what is taken of them.
+    Texts move to meet what is taken of them.
     """
     text = F.xxhash64("text")
     taken = mix(docs, keep={"_text": text}, **options)
