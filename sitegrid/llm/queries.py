@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, coversearch, jaccard, langid, merkle, mixing, quality, secrets, streamdedup, urlrank
+from . import bpe, chat, coversearch, fingerprints, jaccard, langid, merkle, mixing, quality, secrets, streamdedup, urlrank
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,6 +58,10 @@ def op12_merkle(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.drop_newlines(F.col("doc_id"), F.col("text")))
 
 
+def op13_fingerprints(spark, sf_dir):
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_quality": op2_quality,
@@ -70,6 +74,7 @@ QUERIES = {
     "op9_dedup": op9_dedup,
     "op10_secrets": op10_secrets,
     "op12_merkle": op12_merkle,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 SQL = {
