@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, coversearch, fingerprints, jaccard, langid, merkle, mixing, quality, secrets, streamdedup, urlrank
+from . import bpe, chat, collocations, coversearch, fingerprints, jaccard, langid, merkle, mixing, quality, secrets, streamdedup, urlrank
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,6 +54,10 @@ def op10_secrets(spark, sf_dir):
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.drop_newlines(F.col("doc_id"), F.col("text")))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_dedup": op9_dedup,
     "op10_secrets": op10_secrets,
+    "op11_collocations": op11_collocations,
     "op12_merkle": op12_merkle,
     "op13_fingerprints": op13_fingerprints,
 }
@@ -87,6 +92,7 @@ s as (select q.vec_id as query_id, d.vec_id, list_inner_product(q.v, d.v)::bigin
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10""",
     "op1_chat": chat.SQL,
+    "op11_collocations": collocations.SQL,
     "op12_merkle": merkle.SQL,
     "op9_dedup": r"""
 with t as (select doc_id, coalesce(length(text), 0) as points,
