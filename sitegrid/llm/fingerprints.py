@@ -110,14 +110,38 @@ class Prefixes:
         return (a << _U(31)) | b
 
     def same(self, i: int, other: Prefixes, j: int, size: int) -> bool:
-        return bool(self.spans([i], [i + size])[0] == other.spans([j], [j + size])[0])
+        """Whether the spans of that size at place i here and at place j there are equal."""
+        return _equal(self, i, other, j, *_shifts(i, j))(i + size, j + size)
 
     def extension(self, i: int, other: Prefixes, j: int) -> int:
         """Length of the longest common extension of place i here and place j there, to the right."""
-        return _last(min(self.n - i, other.n - j), lambda size: self.same(i, other, j, size))
+        if i >= self.n or j >= other.n:
+            return 0
+        equal = _equal(self, i, other, j, *_shifts(i, j))
+        return _last(min(self.n - i, other.n - j), lambda size: equal(i + size, j + size))
 
     def extension_left(self, i: int, other: Prefixes, j: int) -> int:
-        return _last(min(i, j), lambda size: self.same(i - size, other, j - size, size))
+        # a span that ends here is compared from its end, where both are at the same distance
+        equal = _equal(self, i, other, j, *_shifts(i, j))
+        return _last(min(i, j), lambda size: equal(i - size, j - size))
+
+
+def _shifts(i: int, j: int) -> tuple[list[int], list[int]]:
+    """For each prime, the powers that bring sums from place i and from place j to one place."""
+    low = min(i, j)
+    return [pow(b, j - low, p) for b, p in zip(BASES, PRIMES, strict=True)], [pow(b, i - low, p) for b, p in zip(BASES, PRIMES, strict=True)]
+
+
+def _equal(x: Prefixes, i: int, y: Prefixes, j: int, up: list[int], down: list[int]):
+    """A test whether the spans between i and u here and between j and v there are equal, u - i = v - j."""
+    from_x, from_y = [int(a[i]) for a in x.arrays], [int(a[j]) for a in y.arrays]
+
+    def test(u: int, v: int) -> bool:
+        return all(
+            (int(x.arrays[k][u]) - from_x[k]) * up[k] % p == (int(y.arrays[k][v]) - from_y[k]) * down[k] % p for k, p in enumerate(PRIMES)
+        )
+
+    return test
 
 
 def _last(most: int, holds) -> int:
