@@ -199,6 +199,46 @@ class Blocks(City):
 
         return pair_matrix(self.lockers(), self.depots())
 
+    def streets(self) -> DataFrame:
+        """Edges from the node of each cell to those of the lockers within the walking limit."""
+        from .functions.scalars import straight_mm
+
+        at = lambda rows, name: rows.select(KEY, F.col("node_id").alias(name), F.col("x_mm").alias(f"_x{name}"), F.col("y_mm").alias(f"_y{name}")).distinct()
+        both = at(self.cells(), "src").join(at(self.lockers(), "dst"), KEY).where("src <> dst")
+        length = straight_mm(F.col("_xsrc"), F.col("_ysrc"), F.col("_xdst"), F.col("_ydst"))
+        return both.select(KEY, F.concat_ws(">", "src", "dst").alias("edge_id"), "src", "dst", length.alias("length_mm")).where(F.col("length_mm") <= self.WALK_MM)
+
+    def routes(self) -> DataFrame:
+        """The walks with the edges of a shortest route along the streets."""
+        from .operators.graph import bounded_paths, route_edges
+
+        streets = once(self.spark, self.dir, "block-streets", self.streets)
+        cells, lockers, _, walks, _ = self.world()
+        origins = cells.select(KEY, F.col("node_id").alias("origin"), "node_id").distinct().withColumn("budget_mm", F.lit(self.WALK_MM).cast("long"))
+        ends = walks.join(cells.select(KEY, "cell_id", F.col("node_id").alias("origin")), [KEY, "cell_id"]).join(lockers.select(KEY, F.col("site_id").alias("locker_id"), F.col("node_id").alias("target")), [KEY, "locker_id"])
+        found = route_edges(bounded_paths(streets, origins), streets, ends.select(KEY, "origin", "target").distinct())
+        return ends.join(found, [KEY, "origin", "target"]).select(KEY, "cell_id", "locker_id", "distance_mm", "edge_ids")
+
+    def measured_walks(self, routes: DataFrame | None = None) -> DataFrame:
+        """The walks with what their routes measure, edge by edge."""
+        from .operators.graph import measure_routes
+
+        streets = once(self.spark, self.dir, "block-streets", self.streets)
+        cells, lockers, _, walks, _ = self.world()
+        routes = once(self.spark, self.dir, "block-routes", self.routes) if routes is None else routes
+        found = measure_routes(routes, cells.withColumn("connector_mm", F.lit(0).cast("long")), lockers, streets)
+        return walks.join(found.withColumnRenamed("ok", "route_ok"), [KEY, "cell_id", "locker_id"], "left").withColumn("route_ok", F.coalesce("route_ok", F.lit(False)))
+
+    def found_plans(self, measured: DataFrame | None = None):
+        """The audit of every plan that the search of the grid found, its walks measured along their routes."""
+        from .plans.verify import Audit
+
+        cells, lockers, depots, _, _ = self.world()
+        _, plans = self.sweep()
+        requests = self.requests().withColumnRenamed("request_id", "plan_id").join(plans["plan_sites"].select(KEY, "plan_id").distinct(), [KEY, "plan_id"], "left_semi")
+        measured = once(self.spark, self.dir, "block-measured", self.measured_walks) if measured is None else measured
+        return Audit(cells, lockers, depots, measured, requests, walk_limit_mm=self.WALK_MM, **plans)
+
     def limits(self) -> DataFrame:
         """One request for each region."""
         none = F.lit(None).cast("array<bigint>")
@@ -222,11 +262,16 @@ class Blocks(City):
     def requests(self) -> DataFrame:
         return once(self.spark, self.dir, "block-grid", self.grid)
 
-    def sweep(self):
-        """Results and plans of the whole grid, computed once."""
-        from .plans.whatif import feasibility_sweep
+    def search(self):
+        """The search of the whole grid, done once."""
+        from .plans.whatif import search_requests
 
         key = (self.spark.sparkContext.applicationId, self.dir, "sweep")
         if key not in _kept:
-            _kept[key] = feasibility_sweep(*self.world(), self.requests())
+            _kept[key] = search_requests(*self.world(), self.requests())
         return _kept[key]
+
+    def sweep(self):
+        """Results and plans of the whole grid."""
+        found = self.search()
+        return found.results, found.plans

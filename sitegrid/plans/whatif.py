@@ -8,12 +8,15 @@ are keyed by (region_id, request_id).
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from ..functions.scalars import choose
 from ..functions.staging import staged
+from . import search
 
 REQ = ["region_id", "request_id"]
 CHUNK = 10_000
@@ -55,19 +58,10 @@ def _some(a: Column) -> Column:
     return F.exists(a, lambda x: x != 0)
 
 
-def _beyond(a: Column, b: Column) -> Column:
-    """Whether a mask has a site that the other has not."""
-    return F.exists(F.zip_with(a, b, lambda x, y: x.bitwiseAND(F.bitwise_not(y))), lambda x: x != 0)
-
-
 def _sites_in(a: Column) -> Column:
     return F.aggregate(a, F.lit(0), lambda acc, x: acc + F.bit_count(x))
 
 
-def _holds(mask: Column, place: Column) -> Column:
-    return _and(F.get(mask, F.floor(place / F.lit(WORD)).cast("int")), _bit(place % WORD)) != 0
-
-
 # -- enumeration --------------------------------------------------------------------------
 
 
@@ -141,8 +135,7 @@ def request_grid(base: DataFrame, axes: dict[str, list]) -> DataFrame:
     for name, values in axes.items():
         kind = base.schema[name].dataType
         out = out.withColumn(name, F.explode(F.array(*[F.lit(v).cast(kind) for v in values])))
-    order = Window.partitionBy("region_id").orderBy(*axes)
-    return out.withColumn("request_id", F.row_number().over(order).cast("long") - 1)
+    return numbered(out.drop("request_id"), "region_id", list(axes), "request_id").withColumn("request_id", F.col("request_id").cast("long"))
 
 
 def selection_space(regions: DataFrame) -> DataFrame:
@@ -154,37 +147,34 @@ def selection_space(regions: DataFrame) -> DataFrame:
 # -- masks and screens --------------------------------------------------------------------
 
 
-def cell_masks(cells: DataFrame, walks: DataFrame, lockers: DataFrame) -> DataFrame:
-    """(region_id, cell_masks, useful, total): for each cell a mask of the lockers in reach (equal
-    ones once), the lockers that anyone reaches, and the demand."""
-    n = lockers.groupBy("region_id").agg(_words(F.count(F.lit(1))).alias("words"))
-    ords = lockers.select("region_id", F.col("site_id").alias("locker_id"), "ord")
-    near = walks.join(ords, ["region_id", "locker_id"]).groupBy("region_id", "cell_id").agg(F.collect_set("ord").alias("o"))
-    all_ = cells.select("region_id", "cell_id", "parcels").join(near, ["region_id", "cell_id"], "left").join(n, "region_id", "left")
-    all_ = all_.withColumn("m", _mask(F.coalesce("o", F.array().cast("array<int>")), F.coalesce("words", F.lit(1))))
-    both = all_.groupBy("region_id").agg(F.collect_set("m").alias("cell_masks"), F.sum("parcels").alias("total"))
-    return both.withColumn("useful", F.aggregate("cell_masks", F.transform(F.get("cell_masks", F.lit(0)), lambda x: F.lit(0).cast("long")), _either)).select("region_id", "cell_masks", "useful", "total")
-
-
-def depot_masks(requests: DataFrame, lockers: DataFrame, depots: DataFrame, flights: DataFrame) -> DataFrame:
-    """(request, depot_masks): per locker place, the depots within the request's range."""
+def depot_reach(requests: DataFrame, depots: DataFrame, flights: DataFrame) -> DataFrame:
+    """(request, locker_id, m): the mask of the depots within the request's range, where there is one."""
     near = requests.select(*REQ, "flight_limit_mm").join(flights, "region_id").where(F.col("return_mm") <= F.col("flight_limit_mm"))
     near = near.join(depots.select("region_id", F.col("site_id").alias("depot_id"), F.col("ord").alias("_d")), ["region_id", "depot_id"])
     n = depots.groupBy("region_id").agg(_words(F.count(F.lit(1))).alias("words"))
-    found = near.groupBy(*REQ, "locker_id").agg(F.collect_set("_d").alias("o"))
-    every = requests.select(*REQ).join(lockers.select("region_id", F.col("site_id").alias("locker_id"), "ord"), "region_id").join(found, [*REQ, "locker_id"], "left").join(n, "region_id", "left")
-    every = every.withColumn("m", _mask(F.coalesce("o", F.array().cast("array<int>")), F.coalesce("words", F.lit(1))))
-    return every.groupBy(*REQ).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "m"))), lambda s: s["m"]).alias("depot_masks"))
+    found = near.groupBy(*REQ, "locker_id").agg(F.collect_set("_d").alias("o")).join(n, "region_id")
+    return found.select(*REQ, "locker_id", _mask(F.col("o"), F.col("words")).alias("m"))
 
 
 def screen_lockers(requests: DataFrame, cells: DataFrame, lockers: DataFrame, walks: DataFrame) -> DataFrame:
-    """Locker selections with ``stage``: the first necessary condition that fails, or ``passes``."""
-    rows = selections(requests, lockers, "locker").join(requests.select(*REQ, "locker_capacity"), REQ).join(cell_masks(cells, walks, lockers), "region_id")
-    k, mask = F.size("members"), F.col("mask")
+    """Locker selections with ``stage``: the first necessary condition that fails, or ``passes``.
+
+    Every selection is a row; which of them cover all cells is found level by level and joined."""
+    rows = selections(requests, lockers, "locker").join(requests.select(*REQ, "locker_capacity"), REQ)
+    reach = search.Reach(cells, lockers, walks)
+    total = cells.groupBy("region_id").agg(F.sum("parcels").alias("total"))
+    rows = rows.join(total, "region_id").withColumn("k", F.size("members")).join(site_lists(lockers), "region_id", "left")
+    rows = rows.withColumn("places", F.sort_array(F.transform("members", lambda m: (F.array_position("ids", m) - 1).cast("int"))))
+    sizes = rows.where("k > 0").select("region_id", "k").distinct().join(reach.regions.select("region_id", "n"), "region_id")
+    asks = sizes.select("region_id", "k", F.lit(0).cast("long").alias("lo"), choose(F.col("n"), F.col("k").cast("long")).alias("hi"))
+    covers = search.covering_sets(reach, asks, idle=True).select("region_id", "places", F.lit(True).alias("covers"))
+    useful = walks.join(lockers.select("region_id", F.col("site_id").alias("locker_id")), ["region_id", "locker_id"], "left_semi").join(cells.select("region_id", "cell_id"), ["region_id", "cell_id"], "left_semi")
+    useful = useful.groupBy("region_id").agg(F.collect_set("locker_id").alias("useful"))
+    rows = rows.join(covers, ["region_id", "places"], "left").join(useful, "region_id", "left")
     stage = (
-        F.when((k == 0) | (F.col("total") > k * F.col("locker_capacity")), "locker_capacity")
-        .when(~F.forall("cell_masks", lambda m: _some(_both(m, mask))), "coverage")
-        .when(_beyond(mask, F.col("useful")), "idle_locker")
+        F.when((F.col("k") == 0) | (F.col("total") > F.col("k") * F.col("locker_capacity")), "locker_capacity")
+        .when(F.col("covers").isNull(), "coverage")
+        .when(F.size(F.array_except("members", F.coalesce("useful", F.array().cast("array<bigint>")))) > 0, "idle_locker")
         .otherwise("passes")
     )
     return rows.withColumn("stage", stage).select(*REQ, "ordinal", "members", "mask", "stage", "total")
@@ -193,22 +183,32 @@ def screen_lockers(requests: DataFrame, cells: DataFrame, lockers: DataFrame, wa
 def screen(requests: DataFrame, cells: DataFrame, lockers: DataFrame, depots: DataFrame, walks: DataFrame, flights: DataFrame) -> DataFrame:
     """Pairs of a surviving locker selection and a depot selection, with ``stage``."""
     first = screen_lockers(requests, cells, lockers, walks).where("stage = 'passes'")
-    left = first.select(*REQ, F.col("ordinal").alias("l_ordinal"), F.col("members").alias("lockers"), F.col("mask").alias("l_mask"), "total")
-    right = selections(requests, depots, "depot").select(*REQ, F.col("ordinal").alias("d_ordinal"), F.col("members").alias("depots"), F.col("mask").alias("d_mask"))
-    limits = requests.select(*REQ, "depot_capacity", F.coalesce("outage_tolerance", F.lit(0)).alias("tolerance"))
-    rows = left.join(right, REQ).join(limits, REQ).join(depot_masks(requests, lockers, depots, flights), REQ)
-    k, d_mask, l_mask = F.size("depots"), F.col("d_mask"), F.col("l_mask")
-    own = F.transform(F.filter(F.transform("depot_masks", lambda m, i: F.struct(m.alias("m"), i.alias("i"))), lambda s: _holds(l_mask, s["i"])), lambda s: _both(s["m"], d_mask))
-    reached = F.aggregate("own", F.transform(d_mask, lambda x: F.lit(0).cast("long")), _either)
+    left = first.select(*REQ, F.col("ordinal").alias("l_ordinal"), F.col("members").alias("lockers"), "total")
+    return screen_pairs(left, terms(requests, lockers, depots), depots, flights)
+
+
+def screen_pairs(left: DataFrame, asked: DataFrame, depots: DataFrame, flights: DataFrame) -> DataFrame:
+    """``left(request, l_ordinal, lockers, total)`` with every depot selection, and ``stage``. A row
+    carries the depots in reach of its own lockers only."""
+    seen = left.select(*REQ, "l_ordinal", F.posexplode("lockers").alias("_p", "locker_id")).join(depot_reach(asked, depots, flights), [*REQ, "locker_id"], "left")
+    seen = seen.groupBy(*REQ, "l_ordinal").agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "m"))), lambda s: s["m"]).alias("near"))
+    right = selections(asked.withColumnsRenamed({"d_most": "max_depots", "d_fixed": "fixed_depots"}), depots, "depot").select(*REQ, F.col("ordinal").alias("d_ordinal"), F.col("members").alias("depots"), F.col("mask").alias("d_mask"))
+    rules = asked.select(*REQ, "d_capacity", "o_capacity", "tolerance", "normal", "collect")
+    rows = left.join(seen, [*REQ, "l_ordinal"], "left").join(right, REQ).join(rules, REQ)
+    k, d_mask = F.size("depots"), F.col("d_mask")
+    none = F.transform(d_mask, lambda x: F.lit(0).cast("long"))
+    own = F.transform(F.coalesce("near", F.array().cast("array<array<bigint>>")), lambda m: F.when(m.isNull(), none).otherwise(_both(m, d_mask)))
+    reached = F.aggregate("own", none, _either)
+    collect, normal, tolerant = F.col("collect"), F.col("normal"), (F.col("tolerance") == 1) & (k > 0)
     stage = (
-        F.when((k == 0) | (F.col("total") > k * F.col("depot_capacity")), "depot_capacity")
-        .when((F.col("tolerance") == 1) & ((k < 2) | (F.col("total") > (k - 1) * F.col("depot_capacity"))), "outage_capacity")
-        .when(F.exists("own", lambda m: ~_some(m)), "out_of_range")
-        .when((F.col("tolerance") == 1) & F.exists("own", lambda m: _sites_in(m) < 2), "second_supplier")
-        .when(reached != d_mask, "idle_depot")
+        F.when(collect & normal & ((k == 0) | (F.col("total") > k * F.col("d_capacity"))), "depot_capacity")
+        .when(collect & tolerant & ((k < 2) | (F.col("total") > (k - 1) * F.col("o_capacity"))), "outage_capacity")
+        .when(normal & F.exists("own", lambda m: ~_some(m)), "out_of_range")
+        .when(tolerant & F.exists("own", lambda m: _sites_in(m) < 2), "second_supplier")
+        .when(normal & (reached != d_mask), "idle_depot")
         .otherwise("passes")
     )
-    return rows.withColumn("own", own).withColumn("stage", stage).select(*REQ, "l_ordinal", "lockers", "l_mask", "d_ordinal", "depots", "d_mask", "stage")
+    return rows.withColumn("own", own).withColumn("stage", stage).select(*REQ, "l_ordinal", "lockers", "d_ordinal", "depots", "stage")
 
 
 def funnel(screened: DataFrame) -> DataFrame:
@@ -219,12 +219,15 @@ def plausible_selections(cells: DataFrame, lockers: DataFrame, depots: DataFrame
     """(region_id, lockers, depots): exact-budget selections that cover every cell and keep every
     locker in range of a depot; nothing else is tested."""
     req = cells.select("region_id").distinct().select("region_id", F.lit(0).cast("long").alias("request_id"), F.lit(limit_mm).alias("flight_limit_mm"))
-    left = combinations(lockers, k).join(cell_masks(cells, walks, lockers), "region_id").where(F.forall("cell_masks", lambda c: _some(_both(c, F.col("mask")))))
-    left = left.select("region_id", F.col("members").alias("lockers"), F.col("mask").alias("l_mask"))
+    reach = search.Reach(cells, lockers, walks)
+    asks = reach.regions.select("region_id", F.lit(k).alias("k"), F.lit(0).cast("long").alias("lo"), choose(F.col("n"), F.lit(k).cast("long")).alias("hi"))
+    left = search.covering_sets(reach, asks, idle=True).join(site_lists(lockers), "region_id")
+    left = left.select("region_id", "ordinal", F.transform("places", lambda p: F.get("ids", p)).alias("lockers"))
+    seen = left.select("region_id", "ordinal", F.explode("lockers").alias("locker_id")).join(depot_reach(req, depots, flights).drop("request_id"), ["region_id", "locker_id"])
+    seen = seen.groupBy("region_id", "ordinal").agg(F.collect_list("m").alias("own")).where(F.size("own") == k)
     right = combinations(depots, m).select("region_id", F.col("members").alias("depots"), F.col("mask").alias("d_mask"))
-    rows = left.join(right, "region_id").join(depot_masks(req, lockers, depots, flights).drop("request_id"), "region_id")
-    ok = F.forall(F.transform("depot_masks", lambda x, i: ~_holds(F.col("l_mask"), i) | _some(_both(x, F.col("d_mask")))), lambda b: b)
-    return rows.where(ok).select("region_id", "lockers", "depots")
+    rows = left.join(seen, ["region_id", "ordinal"]).join(right, "region_id")
+    return rows.where(F.forall("own", lambda x: _some(_both(x, F.col("d_mask"))))).select("region_id", "lockers", "depots")
 
 
 def resilience_audit(cells: DataFrame, lockers: DataFrame, depots: DataFrame, walks: DataFrame, flights: DataFrame, k: int | DataFrame, limit_mm: int | DataFrame) -> DataFrame:
@@ -294,8 +297,8 @@ def assign_units(items: DataFrame, choices: DataFrame, bins: DataFrame, max_stat
     ``items(sel, pos, weight)`` with pos from 0; ``choices(sel, pos, rank, bin)`` with bins
     numbered from 0; ``bins(sel, n, capacity, require_used)``. Every completion depends only
     on the loads so far, so one path is kept for each distinct vector: the least in rank
-    order, which is the one that a depth-first search meets first. One join per item, for all
-    selections at once. Returns (final: sel, loads, path) and (capped: sel), selections with
+    order, which is the one that a depth-first search meets first. A null capacity is none. One
+    join per item, for all selections at once. Returns (final: sel, loads, path) and (capped: sel), selections with
     more than ``max_states`` vectors at some item, which are abandoned without conclusion.
     """
     n_items = items.groupBy("sel").agg(F.count(F.lit(1)).alias("items"))
@@ -315,11 +318,11 @@ def assign_units(items: DataFrame, choices: DataFrame, bins: DataFrame, max_stat
             break
         here = steps.where(F.col("pos") == level)
         b = F.col("bin").cast("int")
-        new = going.join(here, "sel").where(F.get("loads", b) + F.col("weight") <= F.col("capacity"))
+        new = going.join(here, "sel").where(F.col("capacity").isNull() | (F.get("loads", b) + F.col("weight") <= F.col("capacity")))
         # what is left must fit into what is free, and reach every bin that is still empty
         free = F.aggregate("loads", F.lit(0).cast("long"), lambda acc, x: acc + F.col("capacity") - x)
         empty = F.size(F.filter("loads", lambda x: x == 0)) - F.when((F.get("loads", b) == 0) & (F.col("weight") > 0), 1).otherwise(0)
-        new = new.where((F.col("rest") <= free) & (~F.col("require_used") | (empty <= F.col("items") - level - 1)))
+        new = new.where((F.col("capacity").isNull() | (F.col("rest") <= free)) & (~F.col("require_used") | (empty <= F.col("items") - level - 1)))
         loads = F.transform("loads", lambda x, i: F.when(i == b, x + F.col("weight")).otherwise(x))
         new = new.select("sel", "n", "capacity", "require_used", "items", loads.alias("loads"), F.concat("path", F.array(F.col("rank").cast("int"))).alias("path"))
         state = new.groupBy("sel", "n", "capacity", "require_used", "items", "loads").agg(F.min("path").alias("path"))
@@ -383,7 +386,58 @@ def supplier_assignments(states: DataFrame, flights: DataFrame, depots: DataFram
 # -- feasibility --------------------------------------------------------------------------
 
 
-def feasibility_sweep(cells: DataFrame, lockers: DataFrame, depots: DataFrame, walks: DataFrame, flights: DataFrame, requests: DataFrame, max_states: int | None = None):
+#: Rules of a request that can be taken away, by the ids of ``plans.verify.rule_groups``.
+RULES = (
+    "collection", "locker_budget", "locker_capacity", "supply", "depot_budget", "depot_capacity", "depot_outage_supply", "depot_outage_capacity", "fixed_lockers", "fixed_depots",
+)
+#: Ordinals of locker selections in the first round of a search, and how many times as many in the next one.
+FIRST_RANGE, WIDER = 4096, 8
+
+
+def terms(requests: DataFrame, lockers: DataFrame, depots: DataFrame) -> DataFrame:
+    """What each request demands, without the rule that its column ``off`` names (if there is one).
+
+    l_most, l_fixed, d_most, d_fixed are budgets and fixed selections; l_capacity, d_capacity, o_capacity
+    capacities of lockers, of depots in normal operation and after an outage, null for none; ``collect``
+    whether cells are served, ``normal`` whether lockers are supplied in normal operation.
+
+    Where a rule is away, some choices cannot help and are left out. Without ``collection`` nothing is
+    carried, so free lockers serve only to use fixed depots: as many as these are enough, and none of
+    either where nothing is fixed. Without ``supply`` free depots serve only for outages of themselves:
+    none is enough.
+    """
+    count = lambda t, name: t.groupBy("region_id").agg(F.count(F.lit(1)).cast("int").alias(name))
+    rows = requests if "off" in requests.columns else requests.withColumn("off", F.lit(None).cast("string"))
+    rows = rows.join(count(lockers, "_l"), "region_id", "left").join(count(depots, "_d"), "region_id", "left").na.fill(0, ["_l", "_d"])
+    on = lambda rule: ~F.col("off").eqNullSafe(rule)
+    l_fixed, d_fixed = F.when(on("fixed_lockers"), F.col("fixed_lockers")), F.when(on("fixed_depots"), F.col("fixed_depots"))
+    rows = rows.withColumns({"l_fixed": l_fixed, "d_fixed": d_fixed, "collect": on("collection"), "normal": on("supply")})
+    free_l, free_d = F.col("l_fixed").isNull(), F.col("d_fixed").isNull()
+    l_most = F.when(on("locker_budget"), F.col("max_lockers")).otherwise(F.col("_l")).cast("int")
+    d_most = F.when(on("depot_budget"), F.col("max_depots")).otherwise(F.col("_d")).cast("int")
+    l_most = F.when(~F.col("collect") & free_l, F.least(l_most, F.when(free_d, 0).otherwise(F.size("d_fixed")))).otherwise(l_most)
+    d_most = F.when(free_d & (~F.col("normal") | (~F.col("collect") & free_l)), 0).otherwise(d_most)
+    cap = lambda rule, c: F.when(F.col("collect") & on(rule), F.col(c))
+    return rows.select(
+        *REQ, "flight_limit_mm", l_most.alias("l_most"), d_most.alias("d_most"), "l_fixed", "d_fixed", "collect", "normal", F.col("_l").alias("n_lockers"), F.col("_d").alias("n_depots"),
+        cap("locker_capacity", "locker_capacity").alias("l_capacity"), cap("depot_capacity", "depot_capacity").alias("d_capacity"), cap("depot_outage_capacity", "depot_capacity").alias("o_capacity"),
+        F.when(on("depot_outage_supply"), F.coalesce("outage_tolerance", F.lit(0))).otherwise(0).alias("tolerance"),
+    )
+
+
+class Search(NamedTuple):
+    """What a search found: ``results`` and ``plans`` of ``feasibility_sweep``; the ``survivors(request,
+    ordinal)``, locker selections that passed their own tests up to the range of the winner; ``space(request,
+    l_space, d_space)``; and for each round its open requests, rows enumerated and pairs kept."""
+
+    results: DataFrame
+    plans: dict[str, DataFrame]
+    survivors: DataFrame
+    space: DataFrame
+    rounds: list[dict]
+
+
+def feasibility_sweep(cells: DataFrame, lockers: DataFrame, depots: DataFrame, walks: DataFrame, flights: DataFrame, requests: DataFrame, max_states: int | None = None, **options):
     """(results, plans): status of every request and the first feasible plan.
 
     Status is ``feasible``, ``unsat``, ``timeout`` (with ``max_states``: a selection was abandoned
@@ -391,43 +445,130 @@ def feasibility_sweep(cells: DataFrame, lockers: DataFrame, depots: DataFrame, w
     default, every request is decided. ``results`` also has the ordinals of
     the winning selections. ``plans`` is a dict of the plan tables of ``plans.verify``.
     """
+    found = search_requests(cells, lockers, depots, walks, flights, requests, max_states, **options)
+    return found.results, found.plans
+
+
+def search_requests(cells: DataFrame, lockers: DataFrame, depots: DataFrame, walks: DataFrame, flights: DataFrame, requests: DataFrame, max_states: int | None = None, first_range: int = FIRST_RANGE) -> Search:
+    """The search of every request in the order of its selections, in ranges of ordinals.
+
+    A round takes the next range of every open request; equal ranges of a region are enumerated once for
+    all requests. A request is closed by its first feasible pair or the end of its selections, so
+    what lies behind a winner's range is never enumerated. Ranges grow WIDER-fold, so the
+    number of rounds grows with the logarithm of the selections.
+    """
     from .verify import validate_requests
 
     as_plan = requests.withColumnRenamed("request_id", "plan_id")
     broken = staged(validate_requests(as_plan, lockers, depots).select("region_id", F.col("plan_id").alias("request_id")).distinct(), "sweep-broken")
-    good = staged(requests.join(broken, REQ, "left_anti"), "sweep-requests")
-    kept = staged(screen(good, cells, lockers, depots, walks, flights).where("stage = 'passes'"), "sweep-kept")
-    caps = good.select(*REQ, "locker_capacity", "depot_capacity", "flight_limit_mm", F.coalesce("outage_tolerance", F.lit(0)).alias("tolerance"))
+    good = staged(terms(requests.join(broken, REQ, "left_anti"), lockers, depots), "sweep-requests")
+    total = cells.groupBy("region_id").agg(F.sum("parcels").alias("total"))
+    l_space, d_space = search.spaces(F.col("n_lockers"), F.col("l_most"), F.col("l_fixed")), search.spaces(F.col("n_depots"), F.col("d_most"), F.col("d_fixed"))
+    good = staged(good.join(total, "region_id", "left").withColumns({"l_space": l_space, "d_space": d_space, "total": F.when(F.col("collect"), F.coalesce("total", F.lit(0))).otherwise(0)}), "sweep-terms")
+    reach = search.Reach(cells, lockers, walks)
+    world, at, width, rounds = (cells, lockers, depots, walks, flights), 0, first_range, []
+    open_, results, plans, survivors, undecided = good.where("l_space > 0"), [], [], [], []
+    while not open_.isEmpty():
+        log: list[int] = []
+        first = staged(_lockers_in(open_, reach, at, at + width, lockers, cells, walks, log), "sweep-survivors")
+        survivors.append(first.select(*REQ, F.col("l_ordinal").alias("ordinal")))
+        won, tables, capped = _decided(world, first, open_, max_states)
+        rounds.append({"requests": open_.count(), "rows": sum(log), "survivors": first.count()})
+        results.append(won)
+        plans.append(tables)
+        undecided.append(capped)
+        at, width = at + width, width * WIDER
+        open_ = staged(open_.where(F.col("l_space") > at).join(won.select(*REQ), REQ, "left_anti"), "sweep-open")
+    union = lambda parts, empty: reduce(DataFrame.unionByName, parts) if parts else empty
+    nothing = requests.select(*REQ).limit(0)
+    win = union(results, nothing.withColumns({"l_ordinal": F.lit(0).cast(LONG), "d_ordinal": F.lit(0).cast(LONG)}))
+    many = union(undecided, nothing).distinct().withColumn("_open", F.lit(True))
+    out = requests.select(*REQ).join(broken.withColumn("_bad", F.lit(True)), REQ, "left").join(win.withColumn("_won", F.lit(True)), REQ, "left").join(many, REQ, "left")
+    status = F.when(F.col("_bad"), "error").when(F.col("_won"), "feasible").when(F.col("_open"), "timeout").otherwise("unsat")
+    out = staged(out.select(*REQ, status.alias("status"), "l_ordinal", "d_ordinal"), "sweep-results")
+    found = {name: reduce(DataFrame.unionByName, [p[name] for p in plans]) for name in plans[0]} if plans else _no_plans(requests)
+    return Search(out, found, union(survivors, nothing.withColumn("ordinal", F.lit(0).cast(LONG))), good.select(*REQ, "l_space", "d_space"), rounds)
+
+
+def _lockers_in(open_: DataFrame, reach: search.Reach, start: int, end: int, lockers: DataFrame, cells: DataFrame, walks: DataFrame, log: list[int]) -> DataFrame:
+    """(request, l_ordinal, lockers, total): locker selections with ordinals in [start, end) that pass their own tests."""
+    base = open_.select(*REQ, "l_most", "l_fixed", "l_capacity", "collect", "total", "n_lockers").join(site_lists(lockers), "region_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
+    named = F.transform("places", lambda p: F.get("ids", p)).alias("lockers")
+    enough = lambda k: F.col("l_capacity").isNull() | (F.col("total") <= k * F.col("l_capacity"))
+    ranged = search.asked(base.where("l_fixed is null and collect").select("*", F.col("n_lockers").alias("n"), F.col("l_most").alias("most"), F.lit(start).cast(LONG).alias("at"), F.lit(end).cast(LONG).alias("until")))
+    ranged = staged(ranged.where((F.col("k") > 0) & enough(F.col("k"))).select(*REQ, "ids", "total", "k", "before", "lo", "hi"), "sweep-ranges")
+    key = ["region_id", "k", "lo", "hi"]
+    sets = search.covering_sets(reach, ranged.select(*key).distinct(), log=log)
+    free = ranged.join(sets, key).select(*REQ, (F.col("before") + F.col("ordinal")).alias("l_ordinal"), named, "total")
+    # a fixed selection is the only one, and the first
+    fixed = base.where(F.col("l_fixed").isNotNull() & F.lit(start == 0)).select(*REQ, "l_fixed", "l_capacity", "collect", "total")
+    met = fixed.select(*REQ, F.explode("l_fixed").alias("locker_id")).join(walks.select("region_id", "locker_id", "cell_id"), ["region_id", "locker_id"]).join(cells.select("region_id", "cell_id"), ["region_id", "cell_id"], "left_semi")
+    met = met.groupBy(*REQ).agg(F.countDistinct("cell_id").alias("_cells"), F.countDistinct("locker_id").alias("_used"))
+    n = cells.groupBy("region_id").agg(F.count(F.lit(1)).alias("_n"))
+    fixed = fixed.join(met, REQ, "left").join(n, "region_id", "left")
+    k = F.size("l_fixed")
+    passes = ~F.col("collect") | ((k > 0) & enough(k) & (F.col("_cells") == F.col("_n")) & (F.col("_used") == k))
+    held = fixed.where(passes).select(*REQ, F.lit(0).cast(LONG).alias("l_ordinal"), F.col("l_fixed").alias("lockers"), "total")
+    # without collection every selection passes; terms() leaves few of them
+    idle = selections(open_.where("not collect and l_fixed is null").withColumnsRenamed({"l_most": "max_lockers", "l_fixed": "fixed_lockers"}), lockers, "locker").where((F.col("ordinal") >= start) & (F.col("ordinal") < end))
+    return free.unionByName(held).unionByName(idle.select(*REQ, F.col("ordinal").alias("l_ordinal"), F.col("members").alias("lockers"), F.lit(0).cast(LONG).alias("total")))
+
+
+def _decided(world: tuple, first: DataFrame, asked: DataFrame, max_states: int | None):
+    """(won, plans, capped): the first feasible pair of each request among ``first``, its plan tables, and
+    the requests with an abandoned selection."""
+    cells, lockers, depots, walks, flights = world
+    kept = staged(screen_pairs(first, asked, depots, flights).where("stage = 'passes'").drop("stage"), "sweep-kept")
+    caps = asked.select(*REQ, "l_capacity", "d_capacity", "o_capacity", "flight_limit_mm", "tolerance", "normal", "collect")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     # the cells' assignments depend on the lockers and their capacity only: once for all requests
-    with_cap = kept.join(caps, REQ).withColumn("lsel", _key(F.col("region_id"), F.col("locker_capacity"), F.array_join(F.col("lockers").cast("array<string>"), ",")))
-    chosen = staged(with_cap.select("lsel", "region_id", "lockers", "locker_capacity").distinct(), "sweep-lockers")
-    selected = chosen.select(F.col("lsel").alias("sel"), "region_id", F.col("lockers").alias("members"), F.col("locker_capacity").alias("capacity"))
+    with_cap = staged(kept.join(caps, REQ).withColumn("lsel", _key(F.col("region_id"), text("l_capacity"), text("collect"), listed("lockers"))), "sweep-pairs")
+    chosen = staged(with_cap.where("collect").select("lsel", "region_id", "lockers", "l_capacity").distinct(), "sweep-lockers")
+    selected = chosen.select(F.col("lsel").alias("sel"), "region_id", F.col("lockers").alias("members"), F.col("l_capacity").alias("capacity"))
     loads, capped_cells, cell_order = cell_assignments(selected, cells, lockers, walks, max_states)
     loads = loads.select(F.col("sel").alias("lsel"), "loads", F.col("path").alias("cell_path"))
-    # the suppliers' assignments depend on the loads, the depots, the range and the capacity
-    cases = with_cap.join(loads, "lsel").withColumn(
-        "dsel", _key(F.col("lsel"), F.array_join(F.col("loads").cast("array<string>"), ","), F.array_join(F.col("depots").cast("array<string>"), ","), F.col("flight_limit_mm"), F.col("depot_capacity"))
+    # where nothing is collected, each locker counts as one, and only whether depots are used matters
+    ones = F.transform("lockers", lambda x: F.lit(1).cast(LONG))
+    idle = with_cap.where("not collect").withColumns({"loads": ones, "cell_path": F.array().cast("array<int>")})
+    # the suppliers' assignments depend on the loads, the depots, the range and the capacities
+    cases = with_cap.where("collect").join(loads, "lsel").unionByName(idle).withColumn(
+        "dsel", _key(F.col("lsel"), listed("loads"), listed("depots"), F.col("flight_limit_mm"), text("d_capacity"), text("o_capacity"), text("normal"))
     )
     cases = staged(cases, "sweep-cases")
-    scopes = F.when(F.col("tolerance") == 1, F.concat(F.array(F.lit(None).cast(LONG)), "depots")).otherwise(F.array(F.lit(None).cast(LONG)))
-    each = cases.select("dsel", "region_id", F.col("lockers").alias("members"), "loads", "depots", "flight_limit_mm", F.col("depot_capacity").alias("capacity"), F.explode(scopes).alias("outage_depot")).distinct()
+    normal = F.when(F.col("normal"), F.array(F.lit(None).cast(LONG))).otherwise(F.array().cast("array<bigint>"))
+    scopes = F.when(F.col("tolerance") == 1, F.concat(normal, "depots")).otherwise(normal)
+    capacity = F.when(F.col("outage_depot").isNull(), F.col("d_capacity")).otherwise(F.col("o_capacity")).alias("capacity")
+    each = cases.select("dsel", "region_id", F.col("lockers").alias("members"), "loads", "depots", "flight_limit_mm", "d_capacity", "o_capacity", F.explode(scopes).alias("outage_depot")).distinct()
+    each = each.select("dsel", "region_id", "members", "loads", "depots", "flight_limit_mm", "outage_depot", capacity)
     each = staged(each.withColumn("sel", _key(F.col("dsel"), F.coalesce(F.col("outage_depot").cast("string"), F.lit("-")))), "sweep-scopes")
     served, capped_supply, supply_order_ = supplier_assignments(each, flights, depots, max_states)
-    first = served.groupBy("sel").agg(F.min("path").alias("supply_path"))
-    per = each.select("sel", "dsel", "outage_depot").join(first, "sel", "left").join(capped_supply.withColumn("_capped", F.lit(True)), "sel", "left")
+    best = served.groupBy("sel").agg(F.min("path").alias("supply_path"))
+    per = each.select("sel", "dsel", "outage_depot").join(best, "sel", "left").join(capped_supply.withColumn("_capped", F.lit(True)), "sel", "left")
     per = staged(per.withColumn("_capped", F.coalesce("_capped", F.lit(False))), "sweep-per")
-    both = cases.select(*REQ, "l_ordinal", "d_ordinal", "cell_path", "dsel", "tolerance").join(per, "dsel").where(F.col("outage_depot").isNull() | (F.col("tolerance") == 1))
-    verdict = both.groupBy(*REQ, "l_ordinal", "d_ordinal", "cell_path", "dsel").agg(F.bool_and(F.col("supply_path").isNotNull()).alias("ok"), F.bool_or("_capped").alias("capped"))
+    counts = per.select("dsel", "outage_depot", F.col("supply_path").isNotNull().alias("_ok"), "_capped")
+    mine = F.col("outage_depot").isNull() | (F.col("tolerance") == 1)
+    both = cases.select(*REQ, "l_ordinal", "d_ordinal", "cell_path", "dsel", "tolerance").join(counts, "dsel", "left")
+    # a case without any scope, as where nothing need be supplied, holds
+    yes = lambda c, name: F.coalesce(F.bool_and(F.when(mine, F.coalesce(c, F.lit(True)))), F.lit(True)).alias(name)
+    verdict = both.groupBy(*REQ, "l_ordinal", "d_ordinal", "cell_path", "dsel").agg(yes(F.col("_ok"), "ok"), F.coalesce(F.bool_or(mine & F.col("_capped")), F.lit(False)).alias("capped"))
     win = verdict.where("ok").groupBy(*REQ).agg(F.min(F.struct("l_ordinal", "d_ordinal", "cell_path", "dsel")).alias("w"))
-    open_ = with_cap.join(capped_cells.withColumnRenamed("sel", "lsel"), "lsel", "left_semi").select(*REQ).union(verdict.where("capped").select(*REQ)).distinct().withColumn("_open", F.lit(True))
-    out = requests.select(*REQ).join(broken.withColumn("_bad", F.lit(True)), REQ, "left").join(win, REQ, "left").join(open_, REQ, "left")
-    status = F.when(F.col("_bad"), "error").when(F.col("w").isNotNull(), "feasible").when(F.col("_open"), "timeout").otherwise("unsat")
-    results = staged(out.select(*REQ, status.alias("status"), F.col("w.l_ordinal").alias("l_ordinal"), F.col("w.d_ordinal").alias("d_ordinal"), F.col("w.cell_path").alias("cell_path"), F.col("w.dsel").alias("dsel")), "sweep-results")
-    return results.select(*REQ, "status", "l_ordinal", "d_ordinal"), _plans(results, with_cap, cell_order, per, supply_order_)
+    win = staged(win.select(*REQ, "w.*"), "sweep-winners")
+    capped = with_cap.join(capped_cells.withColumnRenamed("sel", "lsel"), "lsel", "left_semi").select(*REQ).union(verdict.where("capped").select(*REQ)).distinct()
+    return win.select(*REQ, "l_ordinal", "d_ordinal"), _plans(win, with_cap, cell_order, per, supply_order_), staged(capped, "sweep-undecided")
+
+
+def _no_plans(requests: DataFrame) -> dict[str, DataFrame]:
+    none = requests.select("region_id", F.col("request_id").alias("plan_id")).limit(0)
+    put = lambda **c: none.withColumns({k: F.lit(None).cast(v) for k, v in c.items()})
+    return {
+        "plan_sites": put(kind="string", pos=LONG, site_id=LONG), "plan_cells": put(pos=LONG, cell_id=LONG, locker_id=LONG),
+        "plan_supply": put(pos=LONG, outage_depot=LONG, locker_id=LONG, depot_id=LONG), "plan_outages": put(pos=LONG, depot_id=LONG),
+    }
 
 
 def _plans(results, with_cap, cell_order, per, supplies) -> dict[str, DataFrame]:
-    won = results.where("status = 'feasible'").join(with_cap, [*REQ, "l_ordinal", "d_ordinal"]).withColumnRenamed("request_id", "plan_id")
+    won = results.join(with_cap.drop("collect"), [*REQ, "l_ordinal", "d_ordinal"]).withColumnRenamed("request_id", "plan_id")
     won = staged(won.select("region_id", "plan_id", "lockers", "depots", "lsel", "dsel", "cell_path", "tolerance"), "sweep-won")
     key = ["region_id", "plan_id"]
     site = lambda kind: won.select(*key, F.lit(kind).alias("kind"), F.posexplode(f"{kind}s").alias("pos", "site_id"))
@@ -452,8 +593,8 @@ def selection_outcomes(cells, lockers, depots, walks, flights, limits: DataFrame
     """(region_id, lockers, depots, status): the outcome of each exact selection.
 
     ``limits(region_id, ...)`` has one row of limits for each region."""
-    order = Window.partitionBy("region_id").orderBy("lockers", "depots")
-    fixed = staged(plausible.withColumn("request_id", (F.row_number().over(order) - 1).cast("long")).withColumnsRenamed({"lockers": "fixed_lockers", "depots": "fixed_depots"}), "outcome-fixed")
+    fixed = numbered(plausible, "region_id", ["lockers", "depots"], "request_id").withColumn("request_id", F.col("request_id").cast("long"))
+    fixed = staged(fixed.withColumnsRenamed({"lockers": "fixed_lockers", "depots": "fixed_depots"}), "outcome-fixed")
     requests = limits.drop("request_id", "fixed_lockers", "fixed_depots").join(fixed, "region_id")
     results, _ = feasibility_sweep(cells, lockers, depots, walks, flights, requests, max_states)
     return results.join(fixed, REQ).select("region_id", F.col("fixed_lockers").alias("lockers"), F.col("fixed_depots").alias("depots"), "status")
@@ -466,31 +607,21 @@ def outcome_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("region_id").agg(n(s == "feasible", "feasible"), n(s == "unsat", "unsat"), n(~s.isin("feasible", "unsat"), "other"))
 
 
-#: rule -> the values that take it away
-RELAXED = {
-    "locker_budget": {"max_lockers": None},
-    "locker_capacity": {"locker_capacity": 10_000},
-    "supply": {"flight_limit_mm": 10_000_000},
-    "depot_budget": {"max_depots": None},
-    "depot_capacity": {"depot_capacity": 10_000},
-    "depot_outage": {"outage_tolerance": None},
-    "fixed_lockers": {"fixed_lockers": None},
-    "fixed_depots": {"fixed_depots": None},
-}
+def blocking_rules(cells, lockers, depots, walks, flights, requests: DataFrame, max_states: int | None = None) -> DataFrame:
+    """(request, rule_id): rules that alone, taken away, make an unsatisfiable request feasible.
 
+    Only rules that the request brings are tried, by the ids of ``plans.verify.rule_groups``: a rule is
+    switched off in the screens and assignments, no limit is replaced by a larger number."""
+    from .verify import rule_groups
 
-def blocking_rules(cells, lockers, depots, walks, flights, requests: DataFrame, max_states: int | None = None) -> DataFrame:
-    """(request, rule_id): rules whose relaxation alone makes an unsatisfiable request feasible."""
-    count = lambda t, name: t.groupBy("region_id").agg(F.count(F.lit(1)).cast("int").alias(name))
-    base = requests.join(count(lockers, "_l"), "region_id").join(count(depots, "_d"), "region_id")
-    rows = []
-    for i, (rule, change) in enumerate(RELAXED.items()):
-        out = base
-        for name, value in change.items():
-            kind = requests.schema[name].dataType
-            new = F.col("_l") if name == "max_lockers" else F.col("_d") if name == "max_depots" else F.lit(value)
-            out = out.withColumn(name, new.cast(kind))
-        rows.append(out.withColumns({"rule_id": F.lit(rule), "_of": F.col("request_id"), "request_id": F.col("request_id") * len(RELAXED) + i}))
-    relaxed = staged(reduce(DataFrame.unionByName, rows).drop("_l", "_d"), "relaxed")
+    brought = rule_groups(requests.withColumnRenamed("request_id", "plan_id")).select("region_id", F.col("plan_id").alias("_of"), "rule_id")
+    place = F.array_position(F.array(*[F.lit(r) for r in RULES]), F.col("rule_id")) - 1
+    relaxed = requests.withColumnRenamed("request_id", "_of").join(brought, ["region_id", "_of"])
+    relaxed = staged(relaxed.withColumns({"off": F.col("rule_id"), "request_id": (F.col("_of") * len(RULES) + place).cast("long")}), "relaxed")
     results, _ = feasibility_sweep(cells, lockers, depots, walks, flights, relaxed.drop("rule_id", "_of"), max_states)
     return results.where("status = 'feasible'").join(relaxed.select(*REQ, "rule_id", "_of"), REQ).select("region_id", F.col("_of").alias("request_id"), "rule_id")
+
+
+def search_counters(found: Search) -> DataFrame:
+    """(region_id, request_id, status, locker_sets_checked, site_selections_checked) of a search."""
+    return search.counters(found.survivors, found.results, found.space)

@@ -8,7 +8,6 @@ from .bindings import KEY, Blocks, City, Plans
 from .functions.scalars import choose
 from .oracles import sql
 from .plans import reports, whatif
-from .plans.verify import Audit
 from .registry import query
 
 LIST = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
@@ -138,12 +137,8 @@ def e10(spark, d):
 
 @query("e10_verified_plans")
 def e10_plans(spark, d):
-    """Independent verification of every plan that the sweep found."""
-    b = Blocks(spark, d)
-    cells, lockers, depots, walks, _ = b.world()
-    results, plans = b.sweep()
-    requests = b.requests().withColumnRenamed("request_id", "plan_id").join(plans["plan_sites"].select(KEY, "plan_id").distinct(), [KEY, "plan_id"], "left_semi")
-    audit = Audit(cells, lockers, depots, walks.withColumns({"measured_mm": F.col("distance_mm"), "route_ok": F.lit(True)}), requests, walk_limit_mm=b.WALK_MM, **plans)
+    """Independent verification of every plan that the search found, routes included."""
+    audit = Blocks(spark, d).found_plans()
     return audit.verification(audit.errors()).withColumn("errors", F.array_join("errors", ","))
 
 
@@ -174,6 +169,12 @@ def e13(spark, d):
     return whatif.funnel(whatif.screen(b.requests(), *b.world())).unionByName(whatif.funnel(first))
 
 
+@query("e13_search_counters")
+def e13_counters(spark, d):
+    """How many selections the search of each request tries, in enumeration order."""
+    return whatif.search_counters(Blocks(spark, d).search())
+
+
 @query("e14_blocking_rules")
 def e14(spark, d):
     b = Blocks(spark, d)
@@ -280,11 +281,8 @@ def r3(spark, d):
 @query("r4_result_summary")
 def r4(spark, d):
     b = Blocks(spark, d)
-    cells, lockers, depots, walks, _ = b.world()
-    results, plans = b.sweep()
-    requests = b.requests().withColumnRenamed("request_id", "plan_id").join(plans["plan_sites"].select(KEY, "plan_id").distinct(), [KEY, "plan_id"], "left_semi")
-    audit = Audit(cells, lockers, depots, walks.withColumns({"measured_mm": F.col("distance_mm"), "route_ok": F.lit(True)}), requests, walk_limit_mm=b.WALK_MM, **plans)
-    return reports.result_summary(results, audit.verification(audit.errors()), plans["plan_sites"], b.requests())
+    audit = b.found_plans()
+    return reports.result_summary(b.search().results, audit.verification(audit.errors()), audit.sites, b.requests())
 
 
 _SUMMARY = """select plan_id as request_id, case plan_id % 5 when 0 then 'unsat' when 1 then 'timeout' when 2 then 'error' else 'feasible' end as status,

@@ -115,7 +115,8 @@ def test_state_cap_is_no_conclusion(spark, scene):
 def test_blocking_rules(spark, scene):
     row = (0, 7, 2, 2, 4, 1, 800_000, None, None, None, 1000)
     got = whatif.blocking_rules(*scene, spark.createDataFrame([row], REQUEST)).collect()
-    assert [(r.request_id, r.rule_id) for r in got] == [(7, "depot_capacity")]
+    # nothing carried or nobody supplied is no load for the depots either
+    assert {(r.request_id, r.rule_id) for r in got} == {(7, "depot_capacity"), (7, "collection"), (7, "supply")}
 
 
 def test_assignment_matches_depth_first_search(spark):
@@ -275,7 +276,7 @@ def test_blocking_rules_of_every_unsat_request(spark):
         if status[region, request] != "unsat":
             assert not any(g[:2] == (region, request) for g in got)
             continue
-        for rule, axis, value in (("locker_budget", 0, 4), ("depot_budget", 1, 3), ("depot_outage", 3, 0)):
+        for rule, axis, value in (("locker_budget", 0, 4), ("depot_budget", 1, 3), ("depot_outage_supply", 3, 0)):
             there = [value if i == axis else x for i, x in enumerate(point)]
             if n[region] == 4:
                 want = status[region, grid[region, *there]] == "feasible"
@@ -522,3 +523,26 @@ def test_complexity_report_takes_each_regions_limits(spark, scene):
     # one depot of two keeps no locker supplied after an outage; both do, where the range allows it
     assert (got[0].reduced_sets, got[0].reduced_best, got[1].reduced_sets, got[1].reduced_best) == (2, 0, 1, 2)
     assert (got[0].supply_total, got[1].supply_total) == (2, 4)
+
+
+def test_routes_of_found_plans_are_measured(spark):
+    """Plans are valid along their routes; a route with a missing, turned or foreign edge shows, and so does a wrong length."""
+    from sitegrid.bindings import Blocks
+
+    b = Blocks(spark, "/root/testdata/sf0.01")
+    codes = lambda a: {(r.region_id, r.plan_id): set(r.errors) for r in a.verification(a.errors()).collect()}
+    whole = codes(b.found_plans())
+    assert whole and not any(whole.values())
+    used = b.sweep()[1]["plan_cells"]
+    at = used.orderBy("region_id", "plan_id", "cell_id").first()
+    mine = (F.col("cell_id") == at.cell_id) & (F.col("locker_id") == at.locker_id) & (F.col("region_id") == at.region_id)
+    touched = {(r.region_id, r.plan_id) for r in used.where(mine).collect()}
+    routes = b.routes()
+    other = routes.where(~mine).where(F.size("edge_ids") > 0).first().edge_ids
+    turned = F.transform("edge_ids", lambda e: F.concat_ws(">", F.element_at(F.split(e, ">"), 2), F.element_at(F.split(e, ">"), 1)))
+    for change in (F.array().cast("array<string>"), turned, F.array(*[F.lit(x) for x in other]), F.lit(None).cast("array<string>")):
+        found = codes(b.found_plans(b.measured_walks(routes.withColumn("edge_ids", F.when(mine, change).otherwise(F.col("edge_ids"))))))
+        assert {k for k, v in found.items() if "broken_route" in v} == touched
+        assert {k for k, v in found.items() if v} == touched
+    longer = b.measured_walks().withColumn("distance_mm", F.col("distance_mm") + F.when(mine, 1).otherwise(0))
+    assert {k for k, v in codes(b.found_plans(longer)).items() if v} == {k for k, v in codes(b.found_plans(longer)).items() if v == {"walk_limit"}} == touched
