@@ -1,16 +1,18 @@
 """Phrase collocation mining over a weighted de Bruijn graph of words.
 
-1. A first pass counts neighbouring word pairs in a sketch of bounded size that never counts too
-   little. No phrase of ``least`` occurrences crosses a pair that has fewer, so pieces are cut there;
-   what is left of a piece is a run. A crowded sketch cuts less and changes no result.
-2. A second pass emits for each run its grams of LONGEST words, the edges of the graph, and its end:
-   its last LONGEST - 1 words, or all of a shorter run. Tasks sum equal ones, then Spark does. An edge
-   leads from its first LONGEST - 1 words to its last ones, its weight is its number of occurrences.
+1. A first pass counts pairs and triples of neighbouring words in a sketch of bounded size that never
+   counts too little. No phrase of ``least`` occurrences holds a pair or triple that has fewer. A
+   crowded sketch rules out less and changes no result.
+2. A second pass emits for each place of a piece the longest gram that begins there, up to LONGEST
+   words, and ends with the piece or before what the sketch rules out. Grams of LONGEST words are
+   the edges of the graph, shorter ones are places where the flow stops: piece ends, above all. Tasks sum
+   equal ones, then Spark does. An edge leads from its first LONGEST - 1 words to its last ones,
+   its weight is its number of occurrences.
 3. Paths through nodes with one edge in and one out, of the same weight, are compacted: a junction
    that comes before both neighbouring ones by hash joins its two paths, round by round, until a
    round finds less than a SLOW-th of all paths to join. A path has one weight for all of its edges.
 4. Shorter counts follow from the flow: a gram occurs as often as the grams of one more word that
-   begin with it, and once more for each run that ends with it.
+   begin with it, and once more for each place where the flow stops with it.
 5. Candidates meet the counts of their parts in joins; the score of each cut is exact decimal
    arithmetic. A phrase is dropped for one that holds it and is as frequent; such a phrase of more
    words exists only if one of one more word does, so those are what is compared.
@@ -29,7 +31,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ from .common import merged_chunks, mixed, written
 
 LONGEST, LEAST, SHOWN = 5, 100, 2000
 #: Counters of the sketch: COUNTERS_A_DOC for each document, 2**bits in all, within these bounds.
-COUNTERS_A_DOC, LEAST_BITS, MOST_BITS, CHUNK = 64, 16, 26, 1 << 16
+COUNTERS_A_DOC, LEAST_BITS, MOST_BITS, CHUNK = 128, 16, 27, 1 << 16
 SLICE = 1_000_000
 #: Compaction ends at a round that joins less than a SLOW-th of the paths.
 SLOW = 20
@@ -109,6 +110,10 @@ class Slice:
         """Hashes of each word with the one before it, from the second word on."""
         return mixed(self.hashes[:-1] * _U(0x9E3779B97F4A7C15) + self.hashes[1:])
 
+    def triples(self) -> np.ndarray:
+        """Hashes of each word with the two before it, from the third word on."""
+        return mixed((self.pairs()[:-1] ^ _U(0x94D049BB133111EB)) * _U(0x9E3779B97F4A7C15) + self.hashes[2:])
+
     def spans(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
         """The words from ``first`` to ``last``, both included, as strings."""
         start, size = self.at[first], self.at[last + 1] - self.at[first] - 1
@@ -163,22 +168,24 @@ def sketch_bits(docs: int) -> int:
 
 
 def _frequent(texts: DataFrame, bits: int, least: int) -> np.ndarray:
-    """Whether a counter of word pairs has reached ``least``: a bit for each counter.
+    """Whether a counter of word pairs and triples has reached ``least``: a bit for each counter.
 
-    A task's counters hold up to 65,535; larger counts are frequent for any such ``least``.
+    A task's counters end at ``least``, which is enough to tell.
     """
-    shift, most = _U(64 - bits), 65_535
+    shift, kind = _U(64 - bits), np.min_scalar_type(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, waiting, held = np.zeros(1 << bits, np.uint16), [], 0
+        own, waiting, held = np.zeros(1 << bits, kind), [], 0
 
         def settle() -> None:
             at, n = np.unique(np.concatenate(waiting), return_counts=True)
-            own[at] = np.minimum(most, own[at] + n)
+            own[at] = np.minimum(least, own[at] + n)
 
         for _, s in slices(batches):
-            waiting.append((s.pairs()[~s.opens[1:]] >> shift).astype(np.int64))
-            held += len(waiting[-1])
+            inside = ~s.opens
+            both = np.concatenate([s.pairs()[inside[1:]], s.triples()[inside[1:-1] & inside[2:]]])
+            waiting.append((both >> shift).astype(np.int64))
+            held += len(both)
             if held > 2_000_000:
                 settle()
                 waiting, held = [], 0
@@ -188,53 +195,52 @@ def _frequent(texts: DataFrame, bits: int, least: int) -> np.ndarray:
             if own[i : i + CHUNK].any():
                 yield pa.RecordBatch.from_pydict({"chunk": [k], "body": [zlib.compress(own[i : i + CHUNK].tobytes(), 1)]})
 
-    part = lambda b: np.frombuffer(zlib.decompress(b), np.uint16)
-    unite = lambda held, x: part(x.tobytes()).astype(np.int64) if held is None else held + part(x.tobytes())
+    def unite(held: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+        part = np.frombuffer(zlib.decompress(x.tobytes()), kind).astype(np.int64)
+        return part if held is None else held + part
+
     out = np.zeros(1 << bits, bool)
-    pack = lambda held: np.packbits(held >= least)
-    for k, body in merged_chunks(texts.mapInArrow(run, "chunk bigint, body binary"), unite, pack, np.uint8).items():
-        x = np.unpackbits(np.frombuffer(body, np.uint8)).astype(bool)
-        out[k * CHUNK : k * CHUNK + len(x)] = x
+    for k, body in merged_chunks(texts.mapInArrow(run, "chunk bigint, body binary"), unite, lambda held: np.packbits(held >= least), np.uint8).items():
+        own = out[k * CHUNK : (k + 1) * CHUNK]
+        own[:] = np.unpackbits(np.frombuffer(body, np.uint8))[: len(own)]
     return np.packbits(out)
 
 
 def grams(texts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """(lang, gram, words, n): edges of ``longest`` words and ends of fewer, with their numbers; the number of all
-    words of a language has a null gram."""
-    spark = texts.sparkSession
+    """(lang, gram, words, n): edges of ``longest`` words and shorter grams with which the flow stops, with their
+    numbers; the number of all words of a language has a null gram."""
     bits = sketch_bits(texts.count())
-    if least > 65_535:
-        raise ValueError("the sketch counts up to 65,535")
-    shared = spark.sparkContext.broadcast(_frequent(texts, bits, least))
+    shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts, bits, least))
     shift = _U(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         waiting, held, total = [], 0, {}
 
+        def known(codes: np.ndarray) -> np.ndarray:
+            code = (codes >> shift).astype(np.int64)
+            return (table[code >> 3] >> (7 - (code & 7)).astype(np.uint8)) & 1 == 1
+
         def settle() -> Iterator[pa.RecordBatch]:
             both = pa.concat_tables(waiting).group_by(["lang", "gram", "words"]).aggregate([("n", "sum")])
             both = both.select(["lang", "gram", "words", "n_sum"]).rename_columns(["lang", "gram", "words", "n"])
-            for b in both.cast(GRAMS).to_batches(50_000):
-                yield b
+            yield from both.cast(GRAMS).to_batches(50_000)
 
         for lang, s in slices(batches):
             n = len(s.opens)
             total[lang] = total.get(lang, 0) + n
             if not n:
                 continue
-            cut = s.opens.copy()
-            code = (s.pairs() >> shift).astype(np.int64)
-            cut[1:] |= (table[code >> 3] >> (7 - (code & 7)).astype(np.uint8)) & 1 == 0
-            start = np.flatnonzero(cut)
-            end = np.append(start[1:], n) - 1
-            size = end - start + 1
-            edges = np.maximum(0, size - longest + 1)
-            first = np.arange(int(edges.sum())) + np.repeat(start - np.concatenate([[0], np.cumsum(edges)[:-1]]), edges)
-            end_first = np.maximum(start, end - longest + 2)
-            gram = pa.concat_arrays([s.spans(first, first + longest - 1), s.spans(end_first, end)])
-            words = pa.array(np.concatenate([np.full(len(first), longest), end - end_first + 1]).astype(np.int32))
-            t = pa.table({"gram": gram, "words": words}).group_by(["gram", "words"]).aggregate([([], "count_all")])
+            # whether a word may follow the one before it, and the two before it
+            pair, triple = np.zeros(n + longest, bool), np.zeros(n + longest, bool)
+            pair[1:n] = ~s.opens[1:] & known(s.pairs())
+            triple[2:n] = pair[1 : n - 1] & pair[2:n] & known(s.triples())
+            size, alive = np.ones(n, np.int64), np.ones(n, bool)
+            for k in range(1, longest):
+                alive &= (pair if k == 1 else triple)[k : n + k]
+                size += alive
+            first = np.arange(n)
+            t = pa.table({"gram": s.spans(first, first + size - 1), "words": pa.array(size.astype(np.int32))}).group_by(["gram", "words"]).aggregate([([], "count_all")])
             waiting.append(pa.table({"lang": pa.array([lang] * len(t)), "gram": t["gram"], "words": t["words"], "n": t["count_all"]}))
             held += len(t)
             if held > 400_000:
@@ -315,7 +321,6 @@ def phrase_counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST)
     """
     found = grams(texts, least, longest)
     totals = found.where("gram is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    ends = found.where(F.col("words") < longest)
     paths = compacted(found.where(F.col("words") == longest).select("lang", "gram", "n"), longest)
     # the edges of a path are its spans of ``longest`` words
     words = F.split("path", " ")
@@ -323,7 +328,7 @@ def phrase_counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST)
     flow = paths.select("lang", F.explode(spans).alias("gram"), "n")
     levels = [flow.where(F.col("n") >= least).select("lang", F.col("gram").alias("phrase"), F.lit(longest).alias("words"), "n")]
     for k in range(longest - 1, 0, -1):
-        ended = ends.where(F.col("words") >= k).select("lang", _last("gram", k).alias("gram"), "n")
+        ended = found.where(F.col("words") == k).select("lang", "gram", "n")
         flow = flow.select("lang", _first("gram", k).alias("gram"), "n").unionByName(ended)
         flow = written(flow.groupBy("lang", "gram").agg(F.sum("n").alias("n")), f"flow{k}")
         levels.append(flow.where(F.col("n") >= least).select("lang", F.col("gram").alias("phrase"), F.lit(k).alias("words"), "n"))
