@@ -457,7 +457,7 @@ def test_ranks_match_power_iteration(spark):
     rng = np.random.default_rng(4)
     edges = {(f"h{a}", f"h{b}"): int(n) for a, b, n in zip(rng.integers(0, 12, 30), rng.integers(0, 12, 30), rng.integers(1, 5, 30), strict=True) if a != b}
     seeds = [("h0", 2, 0), ("h1", 1, 1), ("h5", 0, 3)]
-    got = urlrank.propagate(spark.createDataFrame([(*k, n) for k, n in edges.items()], "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, good long, bad long"))
+    got = urlrank.propagate(spark.createDataFrame([(*k, n) for k, n in edges.items()], "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, good long, bad long"), tolerance=1e-11)
     got = {r.host: (r.trust, r.distrust) for r in got.collect()}
     for side in (0, 1):
         m = np.zeros((12, 12))
@@ -470,7 +470,7 @@ def test_ranks_match_power_iteration(spark):
             jump[int(h[1:])] = mass[side]
         jump /= jump.sum()
         rank = jump.copy()
-        for _ in range(urlrank.ROUNDS):
+        for _ in range(300):
             moved = urlrank.DAMPING * m @ rank
             rank = moved + jump * (1 - moved.sum())
         assert all(abs(got.get(f"h{i}", (0, 0))[side] - rank[i]) < 1e-9 for i in range(12))
@@ -479,11 +479,21 @@ def test_ranks_match_power_iteration(spark):
 def test_suffixes_tie_nobody(spark):
     schema = "page_id long, url string, html string, trust string, rule string"
     table = [(0, "http://a.co.uk/", '<a href="http://bad.net/">', "", ""), (1, "http://b.co.uk/", None, "", ""), (2, "http://x.a.co.uk/", None, "", ""), (3, "http://bad.net/", None, "", ""), (4, "http://10.1.2.3/", '<a href=//bad.net>', "", ""), (5, "http://11.1.2.3/", "x" * 100_000, "", "")]
-    got = {r.page_id: r.verdict for r in urlrank.judge(spark.createDataFrame(table, schema)).collect()}
+    got = {r.page_id: r.verdict for r in urlrank.judge(spark.createDataFrame(table, schema), steps=True).collect()}
     assert got == {0: "block", 1: "allow", 2: "block", 3: "block", 4: "block", 5: "allow"}
 
 
-def brute_urls(pages):
+@pytest.mark.parametrize("seeds", [1, 5000])
+def test_distrust_reaches_as_far_whatever_the_size(spark, seeds):
+    """A chain of hosts that ends at a blocked one, alone and beside thousands of other blocked hosts."""
+    schema = "page_id long, url string, html string"
+    chain = [(k, f"http://c{k}.dev/", f'<a href = "http://{f"c{k - 1}.dev" if k else "bad0.net"}/x">') for k in range(9)]
+    table = [*chain, (100, "http://other.dev/", '<a href="/local"> <a href="page.html">'), *((1000 + i, f"http://bad{i}.net/", None) for i in range(seeds))]
+    got = {r.page_id: r.verdict for r in urlrank.judge(spark.createDataFrame(table, schema)).collect()}
+    assert all(got[k] == "block" for k in range(9)) and got[100] == "allow" and set(list(got.values())[10:]) == {"block"}
+
+
+def brute_urls(pages, with_steps=False):
     """Verdicts page by page; ranks by dictionaries."""
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -505,12 +515,12 @@ def brute_urls(pages):
             hosts.add(host)
             good[host] += rule(host, path)[1] == "allow"
             bad[host] += rule(host, path)[1] == "block"
-            for dst in {m.translate(low) if m.translate(low) else m for m in set(re.findall(r"(?i)href=[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)", html or ""))}:
+            for dst in {m.translate(low) if m.translate(low) else m for m in set(re.findall(r"(?i)href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)", html or ""))}:
                 if dst != host:
                     edges[host, dst] += 1
                     hosts.add(dst)
     steps = set()
-    for host in hosts:
+    for host in hosts if with_steps else ():
         labels = host.split(".")
         for i in range(len(labels) - 1):
             up = labels[i + 1 :]
@@ -527,8 +537,8 @@ def brute_urls(pages):
             out[a] += n
         sides.append((jump, [(a, b, n / out[a]) for (a, b), n in links.items()]))
     ranks = [dict(jump) for jump, _ in sides]
-    for k in range(urlrank.ROUNDS):
-        change = 0.0
+    for k in itertools.count(1):
+        old = [dict(x) for x in ranks]
         for s, (jump, links) in enumerate(sides):
             new = Counter()
             for a, b, w in links:
@@ -537,9 +547,8 @@ def brute_urls(pages):
             back = 1 - sum(new.values())
             for h, j in jump.items():
                 new[h] += j * back
-            change += sum(abs(new[h] - ranks[s].get(h, 0)) for h in {*new, *ranks[s]})
             ranks[s] = dict(new)
-        if k % urlrank.EVERY == urlrank.EVERY - 1 and change < urlrank.TOLERANCE:
+        if k % urlrank.EVERY == 0 and all(h in o and abs(o[h] - v) <= urlrank.TOLERANCE * v for o, n in zip(old, ranks, strict=True) for h, v in n.items()):
             break
     out = {}
     for i, host, path, _ in rows:
@@ -553,13 +562,14 @@ def test_urls_of_the_test_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     odd = [(-1, "HTTP://WWW.Shop.example.co.uk?x", '<a href="https://www.tionble.example.com/en/">'), (-2, "x://a.b.example.org/fr", None), (-3, "http://c.example.org/fr/?q#f", '<a HREF=//u.example.dev/ >'), (-4, "http://u.example.dev", None), (-5, "", ""), (-6, None, None)]
     pages = pages.union(spark.createDataFrame(odd, pages.schema))
-    want = brute_urls([tuple(r) for r in pages.collect()])
-    got = urlrank.judge(pages.repartition(4)).collect()
-    assert len(got) == len(want)
-    for r in got:
-        w = want[r.page_id]
-        assert (r.host, r.path, r.rule) == w[:3] and abs(r.trust - w[4]) < 1e-9 and abs(r.distrust - w[5]) < 1e-9, r.page_id
-        assert r.verdict == w[3] or abs(w[4] - w[5]) < 1e-9
+    for steps in (False, True):
+        want = brute_urls([tuple(r) for r in pages.collect()], steps)
+        got = urlrank.judge(pages.repartition(4), steps=steps).collect()
+        assert len(got) == len(want)
+        for r in got:
+            w = want[r.page_id]
+            assert (r.host, r.path, r.rule) == w[:3] and abs(r.trust - w[4]) < 1e-9 and abs(r.distrust - w[5]) < 1e-9, r.page_id
+            assert r.verdict == w[3] or abs(w[4] - w[5]) < 1e-9
 
 
 def brute_secrets(text):
