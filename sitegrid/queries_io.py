@@ -13,6 +13,7 @@ from .plans.verify import Audit
 from .queries_plans import v3_plans  # noqa: F401  the stream has the batch audit's oracle
 from .registry import SQL, query
 from .sources import tables
+from .streaming import plans as plan_streams
 from .streaming import requests as streams
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -130,6 +131,53 @@ def y1(spark, d):
 SQL["y1_verify_stream"] = SQL["v3_verify_plans"]
 
 
+def _rocks(spark):
+    """A session for keyed state: the store of its settings, with the caller's partitions."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    session.conf.set("spark.sql.session.timeZone", "UTC")
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    return session
+
+
+#: Batches over which the pieces of a plan arrive, an hour apart.
+SPREAD = 3
+
+
+@query(
+    "y1_plan_stream",
+    f"""select plan_id, valid, errors, parcel_total, worst_walk_mm, longest_flight_mm, routes_checked from ({SQL['v3_verify_plans']}) where plan_id % 7 <> 3
+    union all select distinct p, false, 'incomplete', null::bigint, null::bigint, null::bigint, null::bigint from (select o_orderkey % greatest(1, (select count(*) from customer) // 50) as p from orders) where p % 7 = 3""",
+)
+def y1_plans(spark, d):
+    """Plans arrive in pieces over several batches, and every seventh one never becomes whole."""
+    from .bindings import once
+
+    p = Plans(spark, d)
+    a, keep = p.audit(), lambda name, make: once(spark, d, name, make)
+    mine = {"plan_sites": a.sites, "plan_cells": keep("plan_cells", p.plan_cells), "plan_supply": keep("plan_supply", p.plan_supply), "plan_outages": a.outages}
+    rows = plan_streams.pieces(a.requests, **mine)
+    lost = (F.col("plan_id") % 7 == 3) & (F.col("kind") == "announced")
+    turn = F.pmod(F.xxhash64("plan_id", "kind", "x", "pos"), F.lit(SPREAD))
+    rows = staged(rows.where(~lost).withColumn("turn", turn).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 3600)), "y1-pieces")
+    # a late piece of a plan of its own lets the watermark pass the others
+    tail = rows.limit(1).withColumns({"plan_id": F.lit(-1).cast("long"), "kind": F.lit("announced"), "n": F.lit(1).cast("long"), "ts": F.timestamp_seconds(F.lit(1_800_000_000))})
+    source, sink, check, session = _fresh(spark, "y1p-in"), _fresh(spark, "y1p-out"), _fresh(spark, "y1p-check"), _rocks(spark)
+
+    def verify(plans, tables):
+        asked = a.requests.join(plans, [KEY, "plan_id"], "left_semi")
+        audit = Audit(a.cells, a.lockers, a.depots, p.measured_walks(), asked, walk_limit_mm=a.limit, **tables)
+        return audit.verification(audit.errors())
+
+    for part in (*(rows.where(F.col("turn") == i) for i in range(SPREAD)), tail):
+        part.drop("turn").write.mode("append").parquet(source)
+        arriving = session.readStream.schema(part.drop("turn").schema).parquet(source)
+        plan_streams.verify_plan_stream(arriving, verify, sink, check, wait_ms=10 * 3_600_000).awaitTermination()
+    found = spark.read.schema(plan_streams.RESULT).parquet(sink).where("plan_id >= 0")
+    return found.withColumn("errors", F.array_join("errors", ",")).drop(KEY, "batch")
+
+
 #: Slices of time in which events arrive.
 SLICES = 4
 
@@ -198,11 +246,7 @@ def y3(spark, d):
     e = staged(messages(spark, d), "y3-in")
     source, sink, check = _fresh(spark, "y3-src"), _fresh(spark, "y3-out"), _fresh(spark, "y3-check")
     tail = e.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select(F.lit(-1).cast("long").alias("client_id"), "ts", F.lit(-1).cast("long").alias("event_id"), F.lit(0).cast("long").alias("generation"), F.lit(0).cast("long").alias("request_id"), F.lit("progress").alias("type"), F.lit(0).cast("long").alias("timeout_ms"))
-    session = spark.newSession()
-    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    session.conf.set("spark.sql.session.timeZone", "UTC")
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    session = _rocks(spark)
     for _ in _arrivals(e, tail, source):
         out = streams.request_lifecycle(session.readStream.schema(e.schema).parquet(source))
         out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import staged
+
 #: Fixed format: the fields of a network document.
 NETWORK = """region_id bigint,
   nodes array<struct<node_id: string, lon: double, lat: double, x_mm: bigint, y_mm: bigint>>,
   edges array<struct<edge_id: string, src: string, dst: string, length_mm: bigint, coordinates: array<struct<lon: double, lat: double>>>>,
   cells array<struct<cell_id: string, population: bigint, parcels: bigint, node_id: string, x_mm: bigint, y_mm: bigint, connector_mm: bigint>>"""
 FINGERPRINT_BUCKETS = 4096
+#: Buckets of a comparison: the sums that travel.
+DIFF_BUCKETS = 1 << 14
 
 
 def read_network(spark: SparkSession, path: str, layout: str = "jsonl") -> dict[str, DataFrame]:
@@ -68,9 +72,31 @@ def fingerprint(df: DataFrame, prefix: str = "parcel-") -> DataFrame:
     return whole.select(F.concat(F.lit(prefix), F.substring("s", 1, 24)).alias("snapshot_id"), "rows")
 
 
+def _buckets(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` with the bucket of each row, and (bucket, n, s): a bucket's rows and the sums of slices of their
+    hashes, which stand for its content."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    # the text tells nulls apart, the hash all digits of a timestamp
+    row = F.concat_ws(":", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), F.xxhash64(*columns).cast("string"))
+    rows = df.withColumn("_h", F.sha2(row, 256)).withColumn("_bucket", F.pmod(F.xxhash64("_h"), F.lit(DIFF_BUCKETS)))
+    slices = [F.sum(F.conv(F.substring("_h", 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(5)]
+    return rows.drop("_h"), rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(",", *slices).alias("s"))
+
+
 def diff_snapshots(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that only one side has, as often as it has more of them, with ``side``."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    """Rows that only one side has, as often as it has more of them, with ``side``.
+
+    Both sides are first compared by buckets of rows, of which sums travel; only rows of
+    buckets that differ are compared themselves, so equal snapshots move no row.
+    """
+    kinds = a.union(b).schema  # columns are matched by place, as their wider type
+    same = lambda df: df.toDF(*kinds.names).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kinds])
+    (left, mine), (right, theirs) = _buckets(same(a)), _buckets(same(b))
+    both = mine.join(theirs.withColumnsRenamed({"n": "_n", "s": "_s"}), "_bucket", "full")
+    # no more buckets than there are, so they may be broadcast
+    unlike = F.broadcast(staged(both.where(~(F.col("n").eqNullSafe(F.col("_n")) & F.col("s").eqNullSafe(F.col("_s")))).select("_bucket"), "diff-buckets"))
+    left, right = (t.join(unlike, "_bucket", "left_semi").select(*[F.col(f"`{c}`") for c in kinds.names]) for t in (left, right))
+    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
 
 
 def feature(geometry: Column, props: list[str]) -> Column:

@@ -220,3 +220,28 @@ def test_counters_of_every_request(spark):
     got = {(r.region_id, r.request_id): tuple(r)[2:] for r in e13_counters(spark, d).collect()}
     assert got == want
     assert {s for s, _, _ in want.values()} >= {"feasible", "unsat"}
+
+
+def test_snapshots_differ_by_buckets(spark, monkeypatch):
+    """The rows of two exceptAll, and no row moves where the sides are equal."""
+    from datetime import datetime
+
+    from sitegrid.sources import tables
+
+    monkeypatch.setattr(tables, "DIFF_BUCKETS", 8)
+    schema = "a int, b string, t timestamp, c array<int>"
+    at = datetime(2024, 1, 1, 0, 0, 0, 1)
+    left = [(i % 7, f"x{i % 5}", at, [i % 2]) for i in range(60)] + [(None, "n", None, None), (1, None, at, [None])]
+    right = left[3:] + [(1, "x1", at.replace(microsecond=2), [1])] * 2 + [(None, None, at, [])]
+    a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    want = a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    assert rows(tables.diff_snapshots(a, b)) == rows(want) and want.count() > 3
+    assert rows(tables.diff_snapshots(a, b.withColumn("a", F.col("a").cast("long")).toDF("p", "q", "r", "s")))
+    assert tables.diff_snapshots(a, a.repartition(5)).count() == 0
+    kept = []
+    real = tables.staged
+    monkeypatch.setattr(tables, "staged", lambda df, label: (kept.append(real(df, label)), kept[-1])[1])
+    tables.diff_snapshots(a, a)
+    tables.diff_snapshots(a, b)
+    assert kept[0].count() == 0 < kept[1].count() <= 8
