@@ -36,7 +36,7 @@ class Reach:
         near = walks.select("region_id", "cell_id", "locker_id").join(ords, ["region_id", "locker_id"])
         of_cell = cells.select("region_id", "cell_id").join(near.groupBy("region_id", "cell_id").agg(F.sort_array(F.collect_set("ord")).alias("o")), ["region_id", "cell_id"], "left")
         classes = numbered(of_cell.where("o is not null").select("region_id", "o").distinct(), "region_id", ["o"], "class")
-        classes = staged(classes.select("region_id", F.col("class").cast("long"), "o"), "reach-classes")
+        classes = classes.select("region_id", F.col("class").cast("long"), "o")
         lost = of_cell.where("o is null").select("region_id").distinct().withColumn("lost", F.lit(True))
         n = lockers.groupBy("region_id").agg(F.count(F.lit(1)).alias("n"))
         sizes = classes.groupBy("region_id").agg((F.floor(F.max("class") / F.lit(WORD)) + 1).cast("int").alias("words"))
@@ -81,8 +81,7 @@ def covering_sets(reach: Reach, asks: DataFrame, idle: bool = False, log: list |
     start = asks.select("region_id", F.col("k").cast("int").alias("k"), _long(F.col("lo")).alias("lo"), _long(F.col("hi")).alias("hi"))
     start = start.join(reach.regions.where("not lost"), "region_id").join(all_, "region_id").where("k between 1 and n and lo < hi")
     state = start.withColumns({"base": none, "last": F.lit(-1), "covered": F.array_repeat(none, F.col("words")), "places": F.array().cast("array<int>")}).drop("words", "lost")
-    state, found, depth = staged(state, "cover-prefixes"), [], 0
-    most = state.agg(F.max("k")).first()[0] or 0
+    found, depth, most = [], 0, asks.agg(F.max("k")).first()[0] or 0
     while depth < most:
         depth += 1
         going = state.where(F.col("k") >= depth)

@@ -182,9 +182,16 @@ def screen_lockers(requests: DataFrame, cells: DataFrame, lockers: DataFrame, wa
 
 def screen(requests: DataFrame, cells: DataFrame, lockers: DataFrame, depots: DataFrame, walks: DataFrame, flights: DataFrame) -> DataFrame:
     """Pairs of a surviving locker selection and a depot selection, with ``stage``."""
-    first = screen_lockers(requests, cells, lockers, walks).where("stage = 'passes'")
-    left = first.select(*REQ, F.col("ordinal").alias("l_ordinal"), F.col("members").alias("lockers"), "total")
-    return screen_pairs(left, terms(requests, lockers, depots), depots, flights)
+    asked = staged(_spaces(terms(requests, lockers, depots), cells), "screen-terms")
+    left = _lockers_in(asked, search.Reach(cells, lockers, walks), 0, 2**63 - 1, lockers, cells, walks, None)
+    return screen_pairs(left, asked, depots, flights)
+
+
+def _spaces(asked: DataFrame, cells: DataFrame) -> DataFrame:
+    """``asked`` with the numbers of selections and the demand."""
+    total = cells.groupBy("region_id").agg(F.sum("parcels").alias("total"))
+    l_space, d_space = search.spaces(F.col("n_lockers"), F.col("l_most"), F.col("l_fixed")), search.spaces(F.col("n_depots"), F.col("d_most"), F.col("d_fixed"))
+    return asked.join(total, "region_id", "left").withColumns({"l_space": l_space, "d_space": d_space, "total": F.when(F.col("collect"), F.coalesce("total", F.lit(0))).otherwise(0)})
 
 
 def screen_pairs(left: DataFrame, asked: DataFrame, depots: DataFrame, flights: DataFrame) -> DataFrame:
@@ -461,10 +468,7 @@ def search_requests(cells: DataFrame, lockers: DataFrame, depots: DataFrame, wal
 
     as_plan = requests.withColumnRenamed("request_id", "plan_id")
     broken = staged(validate_requests(as_plan, lockers, depots).select("region_id", F.col("plan_id").alias("request_id")).distinct(), "sweep-broken")
-    good = staged(terms(requests.join(broken, REQ, "left_anti"), lockers, depots), "sweep-requests")
-    total = cells.groupBy("region_id").agg(F.sum("parcels").alias("total"))
-    l_space, d_space = search.spaces(F.col("n_lockers"), F.col("l_most"), F.col("l_fixed")), search.spaces(F.col("n_depots"), F.col("d_most"), F.col("d_fixed"))
-    good = staged(good.join(total, "region_id", "left").withColumns({"l_space": l_space, "d_space": d_space, "total": F.when(F.col("collect"), F.coalesce("total", F.lit(0))).otherwise(0)}), "sweep-terms")
+    good = staged(_spaces(terms(requests.join(broken, REQ, "left_anti"), lockers, depots), cells), "sweep-terms")
     reach = search.Reach(cells, lockers, walks)
     world, at, width, rounds = (cells, lockers, depots, walks, flights), 0, first_range, []
     open_, results, plans, survivors, undecided = good.where("l_space > 0"), [], [], [], []
@@ -490,7 +494,7 @@ def search_requests(cells: DataFrame, lockers: DataFrame, depots: DataFrame, wal
     return Search(out, found, union(survivors, nothing.withColumn("ordinal", F.lit(0).cast(LONG))), good.select(*REQ, "l_space", "d_space"), rounds)
 
 
-def _lockers_in(open_: DataFrame, reach: search.Reach, start: int, end: int, lockers: DataFrame, cells: DataFrame, walks: DataFrame, log: list[int]) -> DataFrame:
+def _lockers_in(open_: DataFrame, reach: search.Reach, start: int, end: int, lockers: DataFrame, cells: DataFrame, walks: DataFrame, log: list[int] | None) -> DataFrame:
     """(request, l_ordinal, lockers, total): locker selections with ordinals in [start, end) that pass their own tests."""
     base = open_.select(*REQ, "l_most", "l_fixed", "l_capacity", "collect", "total", "n_lockers").join(site_lists(lockers), "region_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
     named = F.transform("places", lambda p: F.get("ids", p)).alias("lockers")

@@ -73,14 +73,16 @@ def fingerprint(df: DataFrame, prefix: str = "parcel-") -> DataFrame:
 
 
 def _buckets(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``df`` with the bucket of each row, and (bucket, n, s): a bucket's rows and the sums of slices of their
-    hashes, which stand for its content."""
+    """``df`` with the bucket of each row, and (bucket, n, s, t): a bucket's rows and the sums of two hashes of
+    them, which stand for its content."""
     columns = [F.col(f"`{c}`") for c in df.columns]
-    # the text tells nulls apart, the hash all digits of a timestamp
-    row = F.concat_ws(":", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), F.xxhash64(*columns).cast("string"))
-    rows = df.withColumn("_h", F.sha2(row, 256)).withColumn("_bucket", F.pmod(F.xxhash64("_h"), F.lit(DIFF_BUCKETS)))
-    slices = [F.sum(F.conv(F.substring("_h", 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(5)]
-    return rows.drop("_h"), rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(",", *slices).alias("s"))
+    # hashes skip nulls: which columns are null is hashed too, and nested ones as text
+    nested = [F.to_json(F.struct(F.col(f"`{f.name}`")), {"ignoreNullFields": "false"}) for f in df.schema if f.dataType.typeName() in ("array", "struct")]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+    one, two = (F.xxhash64(F.lit(seed), nulls, *columns, *nested) for seed in (1, 2))
+    rows = df.withColumn("_h", one).withColumn("_bucket", F.pmod("_h", F.lit(DIFF_BUCKETS)))
+    total = lambda h: F.sum(h.cast("decimal(20,0)"))
+    return rows.drop("_h"), rows.withColumn("_g", two).groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), total(F.col("_h")).alias("s"), total(F.col("_g")).alias("t"))
 
 
 def diff_snapshots(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -92,9 +94,9 @@ def diff_snapshots(a: DataFrame, b: DataFrame) -> DataFrame:
     kinds = a.union(b).schema  # columns are matched by place, as their wider type
     same = lambda df: df.toDF(*kinds.names).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kinds])
     (left, mine), (right, theirs) = _buckets(same(a)), _buckets(same(b))
-    both = mine.join(theirs.withColumnsRenamed({"n": "_n", "s": "_s"}), "_bucket", "full")
+    both = mine.join(theirs.withColumnsRenamed({c: f"_{c}" for c in "nst"}), "_bucket", "full")
     # no more buckets than there are, so they may be broadcast
-    unlike = F.broadcast(staged(both.where(~(F.col("n").eqNullSafe(F.col("_n")) & F.col("s").eqNullSafe(F.col("_s")))).select("_bucket"), "diff-buckets"))
+    unlike = F.broadcast(staged(both.where(~(F.col("n").eqNullSafe(F.col("_n")) & F.col("s").eqNullSafe(F.col("_s")) & F.col("t").eqNullSafe(F.col("_t")))).select("_bucket"), "diff-buckets"))
     left, right = (t.join(unlike, "_bucket", "left_semi").select(*[F.col(f"`{c}`") for c in kinds.names]) for t in (left, right))
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
 
