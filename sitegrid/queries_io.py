@@ -170,10 +170,9 @@ def y1_plans(spark, d):
         audit = Audit(a.cells, a.lockers, a.depots, p.measured_walks(), asked, walk_limit_mm=a.limit, **tables)
         return audit.verification(audit.errors())
 
-    for part in (*(rows.where(F.col("turn") == i) for i in range(SPREAD)), tail):
-        part.drop("turn").write.mode("append").parquet(source)
-        arriving = session.readStream.schema(part.drop("turn").schema).parquet(source)
-        plan_streams.verify_plan_stream(arriving, verify, sink, check, wait_ms=10 * 3_600_000).awaitTermination()
+    parts = [part.drop("turn") for part in (*(rows.where(F.col("turn") == i) for i in range(SPREAD)), tail)]
+    arriving = _arriving(session, source, parts[0].schema, _written(parts, source))
+    plan_streams.verify_plan_stream(arriving, verify, sink, check, wait_ms=10 * 3_600_000).awaitTermination()
     found = spark.read.schema(plan_streams.RESULT).parquet(sink).where("plan_id >= 0")
     return found.withColumn("errors", F.array_join("errors", ",")).drop(KEY, "batch")
 
@@ -182,23 +181,31 @@ def y1_plans(spark, d):
 SLICES = 4
 
 
-def _arrivals(events, tail, source):
-    """Write the events' slices of time into ``source``, then ``tail``; after each, the caller takes
-    what is new as a batch that goes on from the state of those before.
+def _written(parts, source) -> int:
+    """Write the parts into ``source`` one after another, each by parallel tasks as equally many files, and give that
+    number: a stream that takes so many files a batch takes a part a batch, in order. Only
+    the last part may have fewer rows than that."""
+    spark = parts[0].sparkSession
+    files = max(1, min([int(spark.conf.get("spark.sql.shuffle.partitions")), *(p.count() for p in parts[:-1])]))
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(source)
+    return files
 
-    Every slice is written by parallel tasks, range-partitioned by time. Batches follow the
-    slices and not the files' times, so no row comes after a watermark that has passed it.
-    """
-    spark = events.sparkSession
-    at, files = F.unix_micros("ts"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+def _slices(events, tail) -> list:
+    """The events' slices of time, and ``tail``. Batches follow the slices, so no row comes after a
+    watermark that has passed it."""
+    at = F.unix_micros("ts")
     cuts = sorted({int(x) for x in events.select(at.cast("double").alias("at")).approxQuantile("at", [i / SLICES for i in range(1, SLICES)], 0.01)})
+    out = []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         rows = events if high is None else events.where((at < high) | (at.isNull() if low is None else F.lit(False)))
-        rows = rows if low is None else rows.where(at >= low)
-        rows.repartitionByRange(files, "ts").write.mode("append").parquet(source)
-        yield
-    tail.write.mode("append").parquet(source)
-    yield
+        out.append(rows if low is None else rows.where(at >= low))
+    return [*out, tail]
+
+
+def _arriving(session, source, schema, files: int):
+    return session.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
 
 
 @query(
@@ -215,12 +222,11 @@ def y2(spark, d):
     # a trailing pair of another key, in a later batch, lets the watermark pass the last request
     last = e.agg(F.max("ts").alias("ts"))
     tail = last.select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("interval 30 days")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.explode(F.array(F.lit("view"), F.lit("purchase"))).alias("event_type"))
-    for _ in _arrivals(staged(e, "y2-all"), tail, source):
-        arriving = spark.readStream.schema(e.schema).parquet(source)
-        asked = arriving.where("event_type = 'view'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("request_id"), F.lit(limit).alias("timeout_ms"))
-        given = arriving.where("event_type = 'purchase'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("result_id"), F.lit("feasible").alias("status"))
-        joined = streams.request_outcomes(asked, given, limit)
-        joined.writeStream.format("parquet").option("path", sink).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    arriving = _arriving(spark, source, e.schema, _written(_slices(staged(e, "y2-all"), tail), source))
+    asked = arriving.where("event_type = 'view'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("request_id"), F.lit(limit).alias("timeout_ms"))
+    given = arriving.where("event_type = 'purchase'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("result_id"), F.lit("feasible").alias("status"))
+    joined = streams.request_outcomes(asked, given, limit)
+    joined.writeStream.format("parquet").option("path", sink).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return streams.first_outcomes(spark.read.parquet(sink).where("key >= 0")).drop("key")
 
 
@@ -247,7 +253,6 @@ def y3(spark, d):
     source, sink, check = _fresh(spark, "y3-src"), _fresh(spark, "y3-out"), _fresh(spark, "y3-check")
     tail = e.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select(F.lit(-1).cast("long").alias("client_id"), "ts", F.lit(-1).cast("long").alias("event_id"), F.lit(0).cast("long").alias("generation"), F.lit(0).cast("long").alias("request_id"), F.lit("progress").alias("type"), F.lit(0).cast("long").alias("timeout_ms"))
     session = _rocks(spark)
-    for _ in _arrivals(e, tail, source):
-        out = streams.request_lifecycle(session.readStream.schema(e.schema).parquet(source))
-        out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    out = streams.request_lifecycle(_arriving(session, source, e.schema, _written(_slices(e, tail), source)))
+    out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(sink).where("client_id >= 0")

@@ -348,22 +348,22 @@ def test_outcomes_within_each_requests_own_limit(spark, tmp_path):
 
 
 def test_events_arrive_in_slices_of_time(spark, sf_dir, tmp_path):
-    from sitegrid.queries_io import SLICES, _arrivals, messages
+    """A slice is several files, equally many for each, and a batch of the stream of its own."""
+    from sitegrid.queries_io import SLICES, _arriving, _slices, _written, messages
 
     e, source, seen = messages(spark, sf_dir), str(tmp_path / "in"), []
-    tail = e.limit(1)
-    last, files = None, set()
-    for _ in _arrivals(e, tail, source):
-        now = spark.read.parquet(source)
-        new = set(now.inputFiles()) - files
-        seen.append(len(new))
-        files |= new
-        if len(seen) <= SLICES:
-            low, high = spark.read.parquet(*new).agg(F.min("ts"), F.max("ts")).first()
-            assert last is None or low > last
-            last = high
-    assert len(seen) == SLICES + 1 and min(seen[:-1]) > 1
-    assert spark.read.parquet(source).count() == e.count() + 1
+    parts = _slices(e, e.limit(1))
+    files = _written(parts, source)
+    assert len(parts) == SLICES + 1 and files > 1
+    assert len(spark.read.parquet(source).inputFiles()) == SLICES * files + 1
+
+    def batch(rows, number):
+        seen.append(rows.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first())
+
+    _arriving(spark, source, e.schema, files).writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert [r[2] for r in seen] == [p.count() for p in parts]
+    assert all(a[1] < b[0] for a, b in zip(seen, seen[1 : SLICES], strict=False))
+    assert sum(r[2] for r in seen) == e.count() + 1
 
 
 def test_choose_of_every_size(spark, sf_dir):
