@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up, return_mm
+from ..functions.numbering import numbered
 from ..functions.staging import staged
 
 KEY = "region_id"
@@ -63,8 +64,8 @@ def nearest_nodes(targets: DataFrame, nodes: DataFrame, exclude: DataFrame, widt
     """
     free = staged(nodes.join(exclude.select(KEY, "node_id"), [KEY, "node_id"], "left_anti").select(KEY, "node_id", "x_mm", "y_mm"), "near-free")
     n = free.groupBy(KEY).agg(F.count(F.lit(1)).alias("_nodes"))
-    first = Window.partitionBy(KEY).orderBy("ord", "target_id")
-    asked = targets.select(KEY, "target_id", "ord", "x_mm", "y_mm", F.row_number().over(first).alias("_turn")).join(n, KEY).where(F.col("_turn") <= F.col("_nodes")).drop("_nodes")
+    turns = numbered(targets.select(KEY, "target_id", "ord", "x_mm", "y_mm"), KEY, ["ord", "target_id"], "_turn").withColumn("_turn", (F.col("_turn") + 1).cast("int"))
+    asked = turns.join(n, KEY).where(F.col("_turn") <= F.col("_nodes")).drop("_nodes")
     asked = staged(asked, "near-targets")
     out = [KEY, "target_id", "ord", "_turn", "node_id", "offset_mm"]
     held, open_ = None, asked

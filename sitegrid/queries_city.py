@@ -369,11 +369,12 @@ def t3(spark, d):
 
 @query("t6_ordered", sql("cells", "select cell_id, population, (row_number() over (order by cell_id::varchar) - 1)::bigint as pos from cells"))
 def t6(spark, d):
-    from pyspark.sql import Window
+    from .functions.numbering import numbered
 
     # the place in the output order, which a comparison of sets of rows would not see
-    rows = City(spark, d).cells().select("cell_id", "population")
-    return shortlist.ordered(rows.withColumn("pos", (F.row_number().over(Window.orderBy(F.collate(F.col("cell_id").cast("string"), "UNICODE"))) - 1).cast("long")), ["cell_id"])
+    rows = City(spark, d).cells().select(KEY, "cell_id", "population").withColumn("_id", F.collate(F.col("cell_id").cast("string"), "UNICODE"))
+    placed = numbered(rows, KEY, ["_id"], "pos").withColumn("pos", F.col("pos").cast("long"))
+    return shortlist.ordered(placed.drop("_id", KEY), ["cell_id"])
 
 
 @query("w6_label_sites", "select s_suppkey as site_id, case when s_suppkey < 26 then chr((65 + s_suppkey)::int) else chr((65 + (s_suppkey - 26) // 26 % 26)::int) || chr((65 + (s_suppkey - 26) % 26)::int) end as label from supplier where s_suppkey < 702")

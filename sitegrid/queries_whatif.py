@@ -128,11 +128,9 @@ def e9(spark, d):
     return rows.select(KEY, "outage_depot", "sel").join(got, "sel", "left").select(KEY, "outage_depot", F.col("path").isNotNull().alias("served"), LIST("path"))
 
 
-@query("e10_feasibility")
+@query("e10_feasibility", sql("decided", "select region_id, request_id, status, l_ordinal, d_ordinal from decided"))
 def e10(spark, d):
-    b = Blocks(spark, d)
-    results, _ = whatif.feasibility_sweep(*b.world(), b.requests())
-    return results
+    return Blocks(spark, d).search().results
 
 
 @query("e10_verified_plans")
@@ -169,7 +167,15 @@ def e13(spark, d):
     return whatif.funnel(whatif.screen(b.requests(), *b.world())).unionByName(whatif.funnel(first))
 
 
-@query("e13_search_counters")
+@query(
+    "e13_search_counters",
+    sql("decided lstage lsel dsel_", """, sizes as (select r.region_id, r.request_id, (select count(*) from lsel s where s.region_id = r.region_id and s.request_id = r.request_id) as l_space,
+      (select count(*) from dsel_ s where s.region_id = r.region_id and s.request_id = r.request_id) as d_space from breq r),
+    ahead as (select d.region_id, d.request_id, count(*) as n from decided d join lstage s on s.region_id = d.region_id and s.request_id = d.request_id and s.stage = 'passes' and (d.l_ordinal is null or s.ordinal < d.l_ordinal) group by 1, 2)
+    select d.region_id, d.request_id, status, case status when 'feasible' then l_ordinal + 1 when 'unsat' then l_space else 0 end as locker_sets_checked,
+      case status when 'feasible' then coalesce(a.n, 0) * d_space + d_ordinal + 1 when 'unsat' then coalesce(a.n, 0) * d_space else 0 end as site_selections_checked
+    from decided d join sizes using (region_id, request_id) left join ahead a using (region_id, request_id)"""),
+)
 def e13_counters(spark, d):
     """How many selections the search of each request tries, in enumeration order."""
     return whatif.search_counters(Blocks(spark, d).search())
