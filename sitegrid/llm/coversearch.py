@@ -4,15 +4,15 @@ Rows are assigned to the nearest of a bounded number of pivots, whose cells have
 and packed into blocks of a bounded size; a cell with many rows (say, copies of one vector) is
 spread over several blocks by identifier. Each block is indexed by a cover tree: every point
 below a node lies within its covering radius, the children's radii are at most half the node's,
-and their centres are farther apart than that. Where FAN centres cannot cover a node at half its
-radius, its points are its children, balls of radius 0. Queries are packed and indexed in the
-same way.
+and their centres are farther apart than that; a node has as many children as that takes. In many
+dimensions that is most of its points. Queries are packed and indexed in the same way.
 
 A query block first searches one data block of its own cell; the k-th scores found there let
 whole cells be dropped by their radii. The blocks of the other cells are met by query blocks that
 are sent to them, each data block once; a pair of blocks is searched tree against tree: a pair
 of nodes is pruned when the product of the centres, widened by both radii, stays below the
-worst k-th score of the query node's queries.
+worst k-th score of the query node's queries. Of the children of a node those that are left and have
+none themselves are compared together, in one product of matrices.
 
 Defined results: vectors that are null, hold null or non-finite components, or have a null
 vec_id take no part; missing components of shorter vectors count as 0; every row is a vector of
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, written
 
-TOP, MOST_PIVOTS, MOST_ROWS, LEAST_ROWS, LEAF, FAN, TILE = 10, 256, 4096, 64, 64, 32, 512
+TOP, MOST_PIVOTS, MOST_ROWS, LEAST_ROWS, LEAF, TILE = 10, 256, 4096, 64, 8, 512
 #: Blocks of a cell have its number, times this, and their own.
 PARTS = 1_000_000
 BLOCK = "block bigint, cell bigint, centre binary, radius double, rows binary, ids binary, points binary, nodes binary"
@@ -62,13 +62,13 @@ def build(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(among) > LEAF and radius > 0:
             centres, apart = [centre], from_point(centre, among)
             owner = np.zeros(len(among), np.int64)
-            while len(centres) < FAN and apart.max() > radius / 2:
+            while apart.max() > radius / 2:
                 far = int(apart.argmax())
                 new = from_point(among[far], among)
                 owner[new < apart] = len(centres)
                 apart = np.minimum(apart, new)
                 centres.append(int(among[far]))
-            if 1 < len(centres) and apart.max() <= radius / 2:
+            if len(centres) > 1:
                 nodes[at][4:] = [len(nodes), len(centres)]
                 by = np.argsort(owner, kind="stable")
                 order[first:last] = among[by]
@@ -89,6 +89,10 @@ class Side:
         self.nodes = np.frombuffer(nodes, np.float64).reshape(-1, 6)
         self.span = self.nodes[:, 2:].astype(np.int64)
         self.radius = self.nodes[:, 1]
+        self.leaf = self.span[:, 3] == 0
+        # whether a node has children that have children
+        deep = np.concatenate([[0], np.cumsum(~self.leaf)])
+        self.deep = ~self.leaf & (deep[self.span[:, 2] + self.span[:, 3]] > deep[self.span[:, 2]])
         # nodes hold the centre's place in the block's first order; packing turned it into a vector
         self.centres = self.points[self.nodes[:, 0].astype(np.int64)]
         self.lengths = np.sqrt((self.centres**2).sum(1))
@@ -101,6 +105,12 @@ def bound(product, length1, radius1, length2, radius2):
     return most + 1e-9 * (abs(most) + length1 * length2) + 1e-6
 
 
+def _places(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The places of several spans."""
+    size = last - first
+    return np.arange(int(size.sum())) + np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+
+
 class Search:
     """Top-k of every query of one block so far."""
 
@@ -110,40 +120,53 @@ class Search:
         self.scores = np.full((n, top), -np.inf)
         self.found = np.full((n, top), np.iinfo(np.int64).max)
         self.floor = floor.copy()  # a score that k candidates are known to reach
+        self.met = self.pruned = 0  # pairs of nodes
 
     def run(self, data: Side) -> None:
         self.d = data
         self.exact = max(self.q.most, 1) * max(data.most, 1) * self.q.points.shape[1] < 2**53
-        pairs = [(0, 0)]
+        pairs = [(0, np.array([0]))]
         while pairs:
-            a, b = pairs.pop()
-            if self.most(a, np.array([b]))[0] < self.floor[self.q.span[a, 0] : self.q.span[a, 1]].min(initial=np.inf):
-                continue
-            split_a, split_b = self.q.span[a, 3] > 0, self.d.span[b, 3] > 0
-            if not split_a and not split_b:
-                self.compare(a, b)
-            elif split_b and (not split_a or self.d.radius[b] >= self.q.radius[a]):
-                first, n = self.d.span[b, 2:]
-                below = np.arange(first, first + n)
-                pairs += [(a, int(c)) for c in below[np.argsort(self.most(a, below), kind="stable")]]  # the most promising is taken first
-            else:
+            a, some = pairs.pop()
+            good = self.most(a, some) >= self.floor[self.q.span[a, 0] : self.q.span[a, 1]].min(initial=np.inf)
+            self.met, self.pruned = self.met + len(some), self.pruned + len(some) - int(good.sum())
+            some = some[good]
+            if not self.q.deep[a] and len(some):
+                some = some[self.reached(a, some)]
+            leaves, inner = some[self.d.leaf[some]], some[~self.d.leaf[some]]
+            if self.q.deep[a] and len(some) and self.q.radius[a] > self.d.radius[some].max():
                 first, n = self.q.span[a, 2:]
-                pairs += [(c, b) for c in range(first, first + n)]
+                pairs += [(c, some) for c in range(first, first + n)]
+                continue
+            if len(leaves):
+                self.compare(a, _places(self.d.span[leaves, 0], self.d.span[leaves, 1]))
+            if len(inner):
+                # the most promising is taken first, as its scores may prune the others
+                for c in inner[np.argsort(self.most(a, inner), kind="stable")]:
+                    first, n = self.d.span[c, 2:]
+                    pairs.append((a, np.arange(first, first + n)))
+
+    def reached(self, a: int, some: np.ndarray) -> np.ndarray:
+        """Which nodes some query below a node may need, each query a node of radius 0."""
+        rows = slice(*self.q.span[a, :2])
+        x = self.q.points[rows]
+        good = bound(x @ self.d.centres[some].T, np.sqrt((x**2).sum(1))[:, None], 0.0, self.d.lengths[some], self.d.radius[some]) >= self.floor[rows][:, None]
+        self.met, self.pruned = self.met + good.size, self.pruned + good.size - int(good.sum())
+        return good.any(0)
 
     def most(self, a: int, b: np.ndarray) -> np.ndarray:
         q, d = self.q, self.d
         return bound(d.centres[b] @ q.centres[a], q.lengths[a], q.radius[a], d.lengths[b], d.radius[b])
 
-    def compare(self, a: int, b: int) -> None:
-        """All queries of one node with all points of another, a tile of them at a time: what
+    def compare(self, a: int, cols: np.ndarray) -> None:
+        """All queries of one node with some points, a tile of them at a time: what
         stays below a query's k-th score is left out before anything is sorted."""
         first, last = self.q.span[a, :2]
-        begin, end = self.d.span[b, :2]
         for i in range(first, last, TILE):
-            for j in range(begin, end, 4 * TILE):
-                self.tile(slice(i, min(i + TILE, last)), slice(j, min(j + 4 * TILE, end)))
+            for j in range(0, len(cols), 4 * TILE):
+                self.tile(slice(i, min(i + TILE, last)), cols[j : j + 4 * TILE])
 
-    def tile(self, rows: slice, cols: slice) -> None:
+    def tile(self, rows: slice, cols: np.ndarray) -> None:
         x, y = self.q.points[rows], self.d.points[cols]
         scores = x @ y.T if self.exact else (x.astype(np.int64) @ y.astype(np.int64).T).astype(np.float64)
         good = scores >= self.floor[rows][:, None]

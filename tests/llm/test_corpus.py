@@ -359,7 +359,35 @@ def test_cover_tree_holds_its_invariants():
             centres = x[own[:, 0].astype(int)]
             apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2)) + 1e18 * np.eye(len(own))
             assert apart.min() > radius / 2 - 1e-6
-    assert deep == {"flat", "grouped"}  # no 32 balls cover the wide points at half the radius
+    assert deep == {"flat", "wide", "grouped"}
+
+
+def test_given_vectors_have_trees_that_prune(spark):
+    """In the given 64 dimensions: a tree of several levels, the same scores, and node pairs that are pruned."""
+    rows = coversearch.whole_vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).orderBy("vec_id").collect()
+    x, ids = np.array([r.v for r in rows]), np.array([r.vec_id for r in rows])
+    assert x.shape[1] == 64
+
+    def side(at):
+        order, nodes = coversearch.build(x[at])
+        assert len(nodes) > len(at) / 2 and nodes[0, 5] > 1
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        nodes[:, 0] = place[nodes[:, 0].astype(np.int64)]
+        return coversearch.Side(*(v.tobytes() for v in (at[order], ids[at][order], x[at][order], nodes)))
+
+    queries, data = side(np.arange(0, len(x), 20)), side(np.arange(len(x)))
+    deep = lambda n: 1 + max((deep(c) for c in range(data.span[n, 2], data.span[n, 2] + data.span[n, 3])), default=0) if data.span[n, 3] else 1
+    assert deep(0) > 1
+    found = coversearch.Search(queries, 10, np.full(len(queries.ids), -np.inf))
+    found.run(data)
+    assert found.met >= len(data.nodes) - 1 and 0 <= found.pruned < found.met
+    for k, q in enumerate(queries.rows):
+        best = sorted((-int(x[q] @ v), i) for n, (v, i) in enumerate(zip(x, ids, strict=True)) if n != q)[:10]
+        assert list(zip((-found.scores[k]).astype(int), found.found[k], strict=True)) == best
+    again = coversearch.Search(queries, 10, found.scores[:, -1])
+    again.run(data)
+    assert again.pruned > again.met / 2
 
 
 def test_rows_that_share_a_query_id(spark):
