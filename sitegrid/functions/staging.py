@@ -41,3 +41,22 @@ class Grown:
 
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)
+
+
+class Bucketed:
+    """A table that a loop adds rows to, dealt out by ``keys`` once and for all: joins and sums by these
+    keys read it where it lies. Its files are in the shared folder, its name in the session's
+    catalogue until ``close``."""
+
+    def __init__(self, spark: SparkSession, label: str, keys: list[str]):
+        self.spark, self.keys, self.name = spark, keys, f"{label}_{uuid.uuid4().hex}"
+        self.path, self.buckets = f"{shared_dir(spark)}/sitegrid/{self.name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def add(self, df: DataFrame) -> None:
+        df.write.format("parquet").bucketBy(self.buckets, *self.keys).option("path", self.path).mode("append").saveAsTable(self.name)
+
+    def all(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def close(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")

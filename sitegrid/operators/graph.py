@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_safe_integer
-from ..functions.staging import Grown, staged
+from ..functions.staging import Bucketed, Grown, staged
 
 KEY = "region_id"
 
@@ -39,29 +39,39 @@ def bounded_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
 
     ``origins(region_id, origin, node_id, budget_mm)``; the budget is inclusive, unreachable
     nodes are absent. The frontier moves one edge a round; only strict improvements are written and
-    go on, so rounds are bounded by the hops that a budget allows and a round writes no more than
-    its frontier. Of predecessors that give the same
+    go on, so rounds are bounded by the hops that a budget allows and a round writes and shuffles no
+    more than its frontier: distances found before lie in buckets by (origin, node). Of predecessors that give the same
     distance, the smallest edge id is kept.
     """
     links = staged(edges.select(KEY, "edge_id", "src", "dst", "length_mm"), "path-links")
     key = [KEY, "origin", "node_id"]
     fresh = origins.where(F.col("budget_mm") >= 0).groupBy(*key).agg(F.max("budget_mm").alias("budget_mm"))
-    found = Grown(edges.sparkSession, "path-found")
-    fresh = found.add(fresh.withColumn("dist_mm", F.lit(0).cast("long")))
-    while not fresh.isEmpty():
-        step = fresh.join(links, (fresh[KEY] == links[KEY]) & (fresh["node_id"] == links["src"])).select(fresh[KEY], "origin", F.col("dst").alias("node_id"), "budget_mm", (F.col("dist_mm") + F.col("length_mm")).alias("dist_mm"))
-        step = step.where(F.col("dist_mm") <= F.col("budget_mm")).groupBy(*key).agg(F.max("budget_mm").alias("budget_mm"), F.min("dist_mm").alias("dist_mm"))
-        # only what is shorter than all distances found so far is written, and goes on
-        old = found.all().select(*[F.col(c).alias(f"_{c}") for c in (*key, "dist_mm")])
-        known = (F.col(KEY) == F.col(f"_{KEY}")) & (F.col("origin") == F.col("_origin")) & (F.col("node_id") == F.col("_node_id")) & (F.col("_dist_mm") <= F.col("dist_mm"))
-        fresh = found.add(step.join(old, known, "left_anti").select(*fresh.columns))
-    best = found.all().groupBy(*key).agg(F.min("dist_mm").alias("dist_mm"))
+    fresh = staged(fresh.withColumn("dist_mm", F.lit(0).cast("long")), "path-frontier")
+    found = Bucketed(edges.sparkSession, "path_found", key)
+    while True:
+        found.add(fresh.select(*key, "dist_mm"))
+        if fresh.isEmpty():
+            break
+        fresh = staged(_next_hop(fresh, links, found), "path-frontier")
+    best = staged(found.all().groupBy(*key).agg(F.min("dist_mm").alias("dist_mm")), "path-best")
+    found.close()
     near = best.select(KEY, "origin", F.col("node_id").alias("src"), F.col("dist_mm").alias("_d"))
     into = near.join(links, [KEY, "src"]).select(KEY, "origin", F.col("dst").alias("node_id"), (F.col("_d") + F.col("length_mm")).alias("dist_mm"), "edge_id")
     pred = into.groupBy(KEY, "origin", "node_id", "dist_mm").agg(F.min("edge_id").alias("pred_edge"))
     return best.join(pred, [KEY, "origin", "node_id", "dist_mm"], "left").withColumn("pred_edge", F.when(F.col("dist_mm") > 0, F.col("pred_edge")))
 
 
+def _next_hop(fresh: DataFrame, links: DataFrame, found: Bucketed) -> DataFrame:
+    """What one more edge reaches, where it is shorter than all distances found so far: these are dealt out by
+    their key already, so only the frontier moves."""
+    key = [KEY, "origin", "node_id"]
+    step = fresh.join(links, (fresh[KEY] == links[KEY]) & (fresh["node_id"] == links["src"])).select(fresh[KEY], "origin", F.col("dst").alias("node_id"), "budget_mm", (F.col("dist_mm") + F.col("length_mm")).alias("dist_mm"))
+    step = step.where(F.col("dist_mm") <= F.col("budget_mm")).groupBy(*key).agg(F.max("budget_mm").alias("budget_mm"), F.min("dist_mm").alias("dist_mm"))
+    old = found.all().select(*[F.col(c).alias(f"_{c}") for c in (*key, "dist_mm")])
+    known = (F.col(KEY) == F.col(f"_{KEY}")) & (F.col("origin") == F.col("_origin")) & (F.col("node_id") == F.col("_node_id")) & (F.col("_dist_mm") <= F.col("dist_mm"))
+    return step.join(old, known, "left_anti").select(*fresh.columns)
+
+
 def route_edges(paths: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(region_id, origin, target, edge_ids, ok): the edges from an origin to each target node,
     followed back over the predecessors of all targets at once. ``targets(region_id, origin,

@@ -546,3 +546,31 @@ def test_routes_of_found_plans_are_measured(spark):
         assert {k for k, v in found.items() if v} == touched
     longer = b.measured_walks().withColumn("distance_mm", F.col("distance_mm") + F.when(mine, 1).otherwise(0))
     assert {k for k, v in codes(b.found_plans(longer)).items() if v} == {k for k, v in codes(b.found_plans(longer)).items() if v == {"walk_limit"}} == touched
+
+
+def test_a_hop_moves_the_frontier_only(spark, monkeypatch):
+    """The distances found so far are read in their buckets, without an exchange; distances are those of relaxation."""
+    rng = random.Random(6)
+    edges = {(rng.randrange(30), rng.randrange(30)): rng.randint(1, 9) for _ in range(90)}
+    table = spark.createDataFrame([(0, f"e{a}-{b}", a, b, n) for (a, b), n in edges.items() if a != b], "region_id long, edge_id string, src long, dst long, length_mm long")
+    origins = spark.createDataFrame([(0, o, o, 20) for o in range(0, 30, 4)], "region_id long, origin long, node_id long, budget_mm long")
+    plans, real = [], graph._next_hop
+    monkeypatch.setattr(graph, "_next_hop", lambda *a: (plans.append((df := real(*a))._jdf.queryExecution().executedPlan().toString()), df)[1])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.origin, r.node_id): r.dist_mm for r in graph.bounded_paths(table, origins).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    want = {}
+    for o in range(0, 30, 4):
+        dist = {o: 0}
+        for _ in range(30):
+            for (a, b), n in edges.items():
+                if a != b and a in dist and dist[a] + n <= 20:
+                    dist[b] = min(dist.get(b, 99), dist[a] + n)
+        want |= {(o, n): d for n, d in dist.items()}
+    assert got == want
+    assert len(plans) > 2
+    for plan in plans:
+        assert "Bucketed: true" in plan and "Exchange hashpartitioning(_region_id" not in plan and plan.count("Exchange ") == 3
