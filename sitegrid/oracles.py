@@ -233,47 +233,62 @@ PIECES: dict[str, tuple[str, tuple[str, ...]]] = {
           when list_bit_or(own) <> dmask then 'idle_depot' else 'passes' end as stage from x)""",
         ("lstage", "dsel_", "breq", "dm"),
     ),
-    # every load vector of the lockers of a set, one cell after another; then of the depots, one locker after another
-    "asg": (
-        """asg(region_id, m, cap, pos, loads) as (select distinct region_id, lm, locker_capacity, 0::bigint, [0, 0, 0, 0]::bigint[] from screened join breq using (region_id, request_id) where stage = 'passes'
-        union select a.region_id, a.m, a.cap, a.pos + 1, list_transform(a.loads, lambda x, i: x + case when i = w.ord + 1 then c.parcels else 0 end)
-        from asg a join (select *, row_number() over (partition by region_id order by cell_id) - 1 as pos from bc) c on c.region_id = a.region_id and c.pos = a.pos
-        join bw w on w.region_id = a.region_id and w.cell_id = c.cell_id and (a.m >> w.ord) & 1 = 1 where a.loads[w.ord + 1] + c.parcels <= a.cap)""",
-        ("screened", "breq", "bc", "bw"),
-    ),
-    "fin": (
-        """fin as (select region_id, m, cap, loads from asg join (select region_id, count(*) as cells from bc group by 1) using (region_id)
-        where pos = cells and len(list_filter(loads, lambda x, i: (m >> (i - 1)::int) & 1 = 1 and x = 0)) = 0)""",
-        ("asg", "bc"),
-    ),
-    "sup": (
-        """sup(region_id, m, cap, loads, dmask, gone, pos, sums) as (select distinct f.region_id, f.m, f.cap, f.loads, s.dmask, g.gone, 0, [0, 0, 0]::bigint[]
-        from fin f join (select distinct region_id, lm, locker_capacity, dmask, outage_tolerance from screened join breq using (region_id, request_id, outage_tolerance) where stage = 'passes') s
-          on s.region_id = f.region_id and s.lm = f.m and s.locker_capacity = f.cap
-        join (values (-1), (0), (1), (2)) g(gone) on g.gone = -1 or (outage_tolerance = 1 and (s.dmask >> g.gone) & 1 = 1)
-        union select x.region_id, x.m, x.cap, x.loads, x.dmask, x.gone, x.pos + 1, list_transform(x.sums, lambda v, i: v + case when i = o.d_ord + 1 then x.loads[x.pos + 1] else 0 end)
-        from sup x join (select region_id, l_ord, d_ord from bf where return_mm <= 6000000 union all select distinct region_id, p, -1 from bl, (values (0), (1), (2), (3)) t(p)) o on o.region_id = x.region_id and o.l_ord = x.pos
-        where case when (x.m >> x.pos) & 1 = 0 then o.d_ord = -1 else o.d_ord >= 0 and o.d_ord <> x.gone and (x.dmask >> greatest(o.d_ord, 0)) & 1 = 1 and x.sums[o.d_ord + 1] + x.loads[x.pos + 1] <= 1000 end)""",
-        ("fin", "screened", "breq", "bf", "bl"),
-    ),
-    "served": (
-        """served as (select region_id, m, cap, dmask, loads, bool_or(gone = -1) as normal, count(distinct gone) filter (gone >= 0) as outages from sup
-        where pos = 4 and (gone >= 0 or len(list_filter(sums, lambda v, i: (dmask >> (i - 1)::int) & 1 = 1 and v = 0)) = 0) group by 1, 2, 3, 4, 5)""",
-        ("sup",),
-    ),
     "decided": (
         """decided as (with won as (select s.region_id, s.request_id, s.l_ordinal, s.d_ordinal, row_number() over (partition by s.region_id, s.request_id order by s.l_ordinal, s.d_ordinal) as n
-          from screened s join breq r using (region_id, request_id) where s.stage = 'passes' and exists (select 1 from served v where v.region_id = s.region_id and v.m = s.lm and v.cap = r.locker_capacity and v.dmask = s.dmask
+          from screened s join breq r using (region_id, request_id) where s.stage = 'passes' and exists (select 1 from served_10 v where v.region_id = s.region_id and v.m = s.lm and v.cap = r.locker_capacity and v.dmask = s.dmask
             and v.normal and (r.outage_tolerance = 0 or v.outages = bit_count(s.dmask))))
         select r.region_id, r.request_id, case when r.max_lockers > l.n or r.max_depots > coalesce(d.n, 0) then 'error' when w.n is not null then 'feasible' else 'unsat' end as status,
           case when r.max_lockers <= l.n and r.max_depots <= d.n then w.l_ordinal end as l_ordinal, case when r.max_lockers <= l.n and r.max_depots <= d.n then w.d_ordinal end as d_ordinal
         from breq r join (select region_id, count(*) as n from bl group by 1) l using (region_id) left join (select region_id, count(*) as n from bd group by 1) d using (region_id)
         left join (select * from won where n = 1) w using (region_id, request_id))""",
-        ("screened", "breq", "served", "bl", "bd"),
+        ("screened", "breq", "served_10", "bl", "bd"),
+    ),
+    # pairs of selections with the limits that they are tried under
+    "pairs_10": ("pairs_10 as (select distinct region_id, lm, locker_capacity as cap, dmask, outage_tolerance as tol from screened join breq using (region_id, request_id, outage_tolerance) where stage = 'passes')", ("screened", "breq")),
+    "pairs_11": (
+        """pairs_11 as (select a.region_id, a.m as lm, 600 as cap, b.m as dmask, 1 as tol, a.members as lockers, b.members as depots from lsets a join dsets b using (region_id) where a.k = 3 and b.k = 2
+        and not exists (select 1 from cm where cm.region_id = a.region_id and cm.m & a.m = 0) and not exists (select 1 from dm where dm.region_id = a.region_id and (a.m >> dm.l_ord) & 1 = 1 and dm.dm & b.m = 0))""",
+        ("lsets", "dsets", "cm", "dm"),
     ),
 }
 
 
+def _assigned(n: str) -> dict:
+    """Pieces with every load vector of the lockers of ``pairs_n``, one cell after another, and of their depots, one
+    locker after another: ``served_n`` has those that serve normal operation, and how many outages."""
+    return {
+        f"asg_{n}": (
+            f"""asg_{n}(region_id, m, cap, pos, loads) as (select distinct region_id, lm, cap, 0::bigint, [0, 0, 0, 0]::bigint[] from pairs_{n}
+            union select a.region_id, a.m, a.cap, a.pos + 1, list_transform(a.loads, lambda x, i: x + case when i = w.ord + 1 then c.parcels else 0 end)
+            from asg_{n} a join (select *, row_number() over (partition by region_id order by cell_id) - 1 as pos from bc) c on c.region_id = a.region_id and c.pos = a.pos
+            join bw w on w.region_id = a.region_id and w.cell_id = c.cell_id and (a.m >> w.ord) & 1 = 1 where a.loads[w.ord + 1] + c.parcels <= a.cap)""",
+            (f"pairs_{n}", "bc", "bw"),
+        ),
+        f"fin_{n}": (
+            f"""fin_{n} as (select region_id, m, cap, loads from asg_{n} join (select region_id, count(*) as cells from bc group by 1) using (region_id)
+            where pos = cells and len(list_filter(loads, lambda x, i: (m >> (i - 1)::int) & 1 = 1 and x = 0)) = 0)""",
+            (f"asg_{n}", "bc"),
+        ),
+        f"sup_{n}": (
+            f"""sup_{n}(region_id, m, cap, loads, dmask, gone, pos, sums) as (select distinct f.region_id, f.m, f.cap, f.loads, s.dmask, g.gone, 0, [0, 0, 0]::bigint[]
+            from fin_{n} f join pairs_{n} s on s.region_id = f.region_id and s.lm = f.m and s.cap = f.cap
+            join (values (-1), (0), (1), (2)) g(gone) on g.gone = -1 or (s.tol = 1 and (s.dmask >> g.gone) & 1 = 1)
+            union select x.region_id, x.m, x.cap, x.loads, x.dmask, x.gone, x.pos + 1, list_transform(x.sums, lambda v, i: v + case when i = o.d_ord + 1 then x.loads[x.pos + 1] else 0 end)
+            from sup_{n} x join (select region_id, l_ord, d_ord from bf where return_mm <= 6000000 union all select distinct region_id, p, -1 from bl, (values (0), (1), (2), (3)) t(p)) o on o.region_id = x.region_id and o.l_ord = x.pos
+            where case when (x.m >> x.pos) & 1 = 0 then o.d_ord = -1 else o.d_ord >= 0 and o.d_ord <> x.gone and (x.dmask >> greatest(o.d_ord, 0)) & 1 = 1 and x.sums[o.d_ord + 1] + x.loads[x.pos + 1] <= 1000 end)""",
+            (f"fin_{n}", f"pairs_{n}", "bf", "bl"),
+        ),
+        f"served_{n}": (
+            f"""served_{n} as (select region_id, m, cap, dmask, loads, bool_or(gone = -1) as normal, count(distinct gone) filter (gone >= 0) as outages from sup_{n}
+            where pos = 4 and (gone >= 0 or len(list_filter(sums, lambda v, i: (dmask >> (i - 1)::int) & 1 = 1 and v = 0)) = 0) group by 1, 2, 3, 4, 5)""",
+            (f"sup_{n}",),
+        ),
+    }
+
+
+PIECES |= _assigned("10") | _assigned("11")
+
+
 def sql(needs: str, body: str) -> str:
     """``body`` with the pieces it needs, and theirs, in front."""
     order: list[str] = []

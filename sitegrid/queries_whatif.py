@@ -140,7 +140,11 @@ def e10_plans(spark, d):
     return audit.verification(audit.errors()).withColumn("errors", F.array_join("errors", ","))
 
 
-@query("e11_selection_outcomes")
+@query(
+    "e11_selection_outcomes",
+    sql("pairs_11 served_11", """select p.region_id, array_to_string(lockers, ',') as lockers, array_to_string(depots, ',') as depots,
+      case when exists (select 1 from served_11 v where v.region_id = p.region_id and v.m = p.lm and v.dmask = p.dmask and v.normal and v.outages = bit_count(p.dmask)) then 'feasible' else 'unsat' end as status from pairs_11 p"""),
+)
 def e11(spark, d):
     b = Blocks(spark, d)
     plausible = whatif.plausible_selections(*b.world(), 3, 2, b.FLIGHT_MM)
