@@ -225,7 +225,12 @@ def a10b(spark, d):
     return n.select("n", F.lit(7).alias("k"), choose(F.col("n").cast("long"), F.lit(7).cast("long")).alias("size"))
 
 
-@query("a10_choose_every")
+_RUNNING = "p_size::bigint"
+for _i in range(1, 7):
+    _RUNNING = f"({_RUNNING} * (p_size - {_i}) // {_i + 1})"
+
+
+@query("a10_choose_every", f"select p_size as n, 7 as k, case when p_size < 7 then 0 else {_RUNNING} end as size from (select distinct p_size from part)")
 def a10_every(spark, d):
     """Every size; the SQL of ``a10_choose`` ends at 33, where its factorials leave hugeint."""
     n = City(spark, d).table("part").select(F.col("p_size").alias("n")).distinct()
@@ -288,7 +293,13 @@ def r3(spark, d):
     return out
 
 
-@query("r4_result_summary")
+@query(
+    "r4_result_summary",
+    sql("decided screened bc", """select d.region_id, d.request_id, d.status, case d.status when 'unsat' then 'no network with any selection of the candidates' when 'error' then 'not verified'
+      else bit_count(s.lm) || ' lockers · ' || bit_count(s.dmask) || ' depots · ' || c.parcels || ' parcels · ' || c.cells || ' walks checked' end as summary
+      from decided d left join screened s on s.region_id = d.region_id and s.request_id = d.request_id and s.l_ordinal = d.l_ordinal and s.d_ordinal = d.d_ordinal
+      left join (select region_id, sum(parcels)::bigint as parcels, count(*) as cells from bc group by 1) c on c.region_id = d.region_id"""),
+)
 def r4(spark, d):
     b = Blocks(spark, d)
     audit = b.found_plans()
