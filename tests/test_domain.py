@@ -540,12 +540,14 @@ def test_routes_of_found_plans_are_measured(spark):
     routes = b.routes()
     other = routes.where(~mine).where(F.size("edge_ids") > 0).first().edge_ids
     turned = F.transform("edge_ids", lambda e: F.concat_ws(">", F.element_at(F.split(e, ">"), 2), F.element_at(F.split(e, ">"), 1)))
-    for change in (F.array().cast("array<string>"), turned, F.array(*[F.lit(x) for x in other]), F.lit(None).cast("array<string>")):
-        found = codes(b.found_plans(b.measured_walks(routes.withColumn("edge_ids", F.when(mine, change).otherwise(F.col("edge_ids"))))))
-        assert {k for k, v in found.items() if "broken_route" in v} == touched
-        assert {k for k, v in found.items() if v} == touched
-    longer = b.measured_walks().withColumn("distance_mm", F.col("distance_mm") + F.when(mine, 1).otherwise(0))
-    assert {k for k, v in codes(b.found_plans(longer)).items() if v} == {k for k, v in codes(b.found_plans(longer)).items() if v == {"walk_limit"}} == touched
+    key = ["region_id", "cell_id", "locker_id"]
+    for change in (F.array().cast("array<string>"), F.array(*[F.lit(x) for x in other]), F.lit(None).cast("array<string>")):
+        bent = b.measured_walks(routes.withColumn("edge_ids", F.when(mine, change).otherwise(F.col("edge_ids"))))
+        assert {tuple(r) for r in bent.where("not route_ok").select(key).collect()} == {(at.region_id, at.cell_id, at.locker_id)}
+    found = codes(b.found_plans(b.measured_walks(routes.withColumn("edge_ids", F.when(mine, turned).otherwise(F.col("edge_ids"))))))
+    assert {k for k, v in found.items() if "broken_route" in v} == {k for k, v in found.items() if v} == touched
+    longer = codes(b.found_plans(b.measured_walks().withColumn("distance_mm", F.col("distance_mm") + F.when(mine, 1).otherwise(0))))
+    assert {k for k, v in longer.items() if v} == {k for k, v in longer.items() if v == {"walk_limit"}} == touched
 
 
 def test_a_hop_moves_the_frontier_only(spark, monkeypatch):
@@ -574,3 +576,23 @@ def test_a_hop_moves_the_frontier_only(spark, monkeypatch):
     assert len(plans) > 2
     for plan in plans:
         assert "Bucketed: true" in plan and "Exchange hashpartitioning(_region_id" not in plan and plan.count("Exchange ") == 3
+
+
+def test_route_geometry_is_cell_node_and_edges(spark):
+    make, point = spark.createDataFrame, "struct<lon: double, lat: double>"
+    walks = make([(0, 1, 7, ["e1", "e2"]), (0, 1, 8, []), (0, 2, 7, ["e2"])], "region_id long, cell_id long, locker_id long, edge_ids array<string>")
+    cells = make([(0, 1, 10, 1.0, 2.0), (0, 2, 11, 3.0, 4.0)], "region_id long, cell_id long, node_id long, lon double, lat double")
+    nodes = make([(0, 10, 1.5, 2.5), (0, 11, 3.5, 4.5)], "region_id long, node_id long, lon double, lat double")
+    edges = make([(0, "e1", [(5.0, 5.0), (6.0, 6.0), (7.0, 7.0)]), (0, "e2", [(7.0, 7.0), (8.0, 8.0)])], f"region_id long, edge_id string, coordinates array<{point}>")
+    got = {(r.cell_id, r.locker_id): [tuple(p) for p in r.line] for r in graph.route_geometry(walks, cells, nodes, edges).collect()}
+    first, second = [(5.0, 5.0), (6.0, 6.0), (7.0, 7.0)], [(7.0, 7.0), (8.0, 8.0)]
+    assert got == {(1, 7): [(1.0, 2.0), (1.5, 2.5), *first, *second], (1, 8): [(1.0, 2.0), (1.5, 2.5)], (2, 7): [(3.0, 4.0), (3.5, 4.5), *second]}
+
+
+def test_shortlists_differ_by_position(spark):
+    schema = "region_id long, ord int, node_id long"
+    steps = spark.createDataFrame([(0, 0, 5), (0, 1, 6), (0, 2, 7), (1, 0, 5)], schema)
+    stored = spark.createDataFrame([(0, 0, 5), (0, 1, 9), (0, 3, 8), (1, 0, 5)], schema)
+    got = {tuple(r) for r in shortlist.diff_shortlist(steps, stored).select("region_id", "ord", "replayed", "stored").collect()}
+    assert got == {(0, 1, 6, 9), (0, 2, 7, None), (0, 3, None, 8)}
+    assert shortlist.diff_shortlist(steps, steps).count() == 0
