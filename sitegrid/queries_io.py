@@ -15,6 +15,7 @@ from .registry import SQL, query
 from .sources import tables
 from .streaming import plans as plan_streams
 from .streaming import requests as streams
+from .streaming.lifecycle import lifecycle_table
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -232,24 +233,63 @@ def y2(spark, d):
     return streams.first_outcomes(spark.read.parquet(sink).where("key >= 0")).drop("key")
 
 
+#: Events as messages: a client for each user, a generation every three days, every seventh message
+#: from the one before. SQL goes through each client's messages one by one.
+LIFECYCLE = """with recursive e as (
+      select user_id as client_id, epoch_ms(date_trunc('second', ts)) as ms, event_id, epoch_ms(ts) // 259200000 - (event_id % 7 = 3)::bigint as generation,
+        event_id % 3 as request_id, event_id % 30 * 3600000 as timeout_ms,
+        case event_type when 'signup' then case when event_id % 4 = 0 then 'init' else 'ready' end when 'view' then 'solve' when 'purchase' then 'result' when 'click' then 'progress' when 'error' then case when event_id % 3 = 0 then 'cancel' else 'ready' end end as type
+      from events),
+    n as (select *, row_number() over (partition by client_id order by ms, event_id) as pos from e where client_id is not null and ms is not null and event_id is not null and type is not null),
+    life as (
+      select distinct client_id, 0::bigint as pos, -1::bigint as g, false as ready, -1::bigint as req, -1::bigint as dl, -1::bigint as heard,
+        null::bigint as ms, null::bigint as own, null::bigint as request_id, -1::bigint as dl0, -1::bigint as g0, -1::bigint as req0, null::varchar as what from n
+      union all
+      select client_id, pos,
+        case when what in ('timeout', 'start_error', 'cancelled') then g + 1 else g end,
+        case when what = 'ready' then true when what in ('starting', 'cancelled') then false else ready end,
+        case when what = 'solving' then request_id when what in ('finished', 'cancelled', 'starting') then -1 else req end,
+        case what when 'starting' then ms + 60000 when 'solving' then ms + timeout_ms + 5000 when 'finished' then -1 when 'cancelled' then -1 when 'ready' then case when req < 0 then -1 else dl end else dl end,
+        greatest(heard, own), ms, own, case when what = 'cancelled' then req when what in ('ready', 'starting') then -1 else request_id end, dl0, g0, req0, what
+      from (select *, case when starting then 'starting' when stale then 'stale' when type = 'ready' then 'ready'
+            when type = 'solve' then case when ready and req < 0 then 'solving' else 'rejected' end
+            when type = 'result' then case when req >= 0 and req = request_id then 'finished' else 'ignored' end
+            when type = 'progress' then case when req >= 0 and req = request_id then 'progress' else 'ignored' end
+            when type = 'cancel' then case when req >= 0 then 'cancelled' else 'ignored' end end as what
+          from (select client_id, pos, ms, own, request_id, type, timeout_ms, heard, dl0, g0, req0, starting, own < g and not starting as stale,
+              case when starting or own > g then own else g end as g, ready and not starting and own <= g as ready, case when starting or own > g then -1 else req end as req, case when starting or own > g then -1 else dl end as dl
+            from (select n.client_id, n.pos, n.ms, n.generation as own, n.request_id, n.type, n.timeout_ms, l.heard, n.type = 'init' and n.generation > l.heard as starting,
+                case when x then l.dl else -1 end as dl0, l.g as g0, l.req as req0, case when x then l.g + 1 else l.g end as g, l.ready and not x as ready, case when x then -1 else l.req end as req, case when x then -1 else l.dl end as dl
+              from life l join n on n.client_id = l.client_id and n.pos = l.pos + 1, lateral (select l.dl >= 0 and l.dl <= n.ms as x))))),
+    told as (
+      select client_id, ms, own as generation, request_id, what as transition from life where what is not null
+      union all select client_id, dl0, g0, req0, case when req0 >= 0 then 'timeout' else 'start_error' end from life where dl0 >= 0
+      union all select client_id, dl, g, req, case when req >= 0 then 'timeout' else 'start_error' end from life l where dl >= 0 and pos = (select max(pos) from life k where k.client_id = l.client_id))
+    select client_id, make_timestamp_ms(ms) as ts, generation, request_id, transition from told"""
+
+
 def messages(spark, d):
-    """Events as messages of the life cycle: a client for each user."""
-    kinds = F.create_map(*[F.lit(x) for kv in {"signup": "ready", "view": "solve", "purchase": "result", "click": "progress", "error": "cancel"}.items() for x in kv])
+    """Events as messages of the life cycle, as in LIFECYCLE."""
     e = City(spark, d).table("events")
+    kind, number = F.col("event_type"), F.col("event_id")
+    kinds = F.when(kind == "signup", F.when(number % 4 == 0, "init").otherwise("ready")).when(kind == "view", "solve").when(kind == "purchase", "result")
+    kinds = kinds.when(kind == "click", "progress").when(kind == "error", F.when(number % 3 == 0, "cancel").otherwise("ready"))
+    stamp = F.col("ts").cast("timestamp")
     return e.select(
-        F.col("user_id").alias("client_id"), F.date_trunc("second", "ts").alias("ts"), "event_id", F.floor(F.col("event_id") / 5000).cast("long").alias("generation"), (F.col("event_id") % 3).alias("request_id"),
-        kinds[F.col("event_type")].alias("type"), (F.col("event_id") % 30 * 1000).alias("timeout_ms"),
+        F.col("user_id").alias("client_id"), F.date_trunc("second", stamp).alias("ts"), "event_id",
+        (F.floor(F.unix_millis(stamp) / 259_200_000) - F.when(number % 7 == 3, 1).otherwise(0)).cast("long").alias("generation"),
+        (number % 3).alias("request_id"), kinds.alias("type"), (number % 30 * 3_600_000).alias("timeout_ms"),
     )
 
 
-@query("y3_lifecycle_batch")
+@query("y3_lifecycle_batch", LIFECYCLE)
 def y3_batch(spark, d):
     e = messages(spark, d)
     until = e.agg((F.unix_millis(F.max("ts")) + 10**9).alias("u")).first().u
-    return streams.lifecycle_table(e, until)
+    return lifecycle_table(e, until or 0)
 
 
-@query("y3_request_lifecycle")
+@query("y3_request_lifecycle", LIFECYCLE)
 def y3(spark, d):
     e = staged(messages(spark, d), "y3-in")
     source, sink, check = _fresh(spark, "y3-src"), _fresh(spark, "y3-out"), _fresh(spark, "y3-check")

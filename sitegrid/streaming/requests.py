@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -55,15 +54,14 @@ def first_outcomes(joined: DataFrame) -> DataFrame:
 
 
 class Client:
-    """Life cycle of one client: generation, readiness, the request in flight and its deadline (ms)."""
+    """Life cycle of one client: generation, readiness, the request in flight and its deadline (ms), and
+    the newest generation heard of, which the one in force is ahead of after a restart."""
 
-    FIELDS = ("generation", "ready", "request", "deadline")
-
-    def __init__(self, generation: int = -1, ready: bool = False, request: int = -1, deadline: int = -1):
-        self.generation, self.ready, self.request, self.deadline = generation, ready, request, deadline
+    def __init__(self, generation: int = -1, ready: bool = False, request: int = -1, deadline: int = -1, heard: int = -1):
+        self.generation, self.ready, self.request, self.deadline, self.heard = generation, ready, request, deadline, heard
 
     def state(self) -> tuple:
-        return self.generation, self.ready, self.request, self.deadline
+        return self.generation, self.ready, self.request, self.deadline, self.heard
 
     def expire(self, now: int) -> list[tuple[int, int, int, str]]:
         """Watchdogs that went off by ``now``: (ms, generation, request, transition)."""
@@ -76,7 +74,8 @@ class Client:
 
     def take(self, now: int, generation: int, request: int, kind: str, timeout_ms: int) -> list[tuple[int, int, int, str]]:
         out = self.expire(now)
-        if kind == "init" and generation > self.generation:
+        new, self.heard = generation > self.heard, max(generation, self.heard)
+        if kind == "init" and new:
             self.generation, self.ready, self.request, self.deadline = generation, False, -1, now + START_MS
             return [*out, (now, generation, -1, "starting")]
         if generation < self.generation:
@@ -122,7 +121,7 @@ class Lifecycle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("client", "generation bigint, ready boolean, request bigint, deadline bigint")
+        self.kept = handle.getValueState("client", "generation bigint, ready boolean, request bigint, deadline bigint, heard bigint")
 
     def _load(self) -> Client:
         return Client(*self.kept.get()) if self.kept.exists() else Client()
@@ -152,38 +151,16 @@ class Lifecycle(StatefulProcessor):
         pass
 
 
+def messages_of(events: DataFrame) -> DataFrame:
+    """(client_id, at, event_id, generation, request_id, type, timeout_ms) of the events without a null; at in ms."""
+    whole = [F.col(c).cast("long").alias(c) for c in ("client_id", "event_id", "generation", "request_id", "timeout_ms")]
+    return events.select(*whole, F.unix_millis("ts").alias("at"), "type").na.drop()
+
+
 def request_lifecycle(events: DataFrame, lateness: str = "1 minute") -> DataFrame:
     """State transitions of every client, from a stream (client_id, ts, event_id, generation,
-    request_id, type, timeout_ms). Needs the RocksDB state store."""
-    keyed = events.withWatermark("ts", lateness).groupBy("client_id")
+    request_id, type, timeout_ms). Rows with a null in one of these are no messages. Needs the RocksDB
+    state store."""
+    known = events.na.drop(subset=["client_id", "ts", "event_id", "generation", "request_id", "type", "timeout_ms"])
+    keyed = known.withWatermark("ts", lateness).groupBy("client_id")
     return keyed.transformWithStateInPandas(statefulProcessor=Lifecycle(), outputStructType=TRANSITIONS, outputMode="append", timeMode="eventTime")
-
-
-def lifecycle_table(events: DataFrame, until_ms: int) -> DataFrame:
-    """The batch twin: the same transitions from a table of all events, watchdogs run to ``until_ms``.
-
-    A client's life is sequential: its messages pass one task in order, a batch at a time, and only
-    its state is held.
-    """
-
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        stamps = pa.array([at * 1000 for at in columns[1]], pa.int64()).cast(pa.timestamp("us", "UTC"))
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), stamps, pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.string())], ["client_id", "ts", "generation", "request_id", "transition"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, client = None, None
-        for batch in batches:
-            out: list = []
-            for own, *message in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if client is None or own != key:
-                    out += [(key, *t) for t in client.expire(until_ms)] if client else []
-                    key, client = own, Client()
-                out += [(own, *t) for t in client.take(*message)]
-            yield packed(out)
-        if client:
-            yield packed([(key, *t) for t in client.expire(until_ms)])
-
-    order = events.repartition("client_id").sortWithinPartitions("client_id", "ts", "event_id")
-    whole = [F.col(c).cast("long").alias(c) for c in ("generation", "request_id")]
-    return order.select(F.col("client_id").cast("long"), F.unix_millis("ts").alias("at"), *whole, "type", F.col("timeout_ms").cast("long")).mapInArrow(run, TRANSITIONS)

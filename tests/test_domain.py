@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from sitegrid.operators import graph, shortlist, spatial
 from sitegrid.plans import reports, whatif
 from sitegrid.plans.verify import Audit
-from sitegrid.streaming.requests import Client, lifecycle_table
+from sitegrid.streaming.lifecycle import lifecycle_table
+from sitegrid.streaming.requests import Client
 
 REQUEST = "region_id long, request_id long, max_lockers int, max_depots int, locker_capacity int, depot_capacity int, flight_limit_mm int, outage_tolerance int, fixed_lockers array<long>, fixed_depots array<long>, timeout_ms int"
 
