@@ -72,14 +72,6 @@ def assignment_space(counts: DataFrame) -> DataFrame:
     return h.groupBy(KEY).agg(F.when(F.min("choices") > 0, F.sum(F.col("n") * F.log10(F.greatest("choices", F.lit(1))))).alias("log10_size"))
 
 
-def exact_assignment_space(counts: DataFrame) -> dict:
-    """region -> the exact product of degrees, an integer of any size, from the small histogram."""
-    out: dict = {}
-    for r in degree_histogram(counts).collect():
-        out[r[KEY]] = out.get(r[KEY], 1) * r.choices**r.n
-    return out
-
-
 def coverage_masks(walks: DataFrame, cells: DataFrame) -> DataFrame:
     """(region_id, locker_id, word, mask): bit i of word w stands for the region's cell 63 w + i."""
     placed = numbered(cells.select(KEY, "cell_id"), KEY, ["cell_id"], "_ord")

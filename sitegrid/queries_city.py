@@ -281,11 +281,18 @@ def a8(spark, d):
     return coverage.min_choices(coverage.choice_counts(c.cells(), c.walks()), 3).drop(KEY)
 
 
-@query("a9_assignment_space", sql("counts", "select round(sum(n * log10(choices)), 6) as log10_size from (select choices, count(*) as n from counts where choices > 0 group by choices)"))
+@query(
+    "a9_assignment_space",
+    sql("counts", """, h as (select choices, count(*) as n from counts group by choices)
+     select 'all' as cells, case when min(choices) > 0 then round(sum(n * log10(greatest(choices, 1))), 6) end as log10_size from h
+     union all select 'reached', round(sum(n * log10(choices)), 6) from h where choices > 0"""),
+)
 def a9(spark, d):
+    """Of all cells, none of which is left out, and of those with a choice."""
     c = City(spark, d)
-    counts = coverage.choice_counts(c.cells(), c.walks()).where("choices > 0")
-    return coverage.assignment_space(counts).select(F.round("log10_size", 6).alias("log10_size"))
+    counts = coverage.choice_counts(c.cells(), c.walks())
+    size = lambda rows, name: coverage.assignment_space(rows).select(F.lit(name).alias("cells"), F.round("log10_size", 6).alias("log10_size"))
+    return size(counts, "all").unionByName(size(counts.where("choices > 0"), "reached"))
 
 
 @query("a12_coverage_masks", sql("cells walks", ", o as (select cell_id, row_number() over (order by cell_id) - 1 as ord from cells) select locker_id, ord // 63 as word, bit_or(1::bigint << (ord % 63)::int) as mask from walks join o using (cell_id) group by 1, 2"))

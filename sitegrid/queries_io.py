@@ -24,17 +24,29 @@ def _fresh(spark, label: str) -> str:
     return f"{shared_dir(spark)}/sitegrid/{label}-{uuid.uuid4().hex}"
 
 
-@query("s1_read_network", sql("bl bc", "select region_id, site_id::varchar as node_id, x_mm, y_mm from bl"))
+@query(
+    "s1_read_network",
+    sql("bl bc bw", """select 'node' as kind, region_id, site_id::varchar as id, x_mm as first, y_mm as second from bl
+     union all select 'edge', region_id, cell_id || '-' || locker_id, distance_mm, locker_id from bw
+     union all select 'cell', region_id, cell_id::varchar, population, parcels from bc where region_id in (select region_id from bl)"""),
+)
 def s1(spark, d):
-    """Blocks written as one document a region, gzipped JSON lines, and read back as tables."""
+    """Blocks, with an edge for each walk, written as one document a region, gzipped JSON lines, and
+    read back as nodes, edges and cells."""
     b = Blocks(spark, d)
     text = lambda c: F.col(c).cast("string").alias(c)
     zero = F.lit(0).cast("double")
     nodes = b.lockers().groupBy(KEY).agg(F.collect_list(F.struct(F.col("site_id").cast("string").alias("node_id"), zero.alias("lon"), zero.alias("lat"), "x_mm", "y_mm")).alias("nodes"))
     cells = b.cells().groupBy(KEY).agg(F.collect_list(F.struct(text("cell_id"), "population", "parcels", text("node_id"), "x_mm", "y_mm", F.lit(0).cast("long").alias("connector_mm"))).alias("cells"))
+    end = F.struct(F.col("locker_id").cast("double").alias("lon"), zero.alias("lat"))
+    way = F.struct(F.concat_ws("-", "cell_id", "locker_id").alias("edge_id"), F.col("cell_id").cast("string").alias("src"), F.col("locker_id").cast("string").alias("dst"), F.col("distance_mm").alias("length_mm"), F.array(end).alias("coordinates"))
+    edges = b.walks().groupBy(KEY).agg(F.collect_list(way).alias("edges"))
     path = _fresh(spark, "network")
-    nodes.join(cells, KEY, "left").withColumn("edges", F.array()).write.json(path, compression="gzip")
-    return tables.read_network(spark, path)["nodes"].select(KEY, "node_id", "x_mm", "y_mm")
+    nodes.join(cells, KEY, "left").join(edges, KEY, "left").write.json(path, compression="gzip")
+    back = tables.read_network(spark, path)
+    rows = lambda name, key, first, second: back[name].select(F.lit(name[:-1]).alias("kind"), KEY, F.col(key).alias("id"), first.cast("long").alias("first"), second.cast("long").alias("second"))
+    out = rows("nodes", "node_id", F.col("x_mm"), F.col("y_mm")).unionByName(rows("cells", "cell_id", F.col("population"), F.col("parcels")))
+    return out.unionByName(rows("edges", "edge_id", F.col("length_mm"), F.element_at("coordinates", 1)["lon"]))
 
 
 @query("s2_read_geojson", sql("cells", "select 'grid-' || cell_id as cell_id, population, cell_id % 7 as lon_steps from cells"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .bindings import KEY, Blocks, City, Plans
 from .functions.scalars import choose
+from .functions.staging import staged
 from .oracles import sql
 from .plans import reports, whatif
 from .registry import query
@@ -57,19 +58,25 @@ def t5(spark, d):
 @query(
     "e6_cover_within",
     sql("lsets cm", """, full_ as (select a.region_id, min(k) as fewest from lsets a where not exists (select 1 from cm where cm.region_id = a.region_id and cm.m & a.m = 0) group by 1)
-     select r.region_id, coalesce(fewest <= 3, false) as covered, case when fewest <= 3 then fewest end as sites from (select distinct region_id from lsets) r left join full_ using (region_id)"""),
+     select r.region_id, coalesce(fewest <= 3, false) as covered, case when fewest <= 3 then fewest end as sites, case when fewest <= 3 then 0 end::bigint as uncovered from (select distinct region_id from lsets) r left join full_ using (region_id)"""),
 )
 def e6(spark, d):
-    from pyspark.sql import Window
-
-    from .operators.coverage import coverage_masks
+    """Whether three lockers cover a block; what the witness leaves uncovered is counted from the walks."""
+    from .functions.numbering import numbered
+    from .operators.coverage import coverage_masks, uncovered_cells
 
     b = Blocks(spark, d)
     cells, lockers, _, walks, _ = b.world()
-    numbered = cells.select(KEY, (F.row_number().over(Window.partitionBy(KEY).orderBy("cell_id")) - 1).alias("ord"))
+    places = numbered(cells.select(KEY, "cell_id"), KEY, ["cell_id"], "ord")
     masks = coverage_masks(walks, cells).select(KEY, F.col("locker_id").alias("site_id"), "word", "mask")
     # the search goes level by level, so a witness is as small as any cover
-    return whatif.cover_within(masks, numbered, 3).select(KEY, F.col("witness").isNotNull().alias("covered"), F.when(F.col("witness").isNotNull(), F.size("witness")).alias("sites"))
+    found = staged(whatif.cover_within(masks, places, 3), "e6-found")
+    sites = found.where("witness is not null").select(KEY, F.explode("witness").alias("site_id"))
+    known = cells.join(found.where("witness is not null").select(KEY), KEY, "left_semi")
+    left = uncovered_cells(known, walks, sites).groupBy(KEY).agg(F.count(F.lit(1)).alias("uncovered"))
+    covered = F.col("witness").isNotNull()
+    out = found.join(left, KEY, "left")
+    return out.select(KEY, covered.alias("covered"), F.when(covered, F.size("witness")).alias("sites"), F.when(covered, F.coalesce("uncovered", F.lit(0))).alias("uncovered"))
 
 
 def _walked(start: str, most: str, used: str) -> str:
