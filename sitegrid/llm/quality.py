@@ -1,21 +1,21 @@
 """Quality classifier by hierarchical empirical Bayes.
 
-A logistic classifier reads the outward form of a text (how runs of lower case, upper case,
-digits and other characters follow each other) and its repetition (words that repeat the one
-before, distinct words). It is fitted on at most SAMPLE labelled
+A logistic classifier reads the words of a text and their pairs (lower-cased, hashed), its outward form (how
+runs of lower case, upper case, digits and other characters follow each other) and its repetition (words
+that repeat the one before, distinct words). It is fitted on at most SAMPLE labelled
 documents. All labels are then added up by site and by path within the site: a site's
 posterior is its labelled share shrunk toward the global share, a path's is its share shrunk
 toward its site's, each by a prior strength that the spread between groups of a parent, around
 that parent's own share, gives. The
 document's evidence and its path's posterior are added as log odds. A labelled document's own
-label is left out of the posteriors of its site and path.
+label is left out of the posteriors of its site and path, from all rows of its identifier.
 
 Defined results: a null or empty text has the evidence of an empty document; a very long text is
 read whole; a null site or
 path is a group of its own; documents without labels in their group get the prior of the
 level above; a document with several labels counts with their mean; null labels are left
-out; of rows that share a labelled identifier one, the same in every run, is fitted, and all
-count for their groups; without labels of both kinds the classifier is silent (p = 1/2) and the
+out; any number of labels of one identifier is averaged; of rows that share a labelled identifier one, the
+same in every run, is fitted, and all count for their groups, but none of them for another one; without labels of both kinds the classifier is silent (p = 1/2) and the
 prior is 1/2; a quality of exactly 1/2 is kept;
 repeated rows are returned as often as they come; an empty table gives an empty one; other
 columns are not read, so their names may clash with those of the result.
@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import islice
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SAMPLE, WIDTH, ROUNDS, RIDGE = 8_000, 256, 300, 1e-3
+SAMPLE, WIDTH, TERMS, ROUNDS, RIDGE = 8_000, 256, 256, 300, 1e-3
 WEAKEST, STRONGEST = 2.0, 1_000.0
-#: Places of a feature vector: form pairs, repetition, a constant.
-PLACES = WIDTH + 4
+#: Places of a feature vector: form pairs, words, pairs of words, repetition, a constant.
+PLACES = WIDTH + 2 * TERMS + 4
 
 _FORM = np.arange(256, dtype=np.int64)
 _FORM[97:123], _FORM[65:91], _FORM[48:58], _FORM[128:] = 1, 2, 3, 1
@@ -45,7 +46,8 @@ _FORM[[32, 9, 10, 11, 12, 13]] = 0
 
 
 def features(text: str | None) -> np.ndarray:
-    """Square roots of the shares of form pairs, hashed to WIDTH places; repetition; a constant."""
+    """Square roots of the shares of form pairs, hashed to WIDTH places, and of words and pairs of words,
+    hashed to TERMS places each; repetition; a constant."""
     out = np.zeros(PLACES, np.float32)
     out[-1] = 1
     x = _FORM[np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)]
@@ -58,7 +60,13 @@ def features(text: str | None) -> np.ndarray:
     words = (text or "").lower().split()
     if words:
         again = sum(map(eq, words, islice(words, 1, None))) / len(words)
-        out[WIDTH : WIDTH + 3] = again, again**0.5, len(set(words)) / len(words)
+        out[-4:-1] = again, again**0.5, len(set(words)) / len(words)
+        codes = {w: crc32(w.encode("utf-8", "replace")) for w in set(words)}
+        code = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+        pairs = ((code[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ code[1:]) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
+        for at, x in ((WIDTH, code), (WIDTH + TERMS, pairs)):
+            if len(x):
+                out[at : at + TERMS] = np.sqrt(np.bincount((x % np.uint64(TERMS)).astype(np.int64), minlength=TERMS) / len(x))
     return out
 
 
@@ -87,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     if y.min() == y.max():
         return np.zeros(PLACES)
     w = ahead = np.zeros(PLACES)
-    rate = 4.0 / np.linalg.norm(x, 2) ** 2 * len(x)
+    rate = 4.0 / np.linalg.eigvalsh(x.T @ x)[-1] * len(x)
     for k in range(ROUNDS):
         slope = x.T @ (1 / (1 + np.exp(-x @ ahead)) - y) / len(x) + RIDGE * ahead
         new = ahead - rate * slope
@@ -121,6 +129,14 @@ def _strength(groups: DataFrame, around) -> float:
     return float(np.clip(row.chance / row.n / between - 1, WEAKEST, STRONGEST)) if between > 0 else STRONGEST
 
 
+def _repeats(rows: DataFrame) -> DataFrame:
+    """How many labelled rows an identifier has in a path and in its host, where it has several in the host."""
+    paths = rows.where("y is not null").groupBy("doc_id", "host", "path").agg(F.count(F.lit(1)).alias("_own_path"))
+    hosts = paths.groupBy(F.col("doc_id").alias("_rdoc_id"), F.col("host").alias("_rhost")).agg(F.sum("_own_path").alias("_own_host")).where("_own_host > 1")
+    each = hosts.join(paths, (F.col("doc_id") == F.col("_rdoc_id")) & F.col("host").eqNullSafe(F.col("_rhost")))
+    return written(each.select("_rdoc_id", "_rhost", F.col("path").alias("_rpath"), "_own_host", "_own_path"), "quality-repeats")
+
+
 def logit(p):
     return F.log(p / (1 - p))
 
@@ -141,12 +157,15 @@ def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     s_path = _strength(within, F.col("around"))
     paths = paths.select(F.col("host").alias("_ph"), F.col("path").alias("_pp"), F.col("good").alias("_pg"), F.col("n").alias("_pn"))
     out = rows.join(hosts, F.col("host").eqNullSafe(F.col("_h")), "left").join(paths, F.col("host").eqNullSafe(F.col("_ph")) & F.col("path").eqNullSafe(F.col("_pp")), "left")
-    # counts of the group without the document's own label
-    own, one = F.coalesce("y", F.lit(0.0)), F.when(F.col("y").isNotNull(), 1).otherwise(0)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    shrunk = lambda good, n, strength, around: (zero(good) - own + strength * around) / (zero(n) - one + strength)
-    out = out.withColumn("host_posterior", shrunk("_hg", "_hn", s_host, F.lit(prior)))
-    out = out.withColumn("path_posterior", shrunk("_pg", "_pn", s_path, F.col("host_posterior")))
+    # counts of the group without the labels of the document's own identifier
+    there = [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in ("doc_id", "host", "path")]
+    out = out.join(_repeats(rows), there[0] & there[1] & there[2], "left")
+    y, zero = F.coalesce("y", F.lit(0.0)), lambda c: F.coalesce(c, F.lit(0))
+    copies = lambda c: F.when(F.col("y").isNotNull(), F.coalesce(c, F.lit(1))).otherwise(0)
+    # sums of means may leave a little less than nothing
+    shrunk = lambda good, n, own, strength, around: (F.greatest(zero(good) - y * copies(own), F.lit(0.0)) + strength * around) / (zero(n) - copies(own) + strength)
+    out = out.withColumn("host_posterior", shrunk("_hg", "_hn", "_own_host", s_host, F.lit(prior)))
+    out = out.withColumn("path_posterior", shrunk("_pg", "_pn", "_own_path", s_path, F.col("host_posterior")))
     p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("p")))
     odds = logit(p) + logit(F.col("path_posterior")) - float(np.log(prior / (1 - prior)))
     quality = 1 / (1 + F.exp(-odds))
