@@ -41,16 +41,28 @@ def pairs_within(a: DataFrame, b: DataFrame, limit_mm: int) -> DataFrame:
     gx, gy = _cells("depot_x", "depot_y", width)
     right = _named(b, "depot").withColumns({"_gx": gx, "_gy": gy})
     far = return_mm(F.col("locker_x"), F.col("locker_y"), F.col("depot_x"), F.col("depot_y"))
-    return left.join(right, [KEY, "_gx", "_gy"]).select(KEY, "locker_id", "depot_id", far.alias("return_mm")).where(F.col("return_mm") <= limit_mm)
+    return _met(left, right).select(KEY, "locker_id", "depot_id", far.alias("return_mm")).where(F.col("return_mm") <= limit_mm)
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that share a bucket. Both sides are dealt out: a table's estimated size knows neither of the
+    copies around a bucket nor of its compression, and must not make a broadcast of it."""
+    return left.hint("merge").join(right, [KEY, "_gx", "_gy"])
 
 
 def spacing_conflicts(sites: DataFrame, spacing_mm: int) -> DataFrame:
-    """Pairs of sites strictly closer than the spacing, in exact integers."""
-    left = _near(_named(sites, "a"), "a_x", "a_y", spacing_mm)
+    """Pairs of sites strictly closer than the spacing, in exact integers. Of two buckets that touch one
+    looks into the other, so a pair is met once."""
+    gx, gy = _cells("a_x", "a_y", spacing_mm)
+    ahead = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    left = _named(sites, "a").withColumn("_step", F.explode(ahead))
+    left = left.select(KEY, "a_id", "a_x", "a_y", (gx + F.col("_step.x")).alias("_gx"), (gy + F.col("_step.y")).alias("_gy"), ((F.col("_step.x") == 0) & (F.col("_step.y") == 0)).alias("_own"))
     gx, gy = _cells("b_x", "b_y", spacing_mm)
     right = _named(sites, "b").withColumns({"_gx": gx, "_gy": gy})
     dx, dy = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")
-    return left.join(right, [KEY, "_gx", "_gy"]).where((F.col("a_id") < F.col("b_id")) & (dx * dx + dy * dy < F.lit(spacing_mm) * F.lit(spacing_mm).cast("long"))).select(KEY, "a_id", "b_id")
+    once = (F.col("a_id") < F.col("b_id")) | (~F.col("_own") & (F.col("a_id") > F.col("b_id")))
+    near = _met(left, right).where(once & (dx * dx + dy * dy < F.lit(spacing_mm) * F.lit(spacing_mm).cast("long")))
+    return near.select(KEY, F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"))
 
 
 def nearest_nodes(targets: DataFrame, nodes: DataFrame, exclude: DataFrame, width: int = 200_000) -> DataFrame:
@@ -91,7 +103,7 @@ def _nearest(targets: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         bucketed = nodes.select(KEY, "node_id", "_by", F.col("x_mm").alias("_nx"), F.col("y_mm").alias("_ny"), gx.alias("_gx"), gy.alias("_gy"))
         dx, dy = (F.col("x_mm") - F.col("_nx")).cast("double"), (F.col("y_mm") - F.col("_ny")).cast("double")
         offset = half_up(F.sqrt(dx * dx + dy * dy))
-        met = _near(turn, "x_mm", "y_mm", width).join(bucketed, [KEY, "_gx", "_gy"]).where(F.col("_by").isNull() | (F.col("_by") > F.col("_turn")))
+        met = _met(_near(turn, "x_mm", "y_mm", width), bucketed).where(F.col("_by").isNull() | (F.col("_by") > F.col("_turn")))
         best = met.groupBy(KEY, "target_id", "ord", "_turn").agg(F.min(F.struct(offset.alias("offset_mm"), "node_id")).alias("m"))
         # nothing outside the nine buckets is nearer than one width
         sure = staged(best.where(F.col("m.offset_mm") < width).select(KEY, "target_id", "ord", "_turn", "m.node_id", "m.offset_mm"), "near-sure")
