@@ -64,9 +64,9 @@ def s2(spark, d):
 
 @query("s4_verify_sources", "select 'customer.parquet' as name, true as expected_missing, false as found_missing union all select 'ghost.parquet', false, true union all select 'orders.parquet', false, false")
 def s4(spark, d):
-    """The table files against a manifest with a wrong digest, a missing line and a ghost."""
+    """The tables, files or folders of files, against a manifest with a wrong digest, a missing line and a ghost."""
     path = f"{d}/*.parquet"
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    files = tables.source_digests(spark, path)
     bent = files.where("name <> 'customer.parquet'").withColumn("sha256", F.when(F.col("name") == "orders.parquet", F.lit("0")).otherwise(F.col("sha256")))
     ghost = files.where("name = 'orders.parquet'").select(F.lit("ghost.parquet").alias("name"), F.lit("1").alias("sha256"))
     out = tables.verify_sources(spark, path, bent.unionByName(ghost))

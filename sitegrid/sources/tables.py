@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.staging import staged
 
+#: Scheme and authority of a path.
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 #: Fixed format: the fields of a network document.
 NETWORK = """region_id bigint,
   nodes array<struct<node_id: string, lon: double, lat: double, x_mm: bigint, y_mm: bigint>>,
@@ -41,11 +46,23 @@ def read_geojson(spark: SparkSession, path: str, key: str, props: dict[str, str]
     return f.select(F.concat(F.lit(prefix), F.col(f"f.properties.{key}").cast("string")).alias("cell_id"), *[F.col(f"f.properties.{n}").alias(n) for n in props if n != key], F.transform("f.geometry.coordinates", ring).alias("polygon"))
 
 
+def source_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(name, sha256): a row for each source that the pattern ``path`` matches, by its own name. A file has its
+    SHA-256; a folder of files, as Spark writes a table, that of its files' places in it and SHA-256s, by place."""
+    bare = re.sub(_SCHEME, "", path)
+    depth = len([p for p in (bare if path.startswith("/") or bare != path else f"{os.getcwd()}/{path}").split("/") if p])
+    parts = F.filter(F.split(F.regexp_replace("path", _SCHEME, ""), "/"), lambda p: p != "")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.select(F.element_at(parts, depth).alias("name"), F.array_join(F.slice(parts, depth + 1, F.size(parts)), "/").alias("place"), F.sha2("content", 256).alias("own"))
+    both = files.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("place", "own"))).alias("l"))
+    listed = F.array_join(F.transform("l", lambda f: F.concat(f["place"], F.lit(":"), f["own"])), "\n")
+    return both.select("name", F.when(F.element_at("l", 1)["place"] == "", F.element_at("l", 1)["own"]).otherwise(F.sha2(listed, 256)).alias("sha256"))
+
+
 def verify_sources(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """(name, expected, found): files under ``path`` whose SHA-256 is not the manifest's, or that
-    only one side has. ``manifest(name, sha256)``; names are file names."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
-    both = manifest.select("name", F.col("sha256").alias("expected")).join(files, "name", "full")
+    """(name, expected, found): sources under ``path`` whose SHA-256 is not the manifest's, or that
+    only one side has. ``manifest(name, sha256)``, as ``source_digests`` gives them."""
+    both = manifest.select("name", F.col("sha256").alias("expected")).join(source_digests(spark, path).withColumnRenamed("sha256", "found"), "name", "full")
     return both.where(~F.col("expected").eqNullSafe(F.col("found")))
 
 

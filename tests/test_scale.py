@@ -1,8 +1,12 @@
 """Plans and whole jobs on tables that are larger, or laid out otherwise, than the given ones."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
+from sitegrid import registry
 from sitegrid.operators import spatial
+from sitegrid.sources import tables
 
 
 def plan(df):
@@ -18,3 +22,16 @@ def test_spacing_without_broadcast(spark):
     near = {(a.site_id, b.site_id) for a in rows for b in rows if a.site_id < b.site_id and (a.x_mm - b.x_mm) ** 2 + (a.y_mm - b.y_mm) ** 2 < 49}
     got = [(r.a_id, r.b_id) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == near
+
+
+def test_sources_that_are_folders(spark, tmp_path):
+    """A table may be a file or a folder of files; its name is that of the table."""
+    spark.range(4).repartition(2).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(3).write.parquet(str(tmp_path / "customer.parquet"))
+    (tmp_path / "part.parquet").write_bytes(b"one file")
+    found = registry.QUERIES["s4_verify_sources"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [("customer.parquet", True, False), ("ghost.parquet", False, True), ("orders.parquet", False, False)]
+    by = {r.name: r.sha256 for r in tables.source_digests(spark, f"file://{tmp_path}/*.parquet").collect()}
+    assert set(by) == {"customer.parquet", "orders.parquet", "part.parquet"} and by["part.parquet"] == hashlib.sha256(b"one file").hexdigest()
+    next((tmp_path / "orders.parquet").glob("part-*")).rename(tmp_path / "orders.parquet" / "part-moved.parquet")
+    assert {r.name for r in tables.verify_sources(spark, f"{tmp_path}/*.parquet", spark.createDataFrame(list(by.items()), "name string, sha256 string")).collect()} == {"orders.parquet"}
