@@ -50,8 +50,10 @@ class City:
         rows = self.table("lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), "l_quantity", "l_returnflag")
         return rows.where("dst is not null and src <> dst")
 
-    def edges(self) -> DataFrame:
-        rows = self.raw_edges().groupBy("src", "dst").agg(F.min((F.col("l_quantity") * 10000).cast("long")).alias("length_mm"))
+    def edges(self, most_mm: int | None = None) -> DataFrame:
+        """Between two nodes the shortest of the repeated edges; ``most_mm`` leaves out longer ones."""
+        rows = self.raw_edges().select("src", "dst", (F.col("l_quantity") * 10000).cast("long").alias("length_mm"))
+        rows = (rows if most_mm is None else rows.where(F.col("length_mm") <= most_mm)).groupBy("src", "dst").agg(F.min("length_mm").alias("length_mm"))
         return rows.select(F.lit(0).alias(KEY), F.concat_ws("-", "src", "dst").alias("edge_id"), "src", "dst", "length_mm")
 
     def cells(self) -> DataFrame:
@@ -74,8 +76,12 @@ class City:
         """One origin for each snap node, with the walking limit as its budget."""
         return self.cells().select(KEY, F.col("node_id").alias("origin"), "node_id").distinct().withColumn("budget_mm", F.lit(WALK_MM).cast("long"))
 
+    def near_edges(self) -> DataFrame:
+        """The edges that a walk within the limit may use."""
+        return once(self.spark, self.dir, "near-edges", lambda: self.edges(WALK_MM))
+
     def reach(self) -> DataFrame:
-        return once(self.spark, self.dir, "reach", lambda: catchments(self.cells(), self.edges(), WALK_MM))
+        return once(self.spark, self.dir, "reach", lambda: catchments(self.cells(), self.near_edges(), WALK_MM))
 
     def walks(self) -> DataFrame:
         return once(self.spark, self.dir, "walks", lambda: eligible_walks(self.reach(), self.lockers()))

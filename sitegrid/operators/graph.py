@@ -35,18 +35,21 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def bounded_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
-    """(region_id, origin, node_id, dist_mm, pred_edge): all nodes within each origin's budget.
+    """(region_id, origin, node_id, dist_mm, pred_edge, pred_src): all nodes within each origin's budget, with the
+    last edge of a shortest path and where that edge starts.
 
     ``origins(region_id, origin, node_id, budget_mm)``; the budget is inclusive, unreachable
     nodes are absent. The frontier moves one edge a round; only strict improvements are written and
-    go on, so rounds are bounded by the hops that a budget allows and a round writes and shuffles no
+    go on (lengths are positive, see ``check_graph``), so rounds are bounded by the hops that a budget allows and a round writes and shuffles no
     more than its frontier: distances found before lie in buckets by (origin, node). Of predecessors that give the same
     distance, the smallest edge id is kept.
     """
-    links = staged(edges.select(KEY, "edge_id", "src", "dst", "length_mm"), "path-links")
     key = [KEY, "origin", "node_id"]
     fresh = origins.where(F.col("budget_mm") >= 0).groupBy(*key).agg(F.max("budget_mm").alias("budget_mm"))
     fresh = staged(fresh.withColumn("dist_mm", F.lit(0).cast("long")), "path-frontier")
+    # an edge longer than every budget is on no path
+    most = fresh.agg(F.max("budget_mm")).first()[0]
+    links = staged(edges.where(F.col("length_mm") <= F.lit(most)).select(KEY, "edge_id", "src", "dst", "length_mm"), "path-links")
     found = Bucketed(edges.sparkSession, "path_found", key)
     while True:
         found.add(fresh.select(*key, "dist_mm"))
@@ -56,9 +59,11 @@ def bounded_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
     best = staged(found.all().groupBy(*key).agg(F.min("dist_mm").alias("dist_mm")), "path-best")
     found.close()
     near = best.select(KEY, "origin", F.col("node_id").alias("src"), F.col("dist_mm").alias("_d"))
-    into = near.join(links, [KEY, "src"]).select(KEY, "origin", F.col("dst").alias("node_id"), (F.col("_d") + F.col("length_mm")).alias("dist_mm"), "edge_id")
-    pred = into.groupBy(KEY, "origin", "node_id", "dist_mm").agg(F.min("edge_id").alias("pred_edge"))
-    return best.join(pred, [KEY, "origin", "node_id", "dist_mm"], "left").withColumn("pred_edge", F.when(F.col("dist_mm") > 0, F.col("pred_edge")))
+    into = near.join(links, [KEY, "src"]).select(KEY, "origin", F.col("dst").alias("node_id"), (F.col("_d") + F.col("length_mm")).alias("dist_mm"), "edge_id", "src")
+    pred = into.where(F.col("dist_mm") <= F.lit(most)).groupBy(KEY, "origin", "node_id", "dist_mm").agg(F.min(F.struct("edge_id", "src")).alias("p"))
+    moved = F.col("dist_mm") > 0
+    out = best.join(pred, [KEY, "origin", "node_id", "dist_mm"], "left")
+    return out.select(*key, "dist_mm", F.when(moved, F.col("p.edge_id")).alias("pred_edge"), F.when(moved, F.col("p.src")).alias("pred_src"))
 
 
 def _next_hop(fresh: DataFrame, links: DataFrame, found: Bucketed) -> DataFrame:
@@ -76,9 +81,11 @@ def route_edges(paths: DataFrame, edges: DataFrame, targets: DataFrame) -> DataF
     """(region_id, origin, target, edge_ids, ok): the edges from an origin to each target node,
     followed back over the predecessors of all targets at once. ``targets(region_id, origin,
     target)``; a target that the paths do not reach has a null route and ok = false."""
-    back = paths.select(KEY, "origin", F.col("node_id").alias("at"), "dist_mm", "pred_edge")
-    link = edges.select(KEY, F.col("edge_id").alias("pred_edge"), F.col("src").alias("_src"))
-    back = staged(back.join(link, [KEY, "pred_edge"], "left"), "route-back")
+    back = paths.select(KEY, "origin", F.col("node_id").alias("at"), "dist_mm", "pred_edge", *[F.col(c).alias("_src") for c in ("pred_src",) if c in paths.columns])
+    if "_src" not in back.columns:
+        link = edges.select(KEY, F.col("edge_id").alias("pred_edge"), F.col("src").alias("_src"))
+        back = back.join(link, [KEY, "pred_edge"], "left")
+    back = staged(back, "route-back")
     steps, hop = Grown(paths.sparkSession, "route-steps"), 0
     at = targets.select(KEY, "origin", "target", F.col("target").alias("at"))
     while True:

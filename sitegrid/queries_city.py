@@ -179,7 +179,7 @@ def g2(spark, d):
 @query("g3_bounded_paths", sql("paths", "select o as origin, n as node_id, dist as dist_mm from paths"))
 def g3(spark, d):
     c = City(spark, d)
-    return graph.bounded_paths(c.edges(), c.origins()).select("origin", "node_id", "dist_mm")
+    return graph.bounded_paths(c.near_edges(), c.origins()).select("origin", "node_id", "dist_mm")
 
 
 def _routes(spark, d):
@@ -188,9 +188,9 @@ def _routes(spark, d):
 
     def make():
         c = City(spark, d)
-        paths = graph.bounded_paths(c.edges(), c.origins())
+        paths = graph.bounded_paths(c.near_edges(), c.origins())
         ends = c.walks().join(c.cells().select("cell_id", F.col("node_id").alias("origin")), "cell_id").join(c.lockers().select(F.col("site_id").alias("locker_id"), F.col("node_id").alias("target")), "locker_id")
-        routes = graph.route_edges(paths, c.edges(), ends.select(KEY, "origin", "target").distinct())
+        routes = graph.route_edges(paths, c.near_edges(), ends.select(KEY, "origin", "target").distinct())
         return ends.join(routes.select(KEY, "origin", "target", "edge_ids", "ok"), [KEY, "origin", "target"]).select(KEY, "cell_id", "locker_id", "distance_mm", "edge_ids", "ok")
 
     return once(spark, d, "routes", make)
@@ -221,7 +221,7 @@ def g5(spark, d):
 @query("g6_catchments", sql("reach", "select node_id, count(*) as cells, min(distance_mm) as nearest_mm, max(distance_mm) as farthest_mm, (select count(distinct node_id) from reach) as nodes from reach group by node_id"))
 def g6(spark, d):
     c = City(spark, d)
-    r = graph.catchments(c.cells(), c.edges(), WALK_MM)
+    r = graph.catchments(c.cells(), c.near_edges(), WALK_MM)
     per = r.groupBy("node_id").agg(F.count(F.lit(1)).alias("cells"), F.min("distance_mm").alias("nearest_mm"), F.max("distance_mm").alias("farthest_mm"))
     return per.join(F.broadcast(per.agg(F.count(F.lit(1)).alias("nodes"))), F.lit(True))
 
@@ -241,7 +241,7 @@ def g7(spark, d):
 @query("j4_eligible_walks", sql("walks", "select cell_id, locker_id, distance_mm from walks"))
 def j4(spark, d):
     c = City(spark, d)
-    return coverage.eligible_walks(graph.catchments(c.cells(), c.edges(), WALK_MM), c.lockers()).select("cell_id", "locker_id", "distance_mm")
+    return coverage.eligible_walks(graph.catchments(c.cells(), c.near_edges(), WALK_MM), c.lockers()).select("cell_id", "locker_id", "distance_mm")
 
 
 @query("j7_uncovered_cells", sql("cells chosen", "select cell_id, node_id, parcels from cells where cell_id not in (select cell_id from chosen)"))
@@ -334,7 +334,7 @@ def u4(spark, d):
 def q1(spark, d):
     """Demand that a chosen set of lockers leaves uncovered: paths, walks, anti-join, totals."""
     c = City(spark, d)
-    walks = coverage.eligible_walks(graph.catchments(c.cells(), c.edges(), WALK_MM), c.lockers())
+    walks = coverage.eligible_walks(graph.catchments(c.cells(), c.near_edges(), WALK_MM), c.lockers())
     left = coverage.uncovered_cells(c.cells(), walks, c.selection())
     return left.agg(F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("parcels"), F.lit(0)).alias("parcels"), F.coalesce(F.sum("population"), F.lit(0)).alias("people"))
 

@@ -5,7 +5,8 @@ import hashlib
 from pyspark.sql import functions as F
 
 from sitegrid import registry
-from sitegrid.operators import spatial
+from sitegrid.functions import staging
+from sitegrid.operators import graph, spatial
 from sitegrid.sources import tables
 
 
@@ -35,3 +36,27 @@ def test_sources_that_are_folders(spark, tmp_path):
     assert set(by) == {"customer.parquet", "orders.parquet", "part.parquet"} and by["part.parquet"] == hashlib.sha256(b"one file").hexdigest()
     next((tmp_path / "orders.parquet").glob("part-*")).rename(tmp_path / "orders.parquet" / "part-moved.parquet")
     assert {r.name for r in tables.verify_sources(spark, f"{tmp_path}/*.parquet", spark.createDataFrame(list(by.items()), "name string, sha256 string")).collect()} == {"orders.parquet"}
+
+
+def test_paths_take_edges_within_the_budget(spark, monkeypatch):
+    """Edges longer than every budget are neither dealt out in a round nor asked for predecessors."""
+    rows = {}
+
+    def counted(df, label):
+        rows.setdefault(label, []).append(df.count())
+        return staging.staged(df, label)
+
+    monkeypatch.setattr(graph, "staged", counted)
+    edges = spark.range(200).selectExpr("0L as region_id", "'e' || id as edge_id", "id % 20 as src", "(id * 7 + 1) % 20 as dst", "if(id % 10 = 0, 3L, 500 + id) as length_mm")
+    starts = spark.range(5).selectExpr("0L as region_id", "id * 4 as origin", "id * 4 as node_id", "9L as budget_mm")
+    paths = graph.bounded_paths(edges, starts)
+    assert rows["path-links"] == [20]
+    ends = {r.edge_id: (r.src, r.dst, r.length_mm) for r in edges.collect()}
+    got = {(r.origin, r.node_id): r for r in paths.collect()}
+    assert len(got) > 5
+    for (origin, node), r in got.items():
+        if r.dist_mm:
+            src, dst, length = ends[r.pred_edge]
+            assert (src, dst) == (r.pred_src, node) and got[origin, src].dist_mm + length == r.dist_mm
+    assert graph.route_edges(paths, edges, paths.selectExpr("region_id", "origin", "node_id as target")).where("not ok").count() == 0
+    assert graph.bounded_paths(edges, starts.limit(0)).count() == 0
