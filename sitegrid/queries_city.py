@@ -230,7 +230,7 @@ def g6(spark, d):
 def g7(spark, d):
     c = City(spark, d)
     at = c.nodes().select("node_id", F.struct("lon", "lat").alias("p"))
-    edges = c.edges().join(at.withColumnsRenamed({"node_id": "src", "p": "a"}), "src").join(at.withColumnsRenamed({"node_id": "dst", "p": "b"}), "dst").withColumn("coordinates", F.array("a", "b"))
+    edges = c.near_edges().join(at.withColumnsRenamed({"node_id": "src", "p": "a"}), "src").join(at.withColumnsRenamed({"node_id": "dst", "p": "b"}), "dst").withColumn("coordinates", F.array("a", "b"))
     cells = c.cells().join(c.nodes().select("node_id", "lon", "lat"), "node_id").withColumns({"lon": F.col("lon") + 1e-5})
     return graph.route_geometry(_routes(spark, d), cells, c.nodes(), edges).select("cell_id", "locker_id", F.size("line").alias("points"), F.to_json("line").alias("line"))
 
