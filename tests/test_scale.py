@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sitegrid import registry
 from sitegrid.functions import staging
 from sitegrid.operators import graph, spatial
+from sitegrid.plans import whatif
 from sitegrid.sources import tables
 
 
@@ -60,3 +61,26 @@ def test_paths_take_edges_within_the_budget(spark, monkeypatch):
             assert (src, dst) == (r.pred_src, node) and got[origin, src].dist_mm + length == r.dist_mm
     assert graph.route_edges(paths, edges, paths.selectExpr("region_id", "origin", "node_id as target")).where("not ok").count() == 0
     assert graph.bounded_paths(edges, starts.limit(0)).count() == 0
+
+
+def test_search_tries_first_pairs_first_and_equal_pairs_once(spark, monkeypatch):
+    """Equal pairs of requests are tried once; a request whose first pair holds tries no other."""
+    tried, make = [], spark.createDataFrame
+    real = whatif.supplier_assignments
+
+    def counted(states, *rest):
+        tried.append(states.count())
+        return real(states, *rest)
+
+    monkeypatch.setattr(whatif, "supplier_assignments", counted)
+    cells = make([(0, c, 2) for c in (0, 1)], "region_id long, cell_id long, parcels long")
+    sites = make([(0, s, s) for s in (0, 1, 2)], "region_id long, site_id long, ord int")
+    walks = make([(0, c, s, 1) for c in (0, 1) for s in (0, 1, 2)], "region_id long, cell_id long, locker_id long, distance_mm long")
+    flights = make([(0, s, d, 1) for s in (0, 1, 2) for d in (0, 1, 2)], "region_id long, locker_id long, depot_id long, return_mm long")
+    request = "region_id long, request_id long, max_lockers int, max_depots int, locker_capacity int, depot_capacity int, flight_limit_mm int, outage_tolerance int, fixed_lockers array<long>, fixed_depots array<long>, timeout_ms int"
+    asked = make([(0, r, 1, 1, 4, 4 + r % 2, 10, 0, None, None, 1000) for r in range(6)], request)
+    results = whatif.search_requests(cells, sites, sites, walks, flights, asked).results
+    assert {(r.status, r.l_ordinal) for r in results.collect()} == {("feasible", 0)}
+    assert len(tried) == 1 and tried[0] <= 2
+    joined = staging.dealt(spark.range(3), "small").join(staging.dealt(spark.range(3), "small"), "id")
+    assert "Broadcast" not in plan(joined)
