@@ -128,7 +128,7 @@ def catchments(cells: DataFrame, edges: DataFrame, limit_mm: int) -> DataFrame:
     starts = cells.groupBy(KEY, "node_id").agg((F.lit(limit_mm) - F.min("connector_mm")).cast("long").alias("budget_mm"))
     paths = bounded_paths(edges, starts.withColumn("origin", F.col("node_id")))
     own = cells.select(KEY, F.col("node_id").alias("origin"), "cell_id", "connector_mm")
-    out = paths.join(own, [KEY, "origin"]).select(KEY, "node_id", "cell_id", (F.col("dist_mm") + F.col("connector_mm")).alias("distance_mm"))
+    out = paths.join(own.hint("merge"), [KEY, "origin"]).select(KEY, "node_id", "cell_id", (F.col("dist_mm") + F.col("connector_mm")).alias("distance_mm"))
     return out.where(F.col("distance_mm") <= limit_mm)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
 from ..functions.scalars import letters
-from ..functions.staging import staged
+from ..functions.staging import dealt as staged
 
 KEY = "region_id"
 
@@ -60,11 +60,12 @@ def greedy_shortlist(reach: DataFrame, nodes: DataFrame, cells: DataFrame, need:
     minima, by shared cell and by spacing neighbourhood; node pairs are never formed.
     """
     counts = staged(cells.select(KEY, "cell_id").distinct().withColumn("have", F.lit(0).cast("long")), "greedy-have")
-    alive = staged(reach.join(nodes.select(KEY, "node_id", "x_mm", "y_mm"), [KEY, "node_id"]), "greedy-alive")
+    nodes = staged(nodes.select(KEY, "node_id", "x_mm", "y_mm"), "greedy-nodes")
+    alive = staged(reach.join(nodes, [KEY, "node_id"]), "greedy-alive")
     steps = None
     while True:
         key = F.struct("loss", "worst", "node_id")
-        scores = staged(_scores(alive, counts, need).join(nodes.select(KEY, "node_id", "x_mm", "y_mm"), [KEY, "node_id"]).withColumn("key", key), "greedy-score")
+        scores = staged(_scores(alive, counts, need).join(nodes, [KEY, "node_id"]).withColumn("key", key), "greedy-score")
         if scores.isEmpty():
             break
         # a picked node raises the count of every cell it reaches, so all shared cells conflict

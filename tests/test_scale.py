@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sitegrid import registry
 from sitegrid.functions import staging
-from sitegrid.operators import graph, spatial
+from sitegrid.operators import graph, shortlist, spatial
 from sitegrid.plans import whatif
 from sitegrid.sources import tables
 
@@ -84,3 +84,19 @@ def test_search_tries_first_pairs_first_and_equal_pairs_once(spark, monkeypatch)
     assert len(tried) == 1 and tried[0] <= 2
     joined = staging.dealt(spark.range(3), "small").join(staging.dealt(spark.range(3), "small"), "id")
     assert "Broadcast" not in plan(joined)
+
+
+def test_shortlist_rounds_broadcast_no_nodes(spark, monkeypatch):
+    """The nodes of a region, however small their file, do not go through the driver in each round."""
+    plans = {}
+
+    def seen(df, label):
+        plans.setdefault(label, []).append(plan(df))
+        return staging.dealt(df, label)
+
+    monkeypatch.setattr(shortlist, "staged", seen)
+    nodes = spark.range(12).selectExpr("0L as region_id", "id as node_id", "id * 10 as x_mm", "0L as y_mm")
+    reach = spark.range(24).selectExpr("0L as region_id", "id % 12 as node_id", "id % 5 as cell_id", "id as distance_mm").dropDuplicates(["node_id", "cell_id"])
+    steps, status = shortlist.greedy_shortlist(reach, nodes, spark.range(5).selectExpr("0L as region_id", "id as cell_id"), 1, 15)
+    assert steps.count() >= 3 and status.first().complete
+    assert len(plans["greedy-score"]) >= 2 and not any("Broadcast" in p for p in (*plans["greedy-score"], *plans["greedy-alive"][:1]))
