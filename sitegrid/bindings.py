@@ -114,8 +114,12 @@ class Plans(City):
         o = o.join(ranked, ["cell_id", "_r"], "left")
         return o.select(F.lit(0).alias(KEY), "plan_id", "pos", "cell_id", F.coalesce("_l", F.col("pos") % self.table("supplier").count()).alias("locker_id"))
 
+    def kept(self, name: str) -> DataFrame:
+        """A table of the plans, staged once: the others are derived from it as it lies, not from its orders and walks again."""
+        return once(self.spark, self.dir, name, getattr(self, name))
+
     def plan_sites(self) -> DataFrame:
-        used = self.plan_cells().select("plan_id", F.col("locker_id").alias("site_id")).distinct().where("(site_id + plan_id) % 11 <> 0")
+        used = self.kept("plan_cells").select("plan_id", F.col("locker_id").alias("site_id")).distinct().where("(site_id + plan_id) % 11 <> 0")
         lockers = used.select("plan_id", F.lit("locker").alias("kind"), F.col("site_id").alias("pos"), "site_id")
         again = lockers.where("(site_id + plan_id) % 29 = 3").withColumn("pos", F.col("pos") + 1_000_000)
         plans = F.sequence(F.lit(0).cast("long"), F.lit(self.count() - 1).cast("long"))
@@ -125,13 +129,13 @@ class Plans(City):
         return lockers.unionByName(again).unionByName(depots).unionByName(odd).withColumn(KEY, F.lit(0))
 
     def plan_outages(self) -> DataFrame:
-        d = self.plan_sites().where("kind = 'depot' and ((plan_id % 2 = 1 and (plan_id + site_id) % 13 <> 0) or (plan_id % 9 = 4 and plan_id % 2 = 0 and site_id < 5))")
+        d = self.kept("plan_sites").where("kind = 'depot' and ((plan_id % 2 = 1 and (plan_id + site_id) % 13 <> 0) or (plan_id % 9 = 4 and plan_id % 2 = 0 and site_id < 5))")
         extra = d.where("plan_id % 14 = 9").withColumn("site_id", F.when(F.col("site_id") % 2 == 0, F.col("site_id")).otherwise(F.col("site_id") + 1))
         return d.unionByName(extra).select(KEY, "plan_id", "pos", F.col("site_id").alias("depot_id"))
 
     def plan_supply(self) -> DataFrame:
-        d = self.plan_sites().where("kind = 'depot' and site_id < 1000").groupBy("plan_id").agg(F.sort_array(F.collect_set("site_id")).alias("ds"))
-        rows = self.plan_sites().where("kind = 'locker'").select("plan_id", F.col("pos").alias("_pos"), F.col("site_id").alias("locker_id")).join(d, "plan_id")
+        d = self.kept("plan_sites").where("kind = 'depot' and site_id < 1000").groupBy("plan_id").agg(F.sort_array(F.collect_set("site_id")).alias("ds"))
+        rows = self.kept("plan_sites").where("kind = 'locker'").select("plan_id", F.col("pos").alias("_pos"), F.col("site_id").alias("locker_id")).join(d, "plan_id")
         scopes = F.when(F.col("plan_id") % 2 == 1, F.sequence(F.lit(0), F.size("ds"))).otherwise(F.array(F.lit(0)))
         rows = rows.withColumn("k", F.explode(scopes)).where("(locker_id + plan_id * 3 + k) % 97 <> 0")
         j = (F.col("locker_id") + F.col("plan_id")) % F.size("ds")
@@ -141,7 +145,7 @@ class Plans(City):
 
     def requests(self) -> DataFrame:
         p = F.col("plan_id")
-        chosen = self.plan_sites().where("kind = 'locker'").groupBy("plan_id").agg(F.sort_array(F.collect_set("site_id")).alias("ls"))
+        chosen = self.kept("plan_sites").where("kind = 'locker'").groupBy("plan_id").agg(F.sort_array(F.collect_set("site_id")).alias("ls"))
         out = self.spark.range(self.count()).withColumnRenamed("id", "plan_id").join(chosen, "plan_id", "left")
         few = F.slice("ls", F.lit(2), F.greatest(F.size("ls") - 1, F.lit(1)))
         return out.select(
@@ -161,11 +165,8 @@ class Plans(City):
     def audit(self):
         from .plans.verify import Audit
 
-        keep = lambda name, make: once(self.spark, self.dir, name, make)
-        return Audit(
-            self.cells(), self.lockers(), self.depots(), self.measured_walks(), keep("requests", self.requests), keep("plan_sites", self.plan_sites),
-            keep("plan_cells", self.plan_cells), keep("plan_supply", self.plan_supply), keep("plan_outages", self.plan_outages), WALK_MM,
-        )
+        names = ("requests", "plan_sites", "plan_cells", "plan_supply", "plan_outages")
+        return Audit(self.cells(), self.lockers(), self.depots(), self.measured_walks(), *map(self.kept, names), WALK_MM)
 
 
 class Blocks(City):

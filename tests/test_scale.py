@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from sitegrid import registry
+from sitegrid import bindings, registry
 from sitegrid.functions import staging
 from sitegrid.operators import graph, shortlist, spatial
 from sitegrid.plans import whatif
@@ -100,3 +100,13 @@ def test_shortlist_rounds_broadcast_no_nodes(spark, monkeypatch):
     steps, status = shortlist.greedy_shortlist(reach, nodes, spark.range(5).selectExpr("0L as region_id", "id as cell_id"), 1, 15)
     assert steps.count() >= 3 and status.first().complete
     assert len(plans["greedy-score"]) >= 2 and not any("Broadcast" in p for p in (*plans["greedy-score"], *plans["greedy-alive"][:1]))
+
+
+def test_plan_tables_are_derived_once(spark, sf_dir, monkeypatch):
+    """The tables of the plans are made from each other as they lie; none goes back to the orders and walks again."""
+    made, real = [], {name: getattr(bindings.Plans, name) for name in ("plan_cells", "plan_sites")}
+    monkeypatch.setattr(bindings, "_kept", {k: v for k, v in bindings._kept.items() if k[2] in ("near-edges", "reach", "walks")})
+    for name, make in real.items():
+        monkeypatch.setattr(bindings.Plans, name, lambda self, name=name, make=make: (made.append(name), make(self))[1])
+    bindings.Plans(spark, sf_dir).audit()
+    assert sorted(made) == ["plan_cells", "plan_sites"]
