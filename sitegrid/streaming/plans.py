@@ -5,7 +5,8 @@ assignment, a supply or an outage. Pieces come in any order and over any number
 of a plan holds the pieces that have come; when there are as many as announced, the plan leaves
 the state whole, and what is left is a mark that it is done. A plan that is not whole when the
 watermark passes its first piece by the waiting time leaves as ``incomplete``, without its pieces.
-A plan is one key: its own pieces, and no more, pass one task.
+A plan is one key: its own pieces, and no more, pass one task. They are kept as they come, a chunk of
+columns for each of the batches in which Spark hands them over, so the store is asked once a chunk and not once a piece.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -28,9 +30,14 @@ TABLES = {
     "plan_supply": ("supply", {"pos": "pos", "outage_depot": "outage_depot", "locker_id": "x", "depot_id": "y"}),
     "plan_outages": ("outage", {"pos": "pos", "depot_id": "x"}),
 }
+NAMES = [c.split()[0] for c in BODY.split(", ")]
 _KINDS = {"pos": "bigint", "site_kind": "string", "x": "bigint", "y": "bigint", "outage_depot": "bigint", "n": "bigint"}
 
 
+#: The columns of a chunk of pieces.
+CHUNK = pa.schema([(c, pa.string() if kind == "string" else pa.int64()) for c, kind in (x.split() for x in BODY.split(", "))])
+
+
 def pieces(requests: DataFrame, **tables: DataFrame) -> DataFrame:
     """The pieces of plans: one announcement for each of ``requests(region_id, plan_id)``, and all rows of the plan tables."""
     parts = []
@@ -56,24 +63,27 @@ class Assembly(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("pieces", BODY)
+        self.held = handle.getListState("pieces", "chunk binary")
         self.progress = handle.getValueState("progress", "announced bigint, here bigint, done boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        announced, here, done = self.progress.get() if self.progress.exists() else (-1, 0, False)
-        if not self.progress.exists():
-            rows = list(rows)
-            self.handle.registerTimer(int(min(b["ts"].min().value for b in rows) // 1_000_000) + self.wait_ms)
+        new, first = not self.progress.exists(), []
+        announced, here, done = (-1, 0, False) if new else self.progress.get()
         for batch in rows:
+            if new:
+                first.append(batch["ts"].min().value)
             if done:
                 continue
-            for r in batch[[c.split()[0] for c in BODY.split(", ")]].astype(object).itertuples(index=False):
-                row = tuple(None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in r)
-                if row[0] == "announced":
-                    announced = row[-1]
-                else:
-                    self.held.appendValue(row)
-                    here += 1
+            told = batch["kind"] == "announced"
+            if told.any():
+                n = batch.loc[told, "n"].iloc[-1]
+                announced = None if pd.isna(n) else int(n)
+            own = batch.loc[~told, NAMES]
+            if len(own):
+                self.held.appendValue((pa.RecordBatch.from_pandas(own, CHUNK, preserve_index=False).serialize().to_pybytes(),))
+                here += len(own)
+        if new:
+            self.handle.registerTimer(int(min(first) // 1_000_000) + self.wait_ms)
         if not done and announced == here:
             done = True
             yield from self._whole(key)
@@ -81,9 +91,9 @@ class Assembly(StatefulProcessor):
         self.progress.update((announced, here, done))
 
     def _whole(self, key) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in BODY.split(", ")]
-        found = pd.DataFrame([*self.held.get(), ("whole", *[None] * (len(names) - 1))], columns=names)
-        yield self._named(key, found)
+        for (chunk,) in self.held.get():
+            yield self._named(key, pa.ipc.read_record_batch(pa.py_buffer(chunk), CHUNK).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get))
+        yield self._named(key, pd.DataFrame([("whole", *[None] * (len(NAMES) - 1))], columns=NAMES))
 
     def _named(self, key, found: pd.DataFrame) -> pd.DataFrame:
         found.insert(0, "region_id", key[0])
@@ -95,8 +105,7 @@ class Assembly(StatefulProcessor):
         self.held.clear()
         self.progress.clear()
         if not done:
-            names = [c.split()[0] for c in BODY.split(", ")]
-            yield self._named(key, pd.DataFrame([("incomplete", *[None] * (len(names) - 1))], columns=names))
+            yield self._named(key, pd.DataFrame([("incomplete", *[None] * (len(NAMES) - 1))], columns=NAMES))
 
     def close(self) -> None:
         pass

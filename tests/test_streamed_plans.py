@@ -1,7 +1,9 @@
 """Plans that arrive in pieces: whole once, over any batches, or flagged in time."""
 
 from collections import Counter
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sitegrid.queries_io import _rocks
@@ -55,3 +57,41 @@ def test_pieces_hold_the_tables(spark):
     back = streams.plan_tables(rows)
     for name, t in tables.items():
         assert sorted(map(tuple, back[name].select(*t.columns).collect()), key=repr) == sorted(map(tuple, t.collect()), key=repr)
+
+
+class Held:
+    """State without a store, and how often it is written to."""
+
+    def __init__(self):
+        self.values, self.writes = [], 0
+        self.exists, self.get = lambda: bool(self.values), lambda: self.values
+
+    def appendValue(self, value):
+        self.values, self.writes = [*self.values, value], self.writes + 1
+
+    def clear(self):
+        self.values = []
+
+
+class Progress(Held):
+    def update(self, value):
+        self.values, self.get = [value], lambda: value
+
+
+def test_pieces_are_kept_by_the_chunk():
+    """The store of a plan is written to once for a batch of pieces, whatever their number, and gives them back as they came."""
+    held, progress, timers = Held(), Progress(), []
+    handle = SimpleNamespace(getListState=lambda *_: held, getValueState=lambda *_: progress, registerTimer=timers.append)
+    machine = streams.Assembly(60_000)
+    machine.init(handle)
+    at = pd.Timestamp("2023-11-14 22:13:20")
+    rows = [("cell", i, None, 2**40 + i, 3, None if i % 2 else i, None, at) for i in range(500)]
+    batch = lambda rows: pd.DataFrame(rows, columns=[*streams.NAMES, "ts"])
+    assert not list(machine.handleInputRows((0, 1), iter([batch(rows[:200])]), None)) and held.writes == 1 and timers == [1_700_000_060_000]
+    announced = ("announced", None, None, None, None, None, 500, at)
+    out = pd.concat(list(machine.handleInputRows((0, 1), iter([batch([*rows[200:], announced])]), None)))
+    assert held.writes == 2 and not held.values and len(timers) == 1
+    got = [tuple(None if pd.isna(v) else v for v in r) for r in out[out.kind != "whole"][streams.NAMES].itertuples(index=False)]
+    assert got == [r[:-1] for r in rows] and list(out.kind).count("whole") == 1
+    # what comes after is dropped
+    assert not list(machine.handleInputRows((0, 1), iter([batch(rows[:1])]), None)) and not held.values
