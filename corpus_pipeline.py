@@ -21,10 +21,20 @@ from sitegrid.llm.queries import TOKENIZER
 
 #: Near copies of the pipeline; op8's contract has its own, stricter values.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Rows that Spark hands to Python at a time, at most: whole texts, so few of them.
+HANDED = 1_000
+
+
+def _handed(spark: SparkSession) -> None:
+    """Bounds the batches of texts that go to Python, where the session allows larger ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= HANDED:
+        spark.conf.set(key, HANDED)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no learned language go: those without letters, and those far from every profile."""
+    _handed(spark)
     return langid.recognised(docs, langid.trained(docs))
 
 
@@ -35,6 +45,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles, the one with the smallest doc_id stays."""
+    _handed(spark)
     return jaccard.one_of_each(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
@@ -45,6 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the texts and of what they decode to."""
+    _handed(spark)
     return bpe.digests(bpe.round_trip(docs, TOKENIZER, keep=["doc_id"]))
 
 

@@ -144,14 +144,16 @@ def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, s
     shared = docs.sparkSession.sparkContext.broadcast(model)  # PROFILE codes a language
     keep = [c for c in keep if c.lower() not in {n.lower() for n in names}]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{names[0]} string", f"{names[1]} double"])
-    at = len(keep)
+    # a text that is kept is sent once
+    at = keep.index("text") if "text" in keep else len(keep)
+    sent = [F.col(f"`{c}`") for c in keep] + ([] if at < len(keep) else [F.col("text").alias("__text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [shared.value.predict(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(at)], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], [*keep, *names])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def held_out() -> Column:

@@ -92,11 +92,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
     # of all documents one at most is cut
     sums = taken.groupBy("doc_id", "source", "_text").agg(F.sum(full).alias("_full"), F.sum(rest).alias("_rest"), F.max("size").alias("_size"), F.count(F.lit(1)).alias("_n"))
-    changed = sums.where("_full <> _n or _rest > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_text", "_full", "_rest", "_size", "_n", hashed("doc_id", "source", "_text").alias("_h"))
-    changed = written(changed, "mix-changed")
+    changed = sums.where("_full <> _n or _rest > 0").select(F.struct(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_text", "_full", "_rest", "_size", "_n").alias("c"), hashed("doc_id", "source", "_text").alias("_h"))
+    # one row a hash, so that texts are dealt out once, by the hash alone; a row finds its own among those that share it
+    changed = written(changed.groupBy("_h").agg(F.collect_list("c").alias("_c")), "mix-changed")
     rows = docs.withColumn("__h", hashed("doc_id", "source", text))
-    same = (F.col("__h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    met = rows.join(changed, same, "left")
+    own = lambda c: c["_id"].eqNullSafe(F.col("doc_id")) & c["_source"].eqNullSafe(F.col("source")) & (c["_text"] == text)
+    met = rows.join(changed, F.col("__h") == F.col("_h"), "left").withColumn("__c", F.get(F.filter("_c", own), F.lit(0)))
+    met = met.select(*[F.col(f"`{c}`") for c in docs.columns], "__h", *[F.col(f"__c.{c}").alias(c) for c in ("_full", "_rest", "_n")])
     # equal documents: the first ones repeat once more, the first is the one that is cut
     own = [F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])]
     nth = F.row_number().over(Window.partitionBy("__h", "doc_id", "source").orderBy(*own))

@@ -133,3 +133,22 @@ def test_pipeline_is_its_stages_by_hand(spark, sf_dir, tmp_path):
         want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
     got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert Counter(map(tuple, got.collect())) == want
+
+
+def test_mixing_deals_texts_out_once(spark, tmp_path):
+    """Documents meet what is taken of them by one shuffle of the texts; rows that share identifiers get their own repeats."""
+    from sitegrid.llm import mixing
+
+    rows = [(i // 2 if i % 5 else None, " ".join(["w"] * (1 + i % 4)), ("a", "b", "c", None)[i % 4]) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs, key = spark.read.parquet(str(tmp_path / "d")), "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        out = mixing.mixed_documents(docs)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+        got = out.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()
+    finally:
+        spark.conf.set(key, before)
+    want = {r.source: r.n for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    assert {r.source: r.n for r in got} == {k: v for k, v in want.items() if v}
