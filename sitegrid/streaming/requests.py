@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,13 +107,18 @@ class Client:
 
 
 def _rows(key: Any, found: list[tuple[int, int, int, str]]) -> pd.DataFrame:
-    return pd.DataFrame({"client_id": [key] * len(found), "ts": pd.to_datetime([f[0] for f in found], unit="ms"), "generation": [f[1] for f in found], "request_id": [f[2] for f in found], "transition": [f[3] for f in found]})
+    at, generation, request, what = zip(*found, strict=True)
+    return pd.DataFrame({"client_id": np.full(len(at), key), "ts": np.array(at, "datetime64[ms]").astype("datetime64[ns]"), "generation": np.array(generation), "request_id": np.array(request), "transition": list(what)})
 
 
-def _apply(client: Client, rows: pd.DataFrame) -> list[tuple[int, int, int, str]]:
+def _apply(client: Client, batches: list[pd.DataFrame]) -> list[tuple[int, int, int, str]]:
+    column = lambda name: np.concatenate([b[name].to_numpy() for b in batches])
+    ts, number = column("ts"), column("event_id")
+    order = np.lexsort((number, ts))
+    values = [c[order].tolist() for c in (ts.astype("datetime64[ms]").astype(np.int64), *map(column, ("generation", "request_id", "type", "timeout_ms")))]
     out: list = []
-    for r in rows.sort_values(["ts", "event_id"]).itertuples(index=False):
-        out += client.take(r.ts.value // 1_000_000, int(r.generation), int(r.request_id), r.type, int(r.timeout_ms))
+    for at, generation, request, kind, timeout in zip(*values, strict=True):
+        out += client.take(at, int(generation), int(request), kind, int(timeout))
     return out
 
 
@@ -123,27 +129,34 @@ class Lifecycle(StatefulProcessor):
         self.handle = handle
         self.kept = handle.getValueState("client", "generation bigint, ready boolean, request bigint, deadline bigint, heard bigint")
 
-    def _load(self) -> Client:
-        return Client(*self.kept.get()) if self.kept.exists() else Client()
-
-    def _save(self, client: Client) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if client.deadline >= 0:
-            self.handle.registerTimer(client.deadline)
+    def _load(self) -> tuple[Client, tuple | None]:
+        before = self.kept.get()
+        return Client(*(before or ())), before
+
+    def _save(self, client: Client, before: tuple | None, expired: int | None = None) -> None:
+        """Only what changed is asked of the store. A client's one timer is its deadline."""
+        if before is not None and tuple(before) == client.state():
+            return
+        was = -1 if before is None else before[3]
+        if was != client.deadline:
+            if was >= 0 and was != expired:
+                self.handle.deleteTimer(was)
+            if client.deadline >= 0:
+                self.handle.registerTimer(client.deadline)
         self.kept.update(client.state())
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        client = self._load()
-        found = _apply(client, pd.concat(list(rows)))
-        self._save(client)
+        client, before = self._load()
+        found = _apply(client, list(rows))
+        self._save(client, before)
         if found:
             yield _rows(key[0], found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        client = self._load()
-        found = client.expire(expiredTimerInfo.getExpiryTimeInMs())
-        self._save(client)
+        client, before = self._load()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        found = client.expire(now)
+        self._save(client, before, now)
         if found:
             yield _rows(key[0], found)
 

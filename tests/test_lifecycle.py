@@ -2,12 +2,14 @@
 
 import datetime
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sitegrid.functions.numbering import running
 from sitegrid.streaming.lifecycle import lifecycle_table
-from sitegrid.streaming.requests import Client
+from sitegrid.streaming.requests import Client, Lifecycle
 
 SCHEMA = "client_id bigint, ts timestamp, event_id bigint, generation bigint, request_id bigint, type string, timeout_ms bigint, at string, last int"
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
@@ -80,3 +82,25 @@ def test_one_client_is_spread_over_tasks(spark):
     rows = out.where("k = 0").orderBy("v").collect()
     assert [r.n for r in rows] == list(range(1, 4001)) and [r.low for r in rows] == [-v for v in range(4000)]
     assert [r.top for r in rows] == [min(v, 999) for v in range(4000)]
+
+
+def test_clients_ask_the_store_for_what_changed():
+    """A batch reads a client's state once, and touches timers only where the deadline moves."""
+    said, state, timers = [], [None], set()
+    kept = SimpleNamespace(exists=lambda: said.append("exists") or state[0] is not None, get=lambda: said.append("get") or state[0], update=lambda v: (said.append("update"), state.__setitem__(0, v)))
+    handle = SimpleNamespace(getValueState=lambda *_: kept, listTimers=lambda: said.append("list") or list(timers), deleteTimer=lambda at: (said.append("delete"), timers.remove(at)), registerTimer=lambda at: (said.append("register"), timers.add(at)))
+    machine = Lifecycle()
+    machine.init(handle)
+
+    def told(*rows):
+        said.clear()
+        batch = pd.DataFrame([(pd.Timestamp(s, unit="s"), n, 1, 5, kind, 60_000) for s, n, kind in rows], columns=["ts", "event_id", "generation", "request_id", "type", "timeout_ms"])
+        out = list(machine.handleInputRows((7,), iter([batch.iloc[:1], batch.iloc[1:]] if len(batch) > 1 else [batch]), None))
+        return [(r.ts.value // 10**9, r.transition) for x in out for r in x.itertuples()]
+
+    assert told((20, 2, "solve"), (10, 1, "ready")) == [(10, "ready"), (20, "solving")] and said == ["get", "register", "update"] and timers == {85_000}
+    assert told((30, 3, "progress")) == [(30, "progress")] and said == ["get"]
+    assert told((40, 4, "result")) == [(40, "finished")] and said == ["get", "delete", "update"] and not timers
+    assert told((50, 5, "solve")) == [(50, "solving")] and timers == {115_000}
+    out = list(machine.handleExpiredTimer((7,), None, SimpleNamespace(getExpiryTimeInMs=lambda: 115_000)))
+    assert [r.transition for x in out for r in x.itertuples()] == ["timeout"] and state[0][3] == -1
