@@ -67,9 +67,16 @@ def verify_sources(spark: SparkSession, path: str, manifest: DataFrame) -> DataF
 
 
 def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table as Parquet, partitioned by region."""
+    """Each table as Parquet, partitioned by region.
+
+    A region costs a file, however few its rows, so the tasks are as many as the session shuffles into and not as few
+    as the bytes need. Rows are dealt out by ranges of regions, and of their hashes within one: a small region is one file
+    (two where a range ends), and a region with all the rows is written by all tasks.
+    """
     for name, df in tables.items():
-        df.write.partitionBy("region_id").mode("overwrite").parquet(f"{path}/{name}")
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        row = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+        df.repartitionByRange(parts, "region_id", row).write.partitionBy("region_id").mode("overwrite").parquet(f"{path}/{name}")
 
 
 def fingerprint(df: DataFrame, prefix: str = "parcel-") -> DataFrame:

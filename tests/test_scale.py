@@ -110,3 +110,15 @@ def test_plan_tables_are_derived_once(spark, sf_dir, monkeypatch):
         monkeypatch.setattr(bindings.Plans, name, lambda self, name=name, make=make: (made.append(name), make(self))[1])
     bindings.Plans(spark, sf_dir).audit()
     assert sorted(made) == ["plan_cells", "plan_sites"]
+
+
+def test_snapshot_is_written_by_many_tasks(spark, tmp_path):
+    """However few bytes they are, many regions are dealt out to tasks, a small one as a whole; so is a region with all the rows."""
+    many = spark.range(400, numPartitions=1).selectExpr("id % 40 as region_id", "id", "array(id) as l")
+    tables.write_snapshot({"many": many, "one": many.withColumn("region_id", F.lit(0))}, str(tmp_path))
+    files = {t: [f.relative_to(tmp_path) for f in (tmp_path / t).rglob("part-*.parquet")] for t in ("many", "one")}
+    tasks = {t: {f.name.split("-")[1] for f in fs} for t, fs in files.items()}
+    assert len(tasks["many"]) > 4 and len(tasks["one"]) > 4
+    assert {f.parts[1] for f in files["many"]} == {f"region_id={k}" for k in range(40)} and len(files["many"]) < 40 + 8
+    for t in files:
+        assert sorted(r.id for r in spark.read.parquet(str(tmp_path / t)).collect()) == list(range(400))
