@@ -82,16 +82,16 @@ def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
 def fingerprint(df: DataFrame, prefix: str = "parcel-") -> DataFrame:
     """(snapshot_id, rows): a content address that depends on neither row nor column order.
 
-    Rows are hashed, hashes are put into a fixed number of buckets and each bucket's hash
-    counts are hashed in order, then the buckets are: repeated rows count, and equal rows
-    fold before the shuffle, so a bucket gathers distinct hashes only.
+    Rows are hashed and hashes put into a fixed number of buckets; a bucket's content is sums of eight 48-bit numbers
+    drawn from each row's SHA-256, as whole numbers, so repeated rows count. Tasks add up their own rows: only sums of
+    buckets travel, no hash of a row does. The buckets' sums are hashed in order.
     """
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
-    counted = df.select(row.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    # the sum of 48-bit slices of salted hashes stands for a bucket's content in a fixed size
-    slices = [F.sum(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(i)), "h", "n"), 256), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(8)]
-    bucket = F.pmod(F.xxhash64("h"), F.lit(FINGERPRINT_BUCKETS))
-    buckets = counted.groupBy(bucket.alias("b")).agg(F.sha2(F.concat_ws(",", *slices), 256).alias("s"), F.sum("n").alias("n"))
+    drawn = [F.xxhash64(F.lit(i), "h").alias(f"d{i}") for i in range(8)]
+    rows = df.select(row.alias("h")).select(F.pmod(F.xxhash64("h"), F.lit(FINGERPRINT_BUCKETS)).alias("b"), *drawn)
+    # a number is added up in halves of 24 bits, which 2^39 rows of one bucket do not overflow
+    halves = [F.sum(F.shiftright(f"d{i}", by).bitwiseAND(F.lit((1 << 24) - 1))).cast("string") for i in range(8) for by in (40, 16)]
+    buckets = rows.groupBy("b").agg(F.sha2(F.concat_ws(",", *halves), 256).alias("s"), F.count(F.lit(1)).alias("n"))
     whole = buckets.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "s"))), lambda x: x["s"]), ","), 256).alias("s"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
     return whole.select(F.concat(F.lit(prefix), F.substring("s", 1, 24)).alias("snapshot_id"), "rows")
 

@@ -122,3 +122,14 @@ def test_snapshot_is_written_by_many_tasks(spark, tmp_path):
     assert {f.parts[1] for f in files["many"]} == {f"region_id={k}" for k in range(40)} and len(files["many"]) < 40 + 8
     for t in files:
         assert sorted(r.id for r in spark.read.parquet(str(tmp_path / t)).collect()) == list(range(400))
+
+
+def test_fingerprint_moves_sums_only(spark):
+    """No hash of a row travels, and the address knows how often a row is there."""
+    rows = spark.range(300).selectExpr("id % 90 as a", "if(id % 7 = 0, null, 'x' || id % 90) as b", "array(id % 3) as c")
+    address = lambda df: tuple(tables.fingerprint(df).first())
+    assert "hashpartitioning(h#" not in plan(tables.fingerprint(rows)) and "hashpartitioning(b#" in plan(tables.fingerprint(rows))
+    own = address(rows)
+    assert own[1] == 300 and own == address(rows.select("c", "b", "a").repartition(5, "a"))
+    assert len({own[0], *[address(df)[0] for df in (rows.unionByName(rows), rows.unionByName(rows.limit(1)), rows.distinct(), rows.fillna("x", "b"), rows.withColumnsRenamed({"a": "d"}), rows.limit(0))]}) == 7
+    assert address(rows.limit(0))[1] == 0
