@@ -87,9 +87,11 @@ def _unrank(n: Column, k: Column, ordinal: Column) -> Column:
 
 
 def _expand(df: DataFrame, size: Column) -> DataFrame:
-    """A row for each ordinal 0 .. size-1, exploded in two steps so that no array is long."""
+    """A row for each ordinal 0 .. size-1, exploded in two steps so that no array is long. In between rows are dealt out to as
+    many tasks as the session shuffles into: their bytes are few and say nothing of the work that follows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / CHUNK))
-    out = df.withColumn("_n", size).where("_n > 0").withColumn("_c", F.explode(chunks))
+    out = df.withColumn("_n", size).where("_n > 0").withColumn("_c", F.explode(chunks)).repartition(parts)
     last = F.least(F.col("_n"), (F.col("_c") + 1) * CHUNK) - 1
     return out.withColumn("ordinal", F.explode(F.sequence(F.col("_c") * CHUNK, last))).drop("_n", "_c")
 
@@ -156,15 +158,16 @@ def depot_reach(requests: DataFrame, depots: DataFrame, flights: DataFrame) -> D
     return found.select(*REQ, "locker_id", _mask(F.col("o"), F.col("words")).alias("m"))
 
 
-def screen_lockers(requests: DataFrame, cells: DataFrame, lockers: DataFrame, walks: DataFrame) -> DataFrame:
+def screen_lockers(requests: DataFrame, cells: DataFrame, lockers: DataFrame, walks: DataFrame, reach: search.Reach | None = None) -> DataFrame:
     """Locker selections with ``stage``: the first necessary condition that fails, or ``passes``.
 
-    Every selection is a row; which of them cover all cells is found level by level and joined."""
+    Every selection is a row, made once; which of them cover all cells is found level by level and joined."""
     rows = selections(requests, lockers, "locker").join(requests.select(*REQ, "locker_capacity"), REQ)
-    reach = search.Reach(cells, lockers, walks)
+    reach = reach or search.Reach(cells, lockers, walks)
     total = cells.groupBy("region_id").agg(F.sum("parcels").alias("total"))
     rows = rows.join(total, "region_id").withColumn("k", F.size("members")).join(site_lists(lockers), "region_id", "left")
     rows = rows.withColumn("places", F.sort_array(F.transform("members", lambda m: (F.array_position("ids", m) - 1).cast("int"))))
+    rows = staged(rows.drop("ids"), "screen-lockers")
     sizes = rows.where("k > 0").select("region_id", "k").distinct().join(reach.regions.select("region_id", "n"), "region_id")
     asks = sizes.select("region_id", "k", F.lit(0).cast("long").alias("lo"), choose(F.col("n"), F.col("k").cast("long")).alias("hi"))
     covers = search.covering_sets(reach, asks, idle=True).select("region_id", "places", F.lit(True).alias("covers"))
@@ -180,10 +183,10 @@ def screen_lockers(requests: DataFrame, cells: DataFrame, lockers: DataFrame, wa
     return rows.withColumn("stage", stage).select(*REQ, "ordinal", "members", "mask", "stage", "total")
 
 
-def screen(requests: DataFrame, cells: DataFrame, lockers: DataFrame, depots: DataFrame, walks: DataFrame, flights: DataFrame) -> DataFrame:
+def screen(requests: DataFrame, cells: DataFrame, lockers: DataFrame, depots: DataFrame, walks: DataFrame, flights: DataFrame, reach: search.Reach | None = None) -> DataFrame:
     """Pairs of a surviving locker selection and a depot selection, with ``stage``."""
     asked = staged(_spaces(terms(requests, lockers, depots), cells), "screen-terms")
-    left = _lockers_in(asked, search.Reach(cells, lockers, walks), 0, 2**63 - 1, lockers, cells, walks, None)
+    left = _lockers_in(asked, reach or search.Reach(cells, lockers, walks), 0, 2**63 - 1, lockers, cells, walks, None)
     return screen_pairs(left, asked, depots, flights)
 
 

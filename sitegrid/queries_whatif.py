@@ -9,6 +9,7 @@ from .functions.scalars import choose
 from .functions.staging import staged
 from .oracles import sql
 from .plans import reports, whatif
+from .plans.search import Reach
 from .registry import query
 
 LIST = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
@@ -174,8 +175,9 @@ def e12(spark, d):
 def e13(spark, d):
     b = Blocks(spark, d)
     cells, lockers, depots, walks, flights = b.world()
-    first = whatif.screen_lockers(b.requests(), cells, lockers, walks).withColumn("stage", F.concat(F.lit("lockers_"), "stage"))
-    return whatif.funnel(whatif.screen(b.requests(), *b.world())).unionByName(whatif.funnel(first))
+    reach = Reach(cells, lockers, walks)
+    first = whatif.screen_lockers(b.requests(), cells, lockers, walks, reach).withColumn("stage", F.concat(F.lit("lockers_"), "stage"))
+    return whatif.funnel(whatif.screen(b.requests(), *b.world(), reach)).unionByName(whatif.funnel(first))
 
 
 @query(

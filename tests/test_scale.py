@@ -133,3 +133,18 @@ def test_fingerprint_moves_sums_only(spark):
     assert own[1] == 300 and own == address(rows.select("c", "b", "a").repartition(5, "a"))
     assert len({own[0], *[address(df)[0] for df in (rows.unionByName(rows), rows.unionByName(rows.limit(1)), rows.distinct(), rows.fillna("x", "b"), rows.withColumnsRenamed({"a": "d"}), rows.limit(0))]}) == 7
     assert address(rows.limit(0))[1] == 0
+
+
+def test_screen_enumerates_selections_once_and_by_many_tasks(spark):
+    """What is screened is read where the selections were staged; few bytes of requests are many tasks' work."""
+    make = spark.createDataFrame
+    cells = make([(0, c, 2) for c in (0, 1)], "region_id long, cell_id long, parcels long")
+    sites = make([(0, s, s) for s in range(5)], "region_id long, site_id long, ord int")
+    walks = make([(0, c, s, 1) for c in (0, 1) for s in range(4)], "region_id long, cell_id long, locker_id long, distance_mm long")
+    asked = make([(0, r, 3, 2 + r, None) for r in range(9)], "region_id long, request_id long, max_lockers int, locker_capacity int, fixed_lockers array<long>")
+    tasks = whatif.selections(asked, sites, "locker").groupBy(F.spark_partition_id()).count()
+    assert tasks.count() > 4
+    screened = whatif.screen_lockers(asked, cells, sites, walks)
+    assert "Generate" not in plan(screened)
+    got = {(r.request_id, r.stage): r["count"] for r in screened.groupBy("request_id", "stage").count().collect()}
+    assert got[0, "locker_capacity"] == 6 and got[0, "passes"] == 10 and got[0, "idle_locker"] == 10 and sum(got.values()) == 9 * 26
