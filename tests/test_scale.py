@@ -1,6 +1,7 @@
 """Plans and whole jobs on tables that are larger, or laid out otherwise, than the given ones."""
 
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -148,3 +149,38 @@ def test_screen_enumerates_selections_once_and_by_many_tasks(spark):
     assert "Generate" not in plan(screened)
     got = {(r.request_id, r.stage): r["count"] for r in screened.groupBy("request_id", "stage").count().collect()}
     assert got[0, "locker_capacity"] == 6 and got[0, "passes"] == 10 and got[0, "idle_locker"] == 10 and sum(got.values()) == 9 * 26
+
+
+def _small_world(spark):
+    """cells, lockers, depots, walks, flights and requests of two small regions."""
+    make = spark.createDataFrame
+    cells = make([(r, c, 2) for r in (0, 1) for c in (0, 1)], "region_id long, cell_id long, parcels long")
+    sites = make([(r, s, s) for r in (0, 1) for s in (0, 1, 2)], "region_id long, site_id long, ord int")
+    walks = make([(r, c, s, 1) for r in (0, 1) for c in (0, 1) for s in (0, 1, 2)], "region_id long, cell_id long, locker_id long, distance_mm long")
+    flights = make([(r, s, d, 1) for r in (0, 1) for s in (0, 1, 2) for d in (0, 1, 2)], "region_id long, locker_id long, depot_id long, return_mm long")
+    request = "region_id long, request_id long, max_lockers int, max_depots int, locker_capacity int, depot_capacity int, flight_limit_mm int, outage_tolerance int, fixed_lockers array<long>, fixed_depots array<long>, timeout_ms int"
+    asked = make([(r, i, 1 + i % 2, 1 + i % 2, 2 + i, 4 + i, 10, i % 2, None, None, 1000) for r in (0, 1) for i in range(6)], request)
+    # as files: what a table of the session has is too large by its estimate
+    return [staging.staged(t, "small-world") for t in (cells, sites, sites, walks, flights, asked)]
+
+
+def _plans_of(monkeypatch, module):
+    """The plans of what ``module`` stages, by label."""
+    plans = {}
+
+    def seen(df, label):
+        plans.setdefault(label, []).append(plan(df))
+        return staging.dealt(df, label)
+
+    monkeypatch.setattr(module, "staged", seen)
+    return plans
+
+
+def test_blocking_rules_broadcast_no_rows_of_a_region(spark, monkeypatch):
+    """Selections of depots are many rows of few bytes: neither they nor the requests' rows go through the driver."""
+    plans, world = _plans_of(monkeypatch, whatif), _small_world(spark)
+    got = {tuple(r) for r in whatif.blocking_rules(*world[:5], world[5].where("request_id = 0")).collect()}
+    assert got == {(r, 0, rule) for r in (0, 1) for rule in ("locker_budget", "locker_capacity", "collection")}
+    # a row for each region, joined by the region alone, may
+    for label in ("relaxed", "sweep-kept", "cell-ranked", "supply-ranked", "sweep-results"):
+        assert plans[label] and not any(re.search(r"BroadcastHashJoin \[\w+#\d+L?, ", p) for p in plans[label]), label
