@@ -18,6 +18,11 @@ NETWORK = """region_id bigint,
   edges array<struct<edge_id: string, src: string, dst: string, length_mm: bigint, coordinates: array<struct<lon: double, lat: double>>>>,
   cells array<struct<cell_id: string, population: bigint, parcels: bigint, node_id: string, x_mm: bigint, y_mm: bigint, connector_mm: bigint>>"""
 FINGERPRINT_BUCKETS = 4096
+#: Bytes up to which a file is read as one row. Of a longer one lines are read, and of these pieces of so many bytes.
+WHOLE, PIECE = 16 << 20, 4096
+#: Names of files that readers of lines decompress; these are read as one row, whatever their size.
+_PACKED = r"\.(gz|gzip|bz2|deflate|lz4|snappy|zst|zstd)$"
+_BOM = b"\xef\xbb\xbf"
 #: Buckets of a comparison: the sums that travel.
 DIFF_BUCKETS = 1 << 14
 
@@ -53,12 +58,75 @@ def source_digests(spark: SparkSession, path: str) -> DataFrame:
     depth = len([p for p in (bare if path.startswith("/") or bare != path else f"{os.getcwd()}/{path}").split("/") if p])
     parts = F.filter(F.split(F.regexp_replace("path", _SCHEME, ""), "/"), lambda p: p != "")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.select(F.element_at(parts, depth).alias("name"), F.array_join(F.slice(parts, depth + 1, F.size(parts)), "/").alias("place"), F.sha2("content", 256).alias("own"))
+    own = files.where(F.col("length") <= WHOLE).select("path", F.sha2("content", 256).alias("own"))
+    large, packed = files.where(F.col("length") > WHOLE).select("path", "length"), F.lower("path").rlike(_PACKED)
+    if not large.where(~packed).isEmpty():
+        own = own.unionByName(_large_digests(spark, path))
+    if not large.where(packed).isEmpty():
+        own = own.unionByName(files.where((F.col("length") > WHOLE) & F.lower("_metadata.file_name").rlike(_PACKED)).select("path", F.sha2("content", 256).alias("own")))
+    # staged: what reads the digests does not read the files again
+    files = staged(own.select(F.element_at(parts, depth).alias("name"), F.array_join(F.slice(parts, depth + 1, F.size(parts)), "/").alias("place"), "own"), "source-digests")
     both = files.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("place", "own"))).alias("l"))
     listed = F.array_join(F.transform("l", lambda f: F.concat(f["place"], F.lit(":"), f["own"])), "\n")
     return both.select("name", F.when(F.element_at("l", 1)["place"] == "", F.element_at("l", 1)["own"]).otherwise(F.sha2(listed, 256)).alias("sha256"))
 
 
+def _large_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, own): the SHA-256s of the files longer than WHOLE. Tasks read lines, whatever the bytes mean, and deal their pieces
+    out by file; there they are sorted by place and hashed one after another, so no task holds a file, only its longest line."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"), F.col("value").cast("binary").alias("v"), F.col("_metadata.file_name").alias("_n"),
+    )
+    lines = lines.where((F.col("size") > WHOLE) & ~F.lower("_n").rlike(_PACKED))
+    last = F.floor(F.greatest(F.length("v") - 1, F.lit(0)) / F.lit(PIECE)).cast("int")
+    pieces = lines.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
+    bytes_ = F.substring("v", F.col("piece") * PIECE + 1, F.lit(PIECE))
+    pieces = pieces.select("path", "size", "start", "line", "piece", F.when(F.col("piece") == last, F.concat(bytes_, F.lit(b"\n"))).otherwise(bytes_).alias("v"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces.repartition(parts, "path").sortWithinPartitions("path", "start", "line", "piece").select("path", "size", "v")
+    found = dealt.mapInArrow(_hashed, "path string, own string")
+    # paths of this kind are encoded as in an URL, those of whole files are not
+    return found.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), "own")
+
+
+def _hashed(batches):
+    """Digests of files whose bytes come in order, each line with its end. Whether the last line has one, and whether a byte order
+    mark that readers of lines skip comes first, is known by the size."""
+    import hashlib
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    now, size, total, held, sums = None, 0, 0, b"", ()
+
+    def ended():
+        for sum_, more in zip(sums, (0, len(_BOM)), strict=True):
+            if total + more == size:
+                sum_.update(held)
+            elif total + more != size + 1:
+                continue
+            return pa.RecordBatch.from_pydict({"path": [now], "own": [sum_.hexdigest()]})
+        raise ValueError(f"{now}: {size} bytes, but its lines have {total}")
+
+    for batch in batches:
+        runs, begin = pc.run_end_encode(batch.column("path")), 0
+        for path, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            if path != now:
+                if now is not None:
+                    yield ended()
+                now, size, total, held, sums = path, batch.column("size")[begin].as_py(), 0, b"", (hashlib.sha256(), hashlib.sha256(_BOM))
+            rows = batch.column("v").slice(begin, end - begin)
+            _, places, data = rows.buffers()
+            at = memoryview(places).cast("i")[rows.offset : rows.offset + len(rows) + 1]
+            some = memoryview(data)[at[0] : at[-1]] if data is not None else b""
+            for sum_ in sums if len(some) else ():
+                sum_.update(held)
+                sum_.update(some[:-1])
+            total, held, begin = total + len(some), bytes(some[-1:]) or held, end
+    if now is not None:
+        yield ended()
+
+
 def verify_sources(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """(name, expected, found): sources under ``path`` whose SHA-256 is not the manifest's, or that
     only one side has. ``manifest(name, sha256)``, as ``source_digests`` gives them."""

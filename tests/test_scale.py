@@ -1,6 +1,8 @@
 """Plans and whole jobs on tables that are larger, or laid out otherwise, than the given ones."""
 
+import gzip
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -40,6 +42,31 @@ def test_sources_that_are_folders(spark, tmp_path):
     assert {r.name for r in tables.verify_sources(spark, f"{tmp_path}/*.parquet", spark.createDataFrame(list(by.items()), "name string, sha256 string")).collect()} == {"orders.parquet"}
 
 
+def test_large_sources_are_hashed_by_lines(spark, tmp_path, monkeypatch):
+    """A file longer than the bound is never one row; its digest is that of its bytes, whatever they are."""
+    bytes_ = random.Random(5).randbytes
+    odd = {
+        "ended": b"one\n\ntwo\r\n" * 30, "open": b"one\n" * 80 + b"two", "marked": b"\xef\xbb\xbf" + b"a\n" * 900, "marked open": b"\xef\xbb\xbf" + b"a\n" * 900 + b"b", "random+1%2B.parquet": bytes_(70_000),
+        "line": bytes_(9_000).replace(b"\n", b"x") + b"\n\n", "short": b"a\n", "folder.parquet/part": bytes_(20_000), "zeros": bytes(12_288), "packed.gz": gzip.compress(bytes_(500)), "ends": b"\n" * 300,
+    }
+    for name, content in odd.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    monkeypatch.setattr(tables, "WHOLE", 200)
+    monkeypatch.setattr(tables, "PIECE", 1024)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7k")
+    try:
+        found = tables.source_digests(spark, f"{tmp_path}/*")
+        got = {r.name: r.sha256 for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {n: hashlib.sha256(b).hexdigest() for n, b in odd.items()}
+    folder = "part:" + want.pop("folder.parquet/part")
+    assert got == want | {"folder.parquet": hashlib.sha256(folder.encode()).hexdigest()}
+    lengths = tables._large_digests(spark, f"{tmp_path}/*")
+    assert "binaryFile" not in plan(lengths) and lengths.count() == 9
+
+
 def test_paths_take_edges_within_the_budget(spark, monkeypatch):
     """Edges longer than every budget are neither dealt out in a round nor asked for predecessors."""
     rows = {}
