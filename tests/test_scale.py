@@ -211,3 +211,18 @@ def test_blocking_rules_broadcast_no_rows_of_a_region(spark, monkeypatch):
     # a row for each region, joined by the region alone, may
     for label in ("relaxed", "sweep-kept", "cell-ranked", "supply-ranked", "sweep-results"):
         assert plans[label] and not any(re.search(r"BroadcastHashJoin \[\w+#\d+L?, ", p) for p in plans[label]), label
+
+
+def _joined_by_rows(df):
+    """Joins by more than the region whose one side goes through the driver."""
+    return re.findall(r"BroadcastHashJoin \[\w+#\d+L?, .*", plan(df))
+
+
+def test_pairs_of_selections_without_broadcast(spark):
+    """A row for each request and selection of depots is made by exploding few bytes, and is dealt out."""
+    cells, lockers, depots, _, flights, asked = _small_world(spark)
+    terms = staging.dealt(whatif._spaces(whatif.terms(asked, lockers, depots), cells), "terms")
+    left = staging.dealt(asked.selectExpr("region_id", "request_id", "0L as l_ordinal", "array(0L) as lockers", "4L as total"), "left")
+    found = whatif.screen_pairs(left, terms, depots, flights)
+    assert not _joined_by_rows(found)
+    assert found.groupBy("request_id").count().orderBy("request_id").collect()[:2] == [(0, 8), (1, 14)]
