@@ -220,7 +220,7 @@ class Blocks(City):
         from .operators.graph import bounded_paths, route_edges
 
         streets = once(self.spark, self.dir, "block-streets", self.streets)
-        cells, lockers, _, walks, _ = self.world()
+        cells, lockers, _, walks, _ = self.dealt_world()
         origins = cells.select(KEY, F.col("node_id").alias("origin"), "node_id").distinct().withColumn("budget_mm", F.lit(self.WALK_MM).cast("long"))
         ends = walks.join(cells.select(KEY, "cell_id", F.col("node_id").alias("origin")), [KEY, "cell_id"]).join(lockers.select(KEY, F.col("site_id").alias("locker_id"), F.col("node_id").alias("target")), [KEY, "locker_id"])
         found = route_edges(bounded_paths(streets, origins), streets, ends.select(KEY, "origin", "target").distinct())
@@ -231,20 +231,21 @@ class Blocks(City):
         from .operators.graph import measure_routes
 
         streets = once(self.spark, self.dir, "block-streets", self.streets)
-        cells, lockers, _, walks, _ = self.world()
+        cells, lockers, _, walks, _ = self.dealt_world()
         routes = once(self.spark, self.dir, "block-routes", self.routes) if routes is None else routes
-        found = measure_routes(routes, cells.withColumn("connector_mm", F.lit(0).cast("long")), lockers, streets)
+        found = measure_routes(routes, cells.withColumn("connector_mm", F.lit(0).cast("long")), lockers, streets.hint("merge"))
         return walks.join(found.withColumnRenamed("ok", "route_ok"), [KEY, "cell_id", "locker_id"], "left").withColumn("route_ok", F.coalesce("route_ok", F.lit(False)))
 
     def found_plans(self, measured: DataFrame | None = None):
         """The audit of every plan that the search of the grid found, its walks measured along their routes."""
         from .plans.verify import Audit
 
-        cells, lockers, depots, _, _ = self.world()
+        cells, lockers, depots, _, _ = self.dealt_world()
         _, plans = self.sweep()
-        requests = self.requests().withColumnRenamed("request_id", "plan_id").join(plans["plan_sites"].select(KEY, "plan_id").distinct(), [KEY, "plan_id"], "left_semi")
+        plans = {name: t.hint("merge") for name, t in plans.items()}
+        requests = self.requests().hint("merge").withColumnRenamed("request_id", "plan_id").join(plans["plan_sites"].select(KEY, "plan_id").distinct(), [KEY, "plan_id"], "left_semi")
         measured = once(self.spark, self.dir, "block-measured", self.measured_walks) if measured is None else measured
-        return Audit(cells, lockers, depots, measured, requests, walk_limit_mm=self.WALK_MM, **plans)
+        return Audit(cells, lockers, depots, measured.hint("merge"), requests.hint("merge"), walk_limit_mm=self.WALK_MM, **plans)
 
     def limits(self) -> DataFrame:
         """One request for each region."""
@@ -266,6 +267,10 @@ class Blocks(City):
         keep = lambda name: once(self.spark, self.dir, f"block-{name}", getattr(self, name))
         return tuple(keep(x) for x in ("cells", "lockers", "depots", "walks", "flights"))
 
+    def dealt_world(self) -> list[DataFrame]:
+        """``world``, joined by dealing out both sides: its files are small and its rows many."""
+        return [t.hint("merge") for t in self.world()]
+
     def requests(self) -> DataFrame:
         return once(self.spark, self.dir, "block-grid", self.grid)
 

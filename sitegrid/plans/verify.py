@@ -79,13 +79,13 @@ def judged_supplies(plan_sites: DataFrame, plan_supply: DataFrame, scopes: DataF
 
 def _scope_loads(plan_sites: DataFrame, supplies: DataFrame, loads: DataFrame, scopes: DataFrame) -> DataFrame:
     """(plan, outage_depot, depot_id, load, lockers) for every chosen depot in every scope."""
-    carried = supplies.where("good").join(loads, [*PLAN, "locker_id"]).groupBy(*PLAN, "outage_depot", "depot_id").agg(F.sum("load").alias("load"), F.count(F.lit(1)).alias("lockers"))
+    carried = supplies.where("good").join(loads.hint("merge"), [*PLAN, "locker_id"]).groupBy(*PLAN, "outage_depot", "depot_id").agg(F.sum("load").alias("load"), F.count(F.lit(1)).alias("lockers"))
     own = open_sites(plan_sites, "depot").withColumnRenamed("site_id", "depot_id")
     # a plan without any depot still has its normal scope, but no depot row
     every = own.withColumn("outage_depot", F.lit(None).cast("long")).unionByName(own.join(scopes, PLAN))
     carried = carried.withColumnsRenamed({"region_id": "_r", "plan_id": "_p", "outage_depot": "_o", "depot_id": "_d"})
     same = (F.col("region_id") == F.col("_r")) & (F.col("plan_id") == F.col("_p")) & F.col("outage_depot").eqNullSafe(F.col("_o")) & (F.col("depot_id") == F.col("_d"))
-    out = every.join(carried, same, "left")
+    out = every.join(carried.hint("merge"), same, "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select(*PLAN, "outage_depot", "depot_id", zero("load"), zero("lockers"))
 
@@ -120,7 +120,7 @@ def plan_extremes(requests: DataFrame, judged: DataFrame, supplies: DataFrame) -
     """(plan, worst_walk_mm, routes_checked, longest_flight_mm), outages included."""
     walks = judged.where("good").groupBy(*PLAN).agg(F.max("measured_mm").alias("worst_walk_mm"), F.count(F.lit(1)).alias("routes_checked"))
     flights = supplies.where("good").groupBy(*PLAN).agg(F.max("return_mm").alias("longest_flight_mm"))
-    out = requests.select(*PLAN).join(walks, PLAN, "left").join(flights, PLAN, "left")
+    out = requests.select(*PLAN).join(walks.hint("merge"), PLAN, "left").join(flights.hint("merge"), PLAN, "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select(*PLAN, zero("worst_walk_mm"), zero("routes_checked"), zero("longest_flight_mm"))
 
@@ -282,7 +282,7 @@ class Audit:
             twice = F.size(chosen) > F.size(F.array_distinct(chosen))
             errors += [("site_unknown_or_dup", F.lit(kind), yes(F.coalesce(f"_odd_{kind}", F.lit(False)) | twice)), ("too_many", F.lit(kind), yes(F.size(chosen) > F.col(f"max_{kind}s"))), ("exact_changed", F.lit(kind), yes(fixed.isNotNull() & ~same))]
         named = self.outages.groupBy(*PLAN).agg(F.collect_list("depot_id").alias("_named"))
-        rows = rows.join(named, PLAN, "left").withColumn("_named", F.coalesce("_named", F.array().cast("array<long>"))).join(judged, PLAN, "full").join(heavy, PLAN, "left").join(total, "region_id", "left")
+        rows = rows.join(named, PLAN, "left").withColumn("_named", F.coalesce("_named", F.array().cast("array<long>"))).join(judged, PLAN, "full").join(heavy.hint("merge"), PLAN, "left").join(total, "region_id", "left")
         asked, own, tolerant = F.col("_named"), F.array_distinct("_depots"), F.col("tolerance") == 1
         odd = (F.size(asked) > F.size(F.array_distinct(asked))) | (F.size(F.array_except(asked, own)) > 0)
         lacking = (F.size(asked) != F.size("_depots")) | (F.size(F.array_except(own, asked)) > 0)
@@ -306,7 +306,7 @@ class Audit:
         sums = keyed(self.scope_loads.join(limits.select(*PLAN, "depot_capacity"), PLAN, "left").withColumn("over", over)).groupBy(*key).agg(F.sum("load").alias("carried"), F.count_if("over").alias("over"))
         every = keyed(self.requests.select(*PLAN).withColumn("outage_depot", F.lit(None).cast("long")).unionByName(self.scopes.select(*PLAN, "outage_depot"))).withColumn("_asked", F.lit(True))
         n_sites = self.sites.groupBy(*PLAN).agg(F.count_if(F.col("kind") == "locker").alias("n_lockers"), F.count_if(F.col("kind") == "depot").alias("n_depots"))
-        per = every.join(done, key, "full").join(sums, key, "full").join(n_sites, PLAN, "left").join(got.drop("_n"), PLAN, "left")
+        per = every.join(done, key, "full").join(sums, key, "full").join(n_sites.hint("merge"), PLAN, "left").join(got.drop("_n").hint("merge"), PLAN, "left")
         scope, normal, asked = F.when(F.col("_o") == -1, F.lit("normal")).otherwise(F.concat(F.lit("outage:"), F.col("_o").cast("string"))), F.col("_o") == -1, F.col("_asked").isNotNull()
         errors = [
             ("bad_supply", scope, F.col("bad")), ("flight_limit", scope, F.col("far")), ("supply_incomplete", scope, yes(asked & (zero("supplied") != zero("n_lockers")))),
@@ -318,7 +318,7 @@ class Audit:
         """One row for each plan: valid, error codes, totals and extremes."""
         codes = errors.groupBy(*PLAN).agg(F.sort_array(F.collect_set("code")).alias("errors"))
         got = self.judged.where("good").groupBy(*PLAN).agg(F.sum("parcels").alias("parcel_total"))
-        out = plan_extremes(self.requests, self.judged, self.supplies).join(got, PLAN, "left").join(codes, PLAN, "left")
+        out = plan_extremes(self.requests, self.judged, self.supplies).join(got.hint("merge"), PLAN, "left").join(codes.hint("merge"), PLAN, "left")
         out = out.withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
         return out.select(*PLAN, (F.size("errors") == 0).alias("valid"), "errors", F.coalesce("parcel_total", F.lit(0).cast("long")).alias("parcel_total"), "worst_walk_mm", "longest_flight_mm", "routes_checked")
 

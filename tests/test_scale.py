@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sitegrid import bindings, registry
 from sitegrid.functions import staging
 from sitegrid.operators import graph, shortlist, spatial
-from sitegrid.plans import whatif
+from sitegrid.plans import verify, whatif
+from sitegrid.plans.verify import Audit
 from sitegrid.sources import tables
 
 
@@ -226,3 +227,26 @@ def test_pairs_of_selections_without_broadcast(spark):
     found = whatif.screen_pairs(left, terms, depots, flights)
     assert not _joined_by_rows(found)
     assert found.groupBy("request_id").count().orderBy("request_id").collect()[:2] == [(0, 8), (1, 14)]
+
+
+def _found(spark):
+    """The audit of a plan for each of two regions, as that of found plans is made."""
+    cells, lockers, depots, walks, _, asked = (t.hint("merge") for t in _small_world(spark))
+    lockers, depots = (t.withColumns({"x_mm": F.lit(0).cast("long"), "y_mm": F.lit(0).cast("long")}) for t in (lockers, depots))
+    walks = walks.withColumns({"measured_mm": F.col("distance_mm"), "route_ok": F.lit(True)})
+    make = lambda rows, kind: staging.dealt(spark.createDataFrame([(r, 0, *x) for r in (0, 1) for x in rows], f"region_id long, plan_id long, {kind}"), "found")
+    plans = {
+        "plan_sites": make([("locker", 0, 0), ("depot", 0, 1)], "kind string, pos long, site_id long"), "plan_cells": make([(0, 0, 0), (1, 1, 0)], "pos long, cell_id long, locker_id long"),
+        "plan_supply": make([(0, None, 0, 1)], "pos long, outage_depot long, locker_id long, depot_id long"), "plan_outages": make([(0, 1)], "pos long, depot_id long").limit(0),
+    }
+    requests = asked.where("request_id = 0").withColumns({"request_id": F.lit(0).cast("long"), "locker_capacity": F.lit(4)}).withColumnRenamed("request_id", "plan_id")
+    return Audit(cells, lockers, depots, walks, requests, walk_limit_mm=5, **plans), requests
+
+
+def test_found_plans_are_verified_without_broadcast(spark, monkeypatch):
+    """Sums by plan, of which there are as many as requests, are dealt out."""
+    plans, (audit, _) = _plans_of(monkeypatch, verify), _found(spark)
+    found = audit.verification(audit.errors())
+    assert not _joined_by_rows(found)
+    assert len(plans) == 5 and not [p for ps in plans.values() for p in ps if re.search(r"BroadcastHashJoin \[\w+#\d+L?, ", p)]
+    assert [(r.valid, r.errors, r.parcel_total) for r in found.collect()] == [(True, [], 4)] * 2
