@@ -107,9 +107,9 @@ def result_summary(results: DataFrame, verification: DataFrame, plan_sites: Data
     """(request, status, summary): sites, parcels and scope in words."""
     key = ["region_id", "plan_id"]
     n = plan_sites.groupBy(*key).agg(F.count_if(F.col("kind") == "locker").alias("lockers"), F.count_if(F.col("kind") == "depot").alias("depots"))
-    v = verification.select(*key, "parcel_total", "routes_checked").join(n, key).withColumnRenamed("plan_id", "request_id")
+    v = verification.select(*key, "parcel_total", "routes_checked").join(n.hint("merge"), key).withColumnRenamed("plan_id", "request_id")
     scope = F.when(F.col("fixed_lockers").isNotNull() | F.col("fixed_depots").isNotNull(), "this selection").otherwise("any selection of the candidates")
-    rows = results.join(requests.select(*REQ, scope.alias("scope")), REQ).join(v, REQ, "left")
+    rows = results.join(requests.select(*REQ, scope.alias("scope")).hint("merge"), REQ).join(v.hint("merge"), REQ, "left")
     done = F.concat_ws(" · ", F.format_string("%d lockers", "lockers"), F.format_string("%d depots", "depots"), F.format_string("%d parcels", "parcel_total"), F.format_string("%d walks checked", "routes_checked"))
     text = (
         F.when(F.col("status") == "feasible", done)

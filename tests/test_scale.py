@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitegrid import bindings, registry
 from sitegrid.functions import staging
 from sitegrid.operators import graph, shortlist, spatial
-from sitegrid.plans import verify, whatif
+from sitegrid.plans import reports, verify, whatif
 from sitegrid.plans.verify import Audit
 from sitegrid.sources import tables
 
@@ -250,3 +250,13 @@ def test_found_plans_are_verified_without_broadcast(spark, monkeypatch):
     assert not _joined_by_rows(found)
     assert len(plans) == 5 and not [p for ps in plans.values() for p in ps if re.search(r"BroadcastHashJoin \[\w+#\d+L?, ", p)]
     assert [(r.valid, r.errors, r.parcel_total) for r in found.collect()] == [(True, [], 4)] * 2
+
+
+def test_summaries_broadcast_no_requests(spark):
+    """Results, requests and what was verified are rows of requests, dealt out."""
+    audit, requests = _found(spark)
+    results = staging.staged(spark.range(2).selectExpr("id as region_id", "0L as request_id", "'feasible' as status"), "results")
+    seen = staging.staged(audit.verification(audit.errors()), "seen")
+    found = reports.result_summary(results, seen, staging.staged(audit.sites, "sites"), staging.staged(requests.withColumnRenamed("plan_id", "request_id"), "asked"))
+    assert not _joined_by_rows(found)
+    assert [r.summary for r in found.collect()] == ["1 lockers · 1 depots · 4 parcels · 2 walks checked"] * 2
